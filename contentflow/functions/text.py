@@ -199,7 +199,7 @@ def redact_url(url: Column) -> Column:
 def redact_message(message: Column) -> Column:
     """Message with bearer tokens, URL secrets and ``key=value`` secrets removed."""
     text = F.regexp_replace(message, REDACT_BEARER, "Bearer [redacted]")
-    urls = F.regexp_extract_all(text, F.lit(f"({REDACT_URL[4:]})" if False else r"(?i)(https?://[^\s'\"<>]+)"), F.lit(1))
+    urls = F.regexp_extract_all(text, F.lit(REDACT_URL), F.lit(0))
     pieces = F.split(text, REDACT_URL, -1)
     rebuilt = F.array_join(
         F.transform(
