@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contentflow.functions.binding import let
+
 # --- fixed values -----------------------------------------------------------
 WHITESPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 ELLIPSIS = "…"
@@ -48,13 +50,16 @@ def collapse(text: Column) -> Column:
 
 def compact(text: Column, limit: int = 500) -> Column:
     """Collapsed text, null when empty, cut to ``limit`` code points with an ellipsis."""
-    clean = collapse(text)
-    cut = F.concat(F.substring(clean, 1, limit - 1), F.lit(ELLIPSIS))
-    return F.when(clean != "", F.when(F.length(clean) > limit, cut).otherwise(clean))
+
+    def cut(clean: Column) -> Column:
+        short = F.concat(F.substring(clean, 1, limit - 1), F.lit(ELLIPSIS))
+        return F.when(F.length(clean) > limit, short).when(clean != "", clean)
+
+    return let(collapse(text), cut)
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def non_blank(text: Column) -> Column:
@@ -79,31 +84,34 @@ def published_day(value: Column) -> Column:
     The first form that matches decides, so an impossible ISO date yields null
     instead of being tried as another form.
     """
-    text = collapse(value)
+    return let(collapse(value), _day_of_label)
+
+
+def _clock_ms(text: Column) -> Column:
+    """Milliseconds of ``h:mm[:ss] [am|pm]``; empty text is midnight, anything else null."""
+    shape = r"(?i)^(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm)?$"
+    hour, minute = F.regexp_extract(text, shape, 1).try_cast("int"), F.regexp_extract(text, shape, 2).try_cast("int")
+    second = F.coalesce(F.regexp_extract(text, shape, 3).try_cast("int"), F.lit(0))
+    half = F.lower(F.regexp_extract(text, shape, 4))
+    hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
+    valid = (hour < 24) & (minute < 60) & (second < 60)
+    return F.when(text == "", F.lit(0)).when(valid, ((hour * 60 + minute) * 60 + second) * 1000)
+
 
+def _day_of_label(text: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
 
-    clock = r"(?i)^(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm)?$"
-    rest = part(NUMERIC_DATE, 4)
-    hour = F.regexp_extract(rest, clock, 1).try_cast("int")
-    half = F.lower(F.regexp_extract(rest, clock, 4))
-    hour24 = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
-    minute = F.regexp_extract(rest, clock, 2).try_cast("int")
-    second = F.coalesce(F.regexp_extract(rest, clock, 3).try_cast("int"), F.lit(0))
-    time_ms = F.when(rest == "", F.lit(0)).when(
-        (hour24 < 24) & (minute < 60) & (second < 60), ((hour24 * 60 + minute) * 60 + second) * 1000
-    )
-    numeric = day_ms(part(NUMERIC_DATE, 3), part(NUMERIC_DATE, 1), part(NUMERIC_DATE, 2)) + time_ms
+    def date(pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
+        number = part(pattern, month)
+        return day_ms(part(pattern, year), _month_number(number) if named else number, part(pattern, day))
+
     return (
-        F.when(text.rlike(ISO_DATE), day_ms(part(ISO_DATE, 1), part(ISO_DATE, 2), part(ISO_DATE, 3)))
-        .when(text.rlike(CHINESE_DATE), day_ms(part(CHINESE_DATE, 1), part(CHINESE_DATE, 2), part(CHINESE_DATE, 3)))
-        .when(text.rlike(DAY_FIRST), day_ms(part(DAY_FIRST, 3), _month_number(part(DAY_FIRST, 2)), part(DAY_FIRST, 1)))
-        .when(
-            text.rlike(MONTH_FIRST),
-            day_ms(part(MONTH_FIRST, 3), _month_number(part(MONTH_FIRST, 1)), part(MONTH_FIRST, 2)),
-        )
-        .when(text.rlike(NUMERIC_DATE), numeric)
+        F.when(text.rlike(ISO_DATE), date(ISO_DATE, 1, 2, 3))
+        .when(text.rlike(CHINESE_DATE), date(CHINESE_DATE, 1, 2, 3))
+        .when(text.rlike(DAY_FIRST), date(DAY_FIRST, 3, 2, 1, named=True))
+        .when(text.rlike(MONTH_FIRST), date(MONTH_FIRST, 3, 1, 2, named=True))
+        .when(text.rlike(NUMERIC_DATE), date(NUMERIC_DATE, 3, 1, 2) + let(part(NUMERIC_DATE, 4), _clock_ms))
     )
 
 
@@ -199,17 +207,14 @@ def redact_url(url: Column) -> Column:
 def redact_message(message: Column) -> Column:
     """Message with bearer tokens, URL secrets and ``key=value`` secrets removed."""
     text = F.regexp_replace(message, REDACT_BEARER, "Bearer [redacted]")
-    urls = F.regexp_extract_all(text, F.lit(REDACT_URL), F.lit(0))
-    pieces = F.split(text, REDACT_URL, -1)
-    rebuilt = F.array_join(
-        F.transform(
-            pieces,
-            lambda piece, i: F.concat(piece, F.coalesce(redact_url(F.get(urls, i)), F.lit(""))),
-        ),
-        "",
-    )
-    cleaned = F.when(text.rlike(REDACT_URL), rebuilt).otherwise(text)
-    return F.regexp_replace(cleaned, REDACT_SECRET, "$1=[redacted]")
+
+    def without_urls(message: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(message, F.lit(REDACT_URL), F.lit(0)), redact_url)
+        between = F.split(message, REDACT_URL, -1)
+        woven = F.zip_with(between, found, lambda piece, url: F.concat(piece, F.coalesce(url, F.lit(""))))
+        return F.when(message.rlike(REDACT_URL), F.array_join(woven, "")).otherwise(message)
+
+    return F.regexp_replace(let(text, without_urls), REDACT_SECRET, "$1=[redacted]")
 
 
 def leaked_math(text: Column) -> Column:

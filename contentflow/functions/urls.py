@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contentflow.functions.binding import let
+
 # --- fixed values -----------------------------------------------------------
 TRACKING_PREFIX = "utm_"
 TRACKING_PARAMETERS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source"]
@@ -38,36 +40,68 @@ def _trimmed(url: Column) -> Column:
     return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def _part(url: Column, body) -> Column:
+    """``body`` over the trimmed URL, which is evaluated once."""
+    return let(_trimmed(url), body)
+
+
 def _encode_where(text: Column, pattern: str) -> Column:
     """Percent-encode the characters of ``text`` that match ``pattern``; untouched text stays cheap."""
-    encoded = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda ch: F.when(ch == " ", F.lit("%20")).when(ch.rlike(pattern), F.url_encode(ch)).otherwise(ch),
-        ),
-        "",
+
+    def one(ch: Column) -> Column:
+        return F.when(ch == " ", F.lit("%20")).when(ch.rlike(pattern), F.url_encode(ch)).otherwise(ch)
+
+    return let(
+        text,
+        lambda t: F.when(t.rlike(pattern), F.array_join(F.transform(F.split(t, ""), one), "")).otherwise(t),
     )
-    return F.when(text.rlike(pattern), encoded).otherwise(text)
 
 
-def is_http(url: Column) -> Column:
-    return _trimmed(url).rlike(_HTTP)
+# The helpers below take trimmed text.
+
+
+def _is_http(url: Column) -> Column:
+    return url.rlike(_HTTP)
+
+
+def _scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z]+):", 1))
+
+
+def _host(url: Column) -> Column:
+    def of(authority: Column) -> Column:
+        host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
+        return F.when(authority.rlike(_VALID_AUTHORITY), host)
+
+    return F.when(_is_http(url), let(F.regexp_extract(url, _AUTHORITY, 1), of))
 
 
-def _authority(url: Column) -> Column:
-    return F.regexp_extract(url, _AUTHORITY, 1)
+def _path(url: Column) -> Column:
+    return F.when(_is_http(url), F.regexp_replace(F.regexp_extract(url, _PATH, 1), r"^$", "/"))
+
+
+def _port(url: Column) -> Column:
+    """Port with its colon; empty for the scheme's default."""
+    port = F.regexp_extract(url, r"(?i)^https?:/*[^/?#]*?:0*(\d+)(?:$|[/?#])", 1)
+    default = (_scheme(url) == "https") & (port == "443") | (_scheme(url) == "http") & (port == "80")
+    return F.when((port == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port))
+
+
+def _origin(url: Column) -> Column:
+    return F.concat(_scheme(url), F.lit("://"), _host(url), _port(url))
+
+
+def is_http(url: Column) -> Column:
+    return _is_http(_trimmed(url))
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host of an http(s) URL, null when it cannot be parsed."""
-    authority = _authority(_trimmed(url))
-    host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
-    return F.when(is_http(url) & authority.rlike(_VALID_AUTHORITY), host)
+    return _part(url, _host)
 
 
 def url_path(url: Column) -> Column:
-    raw = F.regexp_extract(_trimmed(url), _PATH, 1)
-    return F.when(is_http(url), F.when(raw == "", F.lit("/")).otherwise(raw))
+    return _part(url, _path)
 
 
 def url_query(url: Column) -> Column:
@@ -75,16 +109,8 @@ def url_query(url: Column) -> Column:
     return F.regexp_extract(_trimmed(url), _QUERY, 1)
 
 
-def _port(url: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(_trimmed(url), r"^([A-Za-z]+):", 1))
-    port = F.regexp_extract(_authority(_trimmed(url)), r":0*(\d+)$", 1)
-    default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
-    return F.when((port == "") | (port == default), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-
-
 def url_origin(url: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(_trimmed(url), r"^([A-Za-z]+):", 1))
-    return F.concat(scheme, F.lit("://"), url_host(url), _port(url))
+    return _part(url, _origin)
 
 
 def _form_decode(text: Column) -> Column:
@@ -102,12 +128,11 @@ def _parameter_value(part: Column) -> Column:
 def query_parameter(url: Column, name: str) -> Column:
     """First value of a query parameter, decoded; null when absent."""
     hits = F.filter(F.split(url_query(url), "&"), lambda part: _parameter_name(part) == F.lit(name))
-    return _parameter_value(F.try_element_at(hits, F.lit(1)))
+    return let(F.try_element_at(hits, F.lit(1)), _parameter_value)
 
 
 def _is_tracking(name: Column) -> Column:
-    lowered = F.lower(name)
-    return lowered.startswith(TRACKING_PREFIX) | lowered.isin(TRACKING_PARAMETERS)
+    return let(F.lower(name), lambda n: n.startswith(TRACKING_PREFIX) | n.isin(TRACKING_PARAMETERS))
 
 
 def _clean_query(url: Column) -> Column:
@@ -116,30 +141,38 @@ def _clean_query(url: Column) -> Column:
     Dropping a parameter re-serialises the rest form-encoded, as a URL search
     parameter list does; an untouched query keeps its bytes.
     """
-    query = F.regexp_extract(url, _QUERY, 1)
-    parts = F.filter(F.split(query, "&"), lambda part: part != "")
-    kept = F.filter(parts, lambda part: ~_is_tracking(_parameter_name(part)))
-    rewritten = F.array_join(
-        F.transform(
-            kept,
-            lambda part: F.concat(F.url_encode(_parameter_name(part)), F.lit("="), F.url_encode(_parameter_value(part))),
-        ),
-        "&",
-    )
-    unchanged = F.concat(F.lit("?"), _encode_where(query, r"[^!$-;=?-~]|[ \"'<>]"))
-    dropped = F.when(F.size(kept) == 0, F.lit("")).otherwise(F.concat(F.lit("?"), rewritten))
-    return (
-        F.when(~F.regexp_replace(url, r"#.*$", "").contains("?"), F.lit(""))
-        .when(~query.rlike(_TRACKED), unchanged)
-        .when(F.size(kept) == F.size(parts), unchanged)
-        .otherwise(dropped)
-    )
+
+    def unchanged(query: Column) -> Column:
+        return F.concat(F.lit("?"), _encode_where(query, r"[^!$-;=?-~]|[ \"'<>]"))
+
+    def pair(part: Column) -> Column:
+        return F.concat(F.url_encode(_parameter_name(part)), F.lit("="), F.url_encode(_parameter_value(part)))
+
+    def rewritten(query: Column, parts: Column) -> Column:
+        def of(kept: Column) -> Column:
+            joined = F.concat(F.lit("?"), F.array_join(F.transform(kept, pair), "&"))
+            dropped = F.when(F.size(kept) == 0, F.lit("")).otherwise(joined)
+            return F.when(F.size(kept) == F.size(parts), unchanged(query)).otherwise(dropped)
+
+        return let(F.filter(parts, lambda part: ~_is_tracking(_parameter_name(part))), of)
+
+    def of_query(query: Column) -> Column:
+        parts = F.filter(F.split(query, "&"), lambda part: part != "")
+        return F.when(query.rlike(_TRACKED), let(parts, lambda p: rewritten(query, p))).otherwise(unchanged(query))
+
+    return F.when(url.contains("?"), let(F.regexp_extract(url, _QUERY, 1), of_query)).otherwise(F.lit(""))
 
 
 def _clean_path(url: Column) -> Column:
-    raw = F.regexp_extract(url, _PATH, 1)
-    encoded = _encode_where(raw, r"[^!-~]|[\"<>`{}^]")
-    return F.when(raw == "", F.lit("/")).when(raw == "/", raw).otherwise(F.regexp_replace(encoded, r"/$", ""))
+    encoded = _encode_where(F.regexp_extract(url, _PATH, 1), r"[^!-~]|[\"<>`{}^]")
+    return F.regexp_replace(F.regexp_replace(encoded, r"(?<=.)/$", ""), r"^$", "/")
+
+
+def _canonical(url: Column) -> Column:
+    userinfo = F.regexp_extract(url, r"(?i)^https?:/*([^/?#]*@)?", 1)
+    origin = F.concat(_scheme(url), F.lit("://"), userinfo, _host(url), _port(url))
+    http = F.concat(origin, _clean_path(url), _clean_query(url))
+    return F.when(_is_http(url), http).when(url.rlike(_SCHEME), url)
 
 
 def canonical_url(url: Column) -> Column:
@@ -148,73 +181,83 @@ def canonical_url(url: Column) -> Column:
     Fragment and tracking parameters go, host is lower-cased, a default port
     and one trailing slash are dropped.
     """
-    text = F.regexp_replace(_trimmed(url), r"(?s)#.*$", "")
-    userinfo = F.regexp_extract(_authority(text), r"^(.*@)?", 1)
-    origin = F.concat(F.lower(F.regexp_extract(text, r"^([A-Za-z]+):", 1)), F.lit("://"), userinfo, url_host(text), _port(text))
-    http = F.concat(origin, _clean_path(text), _clean_query(text))
-    return F.when(text.rlike(_HTTP), http).when(text.rlike(_SCHEME), text)
+    return let(F.regexp_replace(_trimmed(url), r"(?s)#.*$", ""), _canonical)
+
+
+def _is_wrapper(url: Column) -> Column:
+    return F.coalesce((_host(url) == WRAPPER_HOST) & _path(url).rlike(WRAPPER_PATH), F.lit(False))
 
 
 def is_redirect_wrapper(url: Column) -> Column:
-    return F.coalesce((url_host(url) == WRAPPER_HOST) & url_path(url).rlike(WRAPPER_PATH), F.lit(False))
+    return _part(url, _is_wrapper)
 
 
 def canonical_content_url(url: Column) -> Column:
     """Canonical URL; a redirect wrapper also loses its per-delivery query."""
-    canonical = canonical_url(url)
-    return F.when(is_redirect_wrapper(url), F.regexp_replace(canonical, r"\?.*$", "")).otherwise(canonical)
+    return let(
+        canonical_url(url),
+        lambda c: F.when(c.contains(WRAPPER_HOST) & _is_wrapper(c), F.regexp_replace(c, r"\?.*$", "")).otherwise(c),
+    )
 
 
 def absolute_url(link: Column, base: Column) -> Column:
     """Resolve a link against the page it stands on; null for an empty or unusable link."""
-    text = _trimmed(link)
-    origin = url_origin(base)
-    scheme = F.lower(F.regexp_extract(_trimmed(base), r"^([A-Za-z]+):", 1))
-    folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    own_path = url_path(base)
-    own_query = F.regexp_extract(_trimmed(base), r"^[^?#]*(\?[^#]*)", 1)
-    relative = F.concat(folder, text)
-    joined = (
-        F.when(text.startswith("//"), F.concat(scheme, F.lit(":"), text))
-        .when(text.startswith("/"), F.concat(origin, _without_dots(text)))
-        .when(text.startswith("?"), F.concat(origin, own_path, text))
-        .when(text.startswith("#"), F.concat(origin, own_path, own_query, text))
-        .otherwise(F.concat(origin, _without_dots(relative)))
-    )
-    bare_host = F.regexp_replace(text, r"(?i)^(https?:/*[^/?#]+)(?=$|[?#])", "$1/")
-    absolute = F.when(text.rlike(_HTTP), F.when(url_host(text).isNotNull(), bare_host)).when(text.rlike(_SCHEME), text).otherwise(joined)
-    return F.when(link.isNotNull() & (link != ""), absolute)
+
+    def resolve(text: Column, page: Column) -> Column:
+        origin = _origin(page)
+        folder = F.regexp_replace(_path(page), r"[^/]*$", "")
+        query = F.regexp_extract(page, r"^[^?#]*(\?[^#]*)", 1)
+        joined = (
+            F.when(text.startswith("//"), F.concat(_scheme(page), F.lit(":"), text))
+            .when(text.startswith("/"), F.concat(origin, _without_dots(text)))
+            .when(text.startswith("?"), F.concat(origin, _path(page), text))
+            .when(text.startswith("#"), F.concat(origin, _path(page), query, text))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, text))))
+        )
+        rooted = F.regexp_replace(text, r"(?i)^(https?:/*[^/?#]+)(?=$|[?#])", "$1/")
+        return (
+            F.when(_is_http(text), F.when(_host(text).isNotNull(), rooted)).when(text.rlike(_SCHEME), text).otherwise(joined)
+        )
+
+    bound = let(_trimmed(link), lambda text: let(_trimmed(base), lambda page: resolve(text, page)))
+    return F.when(link.isNotNull() & (link != ""), bound)
 
 
 def _without_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments; only paths that have any pay for the fold."""
-    bare = F.regexp_extract(path, r"^([^?#]*)", 1)
-    tail = F.regexp_extract(path, r"^[^?#]*(.*)$", 1)
-    segments = F.split(F.regexp_replace(bare, r"/\.{1,2}$", "$0/"), "/")
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, part: F.when(part == ".", done)
-        .when(part == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done))
-        .otherwise(F.concat(done, F.array(part))),
-    )
-    return F.when(bare.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.array_join(folded, "/"), tail)).otherwise(path)
+
+    def step(done: Column, part: Column) -> Column:
+        parent = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(part == ".", done).when(part == "..", parent).otherwise(F.concat(done, F.array(part)))
+
+    def fold(text: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_extract(text, r"^([^?#]*)", 1), r"/\.{1,2}$", "$0/")
+        folded = F.aggregate(F.split(bare, "/"), F.array().cast("array<string>"), step)
+        tail = F.regexp_extract(text, r"^[^?#]*(.*)$", 1)
+        return F.when(text.rlike(r"^[^?#]*/\.{1,2}(/|$|[?#])"), F.concat(F.array_join(folded, "/"), tail)).otherwise(text)
+
+    return let(path, fold)
 
 
 def _with_scheme(url: Column) -> Column:
-    text = _trimmed(url)
-    return F.when(text.rlike(_SCHEME), text).otherwise(F.concat(F.lit("https://"), text))
+    return _part(url, lambda text: F.when(text.rlike(_SCHEME), text).otherwise(F.concat(F.lit("https://"), text)))
+
+
+def _is_loopback_host(host: Column) -> Column:
+    return host.rlike(LOOPBACK_HOST)
 
 
 def is_loopback(url: Column) -> Column:
-    return F.coalesce(url_host(_with_scheme(url)).rlike(LOOPBACK_HOST), F.lit(False))
+    return F.coalesce(let(_with_scheme(url), lambda u: _is_loopback_host(_host(u))), F.lit(False))
 
 
 def is_public_url(url: Column) -> Column:
     """True for an http(s) URL outside the local and private address ranges."""
-    host = url_host(_with_scheme(url))
-    blocked = host.rlike(LOOPBACK_HOST) | host.endswith(".local") | (host == "0.0.0.0") | host.rlike(PRIVATE_HOST)
-    return F.coalesce(~blocked, F.lit(False))
+
+    def public(host: Column) -> Column:
+        return ~(host.rlike(LOOPBACK_HOST) | host.endswith(".local") | (host == "0.0.0.0") | host.rlike(PRIVATE_HOST))
+
+    return F.coalesce(let(_with_scheme(url), lambda u: let(_host(u), public)), F.lit(False))
 
 
 def is_feed_url_allowed(url: Column, allow_loopback: bool = False) -> Column:
@@ -252,8 +295,12 @@ def scholarly_url(identity: Column, landing: Column) -> Column:
 
 def profile_id(url: Column) -> Column:
     """Profile id of a strict profile address; null for every other URL."""
-    found = F.regexp_extract(url_path(_with_scheme(url)), PROFILE_URL, 1)
-    return F.when(url_host(_with_scheme(url)).isin(PROFILE_HOSTS) & (found != ""), found)
+    return let(
+        _with_scheme(url),
+        lambda u: F.when(
+            _host(u).isin(PROFILE_HOSTS) & _path(u).rlike(PROFILE_URL), F.regexp_extract(_path(u), PROFILE_URL, 1)
+        ),
+    )
 
 
 def profile_url(url: Column) -> Column:
@@ -261,14 +308,11 @@ def profile_url(url: Column) -> Column:
 
 
 def render_profile(url: Column) -> Column:
-    host = url_host(url)
-    scientific = (host == "kexue.fm") | host.endswith(".kexue.fm")
-    return F.when(scientific, F.lit("scientific")).otherwise(F.lit("standard"))
+    return F.when(url_host(url).rlike(r"(^|\.)kexue\.fm$"), F.lit("scientific")).otherwise(F.lit("standard"))
 
 
 def icon_kind(url: Column, kind: Column, config_provider: Column, config_platform: Column) -> Column:
     """Mark shown for a source: platform by config, then by host, then by kind."""
-    host = F.coalesce(url_host(url), F.lit(""))
     bridged = F.when(config_platform == "xiaohongshu", F.lit("xiaohongshu")).otherwise(F.lit("x"))
     by_kind = (
         F.when(kind == "generic", F.lit("web"))
@@ -276,13 +320,17 @@ def icon_kind(url: Column, kind: Column, config_provider: Column, config_platfor
         .when(kind == "zhihu_follow", F.lit("zhihu-follow"))
         .otherwise(kind)
     )
-    return (
-        F.when(config_provider == "rsshub", bridged)
-        .when(host.rlike(r"(^|\.)(x|twitter)\.com$"), F.lit("x"))
-        .when(host.endswith(".zhihu.com"), F.when(kind == "zhihu_follow", F.lit("zhihu-follow")).otherwise(F.lit("zhihu")))
-        .when(host.endswith("xiaohongshu.com"), F.lit("xiaohongshu"))
-        .otherwise(by_kind)
-    )
+
+    def by_host(host: Column) -> Column:
+        follow = F.when(kind == "zhihu_follow", F.lit("zhihu-follow")).otherwise(F.lit("zhihu"))
+        return (
+            F.when(host.rlike(r"(^|\.)(x|twitter)\.com$"), F.lit("x"))
+            .when(host.endswith(".zhihu.com"), follow)
+            .when(host.endswith("xiaohongshu.com"), F.lit("xiaohongshu"))
+            .otherwise(by_kind)
+        )
+
+    return F.when(config_provider == "rsshub", bridged).otherwise(let(F.coalesce(url_host(url), F.lit("")), by_host))
 
 
 def favicon_candidate(icon_url: Column, url: Column, mark: Column) -> Column:
@@ -293,7 +341,9 @@ def favicon_candidate(icon_url: Column, url: Column, mark: Column) -> Column:
 
 def url_date_text(url: Column) -> Column:
     """``yyyy-m-d`` taken from the path of a dated article URL, else null."""
-    path = url_path(url)
-    year = F.regexp_extract(path, URL_DATE, 1)
-    text = F.concat_ws("-", year, F.regexp_extract(path, URL_DATE, 2), F.regexp_extract(path, URL_DATE, 3))
-    return F.when(year != "", text)
+
+    def of(path: Column) -> Column:
+        parts = [F.regexp_extract(path, URL_DATE, group) for group in (1, 2, 3)]
+        return F.when(path.rlike(URL_DATE), F.concat_ws("-", *parts))
+
+    return let(url_path(url), of)

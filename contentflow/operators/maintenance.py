@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from contentflow import schemas
 from contentflow.functions import text, urls
+from contentflow.functions.binding import staged
 from contentflow.operators.mutations import delete_origin_rows, union_all
-from contentflow.schemas import ENTRIES, ORIGIN_KEY, ORIGINS, State
+from contentflow.schemas import ENTRIES, ORIGIN_KEY, ORIGINS, State, write_through
 
 REVISION = 1
 
@@ -35,16 +36,25 @@ def _pairs(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("id").alias("entry_id"), "source_id")
 
 
-def taxonomy_rows(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    return _pairs(owned_by(entries.where(urls.is_stored_taxonomy_url(F.col("original_url"))), sources))
+def doomed_rows(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(entry_id, source_id, reason)`` of stored cards that were never content.
 
-
-def unsupported_rows(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    return _pairs(owned_by(entries.where(urls.is_unsupported_activity(F.col("original_url"))), sources))
-
-
-def promoted_rows(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    return _pairs(owned_by(entries.where(urls.is_promotion_url(F.col("original_url"))), sources))
+    One scan serves all three rules: taxonomy pages of generic sources,
+    unsupported activity and promotions of follow timelines.
+    """
+    dimension = sources.select(
+        F.col("id").alias("source_id"),
+        (connector() == "generic").alias("generic"),
+        (F.col("kind") == "zhihu_follow").alias("follow"),
+    )
+    link = F.col("original_url")
+    reason = (
+        F.when(F.col("generic") & urls.is_stored_taxonomy_url(link), "taxonomy")
+        .when(F.col("follow") & urls.is_unsupported_activity(link), "unsupported")
+        .when(F.col("follow") & urls.is_promotion_url(link), "promotion")
+    )
+    judged = staged(entries.select("id", "source_id", "original_url").join(dimension, "source_id"), reason=reason)
+    return judged.where(F.col("reason").isNotNull()).select(F.col("id").alias("entry_id"), "source_id", "reason")
 
 
 def nav_rows(entries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -66,7 +76,7 @@ def nav_rows(entries: DataFrame, sources: DataFrame) -> DataFrame:
     )
     social = urls.url_host(link).rlike(urls.SOCIAL_HOST) & F.col("title").rlike(urls.SOCIAL_LABEL)
     doomed = F.when(is_home, F.col("remove_homepage") | bare).otherwise(bare & social)
-    return _pairs(undated.where(F.coalesce(doomed, F.lit(False))))
+    return _pairs(staged(undated, doomed=F.coalesce(doomed, F.lit(False))).where("doomed"))
 
 
 def prune_nav(state: State, sources: DataFrame) -> State:
@@ -78,19 +88,18 @@ def homepage_repairs(entries: DataFrame, sources: DataFrame) -> DataFrame:
 
     A target URL is given away once and only when no other entry has it.
     """
-    homes = sources.where(F.col("kind") == "generic").select(
-        F.col("id").alias("source_id"), urls.canonical_content_url(F.col("url")).alias("home")
+    generic = sources.where(F.col("kind") == "generic").select(F.col("id").alias("source_id"), "url")
+    homes = staged(generic, home=urls.canonical_content_url(F.col("url"))).select(
+        "source_id", "home", urls.url_origin(F.col("home")).alias("home_origin"), urls.url_path(F.col("home")).alias("home_path")
     )
     cards = entries.where(F.col("canonical_identity").isNotNull()).join(homes, "source_id")
-    target = urls.canonical_content_url(F.col("canonical_identity"))
+    on_home = (urls.url_origin(F.col("canonical_url")) == F.col("home_origin")) & (
+        urls.url_path(F.col("canonical_url")) == F.col("home_path")
+    )
+    keyed = staged(cards, on_home=on_home).where("on_home")
+    keyed = staged(keyed, target=urls.canonical_content_url(F.col("canonical_identity")))
     candidates = (
-        cards.withColumn("target", target)
-        .where(
-            (urls.url_origin(F.col("canonical_url")) == urls.url_origin(F.col("home")))
-            & (urls.url_path(F.col("canonical_url")) == urls.url_path(F.col("home")))
-            & (urls.url_origin(F.col("target")) == urls.url_origin(F.col("home")))
-            & (F.col("target") != F.col("home"))
-        )
+        keyed.where((urls.url_origin(F.col("target")) == F.col("home_origin")) & (F.col("target") != F.col("home")))
         .groupBy("target")
         .agg(F.min_by(F.struct("id", "source_id", "canonical_url"), F.struct("created_at", "id")).alias("card"))
         .select("card.*", "target")
@@ -134,11 +143,13 @@ def quality() -> Column:
 
 def wrapper_repairs(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """``(id, target)`` of entries stored under a per-delivery redirect address."""
-    target = urls.canonical_content_url(F.col("canonical_url"))
-    wrapped = owned_by(entries.where(urls.is_redirect_wrapper(F.col("canonical_url"))), sources)
-    return wrapped.select("id", target.alias("target"), "canonical_url").where(F.col("target") != F.col("canonical_url")).select(
-        "id", "target"
+    maybe = entries.where(F.col("canonical_url").contains(urls.WRAPPER_HOST)).select("id", "source_id", "canonical_url")
+    keyed = staged(
+        owned_by(maybe, sources),
+        wrapped=urls.is_redirect_wrapper(F.col("canonical_url")),
+        target=urls.canonical_content_url(F.col("canonical_url")),
     )
+    return keyed.where(F.col("wrapped") & (F.col("target") != F.col("canonical_url"))).select("id", "target")
 
 
 def merge_duplicates(state: State, repairs: DataFrame) -> State:
@@ -220,20 +231,13 @@ def run_maintenance(state: State, as_of: int, revision: int = REVISION) -> tuple
     state, so they become visible only when the repaired tables are published.
     """
     pending = pending_sources(state, revision)
-    generic = pending.where(connector() == "generic")
     feeds = pending.where(connector() == "rss")
-    follow = pending.where(F.col("kind") == "zhihu_follow")
-
-    taxonomy = taxonomy_rows(state.entries, generic)
-    step = delete_origin_rows(state, taxonomy)
-    homepages = homepage_repairs(step.entries, generic)
-    step = repair_homepage_urls(step, homepages)
-    wrapped = wrapper_repairs(step.entries, feeds)
-    step = merge_duplicates(step, wrapped)
-    unsupported = unsupported_rows(step.entries, follow)
-    step = delete_origin_rows(step, unsupported)
-    promoted = promoted_rows(step.entries, follow)
-    step = delete_origin_rows(step, promoted)
+
+    doomed = doomed_rows(state.entries, pending)
+    step = delete_origin_rows(state, doomed).written("maintenance-deleted", "entries", "entry_origins")
+    homepages = write_through(homepage_repairs(step.entries, pending), "maintenance-homepages")
+    wrapped = write_through(wrapper_repairs(step.entries, feeds), "maintenance-wrapped")
+    step = merge_duplicates(repair_homepage_urls(step, homepages), wrapped)
 
     markers = pending.select(
         F.col("id").alias("source_id"), F.lit(revision).alias("revision"), F.lit(as_of).cast("bigint").alias("updated_at")
@@ -243,11 +247,11 @@ def run_maintenance(state: State, as_of: int, revision: int = REVISION) -> tuple
         {
             "inspected_sources": needs_maintenance(state.sources),
             "maintained_sources": pending,
-            "taxonomy_entries_removed": taxonomy,
+            "taxonomy_entries_removed": doomed.where(F.col("reason") == "taxonomy"),
             "homepage_urls_repaired": homepages,
             "wrapper_entries_merged": wrapped,
-            "unsupported_entries_removed": unsupported,
-            "promotions_removed": promoted,
+            "unsupported_entries_removed": doomed.where(F.col("reason") == "unsupported"),
+            "promotions_removed": doomed.where(F.col("reason") == "promotion"),
         }
     )
     return step.with_tables(maintenance=kept.unionByName(markers)), report

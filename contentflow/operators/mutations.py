@@ -81,7 +81,7 @@ def delete_sources(state: State, source_ids: DataFrame) -> State:
         ),
         maintenance=state.maintenance.join(ids, "source_id", "left_anti"),
         runs=state.runs.join(ids, "source_id", "left_anti").select(*state.runs.columns),
-        followees=state.followees.withColumn("gone", F.lit(True)).join(account_gone, "gone", "left_anti").drop("gone"),
+        followees=state.followees.withColumn("gone", F.lit(True)).join(F.broadcast(account_gone), "gone", "left_anti").drop("gone"),
     )
 
 

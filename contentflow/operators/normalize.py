@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentflow.functions import text, urls
+from contentflow.functions.binding import let, staged
 
 ColumnRule = Callable[[], Column]
 
@@ -85,28 +86,29 @@ def by_connector(policies: dict[str, Policy], pick: Callable[[Policy], Column |
     return default if chosen is None else chosen.otherwise(default)
 
 
-def repair_homepage_link(raw: DataFrame) -> DataFrame:
+def hook(policies: dict[str, Policy], name: str) -> Column:
+    """A policy hook per connector; connectors that keep the default share one expression."""
+    default = getattr(DEFAULT_POLICY, name)
+    own = {connector: policy for connector, policy in policies.items() if getattr(policy, name) is not default}
+    return by_connector(own, lambda policy: getattr(policy, name)(), default())
+
+
+def repair_homepage_link(keyed: DataFrame) -> DataFrame:
     """Generic items that link to the source home take their own identity URL instead.
 
-    Needs ``source_url`` and ``source_kind`` next to the raw columns.
+    Needs ``default_url``, ``source_home`` and ``source_kind`` next to the raw columns.
     """
-    home = urls.canonical_content_url(F.col("source_url"))
-    link = urls.canonical_content_url(F.col("url"))
-    identity = urls.canonical_content_url(F.col("canonical_identity"))
-    mismatch = (
-        (F.col("source_kind") == "generic")
-        & F.col("canonical_identity").isNotNull()
-        & (link == home)
-        & (urls.url_origin(identity) == urls.url_origin(home))
-        & (identity != home)
+    home = F.col("source_home")
+    applies = (F.col("source_kind") == "generic") & (F.col("default_url") == home)
+
+    def page_of(identity: Column) -> Column:
+        return F.when((urls.url_origin(identity) == urls.url_origin(home)) & (identity != home), identity)
+
+    # The case guards the rule: only home links are ever canonicalised a second time.
+    target = F.when(applies, let(urls.canonical_content_url(F.col("canonical_identity")), page_of))
+    return staged(keyed, target=target).withColumns(
+        {name: F.coalesce("target", name) for name in ("url", "default_url", "canonical_identity")}
     )
-    target = F.when(F.coalesce(mismatch, F.lit(False)), identity)
-    return raw.withColumn("_target", target).withColumns(
-        {
-            "url": F.coalesce(F.col("_target"), F.col("url")),
-            "canonical_identity": F.coalesce(F.col("_target"), F.col("canonical_identity")),
-        }
-    ).drop("_target")
 
 
 def normalize(raw: DataFrame, sources: DataFrame, as_of: int, policies: dict[str, Policy] | None = None) -> DataFrame:
@@ -119,22 +121,20 @@ def normalize(raw: DataFrame, sources: DataFrame, as_of: int, policies: dict[str
     policies = POLICIES if policies is None else policies
     dimension = sources.select(
         F.col("id").alias("source_id"),
-        F.col("url").alias("source_url"),
+        urls.canonical_content_url(F.col("url")).alias("source_home"),
         F.col("kind").alias("source_kind"),
         F.coalesce(text.blank_to_null(F.col("connector_id")), F.col("kind")).alias("connector"),
     )
-    joined = repair_homepage_link(raw.join(dimension, "source_id"))
+    joined = raw.join(dimension, "source_id")
     provider = F.coalesce(F.col("provider_id"), F.col("connector"))
-    staged = (
-        joined.withColumn("default_url", by_connector(policies, lambda p: p.default_url(), DEFAULT_POLICY.default_url()))
-        .where(F.col("default_url").isNotNull())
-        .withColumn("identity", by_connector(policies, lambda p: p.identity(), DEFAULT_POLICY.identity()))
-        .withColumn("final_url", by_connector(policies, lambda p: p.canonical(), DEFAULT_POLICY.canonical()))
-    )
+    keyed = staged(joined, default_url=hook(policies, "default_url"))
+    keyed = repair_homepage_link(keyed)
+    keyed = staged(keyed, identity=hook(policies, "identity"))
+    keyed = staged(keyed, final_url=hook(policies, "canonical"))
     by_identity = text.identity_hash(F.col("identity"), F.col("title"), F.col("summary"))
     by_metadata = text.content_hash(F.col("title"), F.col("published_at"), F.col("summary"))
     observed = F.coalesce(F.col("observed_at"), F.lit(as_of).cast("bigint"))
-    return staged.select(
+    return keyed.where(F.col("final_url").isNotNull()).select(
         F.sha2(F.col("final_url"), 256).alias("id"),
         "source_id",
         F.col("final_url").alias("canonical_url"),

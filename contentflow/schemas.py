@@ -6,6 +6,8 @@ import dataclasses
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentflow.session import scratch_path
+
 RULE = """struct<version:int, autoRepairRevision:int, publicationDateRevision:int, feedDiscoveryRevision:int,
  feedUrl:string, rendererRequired:boolean, itemRootSelector:string, titleSelector:string, timeSelector:string,
  authorSelector:string, imageSelector:string, summarySelector:string>"""
@@ -78,6 +80,22 @@ class State:
     def with_tables(self, **tables: DataFrame) -> "State":
         return dataclasses.replace(self, **tables)
 
+    def written(self, label: str, *names: str) -> "State":
+        """The same state with the named tables written to the shared folder and read back.
+
+        Steps that read a table several times start from files instead of
+        replaying everything before them, and a lost executor costs one file.
+        """
+        return self.with_tables(**{name: write_through(getattr(self, name), f"{label}-{name}") for name in names})
+
+
+def write_through(rows: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write the rows below the shared folder and read them back."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, label)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
 
 def empty_state(spark: SparkSession) -> State:
     return State(**{name: spark.createDataFrame([], ddl) for name, ddl in TABLES.items()})
