@@ -1,0 +1,186 @@
+"""A small HTML tree for use inside Spark tasks; one page at a time, nothing kept."""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+# Opening one of these ends an open paragraph, as an HTML parser does.
+ENDS_PARAGRAPH = set(
+    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main "
+    "nav ol p pre section table ul".split()
+)
+# tag -> (open tags it ends, tags that stop the search)
+IMPLIED_END = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
+}
+UNSEEN = {"script", "style"}
+_SPACE = re.compile("[\\s\\x0b   -     　﻿]+")
+
+
+def squeeze(text: str | None) -> str:
+    return _SPACE.sub(" ", text or "").strip(" ")
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent", "pos", "start", "end")
+
+    def __init__(self, tag, attrs, parent, pos, start):
+        self.tag, self.attrs, self.parent, self.pos, self.start = tag, attrs, parent, pos, start
+        self.children, self.end = [], start
+
+    def get(self, name: str) -> str:
+        return self.attrs.get(name) or ""
+
+    def walk(self):
+        """Elements below this one in document order."""
+        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+    def text(self) -> str:
+        """All text below; scripts and styles only when asked for themselves."""
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            item = todo.pop()
+            if isinstance(item, str):
+                out.append(item)
+            elif item.tag not in UNSEEN:
+                todo.extend(reversed(item.children))
+        return "".join(out)
+
+    def above(self):
+        node = self.parent
+        while node is not None and node.tag != "#root":
+            yield node
+            node = node.parent
+
+    def find(self, selector: str):
+        return [n for n in self.walk() if matches(n, selector)]
+
+    def first(self, selector: str, test=None):
+        return next((n for n in self.walk() if matches(n, selector) and (test is None or test(n))), None)
+
+
+class _Builder(HTMLParser):
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.root = Node("#root", {}, None, 0, 0)
+        self.open, self.count = [self.root], 0
+        self.lines = [0] + [m.end() for m in re.finditer("\n", html)]
+        self.size = len(html)
+        self.feed(html)
+        self.close()
+        while len(self.open) > 1:
+            self._pop(self.size)
+
+    def _offset(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _pop(self, at: int) -> None:
+        self.open.pop().end = at
+
+    def _close_through(self, tags, stops, at: int) -> None:
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag in tags:
+                while len(self.open) > depth:
+                    self._pop(at)
+            elif self.open[depth].tag in stops:
+                return
+
+    def handle_starttag(self, tag, attrs):
+        at = self._offset()
+        if tag in ENDS_PARAGRAPH:
+            self._close_through({"p"}, {"td", "th", "button", "table"}, at)
+        if tag in IMPLIED_END:
+            self._close_through(*IMPLIED_END[tag], at)
+        inner = at + len(self.get_starttag_text() or "")
+        self.count += 1
+        node = Node(tag, dict(reversed([(k, v or "") for k, v in attrs])), self.open[-1], self.count, inner)
+        self.open[-1].children.append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag == tag:
+                at = self._offset()
+                while len(self.open) > depth:
+                    self._pop(at)
+                return
+
+    def handle_data(self, data):
+        self.open[-1].children.append(data)
+
+
+def parse(html: str) -> Node:
+    """Tree of a page. ``start``/``end`` of a node delimit its inner HTML in the source text."""
+    return _Builder(html).root
+
+
+_PIECE = re.compile(r"([.#]?)((?:\\.|[\w-])+)|\[\s*([\w:-]+)\s*(?:([*^$~|]?=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]|\*")
+_COMPILED: dict[str, list] = {}
+
+
+def _compile(selector: str) -> list:
+    """``[[compound, …descendant chain], …alternatives]``; a compound is a list of tests."""
+    alternatives = []
+    for alternative in re.split(r",(?![^\[]*\])", selector):
+        chain = []
+        for compound in re.findall(r"(?:[^\s\[]|\[[^\]]*\]|\\.)+", alternative.strip()):
+            chain.append([(m[0], re.sub(r"\\(.)", r"\1", m[1]), m[2].lower(), m[3], m[4]) for m in _PIECE.findall(compound)])
+        alternatives.append(chain)
+    return alternatives
+
+
+def _fits(node: Node, compound: list) -> bool:
+    for mark, name, attr, how, value in compound:
+        if attr:
+            held = node.attrs.get(attr)
+            if held is None:
+                return False
+            good = {
+                "": True, "=": held == value, "*=": bool(value) and value in held, "^=": bool(value) and held.startswith(value),
+                "$=": bool(value) and held.endswith(value), "~=": value in held.split(), "|=": held == value or held.startswith(value + "-"),
+            }[how]
+        elif mark == ".":
+            good = name in node.get("class").split()
+        elif mark == "#":
+            good = node.get("id") == name
+        else:
+            good = not name or node.tag == name.lower()
+        if not good:
+            return False
+    return True
+
+
+def matches(node: Node, selector: str) -> bool:
+    """CSS match for tags, ids, classes, attribute tests, descendants and comma lists."""
+    if selector not in _COMPILED:
+        if len(_COMPILED) > 1_000:
+            _COMPILED.clear()
+        _COMPILED[selector] = _compile(selector)
+    for chain in _COMPILED[selector]:
+        if not chain or not _fits(node, chain[-1]):
+            continue
+        rest, ancestors = chain[:-1], node.above()
+        while rest:
+            if next((a for a in ancestors if _fits(a, rest[-1])), None) is None:
+                break
+            rest = rest[:-1]
+        if not rest:
+            return True
+    return False
