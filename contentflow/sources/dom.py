@@ -22,7 +22,7 @@ IMPLIED_END = {
     "option": ({"option"}, {"select"}),
 }
 UNSEEN = {"script", "style"}
-_SPACE = re.compile("[\\s\\x0b   -     　﻿]+")
+_SPACE = re.compile(r"[ \t\n\r\f\v   -     　﻿]+")
 
 
 def squeeze(text: str | None) -> str:

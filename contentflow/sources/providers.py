@@ -40,7 +40,7 @@ def _items(raw: DataFrame, schema: str, field: str) -> DataFrame:
     )
 
 
-def _raw_entries(rows: DataFrame, **fields: Column) -> DataFrame:
+def raw_entry_rows(rows: DataFrame, **fields: Column) -> DataFrame:
     kinds = {part.split()[0]: part.split()[1] for part in schemas.RAW_ENTRY.replace("\n", " ").split(",")}
     given = {"source_id": F.col("source_id"), "seq": F.col("seq"), **fields}
     return rows.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in schemas.columns(schemas.RAW_ENTRY)])
@@ -69,7 +69,7 @@ def post_entries(posts: DataFrame) -> DataFrame:
     kept = body.where(_filled(F.col("post_id")).isNotNull() & F.col("body").isNotNull())
     handle = F.replace(F.url_encode("username"), F.lit("+"), F.lit("%20"))
     number = F.replace(F.url_encode("post_id"), F.lit("+"), F.lit("%20"))
-    return _raw_entries(
+    return raw_entry_rows(
         kept,
         url=F.concat(F.lit("https://x.com/"), handle, F.lit("/status/"), number),
         title=text.compact(F.col("body"), 150),
@@ -98,7 +98,7 @@ def parse_posts(raw: DataFrame) -> DataFrame:
 def parse_qa_items(raw: DataFrame) -> DataFrame:
     """Contents or collections of a Q&A account; seconds become milliseconds."""
     rows = _items(raw, QA_ITEMS, "Items").where(_filled(F.col("item.Url")).isNotNull())
-    return _raw_entries(
+    return raw_entry_rows(
         rows,
         url=F.col("item.Url"),
         title=F.coalesce(text.compact(F.col("item.Title"), 240), F.lit("知乎内容")),
@@ -135,7 +135,7 @@ def _doi_url(doi: Column) -> Column:
 def _scholarly(rows: DataFrame, label: str) -> DataFrame:
     """Shared end of the three dumps: needs doi, landing, work_title, day, abstract, work_id, identity."""
     kept = rows.where(F.col("landing").isNotNull() & F.col("work_title").isNotNull())
-    return _raw_entries(
+    return raw_entry_rows(
         kept,
         url=F.coalesce(_doi_url(F.col("doi")), F.col("landing")),
         title=F.col("work_title"),
