@@ -9,6 +9,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from contentflow.functions.urls import LOOPBACK_HOST, PRIVATE_HOST
 from contentflow.sources.dom import VOID, Node, parse, squeeze
@@ -195,7 +196,7 @@ def clean_body(html: str, page_url: str, title: str | None, summary: str | None,
     return _render(root, page_url).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_bodies(html: pd.Series, url: pd.Series, title: pd.Series, summary: pd.Series, scientific: pd.Series) -> pd.Series:
     rows = zip(html, url, title, summary, scientific)
     return pd.Series([clean_body(h, u, t, s, bool(k)) if isinstance(h, str) else None for h, u, t, s, k in rows], dtype="object")

@@ -100,7 +100,7 @@ def _cards(facts: DataFrame) -> DataFrame:
     """One row per candidate card with its resolved address and entry fields."""
     exploded = facts.select("page_id", "url", F.explode("cards").alias("card"))
     card = F.col("card")
-    resolved = staged(exploded, card_url=urls.absolute_url(card["href"], F.col("url")), score=card_score())
+    resolved = staged(exploded, card_url=urls.absolute_url(card["href"], F.col("url")), evidence=card_score())
     return staged(
         resolved,
         title=text.compact(card["title"], 240),
@@ -139,7 +139,7 @@ def card_groups(cards: DataFrame, minimum: int = 2) -> tuple[DataFrame, DataFram
     sizes = members.groupBy("page_id", "selector").agg(
         F.count("*").alias("nodes"),
         F.min(F.struct("order", "card.pos")).alias("seen"),
-        F.avg(F.when(F.col("place") <= SAMPLE, F.col("score"))).alias("average"),
+        F.avg(F.when(F.col("place") <= SAMPLE, F.col("evidence"))).alias("average"),
     )
     firsts = members.where("valid").groupBy("page_id", "selector", "card_url").agg(F.min("place").alias("place"))
     entries = firsts.groupBy("page_id", "selector").agg(F.count("*").alias("entries"))

@@ -47,7 +47,7 @@ class Library:
 
     def commits(self) -> DataFrame:
         path = f"{self.root}/commits"
-        schema = "version bigint, table string, written bigint"
+        schema = "version bigint, table string, run string"
         return self.spark.read.schema(schema).json(path) if self._exists(path) else self.spark.createDataFrame([], schema)
 
     def version(self) -> int | None:
@@ -66,11 +66,16 @@ class Library:
 
     def load(self) -> State:
         """Current tables; one never written is empty."""
-        newest = {r["table"]: r["written"] for r in self.commits().groupBy("table").agg(F.max("written").alias("written")).collect()}
+        newest = {r["table"]: r["version"] for r in self.commits().groupBy("table").agg(F.max("version").alias("version")).collect()}
         return empty_state(self.spark).with_tables(**{name: self._table(name, written) for name, written in newest.items()})
 
-    def publish(self, version: int, **tables: DataFrame) -> None:
-        """Write the given tables as ``version``; tables not given keep their older files."""
+    def has_run(self, run: str) -> bool:
+        """Whether a run has been committed; a replayed one then has nothing to do."""
+        return not self.commits().where(F.col("run") == run).isEmpty()
+
+    def publish(self, run: str, **tables: DataFrame) -> int:
+        """Write the given tables as the next version; tables not given keep their older files."""
+        version = (self.version() or 0) + 1
         for name, rows in tables.items():
             key = KEYS[name]
             table = self._name(name, version)
@@ -85,10 +90,9 @@ class Library:
                 .option("path", f"{self.root}/{name}/v{version}")
                 .saveAsTable(table)
             )
-        record = [(version, name, version) for name in tables]
-        self.spark.createDataFrame(record, "version bigint, table string, written bigint").coalesce(1).write.mode("append").json(
-            f"{self.root}/commits"
-        )
+        record = self.spark.createDataFrame([(version, name, run) for name in tables], "version bigint, table string, run string")
+        record.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+        return version
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,19 +139,19 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Merge every landed micro-batch into the next library version.
 
-    ``landing`` is a streaming frame of fetches. Versions are numbered by
-    batch: one that is committed already is skipped, so a restart after the
-    write but before the stream's own checkpoint changes nothing.
+    ``landing`` is a streaming frame of fetches. The library's commit names the
+    stream's batch: one that is committed already is skipped, so a restart
+    after the write but before the stream's own checkpoint changes nothing.
     """
     registry = registry or Registry(*DEFAULT_CONNECTORS)
-    first = (library.version() or 0) + 1
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def step(batch: DataFrame, number: int) -> None:
-        version = first + number
-        if (library.version() or 0) >= version:
+        run = f"{stream}-{number}"
+        if library.has_run(run):
             return
-        after = ingest_batch(library.load(), batch, registry, as_of, f"v{version}")
-        library.publish(version, entries=after.entries, entry_origins=after.entry_origins, runs=after.runs)
+        after = ingest_batch(library.load(), batch, registry, as_of, run)
+        library.publish(run, entries=after.entries, entry_origins=after.entry_origins, runs=after.runs)
 
     return landing.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
