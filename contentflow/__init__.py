@@ -1,3 +1,8 @@
 """contentflow: content collection and curation as Spark jobs."""
 
-__all__ = ["functions", "operators", "plans", "sources", "streaming"]
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

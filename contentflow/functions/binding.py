@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def remembered(rule: Callable[..., Column]) -> Callable[..., Column]:
+    """Reuse the expression a rule built for the same input.
+
+    A Column is immutable, and building a long rule takes hundreds of calls
+    into the JVM; jobs apply the same few rules to the same few columns.
+    """
+    built: dict[tuple, Column] = {}
+
+    @functools.wraps(rule)
+    def once(*arguments, **options) -> Column:
+        shown = tuple(str(a) for a in arguments) + tuple(sorted(options.items()))
+        # A nested rule may refer to a variable bound around it, which only exists there.
+        if any("namedlambdavariable" in str(part) or "lambda" in str(part) for part in shown):
+            return rule(*arguments, **options)
+        key = (id(SparkContext._gateway), *shown)
+        if key not in built:
+            built[key] = rule(*arguments, **options)
+        return built[key]
+
+    return once
+
+
 def staged(rows: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later steps read, not re-derive.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contentflow.functions.binding import let
+from contentflow.functions.binding import let, remembered
 
 # --- fixed values -----------------------------------------------------------
 WHITESPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
@@ -48,6 +48,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
+@remembered
 def compact(text: Column, limit: int = 500) -> Column:
     """Collapsed text, null when empty, cut to ``limit`` code points with an ellipsis."""
 
@@ -78,6 +79,7 @@ def _month_number(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), key).cast("string")
 
 
+@remembered
 def published_day(value: Column) -> Column:
     """Publication instant (epoch ms) of a date label, day precision in UTC.
 
@@ -125,6 +127,7 @@ def instant_ms(value: Column) -> Column:
     )
 
 
+@remembered
 def rfc822_utc_day(value: Column) -> Column:
     """ISO day text (UTC) of an RFC 822 date such as ``Tue, 02 Jan 2024 23:30:00 -0500``."""
     shape = r"(?i)(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(\S*)"
@@ -189,6 +192,7 @@ def identity_hash(identity: Column, title: Column, summary: Column) -> Column:
     return F.sha2(F.concat_ws("\n", identity, title, F.coalesce(summary, F.lit(""))), 256)
 
 
+@remembered
 def redact_url(url: Column) -> Column:
     """Address without credentials, query text or fragment; a removed query leaves ``?…``."""
     shape = r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)"
@@ -204,6 +208,7 @@ def redact_url(url: Column) -> Column:
     return F.when(url.rlike(shape), rebuilt).otherwise(F.lit("[redacted URL]"))
 
 
+@remembered
 def redact_message(message: Column) -> Column:
     """Message with bearer tokens, URL secrets and ``key=value`` secrets removed."""
     text = F.regexp_replace(message, REDACT_BEARER, "Bearer [redacted]")
@@ -217,6 +222,7 @@ def redact_message(message: Column) -> Column:
     return F.regexp_replace(let(text, without_urls), REDACT_SECRET, "$1=[redacted]")
 
 
+@remembered
 def leaked_math(text: Column) -> Column:
     """Dollar-delimited formulas left in prose, as an array of ``$…$`` fragments."""
     found = F.transform(F.regexp_extract_all(text, F.lit(MATH_PAIR), F.lit(1)), lambda f: F.trim(f))
@@ -232,7 +238,7 @@ def leaked_math(text: Column) -> Column:
 
 def paired_math(text: Column) -> Column:
     """Every matched, unescaped inline ``$…$`` pair on one line, contents trimmed."""
-    pair = r"(?<![\\$])(?:\\\\)*\$(?!\$)((?:\\.|[^$\\\r\n])+)\$"
+    pair = r"(?<!\\)(?:\\\\)*\$(?!\s*\$)((?:\\.|[^$\\\r\n])+)\$"
     found = F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(1)), lambda f: F.trim(f))
     return F.when(text.contains("$"), F.filter(found, lambda f: f != "")).otherwise(F.array().cast("array<string>"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contentflow.functions.binding import let
+from contentflow.functions.binding import let, remembered
 
 # --- fixed values -----------------------------------------------------------
 TRACKING_PREFIX = "utm_"
@@ -95,11 +95,13 @@ def is_http(url: Column) -> Column:
     return _is_http(_trimmed(url))
 
 
+@remembered
 def url_host(url: Column) -> Column:
     """Lower-case host of an http(s) URL, null when it cannot be parsed."""
     return _part(url, _host)
 
 
+@remembered
 def url_path(url: Column) -> Column:
     return _part(url, _path)
 
@@ -109,6 +111,7 @@ def url_query(url: Column) -> Column:
     return F.regexp_extract(_trimmed(url), _QUERY, 1)
 
 
+@remembered
 def url_origin(url: Column) -> Column:
     return _part(url, _origin)
 
@@ -175,6 +178,7 @@ def _canonical(url: Column) -> Column:
     return F.when(_is_http(url), http).when(url.rlike(_SCHEME), url)
 
 
+@remembered
 def canonical_url(url: Column) -> Column:
     """Canonical form used as the key of an entry; null for text that is no absolute URL.
 
@@ -188,10 +192,12 @@ def _is_wrapper(url: Column) -> Column:
     return F.coalesce((_host(url) == WRAPPER_HOST) & _path(url).rlike(WRAPPER_PATH), F.lit(False))
 
 
+@remembered
 def is_redirect_wrapper(url: Column) -> Column:
     return _part(url, _is_wrapper)
 
 
+@remembered
 def canonical_content_url(url: Column) -> Column:
     """Canonical URL; a redirect wrapper also loses its per-delivery query."""
     return let(
@@ -200,6 +206,7 @@ def canonical_content_url(url: Column) -> Column:
     )
 
 
+@remembered
 def absolute_url(link: Column, base: Column) -> Column:
     """Resolve a link against the page it stands on; null for an empty or unusable link."""
 
@@ -247,10 +254,12 @@ def _is_loopback_host(host: Column) -> Column:
     return host.rlike(LOOPBACK_HOST)
 
 
+@remembered
 def is_loopback(url: Column) -> Column:
     return F.coalesce(let(_with_scheme(url), lambda u: _is_loopback_host(_host(u))), F.lit(False))
 
 
+@remembered
 def is_public_url(url: Column) -> Column:
     """True for an http(s) URL outside the local and private address ranges."""
 
@@ -265,6 +274,7 @@ def is_feed_url_allowed(url: Column, allow_loopback: bool = False) -> Column:
     return (is_public_url(url) | is_loopback(url)) if allow_loopback else is_public_url(url)
 
 
+@remembered
 def is_taxonomy_url(url: Column) -> Column:
     return F.coalesce(url_path(url).rlike(TAXONOMY_PATH), F.lit(False))
 
@@ -277,6 +287,7 @@ def is_stored_taxonomy_url(url: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+@remembered
 def is_promotion_url(url: Column) -> Column:
     value = F.lower(F.trim(query_parameter(url, PROMOTION_PARAMETER)))
     return F.coalesce(url_host(url).isin(PROMOTION_HOSTS) & value.startswith(PROMOTION_VALUE_PREFIX), F.lit(False))
@@ -293,6 +304,7 @@ def scholarly_url(identity: Column, landing: Column) -> Column:
     return F.when(identity.startswith("doi:"), F.concat(F.lit("https://doi.org/"), F.substring(identity, 5, 1 << 30))).otherwise(landing)
 
 
+@remembered
 def profile_id(url: Column) -> Column:
     """Profile id of a strict profile address; null for every other URL."""
     return let(
@@ -339,6 +351,7 @@ def favicon_candidate(icon_url: Column, url: Column, mark: Column) -> Column:
     return F.coalesce(declared, own)
 
 
+@remembered
 def url_date_text(url: Column) -> Column:
     """``yyyy-m-d`` taken from the path of a dated article URL, else null."""
 

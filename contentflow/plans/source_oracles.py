@@ -139,7 +139,7 @@ FROM o GROUP BY search, key"""
 ORACLES["follow_cards"] = f"""WITH f AS (SELECT *, o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN '/p/' || o_orderkey WHEN 1 THEN '/question/7/answer/' || o_orderkey WHEN 3 THEN '/zvideo/' || o_orderkey
   WHEN 5 THEN '/p/' || o_orderkey // 12 END AS path FROM orders)
 SELECT k // 10 * 1000000 + k % 10 AS seq, 'https://www.zhihu.com' || path AS url, 'Order title ' || k AS title, 'Customer ' || o_custkey AS author, o_orderpriority || ' summary of the whole order text' AS summary,
-  CASE k % 4 WHEN 0 THEN epoch_ms(o_orderdate) + 37230000 WHEN 1 THEN CASE WHEN epoch_ms(o_orderdate) // 1000 + 1000000000 >= 1000000000 THEN epoch_ms(o_orderdate) + 1000000000000 END
+  CASE k % 4 WHEN 0 THEN CASE WHEN year(o_orderdate) >= 2000 THEN epoch_ms(o_orderdate) + 37230000 ELSE {AS_OF // DAY * DAY + 37200000} END WHEN 1 THEN CASE WHEN epoch_ms(o_orderdate) // 1000 + 1000000000 >= 1000000000 THEN epoch_ms(o_orderdate) + 1000000000000 END
    WHEN 2 THEN {AS_OF} - 10800000 ELSE 1704443400000 END AS published_at
 FROM f WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k // 10, path ORDER BY k) = 1"""
 ORACLES["hydration_notes"] = """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contentflow.functions import text, urls
 from contentflow.functions.binding import let, staged
 from contentflow.operators.merge import first_by_key
+from contentflow.schemas import write_through
 from contentflow.sources.page_facts import page_facts
 
 # --- fixed values -----------------------------------------------------------
@@ -165,7 +166,7 @@ def confidence(top: float) -> Column:
 
 def calibration_candidates(pages: DataFrame, k: int = CANDIDATE_CAP, preview: int = PREVIEW_CAP) -> DataFrame:
     """Candidate groups a person may choose from, single cards included, each with its first preview rows."""
-    facts = page_facts(pages.select("page_id", "url", "html"), ["cards"]).drop("html")
+    facts = write_through(page_facts(pages.select("page_id", "url", "html"), ["cards"]).drop("html"), "page-cards")
     groups, members = card_groups(_cards(facts), minimum=1)
     shown = members.join(groups.where(F.col("rank") <= k), ["page_id", "selector"])
     row = F.row_number().over(Window.partitionBy("page_id", "selector").orderBy("place"))
@@ -186,7 +187,9 @@ def extract_listing(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     if "rule" not in pages.columns:
         pages = pages.withColumn("rule", F.lit(None).cast("string"))
-    facts = page_facts(pages.select("page_id", "url", "rule", "html"), ["head", "json_ld", "cards"]).drop("html")
+    # Parsed once: every branch of the cascade reads the written facts, which are far smaller than the pages.
+    parsed = page_facts(pages.select("page_id", "url", "rule", "html"), ["head", "json_ld", "cards"]).drop("html")
+    facts = write_through(parsed, "page-facts")
     cards = _cards(facts)
 
     ld = F.col("ld")
