@@ -82,6 +82,7 @@ class _Builder(HTMLParser):
         self.close()
         while len(self.open) > 1:
             self._pop(self.size)
+        self.root.end = self.size
 
     def _offset(self) -> int:
         line, column = self.getpos()
