@@ -1,4 +1,4 @@
-"""Naming a value inside one Column expression."""
+"""Small helpers for building plans: naming a value, staging a column, spreading a small input."""
 
 from __future__ import annotations
 
@@ -10,6 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SPLIT_BYTES = 32 * 1024 * 1024
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core a share of a small input.
+
+    Work on texts is bound by the processor, not by reading: an input of a few
+    files would keep most cores idle. A large one has splits enough and is left
+    as it is, so nothing is shuffled for it.
+    """
+    context = rows.sparkSession.sparkContext
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(size)) < context.defaultParallelism * SPLIT_BYTES
+    return rows.repartition(context.defaultParallelism) if small else rows
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

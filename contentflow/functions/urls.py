@@ -29,20 +29,24 @@ PROFILE_PREFIX = "https://www.xiaohongshu.com/user/profile/"
 
 _HTTP = r"(?i)^https?:"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-_AUTHORITY = r"(?i)^https?:/*([^/?#]*)"
-_PATH = r"(?i)^https?:/*[^/?#]*([^?#]*)"
-_QUERY = r"^[^?#]*\?([^#]*)"
-_VALID_AUTHORITY = r"^(?:[^@]*@)?(?:\[[0-9A-Fa-f:.]+\]|[^\s:@\[\]<>^|\\]+)(?::\d{0,5})?$"
+# scheme, user info, host, port, path, query with its question mark
+_URL = (
+    r"(?s)^(?i:(https?)):/*((?:[^/?#]*@)?)(\[[0-9A-Fa-f:.]+\]|[^\s:@/?#\[\]<>^|\\]+)(?::0*(\d{0,5}))?"
+    r"(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
+)
+_CUT = "\x01"
+_CONTROL = "".join(map(chr, range(33)))
 _TRACKED = r"(?i)(?:^|&)(?:" + TRACKING_PREFIX + r"|(?:" + "|".join(TRACKING_PARAMETERS) + r")(?:=|&|$))|%"
 
 
 def _trimmed(url: Column) -> Column:
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(url, F.lit(_CONTROL))
 
 
-def _part(url: Column, body) -> Column:
-    """``body`` over the trimmed URL, which is evaluated once."""
-    return let(_trimmed(url), body)
+def _parsed(url: Column, body) -> Column:
+    """``body`` over the six parts of an http(s) URL, cut by one match; null for any other text."""
+    parts = F.split(F.regexp_replace(_trimmed(url), _URL, _CUT.join(f"${n}" for n in range(1, 7))), _CUT)
+    return let(parts, lambda p: F.when(F.size(p) == 6, body(p)))
 
 
 def _encode_where(text: Column, pattern: str) -> Column:
@@ -57,63 +61,51 @@ def _encode_where(text: Column, pattern: str) -> Column:
     )
 
 
-# The helpers below take trimmed text.
+# The helpers below take the parts of a URL.
 
 
-def _is_http(url: Column) -> Column:
-    return url.rlike(_HTTP)
+def _host(parts: Column) -> Column:
+    return F.lower(parts[2])
 
 
-def _scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([A-Za-z]+):", 1))
+def _path(parts: Column) -> Column:
+    return F.when(parts[4] == "", F.lit("/")).otherwise(parts[4])
 
 
-def _host(url: Column) -> Column:
-    def of(authority: Column) -> Column:
-        host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
-        return F.when(authority.rlike(_VALID_AUTHORITY), host)
-
-    return F.when(_is_http(url), let(F.regexp_extract(url, _AUTHORITY, 1), of))
-
-
-def _path(url: Column) -> Column:
-    return F.when(_is_http(url), F.regexp_replace(F.regexp_extract(url, _PATH, 1), r"^$", "/"))
-
-
-def _port(url: Column) -> Column:
+def _port(parts: Column) -> Column:
     """Port with its colon; empty for the scheme's default."""
-    port = F.regexp_extract(url, r"(?i)^https?:/*[^/?#]*?:0*(\d+)(?:$|[/?#])", 1)
-    default = (_scheme(url) == "https") & (port == "443") | (_scheme(url) == "http") & (port == "80")
-    return F.when((port == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port))
+    default = F.when(F.lower(parts[0]) == "https", F.lit("443")).otherwise(F.lit("80"))
+    return F.when((parts[3] == "") | (parts[3] == default), F.lit("")).otherwise(F.concat(F.lit(":"), parts[3]))
 
 
-def _origin(url: Column) -> Column:
-    return F.concat(_scheme(url), F.lit("://"), _host(url), _port(url))
+def _origin(parts: Column) -> Column:
+    return F.concat(F.lower(parts[0]), F.lit("://"), _host(parts), _port(parts))
 
 
 def is_http(url: Column) -> Column:
-    return _is_http(_trimmed(url))
+    return _trimmed(url).rlike(_HTTP)
 
 
 @remembered
 def url_host(url: Column) -> Column:
     """Lower-case host of an http(s) URL, null when it cannot be parsed."""
-    return _part(url, _host)
+    return _parsed(url, _host)
 
 
 @remembered
 def url_path(url: Column) -> Column:
-    return _part(url, _path)
+    return _parsed(url, _path)
 
 
+@remembered
 def url_query(url: Column) -> Column:
     """Query text without the question mark; empty when there is none."""
-    return F.regexp_extract(_trimmed(url), _QUERY, 1)
+    return _parsed(url, lambda p: F.substring(p[5], 2, 1 << 30))
 
 
 @remembered
 def url_origin(url: Column) -> Column:
-    return _part(url, _origin)
+    return _parsed(url, _origin)
 
 
 def _form_decode(text: Column) -> Column:
@@ -138,44 +130,38 @@ def _is_tracking(name: Column) -> Column:
     return let(F.lower(name), lambda n: n.startswith(TRACKING_PREFIX) | n.isin(TRACKING_PARAMETERS))
 
 
-def _clean_query(url: Column) -> Column:
+def _clean_query(given: Column) -> Column:
     """Query with its question mark after tracking parameters are dropped.
 
     Dropping a parameter re-serialises the rest form-encoded, as a URL search
     parameter list does; an untouched query keeps its bytes.
     """
-
-    def unchanged(query: Column) -> Column:
-        return F.concat(F.lit("?"), _encode_where(query, r"[^!$-;=?-~]|[ \"'<>]"))
+    unchanged = _encode_where(given, r"[^!$-;=?-~]|[ \"'<>]")
 
     def pair(part: Column) -> Column:
         return F.concat(F.url_encode(_parameter_name(part)), F.lit("="), F.url_encode(_parameter_value(part)))
 
-    def rewritten(query: Column, parts: Column) -> Column:
+    def without_tracking(parts: Column) -> Column:
         def of(kept: Column) -> Column:
             joined = F.concat(F.lit("?"), F.array_join(F.transform(kept, pair), "&"))
             dropped = F.when(F.size(kept) == 0, F.lit("")).otherwise(joined)
-            return F.when(F.size(kept) == F.size(parts), unchanged(query)).otherwise(dropped)
+            return F.when(F.size(kept) == F.size(parts), unchanged).otherwise(dropped)
 
         return let(F.filter(parts, lambda part: ~_is_tracking(_parameter_name(part))), of)
 
     def of_query(query: Column) -> Column:
         parts = F.filter(F.split(query, "&"), lambda part: part != "")
-        return F.when(query.rlike(_TRACKED), let(parts, lambda p: rewritten(query, p))).otherwise(unchanged(query))
+        return F.when(query.rlike(_TRACKED), let(parts, without_tracking)).otherwise(unchanged)
 
-    return F.when(url.contains("?"), let(F.regexp_extract(url, _QUERY, 1), of_query)).otherwise(F.lit(""))
+    return F.when(given == "", given).otherwise(let(F.substring(given, 2, 1 << 30), of_query))
 
 
-def _clean_path(url: Column) -> Column:
-    encoded = _encode_where(F.regexp_extract(url, _PATH, 1), r"[^!-~]|[\"<>`{}^]")
-    return F.regexp_replace(F.regexp_replace(encoded, r"(?<=.)/$", ""), r"^$", "/")
+def _clean_path(raw: Column) -> Column:
+    def without_slash(path: Column) -> Column:
+        ends = (F.length(path) > 1) & path.endswith("/")
+        return F.when(path == "", F.lit("/")).when(ends, F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
 
-
-def _canonical(url: Column) -> Column:
-    userinfo = F.regexp_extract(url, r"(?i)^https?:/*([^/?#]*@)?", 1)
-    origin = F.concat(_scheme(url), F.lit("://"), userinfo, _host(url), _port(url))
-    http = F.concat(origin, _clean_path(url), _clean_query(url))
-    return F.when(_is_http(url), http).when(url.rlike(_SCHEME), url)
+    return let(_encode_where(raw, r"[^!-~]|[\"<>`{}^]"), without_slash)
 
 
 @remembered
@@ -185,25 +171,36 @@ def canonical_url(url: Column) -> Column:
     Fragment and tracking parameters go, host is lower-cased, a default port
     and one trailing slash are dropped.
     """
-    return let(F.regexp_replace(_trimmed(url), r"(?s)#.*$", ""), _canonical)
+
+    def http(p: Column) -> Column:
+        return F.concat(F.lower(p[0]), F.lit("://"), p[1], _host(p), _port(p), _clean_path(p[4]), _clean_query(p[5]))
+
+    other = F.when(url.rlike(r"^[\x00-\x20]*[A-Za-z]") & ~is_http(url), _without_fragment(_trimmed(url)))
+    return F.coalesce(_parsed(url, http), other)
 
 
-def _is_wrapper(url: Column) -> Column:
-    return F.coalesce((_host(url) == WRAPPER_HOST) & _path(url).rlike(WRAPPER_PATH), F.lit(False))
+def _without_fragment(url: Column) -> Column:
+    return F.when(url.rlike(_SCHEME), F.regexp_replace(url, r"(?s)#.*$", ""))
+
+
+def _is_wrapper(parts: Column) -> Column:
+    return (_host(parts) == WRAPPER_HOST) & _path(parts).rlike(WRAPPER_PATH)
 
 
 @remembered
 def is_redirect_wrapper(url: Column) -> Column:
-    return _part(url, _is_wrapper)
+    return F.coalesce(_parsed(url, _is_wrapper), F.lit(False))
 
 
 @remembered
 def canonical_content_url(url: Column) -> Column:
     """Canonical URL; a redirect wrapper also loses its per-delivery query."""
-    return let(
-        canonical_url(url),
-        lambda c: F.when(c.contains(WRAPPER_HOST) & _is_wrapper(c), F.regexp_replace(c, r"\?.*$", "")).otherwise(c),
-    )
+
+    def unwrapped(c: Column) -> Column:
+        wrapped = c.contains(WRAPPER_HOST) & _parsed(c, _is_wrapper)
+        return F.when(F.coalesce(wrapped, F.lit(False)), F.regexp_replace(c, r"\?.*$", "")).otherwise(c)
+
+    return let(canonical_url(url), unwrapped)
 
 
 @remembered
@@ -213,21 +210,21 @@ def absolute_url(link: Column, base: Column) -> Column:
     def resolve(text: Column, page: Column) -> Column:
         origin = _origin(page)
         folder = F.regexp_replace(_path(page), r"[^/]*$", "")
-        query = F.regexp_extract(page, r"^[^?#]*(\?[^#]*)", 1)
-        joined = (
-            F.when(text.startswith("//"), F.concat(_scheme(page), F.lit(":"), text))
+        return (
+            F.when(text.startswith("//"), F.concat(F.lower(page[0]), F.lit(":"), text))
             .when(text.startswith("/"), F.concat(origin, _without_dots(text)))
             .when(text.startswith("?"), F.concat(origin, _path(page), text))
-            .when(text.startswith("#"), F.concat(origin, _path(page), query, text))
+            .when(text.startswith("#"), F.concat(origin, _path(page), page[5], text))
             .otherwise(F.concat(origin, _without_dots(F.concat(folder, text))))
         )
+
+    def of(text: Column) -> Column:
         rooted = F.regexp_replace(text, r"(?i)^(https?:/*[^/?#]+)(?=$|[?#])", "$1/")
-        return (
-            F.when(_is_http(text), F.when(_host(text).isNotNull(), rooted)).when(text.rlike(_SCHEME), text).otherwise(joined)
-        )
+        usable = F.when(_parsed(text, lambda p: F.lit(True)), rooted)
+        relative = _parsed(base, lambda page: resolve(text, page))
+        return F.when(text.rlike(_HTTP), usable).when(text.rlike(_SCHEME), text).otherwise(relative)
 
-    bound = let(_trimmed(link), lambda text: let(_trimmed(base), lambda page: resolve(text, page)))
-    return F.when(link.isNotNull() & (link != ""), bound)
+    return F.when(link.isNotNull() & (link != ""), let(_trimmed(link), of))
 
 
 def _without_dots(path: Column) -> Column:
@@ -247,16 +244,13 @@ def _without_dots(path: Column) -> Column:
 
 
 def _with_scheme(url: Column) -> Column:
-    return _part(url, lambda text: F.when(text.rlike(_SCHEME), text).otherwise(F.concat(F.lit("https://"), text)))
-
-
-def _is_loopback_host(host: Column) -> Column:
-    return host.rlike(LOOPBACK_HOST)
+    text = _trimmed(url)
+    return F.when(text.rlike(_SCHEME), text).otherwise(F.concat(F.lit("https://"), text))
 
 
 @remembered
 def is_loopback(url: Column) -> Column:
-    return F.coalesce(let(_with_scheme(url), lambda u: _is_loopback_host(_host(u))), F.lit(False))
+    return F.coalesce(_parsed(_with_scheme(url), lambda p: _host(p).rlike(LOOPBACK_HOST)), F.lit(False))
 
 
 @remembered
@@ -266,7 +260,7 @@ def is_public_url(url: Column) -> Column:
     def public(host: Column) -> Column:
         return ~(host.rlike(LOOPBACK_HOST) | host.endswith(".local") | (host == "0.0.0.0") | host.rlike(PRIVATE_HOST))
 
-    return F.coalesce(let(_with_scheme(url), lambda u: let(_host(u), public)), F.lit(False))
+    return F.coalesce(_parsed(_with_scheme(url), lambda p: let(_host(p), public)), F.lit(False))
 
 
 def is_feed_url_allowed(url: Column, allow_loopback: bool = False) -> Column:
@@ -307,12 +301,11 @@ def scholarly_url(identity: Column, landing: Column) -> Column:
 @remembered
 def profile_id(url: Column) -> Column:
     """Profile id of a strict profile address; null for every other URL."""
-    return let(
-        _with_scheme(url),
-        lambda u: F.when(
-            _host(u).isin(PROFILE_HOSTS) & _path(u).rlike(PROFILE_URL), F.regexp_extract(_path(u), PROFILE_URL, 1)
-        ),
-    )
+
+    def found(p: Column) -> Column:
+        return F.when(_host(p).isin(PROFILE_HOSTS) & _path(p).rlike(PROFILE_URL), F.regexp_extract(_path(p), PROFILE_URL, 1))
+
+    return _parsed(_with_scheme(url), found)
 
 
 def profile_url(url: Column) -> Column:

@@ -88,8 +88,10 @@ def audit_articles(articles: DataFrame) -> DataFrame:
     content_html, content_mode, render_profile``; every other column passes through.
     """
     html = F.col("content_html")
-    prose = F.regexp_replace(html, r"(?is)<(pre|code)\b[^>]*>.*?</\1>", "")
-    texts = staged(articles, text=plain(html), prose=plain(prose), lead=F.substring(plain(F.coalesce("summary", F.lit(""))), 1, LEAD_LENGTH))
+    literal = r"(?is)<(pre|code)\b[^>]*>.*?</\1>"
+    texts = staged(articles, text=plain(html), lead=F.substring(plain(F.coalesce("summary", F.lit(""))), 1, LEAD_LENGTH))
+    # Only articles with literal code are read a second time without it.
+    texts = staged(texts, prose=F.when(html.rlike(r"(?i)<(pre|code)\b"), plain(F.regexp_replace(html, literal, ""))).otherwise(F.col("text")))
     found = staged(
         texts,
         raw_tex=text.raw_tex_commands(F.col("prose")),
@@ -107,7 +109,7 @@ def audit_articles(articles: DataFrame) -> DataFrame:
         (html.rlike(r"(?i)class=\"[^\"]*katex-error|<mjx-merror\b"), ISSUE_FORMULA),
         (F.size("raw_tex") > 0, ISSUE_RAW_TEX),
         (F.size("inline_tex") > 0, ISSUE_INLINE_TEX),
-        (scientific & prose.rlike(r"\\begin\{|\$\$|\\\("), ISSUE_SCIENTIFIC_TEX),
+        (scientific & F.regexp_replace(html, literal, "").rlike(r"\\begin\{|\$\$|\\\("), ISSUE_SCIENTIFIC_TEX),
         (scientific & (stray_heading | chrome), ISSUE_CHROME),
         (scientific & lead_missing, ISSUE_LEAD),
     ]

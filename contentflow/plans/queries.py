@@ -590,7 +590,7 @@ def maintenance_entries(spark, sf):
 def duplicate_merge(spark, sf):
     """Wrapper variants folded into one entry per target: state, winner and owner."""
     state = _legacy_library(spark, sf)
-    repairs = maintenance.wrapper_repairs(state.entries, state.sources)
+    repairs = schemas.write_through(maintenance.wrapper_repairs(state.entries, state.sources), "repairs")
     after = maintenance.merge_duplicates(state, repairs).entries
     return after.select("id", "source_id", "canonical_url", "is_read", "is_favorite", "author", "published_at", "summary", "created_at", "observed_at")
 
@@ -598,7 +598,7 @@ def duplicate_merge(spark, sf):
 @query
 def duplicate_merge_origins(spark, sf):
     state = _legacy_library(spark, sf)
-    repairs = maintenance.wrapper_repairs(state.entries, state.sources)
+    repairs = schemas.write_through(maintenance.wrapper_repairs(state.entries, state.sources), "repairs")
     return maintenance.merge_duplicates(state, repairs).entry_origins.select("entry_id", "source_id", "provider_id", "original_url", "observed_at")
 
 

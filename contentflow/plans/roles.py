@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from contentflow import schemas
 from contentflow.functions import text, urls
+from contentflow.functions.binding import spread
 from contentflow.operators.normalize import normalize
 from contentflow.schemas import State
 
@@ -27,8 +28,13 @@ KINDS = ["rss", "generic", "manual", "zhihu", "zhihu_follow", "x", "xiaohongshu"
 STATUSES = ["active", "error", "needs_review", "paused"]
 
 
+# Tables of long texts, where the work per row is large.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def ms(column: str) -> Column:
