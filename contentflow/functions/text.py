@@ -308,6 +308,18 @@ def category_too_long(value: Column, limit: int = 60) -> Column:
     return F.coalesce(F.length(collapse(value)) > limit, F.lit(False))
 
 
+def json_object(value: Column) -> Column:
+    """JSON object text as a map of texts; null for anything else."""
+    return F.when(value.rlike(r"^\s*\{"), F.from_json(value, "map<string,string>"))
+
+
+def json_strings(value: Column) -> Column:
+    """The string elements of a JSON array text; empty for anything else."""
+    items = F.from_json(value, "array<variant>")
+    texts = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    return F.coalesce(F.when(value.rlike(r"^\s*\["), texts), F.array().cast("array<string>"))
+
+
 def failure_class(message: Column) -> Column:
     return (
         F.when(message.rlike(r"(?i)ERR_(?:PROXY|TUNNEL|SOCKS)_|proxy"), F.lit("proxy"))

@@ -64,7 +64,7 @@ def without_dismissed(batch: DataFrame, dismissed: DataFrame) -> DataFrame:
 @dataclasses.dataclass(frozen=True)
 class MergeResult:
     state: State
-    inserted: DataFrame  # canonical URLs that were new
+    inserted: DataFrame  # canonical URLs that were new, with the source that brought them
 
 
 def upsert_entries(snapshot: DataFrame, folded: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def merge_entries(state: State, batch: DataFrame) -> MergeResult:
         .withColumn("entry_id", F.coalesce("stored_id", F.sha2(F.col("canonical_url"), 256)))
         .drop("stored_id", "canonical_url")
     )
-    inserted = folded.select("canonical_url").join(state.entries.select("canonical_url"), "canonical_url", "left_anti")
+    inserted = folded.select("canonical_url", "source_id").join(state.entries.select("canonical_url"), "canonical_url", "left_anti")
     return MergeResult(
         state.with_tables(entries=entries, entry_origins=upsert_origins(state.entry_origins, origins)), inserted
     )

@@ -226,7 +226,7 @@ def new_entries(spark, sf):
     first = merge.merge_entries(schemas.empty_state(spark), batch.where("seq % 3 = 0")).state.written("new-entries", "entries", "entry_origins")
     dismissed = first.entries.where(F.col("author") == "en").select("canonical_identity", F.lit(AS_OF).alias("dismissed_at"))
     state = first.with_tables(dismissed=dismissed)
-    return merge.merge_entries(state, batch.where("seq % 3 <> 0")).inserted
+    return merge.merge_entries(state, batch.where("seq % 3 <> 0")).inserted.select("canonical_url")
 
 
 @query

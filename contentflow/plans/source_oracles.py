@@ -186,3 +186,15 @@ SELECT e.a AS author_id, event_id::VARCHAR AS post_id FROM (SELECT *, 'u' || use
 ORACLES["since_id_cursors"] = "SELECT 'u' || user_id AS author_id, max(event_id)::VARCHAR AS since_id FROM events GROUP BY 1"
 ORACLES["latest_cursor"] = "SELECT max(event_id)::VARCHAR AS since_id FROM events"
 ORACLES["stream_health"] = ORACLES["source_health"]
+
+ORACLES["probe_verdicts"] = f"""WITH {LIST}, d AS (SELECT DISTINCT doc, kind FROM li)
+SELECT doc AS seq, CASE WHEN doc % 2 = 0 THEN 'rss' ELSE 'generic' END AS kind, CASE WHEN doc % 2 = 0 THEN 'https://list.example.org/feed/' || doc || '.xml' ELSE 'https://list.example.org/p/' || doc END AS url,
+  CASE WHEN doc % 2 = 0 THEN 'Feed ' || doc ELSE 'List ' || doc END AS title, CASE WHEN doc % 2 = 0 THEN 0.98 WHEN kind = 2 THEN 0.91 ELSE 0.89 END::DOUBLE AS confidence, false AS requires_review, 'active' AS initial_status FROM d
+UNION ALL SELECT 2000000 + doc, 'rss', 'https://list.example.org/feed/' || doc || '.xml', 'Feed ' || doc, 1.0, false, 'active' FROM d WHERE doc % 2 = 0
+UNION ALL SELECT 1000000 + page_id, 'generic', url, {TITLE}, 0.2, true, 'needs_review' FROM pages"""
+ORACLES["probe_previews"] = f"""WITH {LIST}, d AS (SELECT DISTINCT doc FROM li WHERE doc % 2 = 0)
+SELECT doc AS seq, k % 8 + 1 AS row, {LINK} AS url, title FROM li WHERE doc % 2 = 1
+UNION ALL SELECT doc, 1, 'https://list.example.org/f/' || doc, 'From the feed ' || doc FROM d UNION ALL SELECT 2000000 + doc, 1, 'https://list.example.org/f/' || doc, 'From the feed ' || doc FROM d
+UNION ALL SELECT 1000000 + page_id, 1, url, {TITLE} FROM pages"""
+# The document texts have no escaped dollars; a blank pair never counts, its second dollar may open the next pair.
+ORACLES["paired_tex"] = r"""SELECT doc_id, len(regexp_extract_all(text, '\$([ \t]*[^$\s][^$\r\n]*)\$'))::BIGINT AS pairs FROM documents"""

@@ -12,7 +12,7 @@ from contentflow.plans import dumps, roles
 from contentflow.plans.queries import query
 from contentflow.plans.roles import AS_OF, table
 from contentflow.session import scratch_path
-from contentflow.sources import articles, cards, feeds, opml, pages, providers, robots
+from contentflow.sources import articles, cards, feeds, opml, pages, probe, providers, robots
 from contentflow.sources.page_facts import page_facts
 from contentflow.sources.snapshots import Library
 from contentflow.streaming import changes, ingest
@@ -219,6 +219,33 @@ def article_fallback(spark, sf):
     return articles.article_with_fallback(entries, shown, items, sources).select("id", "content_mode", (F.length("content_html") > 0).alias("has_html"))
 
 
+def _probed(spark, sf):
+    """List pages, crawl dump and feeds as one dump; half the list pages find their feed in it."""
+    lists = dumps.listing_pages(table(spark, sf, "part"))
+    crawl = dumps.raw_fetch(table(spark, sf, "pages"), source_id=F.lit("crawl"), seq=F.lit(10**6) + F.col("page_id"), url=F.col("url"), content_type=F.lit("text/html"), text=F.col("html"))
+    item = F.concat(F.lit("<item><title>From the feed "), F.col("seq"), F.lit("</title><link>/f/"), F.col("seq"), F.lit("</link></item>"))
+    found = lists.where(F.col("seq") % 2 == 0).withColumns(
+        {
+            "text": F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed '), F.col("seq"), F.lit("</title>"), item, F.lit("</channel></rss>")),
+            "url": F.concat(F.lit("https://list.example.org/feed/"), F.col("seq"), F.lit(".xml")), "seq": F.lit(2 * 10**6) + F.col("seq"), "content_type": F.lit("application/rss+xml"),
+        }
+    )
+    return lists.unionByName(crawl).unionByName(found)
+
+
+@query
+def probe_verdicts(spark, sf):
+    """First look at every address: kind, title, confidence, whether a person must look."""
+    verdicts, _ = probe.probe(_probed(spark, sf))
+    return verdicts.select("seq", "kind", "url", "title", F.round("confidence", 4).alias("confidence"), "requires_review", "initial_status")
+
+
+@query
+def probe_previews(spark, sf):
+    _, shown = probe.probe(_probed(spark, sf))
+    return shown.select("seq", F.col("row").cast("bigint").alias("row"), "url", "title")
+
+
 # --- providers ---
 
 

@@ -14,18 +14,20 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.schemas import TABLES, State, empty_state
+from contentflow.schemas import ORIGIN_KEY, TABLES, State, empty_state
 
+# The merge key of every table. None of them repeats, so no bucket can be larger than
+# its share, however many origins an entry or runs a source has.
 KEYS = {
-    "sources": "id",
-    "entries": "canonical_url",
-    "entry_origins": "entry_id",
-    "dismissed": "canonical_identity",
-    "subscriptions": "source_id",
-    "checkpoints": "subscription_id",
-    "maintenance": "source_id",
-    "followees": "url_token",
-    "runs": "source_id",
+    "sources": ["id"],
+    "entries": ["canonical_url"],
+    "entry_origins": ORIGIN_KEY,
+    "dismissed": ["canonical_identity"],
+    "subscriptions": ["source_id"],
+    "checkpoints": ["subscription_id"],
+    "maintenance": ["source_id"],
+    "followees": ["url_token"],
+    "runs": ["id"],
 }
 
 
@@ -56,7 +58,7 @@ class Library:
 
     def _table(self, name: str, written: int) -> DataFrame:
         """A written table; another session registers its files with their bucketing."""
-        table, key = self._name(name, written), KEYS[name]
+        table, key = self._name(name, written), ", ".join(KEYS[name])
         if not self.spark.catalog.tableExists(table):
             self.spark.sql(
                 f"CREATE TABLE {table} ({TABLES[name]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
@@ -82,11 +84,11 @@ class Library:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             # One task per bucket: every bucket is one sorted file.
             (
-                rows.repartition(self.buckets, key)
+                rows.repartition(self.buckets, *key)
                 .write.mode("overwrite")
                 .format("parquet")
-                .bucketBy(self.buckets, key)
-                .sortBy(key)
+                .bucketBy(self.buckets, *key)
+                .sortBy(*key)
                 .option("path", f"{self.root}/{name}/v{version}")
                 .saveAsTable(table)
             )

@@ -99,11 +99,11 @@ def ingest_batch(state: State, raw: DataFrame, registry: Registry, as_of: int, r
     touched = good.select(F.col("source_id").alias("id")).distinct()
     pruned = maintenance.prune_nav(state, state.sources.join(touched, "id", "left_semi"))
     result = merge.merge_entries(pruned, batch)
-    runs = run_log(raw, items, state.sources, as_of, run_key)
+    runs = run_log(raw, items, result.inserted, state.sources, as_of, run_key)
     return result.state.with_tables(runs=state.runs.unionByName(runs))
 
 
-def run_log(raw: DataFrame, items: DataFrame, sources: DataFrame, as_of: int, run_key: str) -> DataFrame:
+def run_log(raw: DataFrame, items: DataFrame, inserted: DataFrame, sources: DataFrame, as_of: int, run_key: str) -> DataFrame:
     """One run per fetched source: failed, empty, or successful with its item count.
 
     Only a web source that answered but showed nothing is ``empty``; an
@@ -114,7 +114,8 @@ def run_log(raw: DataFrame, items: DataFrame, sources: DataFrame, as_of: int, ru
     )
     counts = items.groupBy("source_id").agg(F.count("*").alias("fetched"))
     kinds = sources.select(F.col("id").alias("source_id"), F.coalesce("connector_id", "kind").alias("connector"))
-    joined = answers.join(counts, "source_id", "left").join(kinds, "source_id").na.fill(0, ["fetched"])
+    new = inserted.groupBy("source_id").agg(F.count("*").alias("inserted"))
+    joined = answers.join(counts, "source_id", "left").join(new, "source_id", "left").join(kinds, "source_id").na.fill(0, ["fetched", "inserted"])
     empty = (F.col("connector") == "generic") & ~F.col("unchanged") & (F.col("fetched") == 0)
     outcome = F.when(~F.col("ok"), "failure").when(empty, "empty").otherwise("success")
     message = F.when(~F.col("ok"), text.redact_message(F.concat(F.lit("HTTP "), F.col("status"))))
@@ -123,7 +124,7 @@ def run_log(raw: DataFrame, items: DataFrame, sources: DataFrame, as_of: int, ru
         "source_id",
         outcome.alias("outcome"),
         F.col("fetched").cast("int").alias("fetched_count"),
-        F.lit(None).cast("int").alias("inserted_count"),
+        F.col("inserted").cast("int").alias("inserted_count"),
         message.alias("message"),
         F.lit(as_of).cast("bigint").alias("created_at"),
     )
@@ -156,6 +157,25 @@ def ingest_stream(
     return landing.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def secondary_sync(library: Library, run: str, steps: dict[str, Callable[[State], dict[str, DataFrame]]]) -> DataFrame:
+    """Extra tables after a successful run (collections, followees), each on its own.
+
+    A step maps the current state to the tables it changes. One that fails is
+    reported and does not keep the others from being published.
+    """
+    outcomes = []
+    for name, step in steps.items():
+        key = f"{run}-{name}"
+        try:
+            if not library.has_run(key):
+                library.publish(key, **step(library.load()))
+            outcomes.append((name, "success", None))
+        except Exception as error:  # any failure of one step is a row of the report
+            outcomes.append((name, "failure", str(error)[:300]))
+    report = library.spark.createDataFrame(outcomes, "step string, outcome string, message string")
+    return report.withColumn("message", text.redact_message(F.col("message")))
+
+
 def landing_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     """Fetches landed as parquet files, a bounded number of files per micro-batch."""
     return spark.readStream.schema(schemas.RAW_FETCH).option("maxFilesPerTrigger", files_per_batch).parquet(folder)

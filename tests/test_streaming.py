@@ -32,7 +32,7 @@ def test_batches_merge_and_replays_change_nothing(spark):
     land(spark, root, dict(source_id="f", seq=1, content_type="application/xml", text=rss(("One", "1", None), ("Hidden", "hidden", None))), dict(source_id="w", seq=2, url="https://w.org/", text=listing), dict(source_id="bad", seq=3, status=503, text=""))
     state = run(spark, root, library)
     assert {r["canonical_url"] for r in fx.as_dicts(state.entries)} == {"https://e.org/1", "https://w.org/w/0", "https://w.org/w/1", "https://w.org/w/2"}
-    assert {(r["source_id"], r["outcome"], r["fetched_count"]) for r in fx.as_dicts(state.runs)} == {("f", "success", 2), ("w", "success", 3), ("bad", "failure", 0)}
+    assert {(r["source_id"], r["outcome"], r["fetched_count"], r["inserted_count"]) for r in fx.as_dicts(state.runs)} == {("f", "success", 2, 1), ("w", "success", 3, 3), ("bad", "failure", 0, 0)}
     # a late replay brings a date, a new title and a page that shows nothing
     land(spark, root, dict(source_id="f", seq=4, content_type="application/xml", text=rss(("One again", "1?utm_source=x", "Wed, 03 Jan 2024 10:00:00 GMT"), ("Two", "2", None))), dict(source_id="w", seq=5, url="https://w.org/", status=304, text=""))
     state = run(spark, root, library)
@@ -112,6 +112,19 @@ def test_cursors_compare_numbers_and_move_over_filtered_posts(spark):
     assert changes.latest_id(after).first()[0] == "100000000000000000000"
 
 
+def test_secondary_steps_fail_alone(spark):
+    library = Library(spark, scratch_path(spark, "secondary"), buckets=2)
+    seen = spark.createDataFrame([("t", "n", "u", None, None, 1, 1, 0)], schemas.FOLLOWEES + ", seq bigint")
+
+    def broken(state):
+        raise RuntimeError("refused, token=abc")
+
+    steps = {"collections": broken, "followees": lambda state: {"followees": merge.merge_followees(state, seen).followees}}
+    report = {r["step"]: (r["outcome"], r["message"]) for r in ingest.secondary_sync(library, "r1", steps).collect()}
+    assert report == {"collections": ("failure", "refused, token=[redacted]"), "followees": ("success", None)}
+    assert library.load().followees.count() == 1
+
+
 def test_report_sink(spark, tmp_path):
     write_report(spark.createDataFrame([("s", ["x"])], "source string, issues array<string>"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).first()["issues"] == ["x"]

@@ -131,3 +131,8 @@ def test_tex_links(values):
         'see <a href="https://e.org/x">https://e.org/x</a> and <a href="https://e.org/y">label</a>',
         '<a href="https://e.org/z">https://e.org/z</a>',
     ]
+
+
+def test_tolerant_json(values):
+    assert values(text.json_object, ['{"a":1,"b":"x"}', "[1]", "{bad", None]) == [{"a": "1", "b": "x"}, None, None, None]
+    assert values(text.json_strings, ['["a",1,null,"b",{"c":2}]', '{"a":1}', "[bad", None]) == [["a", "b"], [], [], []]
