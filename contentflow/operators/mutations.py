@@ -20,26 +20,20 @@ def _ids(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.select(F.col(column).alias(name)).distinct()
 
 
-def reassign_owner(entries: DataFrame, remaining: DataFrame, touched: DataFrame) -> DataFrame:
-    """Move ownership of touched entries to their earliest remaining origin.
+def reassign_owner(entries: DataFrame, remaining: DataFrame, ownerless: DataFrame) -> DataFrame:
+    """Give entries whose owner goes (``ownerless``: distinct ``id``) to their earliest remaining origin.
 
-    ``touched`` holds ``(entry_id, removed)``, the owner that goes. The
-    fallback is an aggregate per entry, ties go to the smaller source id.
+    The heir is an aggregate per entry, ties go to the smaller source id.
+    Everything is keyed by the entry id, so the entries are shuffled once.
     """
-    fallback = (
-        remaining.join(_ids(touched, "entry_id", "entry_id"), "entry_id", "left_semi")
-        .groupBy("entry_id")
-        .agg(F.min_by("source_id", F.struct("observed_at", "source_id")).alias("fallback"))
-    )
-    moves = (
-        touched.join(fallback, "entry_id")
-        .select(F.col("entry_id").alias("id"), F.col("removed").alias("source_id"), "fallback")
-        .distinct()
+    heirs = (
+        remaining.withColumnRenamed("entry_id", "id")
+        .join(ownerless, "id", "left_semi")
+        .groupBy("id")
+        .agg(F.min_by("source_id", F.struct("observed_at", "source_id")).alias("heir"))
     )
     return (
-        entries.join(moves, ["id", "source_id"], "left")
-        .withColumn("source_id", F.coalesce("fallback", "source_id"))
-        .select(*schemas.columns(ENTRIES))
+        entries.join(heirs, "id", "left").withColumn("source_id", F.coalesce("heir", "source_id")).select(*schemas.columns(ENTRIES))
     )
 
 
@@ -47,8 +41,9 @@ def delete_origin_rows(state: State, matches: DataFrame) -> State:
     """Take matched ``(entry_id, source_id)`` pairs out; shared entries survive with another owner."""
     pairs = matches.select("entry_id", "source_id").distinct()
     remaining = state.entry_origins.join(pairs, ["entry_id", "source_id"], "left_anti")
-    touched = pairs.withColumnRenamed("source_id", "removed")
-    owned = reassign_owner(state.entries, remaining, touched)
+    named = pairs.withColumnRenamed("entry_id", "id")
+    ownerless = state.entries.select("id", "source_id").join(named, ["id", "source_id"], "left_semi").select("id")
+    owned = reassign_owner(state.entries, remaining, ownerless)
     orphans = _ids(pairs, "entry_id", "entry_id").join(remaining.select("entry_id"), "entry_id", "left_anti")
     entries = owned.join(orphans.withColumnRenamed("entry_id", "id"), "id", "left_anti")
     return state.with_tables(entries=entries.select(*schemas.columns(ENTRIES)), entry_origins=remaining)
@@ -58,10 +53,8 @@ def remove_source_content(state: State, source_ids: DataFrame) -> State:
     """Drop the origins of the given sources (column ``source_id``), then sweep every orphan."""
     ids = source_ids.select("source_id").distinct()
     remaining = state.entry_origins.join(ids, "source_id", "left_anti").select(*state.entry_origins.columns)
-    touched = state.entries.join(ids, "source_id", "left_semi").select(
-        F.col("id").alias("entry_id"), F.col("source_id").alias("removed")
-    )
-    owned = reassign_owner(state.entries, remaining, touched)
+    ownerless = state.entries.select("id", "source_id").join(ids, "source_id", "left_semi").select("id")
+    owned = reassign_owner(state.entries, remaining, ownerless)
     entries = owned.join(remaining.select(F.col("entry_id").alias("id")), "id", "left_semi")
     return state.with_tables(entries=entries.select(*schemas.columns(ENTRIES)), entry_origins=remaining)
 

@@ -329,4 +329,4 @@ SELECT e.id, CASE WHEN {DOOMED.replace('k %', 'e.k %')} THEN 'other' ELSE source
 WHERE id NOT IN (SELECT id FROM r) AND (NOT {DOOMED.replace('k %', 'e.k %')} OR e.k % 7 = 0) UNION ALL {MERGED}"""
 ORACLES["nav_prune"] = f"""WITH n AS (SELECT p_partkey AS k, {pick(["GitHub", "YouTube", "X (@me)", "Real post"], "p_partkey")} AS title,
   p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND (p_partkey % 4 < 3 OR p_partkey % 9 = 3) AS doomed FROM part)
-SELECT 'e' || k AS id, CASE WHEN doomed THEN 'm' ELSE 'n' END AS source_id, title FROM n WHERE NOT doomed OR k % 6 = 0"""
+SELECT 'e' || k AS id, CASE WHEN doomed THEN 'm' ELSE 'n' || k % 3 END AS source_id, title FROM n WHERE NOT doomed OR k % 6 = 0"""

@@ -621,7 +621,7 @@ def nav_prune(spark, sf):
     )
     parts = table(spark, sf, "part")
     entries = parts.select(
-        F.concat(F.lit("e"), key).alias("id"), F.lit("n").alias("source_id"), F.concat(F.lit("https://news.example.org/u"), key).alias("canonical_url"), link.alias("original_url"),
+        F.concat(F.lit("e"), key).alias("id"), F.concat(F.lit("n"), key % 3).alias("source_id"), F.concat(F.lit("https://news.example.org/u"), key).alias("canonical_url"), link.alias("original_url"),
         label.alias("title"), roles.null("string").alias("author"), F.when(key % 5 == 0, F.lit(AS_OF)).alias("published_at"), F.when(key % 7 == 0, F.col("p_name")).alias("summary"),
         roles.null("string").alias("image_url"), F.lit("").alias("content_hash"), F.lit(False).alias("is_read"), F.lit(False).alias("is_favorite"), key.alias("created_at"), key.alias("observed_at"),
         F.lit("rss").alias("provider_id"), roles.null("string").alias("provider_label"), roles.null("string").alias("external_id"), link.alias("canonical_identity"),
@@ -629,7 +629,7 @@ def nav_prune(spark, sf):
     origins = entries.select(F.col("id").alias("entry_id"), "source_id", "provider_id", F.lit("").alias("external_id"), "provider_label", "original_url", "observed_at").unionByName(
         entries.where(key_of("id") % 6 == 0).select(F.col("id").alias("entry_id"), F.lit("m").alias("source_id"), "provider_id", F.lit("").alias("external_id"), "provider_label", "original_url", "observed_at")
     )
-    made = spark.createDataFrame([("n", "https://news.example.org/?q=3")], "sid string, surl string")
+    made = spark.createDataFrame([(f"n{i}", "https://news.example.org/?q=3") for i in range(3)], "sid string, surl string")
     sources = roles._source_rows(made, id=F.col("sid"), url=F.col("surl"), kind=F.lit("rss"))
     state = schemas.state_of(spark, sources=sources, entries=entries, entry_origins=origins)
     return maintenance.prune_nav(state, sources).entries.select("id", "source_id", "title")

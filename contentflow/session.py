@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Pages may be megabytes each: few rows per batch keep a Python worker small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 

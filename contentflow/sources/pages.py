@@ -19,6 +19,14 @@ FEED_QUERY = r"(?i)(?:^|&)(?:format|output|type)=(?:rss|atom|feed|json)(?:&|$)"
 CARD_DATE = r"(20\d{2}|\d{1,2}[月./-]\d{1,2})"
 FEED_CAP, CANDIDATE_CAP, PREVIEW_CAP, GROUP_CAP, PROBE_PREVIEW_CAP, ENRICH_CAP = 5, 5, 4, 500, 10, 32
 SAMPLE = 12
+LABELS = {
+    "article": "文章卡片",
+    "li": "列表项目",
+    "class": "页面内容卡片",
+    "link": "「%s」文章链接",
+    "many": "（%d 篇）",
+    "single": "（1 篇，单篇监测）",
+}
 PAIR_THRESHOLD, SINGLE_THRESHOLD = 1.9, 2.35
 RULE_REVISION = 3
 REVIEW_BELOW = 0.75
@@ -173,10 +181,23 @@ def calibration_candidates(pages: DataFrame, k: int = CANDIDATE_CAP, preview: in
     return (
         shown.withColumn("row", row)
         .where(F.col("row") <= preview)
-        .select("page_id", F.col("rank"), "selector", "entries", confidence(0.98).alias("confidence"), "row", *_entry_fields())
+        .select("page_id", F.col("rank"), "selector", group_label().alias("label"), "entries", confidence(0.98).alias("confidence"), "row", *_entry_fields())
     )
 
 
+def group_label() -> Column:
+    """What a person sees for a group: its kind and how many entries it holds."""
+    segment = F.regexp_extract("selector", r'^a\[href\*="(/.*/)"\]$', 1)
+    kind = (
+        F.when(F.col("selector") == "article", LABELS["article"])
+        .when(F.col("selector") == "li", LABELS["li"])
+        .when(segment != "", F.format_string(LABELS["link"], segment))
+        .otherwise(LABELS["class"])
+    )
+    size = F.when(F.col("entries") == 1, LABELS["single"]).otherwise(F.format_string(LABELS["many"], F.col("entries")))
+    return F.concat(kind, size)
+
+
 def extract_listing(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of listing pages and the outcome per page.
 

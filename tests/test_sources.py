@@ -119,7 +119,7 @@ def page(spark, html, rule=None, url="https://e.org/blog/"):
 def cards_html(n, cls="post-card", date=True):
     stamp = '<time datetime="2024-01-{:02d}T09:00:00Z"></time>' if date else ""
     return "".join(
-        f'<article class="{cls}"><h2><a href="/post/{i}">Post number {i}</a></h2>{stamp.format(i % 28 + 1)}<p class="meta">by</p><p>A summary that is clearly longer than forty characters {i}</p><img src="/i{i}.png"></article>' for i in range(n)
+        f'<article class="{cls}"><h2><a href="/post/{i}">Post number {i} of many</a></h2>{stamp.format(i % 28 + 1)}<p class="meta">by</p><p>A summary that is clearly longer than forty characters {i}</p><img src="/i{i}.png"></article>' for i in range(n)
     )
 
 
@@ -128,7 +128,7 @@ def test_cards_and_confidence(spark):
     rows = fx.as_dicts(entries, "entry_url")
     assert set(rows) == {f"https://e.org/post/{i}" for i in range(3)}
     one = rows["https://e.org/post/2"]
-    assert (one["title"], one["published_at"], one["summary"], one["image_url"]) == ("Post number 2", JAN3, "A summary that is clearly longer than forty characters 2", "https://e.org/i2.png")
+    assert (one["title"], one["published_at"], one["summary"], one["image_url"]) == ("Post number 2 of many", JAN3, "A summary that is clearly longer than forty characters 2", "https://e.org/i2.png")
     outcome = result.first()
     assert (outcome["method"], outcome["selector"], outcome["fallback"]) == ("cards", "article", False)
     assert outcome["confidence"] == pytest.approx(0.45 + 0.15 + min(3, 2.8 + 0.24) * 0.08)
@@ -178,6 +178,9 @@ def test_single_cards_only_for_calibration(spark):
     assert pages.extract_listing(page(spark, html))[1].first()["method"] == "fallback"
     shown = pages.calibration_candidates(page(spark, html)).collect()
     assert shown and {r["entries"] for r in shown} == {1}
+    assert "文章卡片（1 篇，单篇监测）" in {r["label"] for r in shown}
+    linked = pages.calibration_candidates(page(spark, cards_html(4))).collect()
+    assert "「/post/」文章链接（4 篇）" in {r["label"] for r in linked}
 
 
 def test_discovery(spark):
