@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from contentflow import schemas
 from contentflow.functions import text
 from contentflow.operators import maintenance, merge
+from contentflow.operators.mutations import delete_origin_rows
 from contentflow.operators.normalize import Policy, normalize
 from contentflow.schemas import State, write_through
 from contentflow.sources.feeds import is_feed, parse_feeds
@@ -96,13 +97,24 @@ def ingest_batch(state: State, raw: DataFrame, registry: Registry, as_of: int, r
     good = raw.where((F.col("status") >= 200) & (F.col("status") < 300))
     items = write_through(registry.parse(good, state.sources), f"items-{run_key}")
     batch = normalize(items, state.sources, as_of)
-    touched = good.select(F.col("source_id").alias("id")).distinct()
-    pruned = maintenance.prune_nav(state, state.sources.join(touched, "id", "left_semi"))
+    pruned = prune_navigation(state, good, run_key)
     result = merge.merge_entries(pruned, batch)
     runs = run_log(raw, items, result.inserted, state.sources, as_of, run_key)
     return result.state.with_tables(runs=state.runs.unionByName(runs))
 
 
+def prune_navigation(state: State, good: DataFrame, run_key: str) -> State:
+    """Drop stored navigation cards of the sources that answered.
+
+    The cards are found first and are usually none; only then is the library
+    left as it is, without a join over its tables.
+    """
+    answered = state.sources.join(good.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
+    declared = answered.withColumn("remove_homepage", F.get_json_object("extraction_rule", "$.feedUrl").isNotNull())
+    doomed = write_through(maintenance.nav_rows(state.entries, declared), f"nav-{run_key}")
+    return state if doomed.isEmpty() else delete_origin_rows(state, doomed)
+
+
 def run_log(raw: DataFrame, items: DataFrame, inserted: DataFrame, sources: DataFrame, as_of: int, run_key: str) -> DataFrame:
     """One run per fetched source: failed, empty, or successful with its item count.
 

@@ -179,8 +179,8 @@ def test_single_cards_only_for_calibration(spark):
     shown = pages.calibration_candidates(page(spark, html)).collect()
     assert shown and {r["entries"] for r in shown} == {1}
     assert "文章卡片（1 篇，单篇监测）" in {r["label"] for r in shown}
-    linked = pages.calibration_candidates(page(spark, cards_html(4))).collect()
-    assert "「/post/」文章链接（4 篇）" in {r["label"] for r in linked}
+    linked = pages.calibration_candidates(page(spark, cards_html(6))).collect()
+    assert "「/post/」文章链接（6 篇）" in {r["label"] for r in linked}
 
 
 def test_discovery(spark):

@@ -39,6 +39,13 @@ def test_batches_merge_and_replays_change_nothing(spark):
     row = fx.as_dicts(state.entries, "canonical_url")["https://e.org/1"]
     assert (row["title"], row["published_at"], row["original_url"]) == ("One again", 1_704_240_000_000, "https://e.org/1")
     assert state.entries.count() == 5 and state.runs.count() == 5
+    # a stored card of an answering feed that is only its home link goes with the next batch
+    home = fx.batch(spark, dict(canonical_url="https://e.org/feed", source_id="f", title="F", seq=1))
+    library.publish("legacy", **{n: getattr(merge.merge_entries(state, home).state, n) for n in ("entries", "entry_origins")})
+    assert library.load().entries.count() == 6
+    land(spark, root, dict(source_id="f", seq=6, content_type="application/xml", text=rss(("Two", "2", None))))
+    state = run(spark, root, library)
+    assert state.entries.count() == 5 and "https://e.org/feed" not in {r["canonical_url"] for r in fx.as_dicts(state.entries)}
     version = library.version()
     stream = ingest.ingest_stream  # the same batches again, as after a lost stream checkpoint
     again = ingest.landing_stream(spark, f"{root}/landing")
