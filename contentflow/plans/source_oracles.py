@@ -91,10 +91,12 @@ def visible(html: str) -> str:
 
 
 REST = f"replace({BODY}, '<h1>' || {H1} || '</h1>', '')"
+# A container with less than 40 visible characters is no article.
+SHOWN = f"{visible(REST)} <> '' AND length({visible(BODY)}) >= 40"
 ORACLES["page_articles"] = f"""
-SELECT page_id, {visible(H1)} AS title, md5({visible(REST)}) AS text_md5, length({visible(REST)}) AS text_length, 'standard' AS render_profile, 7 AS priority FROM pages WHERE {visible(REST)} <> ''"""
+SELECT page_id, {visible(H1)} AS title, md5({visible(REST)}) AS text_md5, length({visible(REST)}) AS text_length, 'standard' AS render_profile, 7 AS priority FROM pages WHERE {SHOWN}"""
 ORACLES["page_quality"] = f"""
-SELECT page_id, least(length({visible(BODY)}), 18000) + 120 * len(regexp_extract_all({BODY}, '<p>')) + 90 AS quality FROM pages WHERE {visible(REST)} <> ''"""
+SELECT page_id, least(length({visible(BODY)}), 18000) + 120 * len(regexp_extract_all({BODY}, '<p>')) + 90 AS quality FROM pages WHERE {SHOWN}"""
 ORACLES["page_dates"] = f"""WITH {LIST}
 SELECT doc AS page_id, arg_min(day, k) FILTER (WHERE kind = 2) AS published_at FROM li GROUP BY doc UNION ALL SELECT 1000000000 + page_id, NULL FROM pages"""
 ORACLES["article_fallback"] = f"""WITH m AS (SELECT 'e' || doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'article'
