@@ -28,3 +28,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 +
        coalesce(rate > 0.5, false) AS host_failed, f1 + f2 = 0 AND NOT coalesce(rate > 0.5, false) AS kept
 FROM f LEFT JOIN hosts USING (source)
 """
+
+ORACLES["op1_chat"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lbr;') AS body,
+             replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lbr;'), chr(10), '&nl;') AS who FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       length(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+       sum(length('<|turn|>' || who || chr(10) || body || '<|end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

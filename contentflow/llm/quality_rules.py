@@ -75,19 +75,17 @@ def shrunk_rates(rows: DataFrame, host: str, failures: list[str]) -> DataFrame:
     """Per host and rule: ``rate_<rule>``, the failure rate under a beta prior with the mean and variance of all hosts' rates."""
     hosts = rows.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), *[F.sum(f).alias(f) for f in failures])
     moments = hosts.agg(
-        F.sum("n").alias("_all"),
-        *[(F.sum(f) / F.sum("n")).alias(f"_mean_{f}") for f in failures],
-        *[F.coalesce(F.var_pop(F.col(f) / F.col("n")), F.lit(0.0)).alias(f"_var_{f}") for f in failures],
-    )
+        *[F.coalesce(F.sum(f) / F.sum("n"), F.lit(0.0)).alias(f"mean_{f}") for f in failures],
+        *[F.coalesce(F.var_pop(F.col(f) / F.col("n")), F.lit(0.0)).alias(f"var_{f}") for f in failures],
+    ).first()
 
     def rate(f: str) -> Column:
-        mean, variance = F.col(f"_mean_{f}"), F.col(f"_var_{f}")
+        mean, variance = F.lit(moments[f"mean_{f}"]), F.lit(moments[f"var_{f}"])
         # Moments of a beta; hosts that hardly differ give a strong prior, bounded to keep it finite.
         strength = F.greatest(F.lit(1.0), F.least(F.lit(1e6), mean * (1 - mean) / F.greatest(variance, F.lit(1e-9)) - 1))
         return ((F.col(f) + strength * mean) / (F.col("n") + strength)).alias(f"rate_{f}")
 
-    # One row of moments for all hosts.
-    return hosts.join(F.broadcast(moments)).select(host, "n", *[rate(f) for f in failures])
+    return hosts.select(host, "n", *[rate(f) for f in failures])
 
 
 def host_verdicts(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:

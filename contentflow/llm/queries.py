@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.llm import quality_rules
+from contentflow.llm import chat, classifier, mixing, quality_rules
 from contentflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +25,36 @@ def op10_quality_rules(spark, sf):
     return quality_rules.host_verdicts(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept"
     )
+
+
+@query
+def op1_chat(spark, sf):
+    """All conversations and one that says control strings, formatted and read back."""
+    turns = chat.canonical_turns(table(spark, sf, "conversations"))
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    rows = chat.formatted(turns.unionByName(more))
+    rows = rows.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_mask")), "")})
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@query
+def op7_mixing(spark, sf):
+    """Every document with its raked weight, its probability and whether it is sampled."""
+    return mixing.probabilities(table(spark, sf, "documents"))
+
+
+@query
+def op5_quality_classifier(spark, sf):
+    """Every document's probability of quality 1."""
+    return classifier.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
