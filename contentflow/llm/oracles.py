@@ -41,3 +41,15 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length('<|turn|>' || who || chr(10) || body || '<|end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op6_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS nth
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM g WHERE nth > 1),
+k AS (SELECT d.doc_id, j, w[j] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d) d
+      ANTI JOIN c USING (doc_id, j)),
+s AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""

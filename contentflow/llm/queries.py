@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.llm import chat, classifier, mixing, quality_rules
+from contentflow.llm import chat, classifier, mixing, quality_rules, substrings
 from contentflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,10 @@ def op7_mixing(spark, sf):
 def op5_quality_classifier(spark, sf):
     """Every document's probability of quality 1."""
     return classifier.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_substring_dedup(spark, sf):
+    """What is left of every document without the passages of twenty words that occur earlier."""
+    rows = substrings.removals(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
