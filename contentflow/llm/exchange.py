@@ -23,6 +23,8 @@ from contentflow.llm.hashing import packed
 
 #: Buckets per shuffle partition: hashing them evens out the partitions and keeps one bucket small.
 PER_PARTITION = 4
+#: Stands for a missing id inside the buckets, where a null would turn ids into floats; orders after all others.
+NO_ID = (1 << 63) - 1
 
 
 def partitions(spark) -> int:
@@ -37,19 +39,19 @@ def bucketed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(bucket, doc_id, text): all rows of an id in one bucket; rows without an id spread by their text."""
     spark = docs.sparkSession
     spread = F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key)))
-    rows = docs.select(F.pmod(spread, F.lit(n_buckets(spark))).cast("int").alias("bucket"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.pmod(spread, F.lit(n_buckets(spark))).cast("int").alias("bucket"), F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.repartition(partitions(spark), "bucket")
 
 
-def texts(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes]]:
-    """A bucket's rows in order of id (rows without one last) and text, and the encoded texts."""
-    rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable", na_position="last", ignore_index=True)
-    return rows, [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
+def restored(rows: DataFrame) -> DataFrame:
+    """Rows made from buckets, with missing ids null again."""
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def order(ids: pd.Series) -> np.ndarray:
-    """Ids as numbers to compare; a missing id comes after all others."""
-    return pd.array(ids, dtype="Int64").fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+def texts(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes]]:
+    """A bucket's rows in order of id and text, and the encoded texts."""
+    rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
+    return rows, [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
 
 
 def split(part: np.ndarray, *columns: np.ndarray):

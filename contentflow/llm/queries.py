@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.llm import chat, classifier, mixing, quality_rules, substrings
+from contentflow.llm import chat, classifier, jaccard, mixing, quality_rules, substrings
 from contentflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,9 @@ def op6_substring_dedup(spark, sf):
     """What is left of every document without the passages of twenty words that occur earlier."""
     rows = substrings.removals(table(spark, sf, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_ngram_jaccard(spark, sf):
+    """Every document's shingle count and the component of its near copies."""
+    return jaccard.joined(table(spark, sf, "documents"))

@@ -97,7 +97,7 @@ def removals(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: s
         place, h, part = _windows(first, words, count, window)
         near = hits[place + window - BLOCK + 1] > hits[place]
         place, h, part = place[near], h[near], part[near]
-        ids = exchange.order(rows["doc_id"])[np.searchsorted(first, place, side="right") - 1]
+        ids = rows["doc_id"].to_numpy()[np.searchsorted(first, place, side="right") - 1]
         by = np.lexsort((place, h, part))
         h, part, ids = h[by], part[by], ids[by]
         new = np.ones(len(h), bool)
@@ -140,10 +140,10 @@ def removals(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: s
             # A lone surrogate was encoded as it came and is decoded so.
             kept = b" ".join(compress(text.split(), ~mask)).decode("utf-8", "replace")
             out.append((doc, len(mask), int(mask.sum()), spans, kept))
-        made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "removed", "kept"])
-        return made.astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
     probes = exchange.answered(exchange.asked(rows, ask, "window binary, once binary, often binary"), decide, "part int, window binary, block binary")
     candidates = exchange.met(rows, probes, extend, "part int, bucket int, window binary, ids binary")
     late = exchange.answered(candidates, earliest, "window binary")
-    return exchange.met(rows, late, remove, "doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept string")
+    done = exchange.met(rows, late, remove, "doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept string")
+    return exchange.restored(done)
