@@ -66,3 +66,18 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.r
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = d.doc_id
 """
+
+ORACLES["op9_language_model"] = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS a, w[i - 1] AS b, w[i - 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+k AS (SELECT doc_id, i, a, b, c,
+        count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY a, doc_id) AS c1,
+        CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b, a, i > 1) - count(*) OVER (PARTITION BY b, a, i > 1, doc_id) END AS c2,
+        CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY c, b, a, i > 2) - count(*) OVER (PARTITION BY c, b, a, i > 2, doc_id) END AS c3 FROM t),
+p AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS p1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS p2 FROM k),
+n AS (SELECT doc_id, len(w) AS n, sum(len(w)) OVER () - len(w) AS others FROM d),
+s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / p2)
+                          WHEN c2 > 0 THEN ln(c2 / p1) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                          ELSE ln(greatest(c1, 1) / greatest(others, 1)) + least(i - 1, 2) * ln(0.4) END AS x FROM p JOIN n USING (doc_id))
+SELECT n.doc_id, n.n::BIGINT AS n_words, round(avg(x), 6) AS lm_score FROM n LEFT JOIN s USING (doc_id) GROUP BY n.doc_id, n.n
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.llm import chat, classifier, jaccard, mixing, quality_rules, substrings
+from contentflow.llm import chat, classifier, jaccard, language_model, mixing, quality_rules, substrings, suffixes
 from contentflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,15 @@ def op6_substring_dedup(spark, sf):
 def op3_ngram_jaccard(spark, sf):
     """Every document's shingle count and the component of its near copies."""
     return jaccard.joined(table(spark, sf, "documents"))
+
+
+@query
+def op4_suffix_array(spark, sf):
+    """The passages of fifty words and more that documents repeat."""
+    return suffixes.passages(table(spark, sf, "documents"))
+
+
+@query
+def op9_language_model(spark, sf):
+    """Every document's mean log score under the trigram counts of all others."""
+    return language_model.scored(table(spark, sf, "documents"))
