@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.llm import chat, classifier, jaccard, language_model, mixing, quality_rules, substrings, suffixes
+from contentflow.llm import chat, classifier, decontaminate, jaccard, language_model, mixing, pii, quality_rules, substrings, suffixes
 from contentflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,17 @@ def op4_suffix_array(spark, sf):
 def op9_language_model(spark, sf):
     """Every document's mean log score under the trigram counts of all others."""
     return language_model.scored(table(spark, sf, "documents"))
+
+
+@query
+def op2_decontamination(spark, sf):
+    """Every place where a document holds a passage of a benchmark item."""
+    return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op8_pii(spark, sf):
+    """Personal data of every document: the base spans and those the random field adds."""
+    docs = table(spark, sf, "documents")
+    rows = pii.spans(docs, pii.fitted(docs))
+    return rows.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
