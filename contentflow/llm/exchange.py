@@ -12,7 +12,7 @@ several times; Spark runs it once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,24 +63,29 @@ def split(part: np.ndarray, *columns: np.ndarray):
 
 
 def asked(buckets: DataFrame, emit: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Rows (part, bucket, …) that every bucket sends."""
+    """Rows (part, bucket, …) that every bucket sends; parts are numbered below ``partitions``."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return emit(int(key[0]), rows)
 
     return buckets.groupBy("bucket").applyInPandas(run, f"part int, bucket int, {schema}")
 
 
 def answered(sent: DataFrame, decide: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Rows (bucket, …) that the partitions answer with."""
-    count = partitions(sent.sparkSession)
-    return sent.repartition(count, "part").groupBy("part").applyInPandas(decide, f"bucket int, {schema}")
+    """What each part makes of all rows sent to it. A part is a shuffle partition, so parts are as even as hashes are."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if rows:
+            yield decide(pd.concat(rows, ignore_index=True))
+
+    return sent.repartitionById(partitions(sent.sparkSession), F.col("part")).mapInPandas(run, schema)
 
 
 def met(buckets: DataFrame, answers: DataFrame, finish: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """What the buckets make of their texts and the answers."""
 
-    def run(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return finish(int(key[0]), rows, answers)
 
     return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(run, schema)

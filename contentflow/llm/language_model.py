@@ -58,7 +58,7 @@ def unplaned(data: bytes) -> np.ndarray:
 
 def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, lm_score): the mean natural log of the scores of a document's words."""
-    rows, count = exchange.bucketed(docs, key, text), exchange.n_buckets(docs.sparkSession)
+    rows, count = exchange.bucketed(docs, key, text), exchange.partitions(docs.sparkSession)
 
     def part_of(h: np.ndarray) -> np.ndarray:
         # By the high bits, so that sorted hashes come partition by partition.
@@ -119,7 +119,7 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str =
         single = np.bincount(owner, weights=open_, minlength=len(sizes)).astype(np.int64)
         return pd.DataFrame({"doc_id": rows["doc_id"], "n_words": sizes, "log_sum": sums, "n_single": single})
 
-    counted = exchange.answered(exchange.asked(rows, ask, "grams binary, times binary"), add_up, "grams binary, others binary")
+    counted = exchange.answered(exchange.asked(rows, ask, "grams binary, times binary"), add_up, "bucket int, grams binary, others binary")
     sums = written(exchange.restored(exchange.met(rows, counted, score, "doc_id bigint, n_words bigint, log_sum double, n_single bigint")), "lm")
     whole = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     others = F.greatest(F.lit(whole) - F.col("n_words"), F.lit(1))

@@ -60,7 +60,7 @@ def removals(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: s
     """(doc_id, n_words, n_removed, removed, kept): spans [start, end) of removed words, and the kept words joined by one space."""
     if window < 2 * BLOCK - 1:
         raise ValueError(f"a window needs {2 * BLOCK - 1} words to hold a block")
-    rows, count = exchange.bucketed(docs, key, text), exchange.n_buckets(docs.sparkSession)
+    rows, count = exchange.bucketed(docs, key, text), exchange.partitions(docs.sparkSession)
 
     def ask(bucket: int, rows: pd.DataFrame) -> pd.DataFrame:
         words, first = hashing.word_hashes(exchange.texts(rows)[1])
@@ -142,8 +142,8 @@ def removals(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: s
             out.append((doc, len(mask), int(mask.sum()), spans, kept))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    probes = exchange.answered(exchange.asked(rows, ask, "window binary, once binary, often binary"), decide, "part int, window binary, block binary")
+    probes = exchange.answered(exchange.asked(rows, ask, "window binary, once binary, often binary"), decide, "bucket int, part int, window binary, block binary")
     candidates = exchange.met(rows, probes, extend, "part int, bucket int, window binary, ids binary")
-    late = exchange.answered(candidates, earliest, "window binary")
+    late = exchange.answered(candidates, earliest, "bucket int, window binary")
     done = exchange.met(rows, late, remove, "doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept string")
     return exchange.restored(done)

@@ -92,7 +92,7 @@ def passages(docs: DataFrame, match: int = MATCH, key: str = "doc_id", text: str
     """(doc_id, start_word, end_word, n_words, match_doc_id): the repeated passages of every document, end exclusive, and a document that has it too."""
     if not HEAD + RUN - 1 <= match <= BACK + HEAD:
         raise ValueError(f"passages of {HEAD + RUN - 1} to {BACK + HEAD} words and more can be asked for")
-    rows, count = exchange.bucketed(docs, key, text), exchange.n_buckets(docs.sparkSession)
+    rows, count = exchange.bucketed(docs, key, text), exchange.partitions(docs.sparkSession)
 
     def suffixes(rows: pd.DataFrame):
         rows, texts = exchange.texts(rows)
@@ -172,8 +172,8 @@ def passages(docs: DataFrame, match: int = MATCH, key: str = "doc_id", text: str
         spans = joined(rows)
         return pd.DataFrame({"doc_id": spans["doc_id"], "start_word": spans["start"], "end_word": spans["end"], "n_words": spans["end"] - spans["start"], "match_doc_id": spans["match_doc_id"]})
 
-    probes = exchange.answered(exchange.asked(rows, ask, "heads binary, times binary"), decide, "part int, heads binary, times binary")
+    probes = exchange.answered(exchange.asked(rows, ask, "heads binary, times binary"), decide, "bucket int, part int, heads binary, times binary")
     entered = exchange.met(rows, probes, enter, "part int, bucket int, heads binary, rows binary, ids binary, starts binary, context binary")
-    spans = exchange.answered(entered, compare, "row int, doc_id bigint, start int, end int, match_doc_id bigint")
+    spans = exchange.answered(entered, compare, "bucket int, row int, doc_id bigint, start int, end int, match_doc_id bigint")
     done = spans.repartition(exchange.partitions(docs.sparkSession), "bucket").groupBy("bucket").applyInPandas(collect, "doc_id bigint, start_word int, end_word int, n_words int, match_doc_id bigint")
     return exchange.restored(done).withColumn("match_doc_id", F.nullif("match_doc_id", F.lit(exchange.NO_ID)))
