@@ -48,7 +48,7 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("turn_rows", ("conv_id", "role", "text", "turn"), flat=("turn", "role", "text")),
+    Layout("turn_rows", ("role", "text", "turn"), flat=("turn", "role", "text")),
     Layout("messages", ("messages[].content", "messages[].role"), each=("messages", "role", "content")),
     Layout("from_value", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value")),
     Layout("prompt_messages", ("prompt[].content", "prompt[].role"), each=("prompt", "role", "content")),
@@ -95,8 +95,8 @@ def _turns(layout: Layout, field, array) -> Column:
 
 def recognised(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
     """The layout whose fingerprint the frame's known paths have."""
-    known = set(known_paths(layouts))
-    found = fingerprint(p for p in schema_paths(schema) if p in known)
+    known, own = set(known_paths(layouts)), set(schema_paths(schema))
+    found = fingerprint(own & known)
     return {fingerprint(layout.paths): layout for layout in layouts}.get(found)
 
 
@@ -123,7 +123,8 @@ def json_fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> C
         value = F.get_json_object(record, f"$.{name}")
         return F.array_contains(F.json_object_keys(record), name) & ~F.coalesce(value.startswith("["), F.lit(False))
 
-    found = F.array(*[F.when(F.coalesce(present(path), F.lit(False)), F.lit(path)) for path in known_paths(layouts)])
+    nested = tuple(layout for layout in layouts if not layout.flat)
+    found = F.array(*[F.when(F.coalesce(present(path), F.lit(False)), F.lit(path)) for path in known_paths(nested)])
     return F.sha2(F.array_join(found, "\n"), 256)
 
 

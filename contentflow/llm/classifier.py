@@ -74,17 +74,21 @@ def chunk_starts(blocks: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, last + 1, HOP // BLOCK), last))
 
 
-def convolved(net: Net, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cells = net.embed[flat].reshape(-1, STEP * EMBED)
+def convolved(net: Net, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of four embedded bytes, the number of the cell after each, and the filter values; after a text's last cell comes an empty one."""
+    cells = net.embed[np.append(flat, np.zeros(STEP, np.uint8))].reshape(-1, STEP * EMBED)
+    after = np.arange(1, len(cells))
+    last = first[1:] * (BLOCK // STEP) - 1
+    after[last] = len(cells) - 1
     both = cells @ np.concatenate([net.taps[0], net.taps[1]], axis=1)
-    out = both[:, :FILTERS]
-    out[:-1] += both[1:, FILTERS:]
-    return cells, out
+    out = both[:-1, :FILTERS] + both[1:, FILTERS:]
+    out[last] = both[last, :FILTERS] + both[-1, FILTERS:]
+    return cells, after, out
 
 
 def pooled(net: Net, flat: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Per text: chunks x FILTERS, the largest filter values."""
-    _, out = convolved(net, flat)
+    *_, out = convolved(net, flat, first)
     blocks = out.reshape(-1, BLOCK // STEP, FILTERS).max(axis=1)
     found = []
     for a, b in zip(first, first[1:], strict=False):
@@ -99,7 +103,7 @@ def probability(net: Net, largest: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def scores(net: Net, texts: list[bytes]) -> np.ndarray:
-    """Scores of whole texts; a text longer than a piece is scored piece by piece, the pooled values combined."""
+    """Scores of whole texts; of a text longer than a piece, the pooled values of the chunks of its pieces are combined."""
     out = np.zeros(len(texts))
     group: list[int] = []
 
@@ -113,12 +117,12 @@ def scores(net: Net, texts: list[bytes]) -> np.ndarray:
     for i, text in enumerate(texts):
         if len(text) > PIECE:
             largest, total, count = np.zeros(FILTERS), np.zeros(FILTERS), 0
-            # Pieces start where a chunk starts; the filter that spans a border is in the overlap.
+            # Pieces overlap as chunks do, so what spans a border is within one of them.
             step = PIECE // HOP * HOP
             for at in range(0, len(text), step):
                 p = np.maximum(pooled(net, *laid_out([text[at : at + step + CHUNK - HOP]]))[0] + net.shift, 0)
                 largest, total, count = np.maximum(largest, p.max(axis=0)), total + p.sum(axis=0), count + len(p)
-            out[i] = probability(net, largest, total / count)[()]
+            out[i] = probability(net, largest, total / count)[0]
             continue
         if held + len(text) > PIECE:
             flush()
@@ -140,7 +144,7 @@ def sampled_chunks(text: bytes, limit: int = SAMPLE_CHUNKS) -> bytes:
 
 def _gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> tuple[list[np.ndarray], float]:
     flat, first = laid_out(texts)
-    cells, out = convolved(net, flat)
+    cells, after, out = convolved(net, flat, first)
     per = CHUNK // STEP
     spans = [a + chunk_starts(b - a) for a, b in zip(first, first[1:], strict=False)]
     counts = np.array([len(s) for s in spans])
@@ -161,11 +165,11 @@ def _gradients(net: Net, texts: list[bytes], labels: np.ndarray) -> tuple[list[n
     back = (to_mean / counts[:, None])[owner] + np.where(active == largest[owner], to_largest[owner], 0)
     back = np.where(pool > 0, back, 0).astype(np.float32)
     place = start[:, None] + best  # row of cells of each pooled value
-    left, right = cells[place], cells[np.minimum(place + 1, len(cells) - 1)]
+    left, right = cells[place], cells[after[place]]
     to_taps = np.stack([np.einsum("cfk,cf->kf", left, back), np.einsum("cfk,cf->kf", right, back)])
     to_embed = np.zeros_like(net.embed)
-    groups = flat.reshape(-1, STEP)
-    for half, at in ((0, place), (1, np.minimum(place + 1, len(cells) - 1))):
+    groups = np.append(flat, np.zeros(STEP, np.uint8)).reshape(-1, STEP)
+    for half, at in ((0, place), (1, after[place])):
         grad = (back[:, :, None] * net.taps[half].T[None]).reshape(-1, STEP, EMBED)
         np.add.at(to_embed, groups[at.reshape(-1)], grad)
     loss = float(-np.mean(labels * np.log(p + 1e-9) + (1 - labels) * np.log(1 - p + 1e-9)))
