@@ -4,8 +4,10 @@ Counts of all n-grams up to the order are tables partitioned by hash; the
 n-grams of the documents are joined to them and the logs summed per document.
 Both sides travel packed (see ``exchange``): a bucket of documents sends each
 partition its distinct n-grams with their counts, the partition adds up over all
-buckets and answers with what the others have. A document's own counts are then
-taken off, so a text is scored by the rest of the corpus and back-off happens.
+buckets and answers, in the same order, with what the others have. A document's
+own counts are then taken off, so a text is scored by the rest of the corpus and
+back-off happens. Words and pairs go first; a longer n-gram occurs elsewhere only
+if both its parts do, so only those are asked for in the next round.
 
 For a word with its context: count(context, word) / count(context) where the
 n-gram occurs elsewhere, else ``ALPHA`` times the score with a context shorter
@@ -33,10 +35,42 @@ from contentflow.llm.tables import written
 ORDER, ALPHA = 3, 0.4
 
 
-def occurrences(words: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Places at which n-grams of each size start, and all their hashes one size after the other."""
-    places = [hashing.starts(first, n) for n in range(1, order + 1)]
-    return places, np.concatenate([hashing.ngrams(words, n)[p] for n, p in enumerate(places, 1)])
+class Counts:
+    """How often other documents have the n-grams that start at each word of a bucket, filled round by round."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        self.words, self.first = hashing.word_hashes(texts)
+        self.sizes = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.counts = [np.zeros(len(self.words), np.int64) for _ in range(order)]
+
+    def ask(self, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of these sizes that may occur elsewhere, sorted, and how often the bucket has each."""
+        self.places = []
+        for n in sizes:
+            place = hashing.starts(self.first, n)
+            if n > 2:
+                known = self.counts[n - 2] > 0
+                place = place[known[place] & known[place + 1]]
+            self.places.append(place)
+        self.asked = sizes
+        grams = np.concatenate([hashing.ngrams(self.words, n)[p] for n, p in zip(sizes, self.places, strict=True)])
+        found, self.where, self.times = np.unique(grams, return_inverse=True, return_counts=True)
+        return found, self.times
+
+    def told(self, others: np.ndarray) -> None:
+        """Take the counts of the other buckets, add the bucket's own and take off each document's."""
+        total = (self.times + others)[self.where]
+        own = np.concatenate([self.owner[p] for p in self.places]) * np.int64(len(self.times) + 1) + self.where
+        _, again, times = np.unique(own, return_inverse=True, return_counts=True)
+        left, at = total - times[again], 0
+        for n, place in zip(self.asked, self.places, strict=True):
+            self.counts[n - 1][place] = left[at : at + len(place)]
+            at += len(place)
+
+
+def rounds(order: int) -> list[tuple[int, ...]]:
+    return [tuple(range(1, min(order, 2) + 1)), *[(n,) for n in range(3, order + 1)]]
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -64,46 +98,43 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str =
         # By the high bits, so that sorted hashes come partition by partition.
         return ((h >> U(32)) * U(count) >> U(32)).astype(np.int64)
 
-    def ask(bucket: int, rows: pd.DataFrame) -> pd.DataFrame:
-        words, first = hashing.word_hashes(exchange.texts(rows)[1])
-        grams, times = np.unique(occurrences(words, first, order)[1], return_counts=True)
-        sent = [(p, bucket, hashing.packed(g), planes(t)) for p, g, t in exchange.split(part_of(grams), grams, times)]
-        return pd.DataFrame(sent, columns=["part", "bucket", "grams", "times"])
-
-    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        grams, times = [unpacked(g) for g in rows["grams"]], [unplaned(t) for t in rows["times"]]
-        total, where = np.unique(np.concatenate(grams), return_inverse=True)
-        summed = np.bincount(where, weights=np.concatenate(times), minlength=len(total))
-        out, at = [], 0
-        for bucket, g, t in zip(rows["bucket"], grams, times, strict=True):
-            others = summed[where[at : at + len(g)]].astype(np.int64) - t
-            at += len(g)
-            if others.any():
-                out.append((bucket, hashing.packed(g[others > 0]), planes(others[others > 0])))
-        return pd.DataFrame(out, columns=["bucket", "grams", "others"])
+    def replayed(texts: list[bytes], answers: pd.DataFrame, known: int) -> Counts:
+        """The counts after the first so many rounds."""
+        state = Counts(texts, order)
+        for number, sizes in enumerate(rounds(order)[:known]):
+            grams, _ = state.ask(sizes)
+            edges = np.searchsorted(part_of(grams), np.arange(count + 1))
+            others = np.zeros(len(grams), np.int64)
+            given = answers[answers["round"] == number]
+            for part, values in zip(given["part"], given["others"], strict=True):
+                others[edges[part] : edges[part + 1]] = unplaned(values)
+            state.told(others)
+        return state
+
+    def sent(bucket: int, state: Counts, number: int) -> pd.DataFrame:
+        grams, times = state.ask(rounds(order)[number])
+        rows = [(p, bucket, hashing.packed(g), planes(t)) for p, g, t in exchange.split(part_of(grams), grams, times)]
+        return pd.DataFrame(rows, columns=["part", "bucket", "grams", "times"])
+
+    def add_up(number: int):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            grams, times = [unpacked(g) for g in rows["grams"]], [unplaned(t) for t in rows["times"]]
+            total, where = np.unique(np.concatenate(grams), return_inverse=True)
+            summed = np.bincount(where, weights=np.concatenate(times), minlength=len(total))
+            out, at = [], 0
+            for part, bucket, t in zip(rows["part"], rows["bucket"], times, strict=True):
+                others = summed[where[at : at + len(t)]].astype(np.int64) - t
+                at += len(t)
+                if others.any():
+                    out.append((bucket, part, number, planes(others)))
+            return pd.DataFrame(out, columns=["bucket", "part", "round", "others"])
+
+        return run
 
     def score(bucket: int, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, texts = exchange.texts(rows)
-        words, first = hashing.word_hashes(texts)
-        sizes = np.diff(first)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        places, grams = occurrences(words, first, order)
-        found, where = np.unique(grams, return_inverse=True)
-        total = np.bincount(where, minlength=len(found))
-        if len(answers):
-            given = np.concatenate([unpacked(g) for g in answers["grams"]])
-            total[np.searchsorted(found, given)] += np.concatenate([unplaned(t) for t in answers["others"]])
-        # A document's own occurrences of each of its n-grams, counted among equal (document, n-gram) numbers.
-        own = np.concatenate([owner[p] for p in places]) * np.int64(len(found) + 1) + where
-        _, again, times = np.unique(own, return_inverse=True, return_counts=True)
-        others = total[where] - times[again]
-        # counts[n - 1][i]: how often other documents have the n words that start at word i.
-        counts, at = [], 0
-        for p in places:
-            c = np.zeros(len(words), np.int64)
-            c[p] = others[at : at + len(p)]
-            counts.append(c)
-            at += len(p)
+        state = replayed(texts, answers, len(rounds(order)))
+        words, first, sizes, owner, counts = state.words, state.first, state.sizes, state.owner, state.counts
         inside = np.arange(len(words)) - first[owner]
         log, open_ = np.zeros(len(words)), np.ones(len(words), bool)
         for n in range(order, 1, -1):
@@ -119,8 +150,20 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str =
         single = np.bincount(owner, weights=open_, minlength=len(sizes)).astype(np.int64)
         return pd.DataFrame({"doc_id": rows["doc_id"], "n_words": sizes, "log_sum": sums, "n_single": single})
 
-    counted = exchange.answered(exchange.asked(rows, ask, "grams binary, times binary"), add_up, "bucket int, grams binary, others binary")
-    sums = written(exchange.restored(exchange.met(rows, counted, score, "doc_id bigint, n_words bigint, log_sum double, n_single bigint")), "lm")
+    answers, schema = None, "part int, bucket int, grams binary, times binary"
+    for number in range(len(rounds(order))):
+        if answers is None:
+            asked = exchange.asked(rows, lambda bucket, rows: sent(bucket, Counts(exchange.texts(rows)[1], order), 0), "grams binary, times binary")
+        else:
+
+            def ask(bucket: int, rows: pd.DataFrame, told: pd.DataFrame, number: int = number) -> pd.DataFrame:
+                return sent(bucket, replayed(exchange.texts(rows)[1], told, number), number)
+
+            asked = exchange.met(rows, answers, ask, schema)
+        told = exchange.answered(asked, add_up(number), "bucket int, part int, round int, others binary")
+        answers = told if answers is None else answers.unionByName(told)
+    sums = exchange.met(rows, answers, score, "doc_id bigint, n_words bigint, log_sum double, n_single bigint")
+    sums = written(exchange.restored(sums), "lm")
     whole = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     others = F.greatest(F.lit(whole) - F.col("n_words"), F.lit(1))
     mean = (F.col("log_sum") - F.col("n_single") * F.log(others.cast("double"))) / F.col("n_words")
