@@ -10,20 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-SPLIT_BYTES = 32 * 1024 * 1024
+#: Tasks that work on texts is dealt out to; not set on a cluster, whose inputs have splits enough.
+TEXT_TASKS = "spark.contentflow.text.tasks"
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share of a small input.
+def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deal rows out evenly to ``tasks``, or to as many as the session names; without either they stay where they were read.
 
-    Work on texts is bound by the processor, not by reading: an input of a few
-    files would keep most cores idle. A large one has splits enough and is left
-    as it is, so nothing is shuffled for it.
+    Work on texts is bound by the processor, not by reading. Whoever runs a job
+    on a few files asks for this; it is never decided by the size of the input.
     """
-    context = rows.sparkSession.sparkContext
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(str(size)) < context.defaultParallelism * SPLIT_BYTES
-    return rows.repartition(context.defaultParallelism) if small else rows
+    named = rows.sparkSession.conf.get(TEXT_TASKS, None)
+    count = tasks or (int(named) if named else None)
+    return rows.repartition(count) if count else rows
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -25,19 +25,17 @@ REDACT_URL = r"(?i)https?://[^\s'\"<>]+"
 REDACT_SECRET = (
     r"(?i)\b(access[_-]?token|api[_-]?key|client[_-]?secret|token|secret|signature|sig)\s*[=:]\s*[^\s,;]+"
 )
-MATH_PAIR = r"(?<!\\)\$([^$\r\n]{1,400})\$"
+MATH_PAIR = r"(?<!\\)\$([^$\r\n]+)\$"
 MATH_COMMAND = r"\\[A-Za-z]+"
 MATH_SCRIPT = r"[A-Za-zα-ωΑ-Ω0-9)}\]]\s*[_^]\s*(?:\{[^}\r\n]+\}|[A-Za-zα-ωΑ-Ω0-9])"
 MATH_OPERATOR = r"[=<>±÷]"
 MATH_SYMBOL = r"^[A-Za-zα-ωΑ-Ω][A-Za-z0-9α-ωΑ-Ω]*$"
 SENTENCE_LIKE = r"(?:^|[.!?])\s+(?:@|https?://|[A-Z])"
-RAW_TEX = r"\\(?:[A-Za-z]+|[{}\[\]\\])[^\s<]{0,180}"
+RAW_TEX = r"\\(?:[A-Za-z]+|[{}\[\]\\])[^\s<]*"
 DOI = r"^10\.\d{4,9}/.+"
 ORCID = r"(?i)^\d{4}-\d{4}-\d{4}-[\dX]{4}$"
-EXCERPT_LIMIT = 18_000
-TITLE_LIMIT = 600
-SOURCE_LIMIT = 200
-SELECTION_LIMIT = 2_000
+EXCERPT_LENGTH = 18_000
+SELECTION_LENGTH = 2_000
 # ---------------------------------------------------------------------------
 
 DAY_MS = 86_400_000
@@ -48,9 +46,14 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
+def compact(text: Column) -> Column:
+    """Collapsed text, null when empty. Stored texts are kept whole; ``shortened`` cuts one for display."""
+    return blank_to_null(collapse(text))
+
+
 @remembered
-def compact(text: Column, limit: int = 500) -> Column:
-    """Collapsed text, null when empty, cut to ``limit`` code points with an ellipsis."""
+def shortened(text: Column, limit: int) -> Column:
+    """Collapsed text for display: null when empty, cut to ``limit`` code points with an ellipsis."""
 
     def cut(clean: Column) -> Column:
         short = F.concat(F.substring(clean, 1, limit - 1), F.lit(ELLIPSIS))
@@ -255,13 +258,19 @@ def tex_links(html: Column) -> Column:
     return F.regexp_replace(bare, r"\\url\{(https?://[^}\s]+)\}", '<a href="$1">$1</a>')
 
 
-def excerpt(text: Column, limit: int = EXCERPT_LIMIT) -> Column:
-    """Tag-free, collapsed text of at most ``limit`` code points; null when empty."""
-    return blank_to_null(F.substring(collapse(strip_tags(text)), 1, limit))
+def excerpt_parts(text: Column, length: int = EXCERPT_LENGTH) -> Column:
+    """Tag-free, collapsed text as an array of pieces of ``length`` code points; null when empty."""
 
+    def cut(clean: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(clean), F.lit(length))
+        return F.when(clean != "", F.transform(starts, lambda at: F.substr(clean, at, F.lit(length))))
 
-def _known(text: Column) -> Column:
-    return blank_to_null(collapse(text))
+    return let(collapse(strip_tags(text)), cut)
+
+
+def selection(text: Column, length: int = SELECTION_LENGTH) -> Column:
+    """What a reader marked, as the same kind of pieces."""
+    return excerpt_parts(text, length)
 
 
 def normal_doi(value: Column) -> Column:
@@ -299,7 +308,7 @@ def largest_srcset(value: Column) -> Column:
     return F.when(value != "", best["url"])
 
 
-def category_label(value: Column, limit: int = 60) -> Column:
+def category_label(value: Column) -> Column:
     """Collapsed folder label; null when empty. Check ``category_too_long`` to reject long ones."""
     return blank_to_null(collapse(value))
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from contentflow.functions import text
 from contentflow.functions.binding import staged
+from contentflow.operators.ranking import ranked
 from contentflow.operators.timeline import timeline_order
 
 # --- fixed values -----------------------------------------------------------
-SAMPLE_POOL = 200
-FULL_POOL = 10_000
 SHORT_TEXT = 180
 LENIENT_KINDS = ["zhihu_follow", "academic"]
 LENIENT_MODES = ["feed_body", "feed_summary"]
@@ -44,17 +43,17 @@ def _id_number(source_id: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda total, code: total + code)
 
 
-def audit_samples(entries: DataFrame, all_entries: bool = False) -> DataFrame:
+def audit_samples(entries: DataFrame, all_entries: bool = False, pool: int | None = None) -> DataFrame:
     """Newest and one fixed older entry per source, or all of them.
 
-    Ranking stops at the pool size, so map tasks drop everything older before
-    the shuffle and the size of a source does not matter.
+    The older one is drawn from the whole source, or from its newest ``pool``
+    entries if the caller asks for that.
     """
-    pool = FULL_POOL if all_entries else SAMPLE_POOL
-    ranked = top_per_group(entries, ["source_id"], timeline_order(), pool)
+    placed = ranked(entries, ["source_id"], timeline_order()) if pool is None else top_per_group(entries, ["source_id"], timeline_order(), pool)
     if all_entries:
-        return ranked.withColumn("sample", F.lit("all"))
-    counted = ranked.withColumn("available", F.count("*").over(Window.partitionBy("source_id")))
+        return placed.withColumn("sample", F.lit("all"))
+    sizes = placed.groupBy("source_id").agg(F.count("*").alias("available"))
+    counted = placed.join(sizes, "source_id")
     others = F.col("available") - 1
     offset = F.when(others > 0, F.pmod(_id_number(F.col("source_id")), F.greatest(others, F.lit(1))))
     historical = F.least(others, F.lit(1) + offset) + 1
@@ -68,9 +67,6 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int,
     A group is first cut to ``k`` rows inside each of ``salts`` slices, so the
     final ranking sees at most ``salts * k`` rows of one group.
     """
-    if k <= 1_000:  # the planner prunes to k rows per map task by itself
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        return ranked.where(F.col("rank") <= k)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
     cut = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(*order)))
     last = cut.where(F.col("rank") <= k).drop("salt", "rank")

@@ -9,9 +9,11 @@ third of the log is summed by every map task instead of replayed by one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contentflow.operators.ranking import ranked
+
 # --- fixed values -----------------------------------------------------------
 PAUSE_AFTER = 5
 REVIEW_AFTER_EMPTY = 3
@@ -21,7 +23,6 @@ MIN_INTERVAL_MINUTES = 5
 DEFAULT_INTERVAL_MINUTES = 30
 DEFAULT_SPREAD_MINUTES = 31
 JITTER = 0.1
-MESSAGE_LIMIT = 300
 DUE_STATUSES = ["active", "error"]
 INTERVALS = [30, 60, 120, 240, 720, 1440]
 # ---------------------------------------------------------------------------
@@ -154,7 +155,7 @@ def health_of(summary: DataFrame, sources: DataFrame) -> DataFrame:
         status.alias("status"),
         F.col("failures").alias("failure_count"),
         F.col("empties").alias("consecutive_empty"),
-        F.when(failed, F.substring("last_message", 1, MESSAGE_LIMIT)).alias("last_error"),
+        F.when(failed, F.col("last_message")).alias("last_error"),
         F.col("last_at").alias("last_checked_at"),
         F.when(failed, retry).otherwise(scheduled).alias("next_check_at"),
     )
@@ -169,24 +170,17 @@ def due_sources(sources: DataFrame, as_of: int) -> DataFrame:
     return sources.where(due).orderBy("next_check_at", "id")
 
 
-def fetch_plan(due: DataFrame, host: Column, lanes: int = 2, slice_ms: int = 60_000) -> DataFrame:
+def fetch_plan(due: DataFrame, host: Column, lanes: int = 2) -> DataFrame:
     """Place of every due source in its host's serial queue, and the lane of that host.
 
-    One host may own a third of the sources, so the queue position is not
-    ranked in one window per host: sources are ranked inside short time slices
-    and shifted by the number of sources in the host's earlier slices.
+    One host may own a third of the sources, all due at one instant, so a
+    queue is not ranked in one task (see ``ranking``).
     """
-    sliced = due.withColumns({"host": host, "slice": F.floor(F.col("next_check_at") / slice_ms)})
-    in_slice = sliced.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("host", "slice").orderBy("next_check_at", "id"))
-    )
-    sizes = sliced.groupBy("host", "slice").agg(F.count("*").alias("size"))
-    earlier = Window.partitionBy("host").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = sizes.select("host", "slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("shift"))
-    return in_slice.join(shifted, ["host", "slice"]).select(
+    queued = ranked(due.withColumn("host", host), ["host"], [F.col("next_check_at"), F.col("id")], "wave")
+    return queued.select(
         F.col("id").alias("source_id"),
         "host",
-        (F.col("rank") + F.col("shift")).cast("bigint").alias("wave"),
+        "wave",
         F.pmod(portable_hash(F.col("host")), F.lit(lanes)).cast("bigint").alias("lane"),
         "next_check_at",
     )

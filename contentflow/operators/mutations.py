@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contentflow import schemas
 from contentflow.functions import text, urls
-from contentflow.operators.health import INTERVALS, MESSAGE_LIMIT, next_check
+from contentflow.operators.health import INTERVALS, next_check
 from contentflow.operators.merge import first_by_key
 from contentflow.schemas import ENTRIES, State
 
@@ -289,7 +289,7 @@ def pause_sources(state: State, reasons: DataFrame, as_of: int) -> State:
             "status": F.when(hit, F.lit("paused")).otherwise(F.col("status")),
             "polling_enabled": F.col("polling_enabled") & ~hit,
             "next_check_at": F.when(~hit, F.col("next_check_at")),
-            "last_error": F.when(hit, F.substring("reason", 1, MESSAGE_LIMIT)).otherwise(F.col("last_error")),
+            "last_error": F.when(hit, F.col("reason")).otherwise(F.col("last_error")),
             "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
         }
     )

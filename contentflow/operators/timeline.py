@@ -9,8 +9,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LIMIT = 10_000
-DEFAULT_LIMIT = 200
+from contentflow.operators.ranking import ranked
+
 VIEWS = ("all", "today", "unread", "favorite")
 TIMELINE_KEYS = ("published_at", "observed_at", "created_at")
 
@@ -52,10 +52,9 @@ def timeline_order() -> list[Column]:
     ]
 
 
-def clamp_limit(limit: float | None) -> int | None:
-    if limit is None or not math.isfinite(limit):
-        return None
-    return max(1, min(MAX_LIMIT, math.floor(limit)))
+def whole_limit(limit: float | None) -> int | None:
+    """A row count of at least one; none for a limit that is no number."""
+    return max(1, math.floor(limit)) if finite(limit) else None
 
 
 def check_arguments(limit=None, start_at=None, end_at=None) -> None:
@@ -87,7 +86,7 @@ def timeline(
 ) -> DataFrame:
     rows = of_source(entries, origins, source_id) if source_id else entries
     ordered = rows.where(in_range(start_at, end_at)).orderBy(*timeline_order())
-    bounded = clamp_limit(limit)
+    bounded = whole_limit(limit)
     return ordered.limit(bounded) if bounded else ordered
 
 
@@ -103,19 +102,19 @@ def day_bounds(as_of: int, tz: str = "UTC") -> tuple[int, int]:
 
 
 def library_view(
-    entries: DataFrame, origins: DataFrame, view: str, source_id: str | None, as_of: int, tz: str = "UTC"
+    entries: DataFrame, origins: DataFrame, view: str, source_id: str | None, as_of: int, tz: str = "UTC", limit: int | None = None
 ) -> DataFrame:
-    """One of the four library views; flags are filtered before the sort, not after it."""
+    """One of the four library views, whole or its first ``limit`` rows; flags are filtered before the sort, not after it."""
     if view not in VIEWS:
         raise ValueError(f"unknown view {view}")
     if view == "today":
         start, end = day_bounds(as_of, tz)
-        return timeline(entries, origins, source_id, start, end)
+        return timeline(entries, origins, source_id, start, end, limit)
     if view == "unread":
-        return timeline(entries.where(~F.col("is_read")), origins)
+        return timeline(entries.where(~F.col("is_read")), origins, limit=limit)
     if view == "favorite":
-        return timeline(entries.where("is_favorite"), origins, source_id)
-    return timeline(entries, origins, source_id, limit=DEFAULT_LIMIT)
+        return timeline(entries.where("is_favorite"), origins, source_id, limit=limit)
+    return timeline(entries, origins, source_id, limit=limit)
 
 
 def library_counts(entries: DataFrame, as_of: int, tz: str = "UTC") -> DataFrame:
@@ -127,27 +126,23 @@ def library_counts(entries: DataFrame, as_of: int, tz: str = "UTC") -> DataFrame
     )
 
 
-def nest_origins(origins: DataFrame, per_row: int = 1_000) -> DataFrame:
+def nest_origins(origins: DataFrame, per_row: int | None = None) -> DataFrame:
     """Origins as an array per entry, oldest first.
 
-    An entry seen by very many sources would make one array of unbounded size,
-    so such an entry is spread over ``parts`` rows (``part`` 0, 1, …) of about
-    ``per_row`` origins each. Nothing is dropped; ordinary entries have one row.
+    A caller that cannot take an array of any length asks for ``per_row``: an
+    entry then has several rows (``part`` 0, 1, …), each the next slice in time.
     """
     hit = F.struct(
         "observed_at", "source_id", "provider_id", "external_id", "provider_label", "original_url"
     )
-    totals = origins.groupBy("entry_id").agg(F.ceil(F.count("*") / F.lit(per_row)).cast("int").alias("parts"))
-    big = totals.where(F.col("parts") > 1)
-    placed = origins.join(big, "entry_id", "left").withColumns(
-        {
-            "parts": F.coalesce("parts", F.lit(1)),
-            "part": F.coalesce(
-                F.pmod(F.xxhash64("source_id", "provider_id", "external_id"), F.col("parts")).cast("int"), F.lit(0)
-            ),
-        }
-    )
-    return placed.groupBy("entry_id", "parts", "part").agg(F.sort_array(F.collect_list(hit)).alias("origins"))
+    nested = F.sort_array(F.collect_list(hit)).alias("origins")
+    if per_row is None:
+        return origins.groupBy("entry_id").agg(nested).select("entry_id", F.lit(1).alias("parts"), F.lit(0).alias("part"), "origins")
+    order = [F.col(c) for c in ("observed_at", "source_id", "provider_id", "external_id", "provider_label", "original_url")]
+    placed = ranked(origins, ["entry_id"], order).withColumn("part", F.floor((F.col("rank") - 1) / per_row).cast("int"))
+    sliced = placed.groupBy("entry_id", "part").agg(nested)
+    parts = placed.groupBy("entry_id").agg((F.max("part") + 1).alias("parts"))
+    return sliced.join(parts, "entry_id").select("entry_id", "parts", "part", "origins")
 
 
 def with_origins(entries: DataFrame, origins: DataFrame) -> DataFrame:

@@ -38,7 +38,11 @@ def collapse(text: str) -> str:
     return f"trim(regexp_replace({text}, '{WS}', ' ', 'g'), ' ')"
 
 
-def compact(text: str, limit: int) -> str:
+def compact(text: str) -> str:
+    return f"nullif({collapse(text)}, '')"
+
+
+def shortened(text: str, limit: int) -> str:
     clean = collapse(text)
     return f"CASE WHEN {clean} = '' THEN NULL WHEN length({clean}) > {limit} THEN substr({clean}, 1, {limit - 1}) || '…' ELSE {clean} END"
 
@@ -114,7 +118,7 @@ FROM orders"""
 ORACLES["published_days"] = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 OR year(o_orderdate) < 2000 THEN NULL ELSE epoch_ms(date_trunc('day', o_orderdate)::TIMESTAMP) END AS published_at FROM orders"""
 
-ORACLES["compact_text"] = f"SELECT doc_id, {compact('text', 240)} AS title, {compact('text', 500)} AS summary FROM documents"
+ORACLES["compact_text"] = f"SELECT doc_id, md5({compact('text')}) AS whole_md5, {shortened('text', 240)} AS title, {shortened('text', 500)} AS summary FROM documents"
 
 SECRET = r"(?i)\b(access[_-]?token|api[_-]?key|client[_-]?secret|token|secret|signature|sig)\s*[=:]\s*[^\s,;]+"
 ORACLES["redacted_text"] = rf"""
@@ -135,9 +139,11 @@ WITH found AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\$([^$\r\
  hit AS (SELECT doc_id, i, f FROM judged WHERE (command OR script OR operator OR symbol) AND NOT (sentence AND NOT command))
 SELECT d.doc_id, count(hit.i) AS leaked, coalesce(arg_min('$' || f || '$', i), '') AS first FROM documents d LEFT JOIN hit ON hit.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-EXCERPT = f"substr({collapse(chr(39).join(['regexp_replace(text, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))}, 1, 18000)"
+EXCERPT = collapse("regexp_replace(text, '<[^>]*>', ' ', 'g')")
 ORACLES["model_excerpt"] = f"""
-SELECT doc_id, source AS source_title, md5(e) AS excerpt_md5, length(e) AS n_chars FROM (SELECT doc_id, source, {EXCERPT} AS e FROM documents) WHERE e <> ''"""
+SELECT doc_id, part, source AS source_title, md5(p) AS excerpt_md5, length(p) AS n_chars FROM (
+ SELECT doc_id, source, part, substr(e, part * 18000 + 1, 18000) AS p FROM (
+  SELECT doc_id, source, e, unnest(range(0, (length(e) + 17999) // 18000)) AS part FROM (SELECT doc_id, source, {EXCERPT} AS e FROM documents)))"""
 
 ORACLES["failure_classes"] = f"""
 SELECT event_id, 'u' || user_id AS source_id, {pick(["proxy", "dns", "timeout", "other"], "event_id")} AS failure_class FROM events WHERE event_type = 'error'"""
@@ -165,7 +171,7 @@ ORACLES["entries_upsert"] = f"WITH {DOCS} {upsert()}"
 ORACLES["entries_upsert_two_batches"] = f"WITH {DOCS} {upsert('(seq % 2) * 1000000000 + seq')}"
 ORACLES["pages_upsert"] = f"""
 SELECT canonical_url, arg_min(url, page_id) AS original_url, arg_max(title, page_id) AS title, {AS_OF} + min(page_id) AS observed_at FROM (
-  SELECT page_id, url, {canon('url')} AS canonical_url, {compact("replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')", 180)} AS title FROM pages)
+  SELECT page_id, url, {canon('url')} AS canonical_url, {compact("replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')")} AS title FROM pages)
 GROUP BY canonical_url"""
 ORACLES["new_entries"] = f"""WITH {DOCS}, first AS ({upsert(where='seq % 3 = 0')}),
  gone AS (SELECT canonical_url FROM first WHERE author = 'en')
@@ -212,7 +218,7 @@ ORACLES["source_health"] = f"""WITH {RUNS},
  st AS (SELECT *, CASE WHEN outcome = 'failure' AND failures >= 5 THEN 'paused' WHEN outcome = 'failure' THEN 'error'
    WHEN kind = 'generic' AND empties >= 3 THEN 'needs_review' ELSE 'active' END AS status FROM last)
 SELECT source_id, status, CASE WHEN outcome = 'failure' THEN failures ELSE 0 END::BIGINT AS failure_count, empties::BIGINT AS consecutive_empty,
-  CASE WHEN outcome = 'failure' THEN substr(message, 1, 300) END AS last_error, created_at AS last_checked_at,
+  CASE WHEN outcome = 'failure' THEN message END AS last_error, created_at AS last_checked_at,
   CASE status WHEN 'error' THEN created_at + least(21600000, 300000 * 2 ** (failures - 1))::BIGINT
     WHEN 'active' THEN CASE WHEN k % 7 <> 0 THEN created_at + {refresh('source_id', 'created_at', 'minutes')} END END AS next_check_at FROM st"""
 ORACLES["run_log_latest"] = f"WITH {RUNS} SELECT id, source_id, outcome, created_at FROM run ORDER BY created_at DESC, id DESC LIMIT 100"
@@ -275,7 +281,7 @@ ORACLES["settings_subscriptions"] = f"""WITH {SOURCES}, {SETTINGS}
 SELECT id AS source_id, CASE WHEN moved THEN new_kind ELSE connector_id END AS connector_id, CASE WHEN NOT moved THEN 'acc' END AS account_id, id LIKE '%1' AND NOT moved AS marked FROM done"""
 ORACLES["pause_sources"] = f"""WITH {SOURCES}
 SELECT id, CASE WHEN kind = 'x' THEN 'paused' ELSE status END AS status, polling_enabled AND kind <> 'x' AS polling_enabled, CASE WHEN kind <> 'x' THEN next_check_at END AS next_check_at,
-  CASE WHEN kind = 'x' THEN substr(repeat('gone ', 80), 1, 300) END AS last_error FROM src"""
+  CASE WHEN kind = 'x' THEN repeat('gone ', 80) END AS last_error FROM src"""
 ORACLES["subscription_upsert"] = f"""WITH {SOURCES}, ch AS (SELECT 's' || o_custkey % 150 AS source_id, o_orderkey AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 150 ORDER BY o_orderkey DESC) = 1)
 SELECT coalesce(src.id, ch.source_id) AS source_id, coalesce(src.id, 'sub' || ch.k) AS id, CASE WHEN ch.k IS NOT NULL THEN 't' || ch.k END AS target_id,
   CASE WHEN ch.k IS NULL THEN 'acc' END AS account_id, coalesce(src.created_at, ch.k) AS created_at, coalesce(ch.k, src.updated_at) AS updated_at FROM src FULL JOIN ch ON ch.source_id = src.id"""

@@ -123,9 +123,10 @@ def published_days(spark, sf):
 
 @query
 def compact_text(spark, sf):
-    """Collapsed documents as list cards show them: title and summary lengths."""
+    """Collapsed documents whole, and as list cards show them."""
+    body = F.col("text")
     return table(spark, sf, "documents").select(
-        "doc_id", text.compact(F.col("text"), 240).alias("title"), text.compact(F.col("text"), 500).alias("summary")
+        "doc_id", F.md5(text.compact(body)).alias("whole_md5"), text.shortened(body, 240).alias("title"), text.shortened(body, 500).alias("summary")
     )
 
 
@@ -159,11 +160,12 @@ def paired_tex(spark, sf):
 
 @query
 def model_excerpt(spark, sf):
-    """Bounded excerpts of whole documents; documents without text are left out."""
-    made = staged(table(spark, sf, "documents").select("doc_id", "source", "text"), excerpt=text.excerpt(F.col("text")))
-    return made.where(F.col("excerpt").isNotNull()).select(
+    """Whole documents as numbered excerpts of bounded length; documents without text are left out."""
+    made = staged(table(spark, sf, "documents").select("doc_id", "source", "text"), parts=text.excerpt_parts(F.col("text")))
+    return made.select("doc_id", "source", F.posexplode("parts").alias("part", "excerpt")).select(
         "doc_id",
-        F.substring(text.collapse(F.col("source")), 1, text.SOURCE_LIMIT).alias("source_title"),
+        F.col("part").cast("bigint").alias("part"),
+        text.collapse(F.col("source")).alias("source_title"),
         F.md5("excerpt").alias("excerpt_md5"),
         F.length("excerpt").cast("bigint").alias("n_chars"),
     )

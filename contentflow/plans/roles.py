@@ -182,7 +182,7 @@ def page_items(pages: DataFrame) -> DataFrame:
         source_id=urls.url_origin(F.col("url")),
         seq=F.col("page_id"),
         url=F.col("url"),
-        title=text.compact(title, 180),
+        title=text.compact(title),
         observed_at=F.lit(AS_OF) + F.col("page_id"),
     )
 

@@ -26,7 +26,7 @@ FEED_URL = "'https://news.example.org/' || d || '/' || doc || '.xml'"
 ORACLES["feed_sniff"] = f"""WITH {FEED}
 SELECT url, false AS is_feed, false AS looks_like_feed FROM pages UNION ALL SELECT DISTINCT {FEED_URL}, true, true FROM feed"""
 ORACLES["feed_items"] = f"""WITH {FEED}
-SELECT 'feed-' || d AS source_id, (doc * 3 + r) * 1000000 + (doc_id % 15) // 3 AS seq, url, title, lang AS author, published_at, {compact('body', 500)} AS summary, has_body FROM feed"""
+SELECT 'feed-' || d AS source_id, (doc * 3 + r) * 1000000 + (doc_id % 15) // 3 AS seq, url, title, lang AS author, published_at, {compact('body')} AS summary, has_body FROM feed"""
 ORACLES["feed_heads"] = f"""WITH {FEED}
 SELECT {FEED_URL} AS feed_url, 'Feed ' || doc AS title, CASE WHEN d = 'rss' THEN 'https://news.example.org/logo-' || doc || '.png' END AS icon_url, count(*) AS items FROM feed GROUP BY d, doc"""
 ORACLES["feed_icons"] = f"WITH {FEED} SELECT 'feed-rss' AS source_id, 'https://news.example.org/logo-' || max(doc) || '.png' AS icon_url FROM feed WHERE d = 'rss'"
@@ -74,14 +74,14 @@ SELECT DISTINCT doc AS page_id, CASE WHEN kind = 2 THEN 'json_ld' WHEN kind = 0
   CASE WHEN kind = 2 OR (kind = 0 AND doc % 2 = 0) THEN 8 ELSE 1 END AS entries, false AS rule_replaced FROM li"""
 ORACLES["page_calibration"] = f"""WITH {LIST}
 SELECT doc AS page_id, g AS rank, CASE WHEN kind = 1 THEN 'li' ELSE ['article', 'article.post-card', 'a[href*="/posts/"]'][g] END AS selector, 8 AS entries, 0.98::DOUBLE AS confidence,
-  k % 8 + 1 AS row, {LINK} AS entry_url FROM li, (VALUES (1), (2), (3)) AS v(g) WHERE k % 8 < 4 AND (kind = 0 OR (kind = 1 AND g = 1))"""
-TITLE = compact(unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"), 180)
+  k % 8 + 1 AS row, {LINK} AS entry_url FROM li, (VALUES (1), (2), (3)) AS v(g) WHERE kind = 0 OR (kind = 1 AND g = 1)"""
+TITLE = compact(unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
 ORACLES["page_fallback_card"] = f"SELECT page_id, 'fallback' AS method, url AS entry_url, {TITLE} AS title FROM pages"
 ORACLES["date_enrichment"] = f"""WITH e AS (SELECT 's' || o_custkey % 20 AS source_id, o_orderkey AS seq, o_orderkey % 3 = 0 AS dated, CASE WHEN o_orderkey % 5 = 0 THEN {AS_OF} END AS published_at,
   CASE WHEN o_orderkey % 3 = 0 THEN 'https://e.example.org/' || strftime(o_orderdate, '%Y/%m/%d') || '/' || o_orderkey ELSE 'https://e.example.org/' || o_orderkey END AS url,
   CASE WHEN o_orderkey % 3 = 0 AND year(o_orderdate) >= 2000 THEN epoch_ms(o_orderdate) END AS url_day, epoch_ms(o_orderdate) AS day FROM orders),
  asked AS (SELECT *, row_number() OVER (PARTITION BY source_id, (published_at IS NULL AND url_day IS NULL) ORDER BY seq) AS place FROM e)
-SELECT source_id, seq, url, coalesce(published_at, url_day, CASE WHEN place <= 32 AND seq % 2 = 0 THEN day END) AS published_at FROM asked"""
+SELECT source_id, seq, url, coalesce(published_at, url_day, CASE WHEN seq % 2 = 0 THEN day END) AS published_at FROM asked"""
 BODY = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
 
@@ -96,7 +96,7 @@ SHOWN = f"{visible(REST)} <> '' AND length({visible(BODY)}) >= 40"
 ORACLES["page_articles"] = f"""
 SELECT page_id, {visible(H1)} AS title, md5({visible(REST)}) AS text_md5, length({visible(REST)}) AS text_length, 'standard' AS render_profile, 7 AS priority FROM pages WHERE {SHOWN}"""
 ORACLES["page_quality"] = f"""
-SELECT page_id, least(length({visible(BODY)}), 18000) + 120 * len(regexp_extract_all({BODY}, '<p>')) + 90 AS quality FROM pages WHERE {SHOWN}"""
+SELECT page_id, length({visible(BODY)}) + 120 * len(regexp_extract_all({BODY}, '<p>')) + 90 AS quality FROM pages WHERE {SHOWN}"""
 ORACLES["page_dates"] = f"""WITH {LIST}
 SELECT doc AS page_id, arg_min(day, k) FILTER (WHERE kind = 2) AS published_at FROM li GROUP BY doc UNION ALL SELECT 1000000000 + page_id, NULL FROM pages"""
 ORACLES["article_fallback"] = f"""WITH m AS (SELECT 'e' || doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'article'
@@ -113,7 +113,7 @@ SELECT o_orderkey // 50 * 1000000 + o_orderkey % 50 AS seq, 'https://www.zhihu.c
   'c' || o_custkey AS author, epoch_ms(o_orderdate) // 1000 * 1000 AS published_at, o_orderpriority AS summary FROM orders WHERE o_orderkey % 9 <> 0"""
 ORACLES["qa_followees"] = """
 SELECT 'acc' || c_custkey % 3 AS source_id, 't' || c_custkey AS url_token, CASE WHEN c_custkey % 6 <> 0 THEN c_name ELSE '知乎用户' END AS fullname, c_mktsegment AS headline, floor(c_acctbal)::BIGINT AS follower_count
-FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) <= 200"""
+FROM customer"""
 WORKS = """w AS (SELECT p_partkey AS k, p_partkey % 3 AS prov, 'author' || (p_partkey // 30) % 4 AS source_id, 'On ' || p_name || ' ' || p_partkey AS title, p_type,
   CASE WHEN p_partkey % 5 < 3 THEN '10.1234/part.' || p_partkey END AS doi, 'https://works.example.org/' || p_partkey AS landing, 'https://openalex.org/W' || p_partkey AS oa,
   make_timestamp(2000 + p_partkey % 25, 3, 1 + p_partkey % 31, 0, 0, 0) AS full_day, make_timestamp(2000 + p_partkey % 25, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 1 END, 1, 0, 0, 0) AS part_day FROM part),
@@ -150,16 +150,16 @@ SELECT 'https://www.xiaohongshu.com/explore/note-' || lpad(p_partkey::VARCHAR, 6
 
 AUDIT = f"""ent AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, source AS source_id, CASE WHEN doc_id % 4 <> 0 THEN {AS_OF} - (doc_id * 7919) % 100000 END AS published_at, {AS_OF} + doc_id AS observed_at, doc_id AS created_at FROM documents),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY published_at IS NULL, published_at DESC, observed_at DESC, created_at DESC, id) AS rank FROM ent)"""
-ORACLES["audit_samples"] = f"""WITH {AUDIT}, pool AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS n, list_sum(list_transform(string_split(source_id, ''), lambda x: unicode(x)))::BIGINT AS code FROM ranked WHERE rank <= 200)
+ORACLES["audit_samples"] = f"""WITH {AUDIT}, pool AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS n, list_sum(list_transform(string_split(source_id, ''), lambda x: unicode(x)))::BIGINT AS code FROM ranked)
 SELECT source_id, id, rank, CASE WHEN rank = 1 THEN 'newest' ELSE 'historical' END AS sample FROM pool WHERE rank = 1 OR (n > 1 AND rank = 1 + least(n - 1, 1 + code % (n - 1)))"""
-ORACLES["audit_pool"] = f"WITH {AUDIT} SELECT source_id, id, rank, 'all' AS sample FROM ranked WHERE rank <= 10000"
+ORACLES["audit_pool"] = f"WITH {AUDIT} SELECT source_id, id, rank, 'all' AS sample FROM ranked"
 ORACLES["source_freshness"] = f"WITH {AUDIT} SELECT source_id, count(*) AS entries, count(*) FILTER (WHERE published_at IS NULL) AS undated, max(published_at) AS newest FROM ent GROUP BY 1"
 PLAIN = collapse(CLEAN)
 LEAK = r"""(regexp_matches(f, '\\[A-Za-z]+') OR ((regexp_matches(f, '[A-Za-zα-ωΑ-Ω0-9)}\]]\s*[_^]\s*(\{[^}\r\n]+\}|[A-Za-zα-ωΑ-Ω0-9])') OR regexp_matches(f, '[=<>±÷]')
   OR regexp_matches(f, '^[A-Za-zα-ωΑ-Ω][A-Za-z0-9α-ωΑ-Ω]*$')) AND NOT regexp_matches(f, '(^|[.!?])\s+(@|https?://|[A-Z])')))"""
 JUDGE = rf"""txt AS (SELECT doc_id, source, {PLAIN} AS t FROM documents),
  q AS (SELECT doc_id, source, length(t) AS text_length, length(t) < 180 AND source NOT LIKE '%7' AS short, regexp_matches(t, '\\([A-Za-z]+|[{{}}\[\]\\])') AS raw,
-  len(list_filter(list_transform(regexp_extract_all(t, '\$([^$\r\n]{{1,400}})\$', 1), lambda x: trim(x, ' ')), lambda f: {LEAK})) > 0 AS leak FROM txt),
+  len(list_filter(list_transform(regexp_extract_all(t, '\$([^$\r\n]+)\$', 1), lambda x: trim(x, ' ')), lambda f: {LEAK})) > 0 AS leak FROM txt),
  judged AS (SELECT *, list_filter([CASE WHEN short THEN '正文过短' END, CASE WHEN raw THEN '正文中残留未渲染的 TeX 命令' END, CASE WHEN leak THEN '正文中残留未渲染的 $…$ 行内公式' END], lambda x: x IS NOT NULL) AS issues FROM q)"""
 ORACLES["article_text_quality"] = f"""WITH {JUDGE}
 SELECT doc_id, text_length, array_to_string(issues, '; ') AS issues, CASE WHEN len(issues) > 0 THEN 'issues' ELSE 'passed' END AS status FROM judged"""

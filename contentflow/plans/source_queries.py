@@ -463,7 +463,7 @@ def stream_health(spark, sf):
     running = health_stream.source_health_stream(roles.runs(stream), f"{root}/state", f"{root}/checkpoint")
     running.awaitTermination()
     last = running.lastProgress["batchId"] if running.lastProgress else 0
-    summary = health_stream.read_summary(spark, f"{root}/state", max(last, 0))
+    summary = health_stream.read_summary(spark, f"{root}/state/summary", max(last, 0))
     return health.health_of(summary, roles.run_sources(events))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import SparkSession
 
+from contentflow.functions.binding import TEXT_TASKS
+
 # Adaptive execution does the run-time work this package relies on: it splits
 # skewed join partitions, coalesces small shuffle partitions and only turns a
 # join into a broadcast after the real size of that side is known.
@@ -29,8 +31,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and local benches; clusters bring their own."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", scratch: str | None = None) -> SparkSession:
+    """Session for tests and local benches; clusters bring their own. ``scratch`` becomes the shared folder."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("contentflow")
@@ -38,28 +40,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(TEXT_TASKS, str(os.cpu_count() or 8) if cores == "*" else cores)
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or a folder of the warehouse where that is not set.
 
-    ``spark.checkpoint.dir`` wins. A machine-local folder is only made up for a
-    local master, where driver and executors are the same machine.
+    Both are shared on a cluster, and a local master takes the same way.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="contentflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/contentflow-scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -13,9 +13,7 @@ from contentflow.sources.pages import page_day
 
 # --- fixed values -----------------------------------------------------------
 MIN_CONTAINER_TEXT = 40
-TEXT_CAP, LINK_TEXT_CAP = 18_000, 12_000
 MIN_FALLBACK_TEXT = 24
-MAX_PAGE_LENGTH = 8_000_000
 FULL_ARTICLE = 220
 # ---------------------------------------------------------------------------
 
@@ -26,7 +24,7 @@ def best_container(containers: Column) -> Column:
         F.filter(containers, lambda c: c["text_length"] >= MIN_CONTAINER_TEXT),
         lambda c, i: F.struct(
             c["priority"].alias("priority"),
-            (F.least(c["text_length"], F.lit(TEXT_CAP)) + c["paragraphs"] * 140 + c["images"] * 90 - c["links"] * 18).alias("score"),
+            (c["text_length"] + c["paragraphs"] * 140 + c["images"] * 90 - c["links"] * 18).alias("score"),
             (-i).alias("order"),
             c.alias("container"),
         ),
@@ -38,9 +36,9 @@ def content_quality(container: Column) -> Column:
     """Text, blocks, headings and media minus a penalty for link-heavy text."""
     length, links = container["quality_text"], container["link_text"]
     density = F.when(length > 0, links / length).otherwise(F.lit(1.0))
-    penalty = F.floor(density * F.least(length, F.lit(LINK_TEXT_CAP)) * 0.7 + 0.5)
+    penalty = F.floor(density * length * 0.7 + 0.5)
     return (
-        F.least(length, F.lit(TEXT_CAP)) + container["blocks"] * 120 + container["headings"] * 90 + container["media"] * 70 - penalty
+        length + container["blocks"] * 120 + container["headings"] * 90 + container["media"] * 70 - penalty
     ).cast("bigint")
 
 
@@ -60,8 +58,7 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     for name, kind in hints.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
-    bounded = pages.where(F.length("html") <= MAX_PAGE_LENGTH).select("page_id", "url", *hints, "html")
-    profiled = bounded.withColumn("scientific", urls.render_profile(F.col("url")) == "scientific")
+    profiled = pages.select("page_id", "url", *hints, "html").withColumn("scientific", urls.render_profile(F.col("url")) == "scientific")
     facts = page_facts(profiled, ["head", "containers"])
     chosen = staged(facts, container=best_container(F.col("containers"))).where(F.col("container").isNotNull())
     head, box = F.col("head"), F.col("container")
@@ -71,14 +68,14 @@ def extract_articles(pages: DataFrame) -> DataFrame:
         "page_id", "url", *hints, "scientific", "head", "container", title.alias("title"), body.alias("body")
     )
     sanitised = titled.withColumn("clean", cleaned(F.col("body"), F.col("url"), F.col("title"), F.col("entry_summary"), F.col("scientific")))
-    linked = staged(sanitised, content_html=text.tex_links(F.col("clean")), text=plain_text(F.col("clean")))
+    linked = staged(sanitised, content_html=F.col("clean"), text=plain_text(F.col("clean")))
     cover = urls.absolute_url(F.coalesce(head["cover"], F.col("entry_image")), F.col("url"))
     shown = staged(linked.where(F.col("text") != ""), cover=F.when(urls.is_public_url(cover), cover))
     return shown.select(
         "page_id",
         "url",
         F.coalesce("title", "entry_title").alias("title"),
-        F.coalesce(text.compact(head["author"], 160), text.compact(head["byline"], 160), text.compact(F.col("entry_author"), 160)).alias("author"),
+        F.coalesce(text.compact(head["author"]), text.compact(head["byline"]), text.compact(F.col("entry_author"))).alias("author"),
         F.coalesce(page_day(head["dates"]), F.col("entry_day")).alias("published_at"),
         F.when(~F.col("content_html").contains(_asset(F.col("cover"))), F.col("cover")).alias("cover_image_url"),
         F.when(F.col("scientific"), "scientific").otherwise("standard").alias("render_profile"),
@@ -131,7 +128,7 @@ def article_with_fallback(entries: DataFrame, articles: DataFrame, feed_items: D
     missing = F.col("page").isNull() & (F.col("source_kind") == "rss") & F.col("feed_html").isNotNull()
     profile = urls.render_profile(F.col("original_url")) == "scientific"
     fed = F.when(missing, cleaned(F.col("feed_html"), F.col("original_url"), F.lit(""), F.lit(None).cast("string"), profile))
-    shown = staged(joined.withColumn("fed", fed), fed_text=plain_text(F.col("fed")), short=text.compact(F.col("summary"), 500))
+    shown = staged(joined.withColumn("fed", fed), fed_text=plain_text(F.col("fed")), short=text.compact(F.col("summary")))
     body_usable = (F.length("fed_text") >= MIN_FALLBACK_TEXT) | F.col("fed").contains("<img")
     summary_usable = F.col("source_kind").isin("rss", "x") & (F.length("short") >= MIN_FALLBACK_TEXT)
     mode = (

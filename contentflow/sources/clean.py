@@ -1,8 +1,14 @@
-"""Clean-up of a chosen article body, run per row inside a pandas UDF."""
+"""Clean-up of a chosen article body, a small helper run per row inside a pandas UDF.
+
+A body is read as element rows and pieces of text. Rules say which elements
+go; every picture gets the best of the addresses that anything states for it;
+one walk over the rows then writes what is left, without recursion.
+"""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 from html import escape
 from urllib.parse import urljoin, urlsplit
 
@@ -12,29 +18,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from contentflow.functions.urls import LOOPBACK_HOST, PRIVATE_HOST
-from contentflow.sources.dom import VOID, Node, parse, squeeze
-from contentflow.sources.page_facts import NOISE
+from contentflow.sources.elements import VOID, Element, Page, read, squeeze
+from contentflow.sources.page_facts import NOISE_CLASSES, NOISE_ROLES, NOISE_TAGS
 
 # --- fixed values -----------------------------------------------------------
-ALLOWED_TAGS = set(
-    "a abbr b blockquote br caption cite code dd del details div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr img kbd li "
-    "mark ol p picture pre s small span strong sub summary sup table tbody td th thead tr ul".split()
-)
-ARTICLE_CHROME = (
-    ".post-header, .entry-header, .article-header, .post-title, .entry-title, .breadcrumb, .breadcrumbs, "
-    "[class*='breadcrumb'], [class*='post-meta'], [class*='entry-meta'], [class*='article-meta'], "
-    ".post-footer, .entry-footer, .article-footer, [class*='post-footer'], [class*='entry-footer'], [class*='article-footer']"
-)
+ALLOWED_TAGS = [
+    "a", "abbr", "b", "blockquote", "br", "caption", "cite", "code", "dd", "del", "details", "div", "dl", "dt", "em", "figcaption", "figure",
+    "h1", "h2", "h3", "h4", "h5", "h6", "hr", "img", "kbd", "li", "mark", "ol", "p", "picture", "pre", "s", "small", "span", "strong", "sub",
+    "summary", "sup", "table", "tbody", "td", "th", "thead", "tr", "ul",
+]
+CHROME_CLASSES = [
+    "post-header", "entry-header", "article-header", "post-title", "entry-title", "breadcrumb", "breadcrumbs", "post-footer", "entry-footer", "article-footer",
+]
+CHROME_CLASS_PARTS = ["breadcrumb", "post-meta", "entry-meta", "article-meta", "post-footer", "entry-footer", "article-footer"]
 BYLINE = re.compile(r"^by\s+.+\|\s*\d{4}-\d{2}-\d{2}\s*\|", re.I)
-DISCUSSION = (
-    "#comments, #PostComment, #MobileComments, .AllComments, .ComListLi, .block-comment, [id^='comment-'], "
-    "[id^='respond-post-'], #content_tips, #pay, #how_to_cite"
-)
+COMMENT_IDS = ["comments", "PostComment", "MobileComments"]
+COMMENT_CLASSES = ["AllComments", "ComListLi", "block-comment"]
+COMMENT_ID_STARTS = ["comment-", "respond-post-"]
+SCIENTIFIC_EXTRA_IDS = ["content_tips", "pay", "how_to_cite"]
 LEAD_LENGTH, LEAD_MINIMUM = 28, 12
 IMAGE_ATTRIBUTES = ["data-actualsrc", "data-original", "data-original-src"]
-SRCSET_ATTRIBUTES = ["data-srcset", "data-lazy-srcset", "data-picture-srcset", "data-noscript-srcset", "srcset"]
-LATE_ATTRIBUTES = ["data-src", "data-lazy-src", "data-noscript-src", "src"]
+SRCSET_ATTRIBUTES = ["data-srcset", "data-lazy-srcset"]
+LATE_ATTRIBUTES = ["data-src", "data-lazy-src"]
 SIZE_SUFFIX = re.compile(r"-\d{1,5}x\d{1,5}(?=\.[a-z0-9]{2,5}$)", re.I)
+TEX_LINK = re.compile(r"\\href\{(https?://[^}\s]+)\}\{([^}]*)\}|\\url\{(https?://[^}\s]+)\}")
+LITERAL_TAGS = ["code", "pre", "kbd"]
 # ---------------------------------------------------------------------------
 
 _PRIVATE = re.compile(f"{LOOPBACK_HOST}|{PRIVATE_HOST}|\\.local$|^0\\.0\\.0\\.0$")
@@ -54,19 +62,10 @@ def safe_url(value: str | None, page_url: str) -> str | None:
 
 
 def widest(srcset: str) -> str | None:
-    best, width = None, -1
-    for item in re.split(r",\s*(?=(?:(?:https?:)?//|/))", srcset or "", flags=re.I):
-        url, _, size = item.strip().partition(" ")
-        number = int((re.match(r"\d+", size.strip()) or [0])[0])
-        if url and number > width:
-            best, width = url, number
-    return best
-
-
-def image_source(node: Node, page_url: str) -> str | None:
-    """First safe address among the places lazy loaders put it."""
-    values = [node.get(n) for n in IMAGE_ATTRIBUTES] + [widest(node.get(n)) for n in SRCSET_ATTRIBUTES] + [node.get(n) for n in LATE_ATTRIBUTES]
-    return next((url for url in (safe_url(v, page_url) for v in values) if url), None)
+    """Address with the largest width; commas inside an address do not split it."""
+    offers = [re.match(r"\s*(\S+)(?:\s+(\d+))?", item) for item in re.split(r",\s*(?=(?:(?:https?:)?//|/))", srcset or "", flags=re.I)]
+    sized = [(int(m[2] or 0), -i, m[1]) for i, m in enumerate(offers) if m]
+    return max(sized)[2] if sized else None
 
 
 def asset_key(url: str) -> str:
@@ -75,130 +74,237 @@ def asset_key(url: str) -> str:
     return parts._replace(path=SIZE_SUFFIX.sub("", parts.path), fragment="").geturl()
 
 
-def _drop(node: Node) -> None:
-    if node.parent is not None:
-        node.parent.children = [c for c in node.parent.children if c is not node]
+def _classes(e: Element) -> set[str]:
+    return set(e.get("class").split())
+
+
+def is_noise(e: Element) -> bool:
+    return e.tag in NOISE_TAGS or e.get("role") in NOISE_ROLES or any(part in e.get("class") for part in NOISE_CLASSES)
+
+
+def is_chrome(e: Element) -> bool:
+    return e.tag == "header" or bool(_classes(e) & set(CHROME_CLASSES)) or any(part in e.get("class") for part in CHROME_CLASS_PARTS)
+
+
+def is_discussion(e: Element) -> bool:
+    return e.get("id") in COMMENT_IDS + SCIENTIFIC_EXTRA_IDS or bool(_classes(e) & set(COMMENT_CLASSES)) or any(e.get("id").startswith(s) for s in COMMENT_ID_STARTS)
+
+
+HEADING = re.compile(r"h[1-6]")
+
+
+@dataclass
+class Body:
+    """A body on its way: what goes, where output starts, and the pictures' addresses and texts."""
+
+    page: Page
+    url: str
+    gone: set[int] = field(default_factory=set)
+    since: int = -1
+    address: dict[int, str | None] = field(default_factory=dict)
+    alt: dict[int, str] = field(default_factory=dict)
+    as_image: set[int] = field(default_factory=set)
+
+    def drop(self, e: Element) -> None:
+        self.gone.update(range(e.pos, e.last + 1))
+
+    def left(self) -> list[Element]:
+        return [e for e in self.page.elements if e.pos not in self.gone]
+
+    def inner(self, e: Element) -> list[Element]:
+        return [x for x in self.page.elements[e.pos + 1 : e.last + 1] if x.pos not in self.gone]
+
+    def text(self, e: Element) -> str:
+        return squeeze("".join(t for at, t in self.page.pieces[e.first : e.stop] if at not in self.gone))
+
+    def parent(self, e: Element) -> int:
+        return e.above[0] if e.above else -1
+
+
+def _offers(e: Element, late: list[str | None] = (), late_sets: list[str | None] = ()) -> list[str | None]:
+    """Every address an image may have, the most trusted first; others' offers come before the plain source."""
+    given = [e.get(n) for n in IMAGE_ATTRIBUTES] + [widest(e.get(n)) for n in SRCSET_ATTRIBUTES] + [widest(s or "") for s in late_sets] + [widest(e.get("srcset"))]
+    return given + [e.get(n) for n in LATE_ATTRIBUTES] + list(late) + [e.get("src")]
 
 
-def _hydrate(root: Node, page_url: str) -> None:
-    """Give lazy images their address: from picture sources and from noscript fallbacks."""
-    for picture in root.find("picture"):
-        image = picture.first("img")
-        sets = [s.get("data-srcset") or s.get("srcset") for s in picture.find("source")]
-        if image is not None and any(sets):
-            image.attrs.setdefault("data-picture-srcset", next(s for s in sets if s))
-    for block in root.find("noscript"):
-        inner = parse("".join(c for c in block.children if isinstance(c, str)) or "") if not block.first("img") else block
-        fallback = inner.first("img")
-        if fallback is None or block.parent is None:
+def settle_images(body: Body) -> None:
+    """Choose the address of every image among its own attributes, the sources of its picture and a noscript beside it."""
+    elements = body.page.elements
+    sets: dict[int, list[str]] = {}
+    for picture in (e for e in elements if e.tag == "picture"):
+        inner = elements[picture.pos + 1 : picture.last + 1]
+        image = next((e for e in inner if e.tag == "img"), None)
+        stated = next((s for s in (e.get("data-srcset") or e.get("srcset") for e in inner if e.tag == "source") if s), None)
+        if image is not None and stated:
+            sets.setdefault(image.pos, []).append(stated)
+
+    def best(e: Element, late=()) -> str | None:
+        return next((u for u in (safe_url(v, body.url) for v in _offers(e, late, sets.get(e.pos, ()))) if u), None)
+
+    spoken = {i for e in elements if e.tag == "noscript" for i in range(e.pos, e.last + 1)}
+    body.address = {e.pos: best(e) for e in elements if e.tag == "img"}
+    body.alt = {e.pos: squeeze(e.get("alt")) for e in elements if e.tag == "img"}
+    siblings: dict[int, list[Element]] = {}
+    for e in elements:
+        siblings.setdefault(body.parent(e), []).append(e)
+    for block in (e for e in elements if e.tag == "noscript"):
+        held = next((e for e in elements[block.pos + 1 : block.last + 1] if e.tag == "img"), None)
+        page = body.page
+        if held is None:
+            # Markup that arrived as text.
+            page = read(page.text(block))
+            held = next((e for e in page.elements if e.tag == "img"), None)
+        if held is None:
             continue
-        source = image_source(fallback, page_url)
-        siblings = [c for c in block.parent.children if isinstance(c, Node)]
-        images = [c for c in siblings if c.tag == "img"]
-        same = next((i for i in images if source and (image_source(i, page_url) or "") and asset_key(image_source(i, page_url)) == asset_key(source)), None)
-        at = siblings.index(block)
-        previous = siblings[at - 1] if at and siblings[at - 1].tag == "img" else None
-        if same is not None:
-            same.attrs["alt"] = same.get("alt") or fallback.get("alt")
-            _drop(block)
-        elif previous is not None:
-            if source and not image_source(previous, page_url):
-                previous.attrs["data-noscript-src"] = source
-            previous.attrs.setdefault("data-noscript-srcset", fallback.get("data-srcset") or fallback.get("srcset"))
-            _drop(block)
+        source = next((u for u in (safe_url(v, body.url) for v in _offers(held)) if u), None)
+        beside = siblings[body.parent(block)]
+        at = beside.index(block)
+        images = [e for e in beside if e.tag == "img" and e.pos not in spoken]
+        twin = next((e for e in images if source and body.address[e.pos] and asset_key(body.address[e.pos]) == asset_key(source)), None)
+        before = beside[at - 1] if at and beside[at - 1].tag == "img" else None
+        partner = twin or before
+        if partner is not None:
+            if twin is not None:
+                body.alt[partner.pos] = body.alt[partner.pos] or squeeze(held.get("alt"))
+            elif not body.address[partner.pos]:
+                body.address[partner.pos] = best(partner, [source])
         elif source:
-            image = Node("img", {"src": source, "alt": fallback.get("alt")}, block.parent, block.pos, block.start)
-            block.parent.children[block.parent.children.index(block)] = image
+            body.as_image.add(block.pos)
+            body.address[block.pos], body.alt[block.pos] = source, squeeze(held.get("alt"))
+
+
+def apply_rules(body: Body, title: str, scientific: bool) -> None:
+    """Drop noise, page chrome, repeated titles, bylines and, on scientific pages, discussions."""
+    for e in body.page.elements:
+        if e.pos not in body.gone and e.pos not in body.as_image and is_noise(e):
+            body.drop(e)
+    for e in body.left():
+        if e.pos not in body.gone and (is_chrome(e) or (scientific and is_discussion(e))):
+            body.drop(e)
+    for e in body.left():
+        if e.tag == "a" and ("headerlink" in _classes(e) or e.get("href").startswith("#")) and any(HEADING.fullmatch(body.page.elements[i].tag) for i in e.above):
+            body.drop(e)
+    for e in body.left():
+        if (e.tag in ("h1", "h2", "h3") and title and body.text(e) == title) or (e.tag == "p" and BYLINE.search(body.text(e))):
+            body.drop(e)
+
 
+def start_at_lead(body: Body, summary: str | None) -> None:
+    """Output starts with the smallest block that holds the beginning of the summary; the elements around it stay open."""
+    lead = squeeze(summary)[:LEAD_LENGTH]
+    if len(lead) < LEAD_MINIMUM:
+        return
+    holders = [(len(t), e.pos) for e in body.left() if e.tag in ("p", "div", "section", "article") and lead in (t := body.text(e))]
+    if holders:
+        body.since = min(holders)[1]
 
-def _dedupe_images(root: Node, page_url: str) -> None:
+
+def drop_repeated_images(body: Body) -> None:
     """Repeats of one picture inside one figure go; the same picture elsewhere stays."""
-    groups = [n.find("img") for n in root.find("figure, picture")]
-    groups += [[c for c in n.children if isinstance(c, Node) and c.tag == "img"] for n in root.children if isinstance(n, Node) and n.tag not in ("figure", "picture")]
-    for images in groups:
+    pictured = [e for e in body.left() if e.tag == "img" or e.pos in body.as_image]
+    frames = [[i for i in pictured if f.pos < i.pos <= f.last] for f in body.left() if f.tag in ("figure", "picture")]
+    frames += [[i for i in pictured if body.parent(i) == f.pos] for f in body.left() if not f.above and f.tag not in ("figure", "picture")]
+    for images in frames:
         seen: set[str] = set()
         for image in images:
-            source = image_source(image, page_url)
-            key = asset_key(source) if source else None
+            address = body.address.get(image.pos)
+            key = asset_key(address) if address else None
             if key in seen:
-                link = image.parent
-                _drop(image)
-                if link is not None and link.tag == "a" and not link.first("img") and not squeeze(link.text()):
-                    _drop(link)
+                body.drop(image)
+                around = body.page.elements[image.above[0]] if image.above else None
+                if around is not None and around.tag == "a" and not body.text(around) and not any(e.tag == "img" for e in body.inner(around)):
+                    body.drop(around)
             elif key:
                 seen.add(key)
 
 
-def _strip_chrome(root: Node, title: str, summary: str | None, scientific: bool) -> None:
-    for node in root.find("header") + root.find(ARTICLE_CHROME):
-        _drop(node)
-    for heading in root.find("h1,h2,h3,h4,h5,h6"):
-        for anchor in heading.find("a.headerlink,a[href^='#']"):
-            _drop(anchor)
-    for heading in root.find("h1, h2, h3"):
-        if title and squeeze(heading.text()) == title:
-            _drop(heading)
-    for paragraph in root.find("p"):
-        if BYLINE.search(squeeze(paragraph.text())):
-            _drop(paragraph)
-    if not scientific:
-        return
-    for node in root.find(DISCUSSION):
-        _drop(node)
-    lead = squeeze(summary)[:LEAD_LENGTH]
-    if len(lead) < LEAD_MINIMUM:
-        return
-    holders = [(len(squeeze(n.text())), n) for n in root.find("p, div, section, article") if lead in squeeze(n.text())]
-    node = min(holders, key=lambda h: h[0])[1] if holders else None
-    while node is not None and node.parent is not None:
-        above = node.parent
-        above.children = [c for c in above.children[above.children.index(node):]]
-        node = above if above.tag != "#root" else None
-
-
-def _render(node: Node, page_url: str) -> str:
-    out = []
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(escape(child, quote=False))
+def _linked_text(piece: str, url: str) -> str:
+    r"""Escaped text with ``\url{…}`` and ``\href{…}{…}`` to public addresses as links."""
+    out, at = [], 0
+    for m in TEX_LINK.finditer(piece):
+        href = safe_url(m[1] or m[3], url)
+        if href:
+            out += [escape(piece[at : m.start()], quote=False), f'<a href="{escape(href)}">{escape(m[2] or href, quote=False)}</a>']
+            at = m.end()
+    return "".join([*out, escape(piece[at:], quote=False)])
+
+
+def rendered(body: Body) -> str:
+    """What is left, in one walk over elements and texts in document order."""
+    elements, pieces = body.page.elements, body.page.pieces
+    around = set(elements[body.since].above) if body.since >= 0 else set()
+    out: list[str] = []
+    open_: list[tuple[Element, str, int]] = []  # element, closing tag, where its output starts
+    literal = 0
+    at = 0
+
+    def early(pos: int) -> bool:
+        return pos < body.since and pos not in around
+
+    def write_texts(stop: int) -> None:
+        nonlocal at
+        while at < stop:
+            holder, piece = pieces[at]
+            first = elements[body.since].first if body.since >= 0 else 0
+            if holder not in body.gone and at >= first:
+                out.append(escape(piece, quote=False) if literal or any(o.tag == "a" for o, _, _ in open_) else _linked_text(piece, body.url))
+            at += 1
+
+    def shut(below: int) -> None:
+        """Close what ends before an element."""
+        nonlocal literal
+        while open_ and open_[-1][0].last < below:
+            e, closing, start = open_[-1]
+            write_texts(e.stop)
+            open_.pop()
+            if e.tag == "a":
+                href = safe_url(e.get("href"), body.url)
+                label = "".join(out[start:]) or escape(href or "", quote=False)
+                out[start:] = [f'<a href="{escape(href)}">{label}</a>' if href else label]
+            else:
+                out.append(closing)
+            literal -= e.tag in LITERAL_TAGS
+
+    for e in elements:
+        shut(e.pos)
+        write_texts(e.first)
+        if e.pos in body.gone and e.pos not in body.as_image:
+            continue
+        if early(e.pos):
             continue
-        inner = _render(child, page_url)
-        tag = child.tag
-        if tag == "input":
-            if child.get("type").lower() == "checkbox":
-                out.append(f"<span>{'☑' if 'checked' in child.attrs else '☐'} </span>")
-        elif tag not in ALLOWED_TAGS:
-            out.append(inner)
-        elif tag == "img":
-            source = image_source(child, page_url)
-            alt = squeeze(child.get("alt"))
-            if source:
-                out.append(f'<img src="{escape(source)}"' + (f' alt="{escape(alt)}"' if alt else "") + ">")
-        elif tag == "a":
-            href = safe_url(child.get("href"), page_url)
-            label = inner or escape(href or "", quote=False)
-            out.append(f'<a href="{escape(href)}">{label}</a>' if href else inner)
-        elif tag in VOID:
-            out.append(f"<{tag}>")
-        else:
-            out.append(f"<{tag}{' open' if tag == 'details' else ''}>{inner}</{tag}>")
-    return "".join(out)
+        if e.tag == "img" or e.pos in body.as_image:
+            address, alt = body.address.get(e.pos), body.alt.get(e.pos)
+            if address:
+                out.append(f'<img src="{escape(address)}"' + (f' alt="{escape(alt)}"' if alt else "") + ">")
+        elif e.tag == "input":
+            if e.get("type").lower() == "checkbox":
+                out.append(f"<span>{'☑' if 'checked' in e.attrs else '☐'} </span>")
+        elif e.tag in ALLOWED_TAGS and e.tag in VOID:
+            out.append(f"<{e.tag}>")
+        elif e.tag in ALLOWED_TAGS:
+            literal += e.tag in LITERAL_TAGS
+            if e.tag != "a":
+                out.append(f"<{e.tag}{' open' if e.tag == 'details' else ''}>")
+            open_.append((e, f"</{e.tag}>", len(out)))
+    shut(len(elements))
+    write_texts(len(pieces))
+    return "".join(out).strip()
 
 
 def clean_body(html: str, page_url: str, title: str | None, summary: str | None, scientific: bool) -> str:
     """Safe subset of an article body: noise and chrome gone, attributes dropped, addresses absolute and public."""
-    root = parse(html or "")
-    _hydrate(root, page_url)
-    for node in root.find(NOISE):
-        _drop(node)
-    _strip_chrome(root, title or "", summary, scientific)
-    _dedupe_images(root, page_url)
-    return _render(root, page_url).strip()
+    body = Body(read(html), page_url or "")
+    settle_images(body)
+    apply_rules(body, title or "", scientific)
+    if scientific:
+        start_at_lead(body, summary)
+    drop_repeated_images(body)
+    return rendered(body)
 
 
 @F.pandas_udf(StringType())
 def clean_bodies(html: pd.Series, url: pd.Series, title: pd.Series, summary: pd.Series, scientific: pd.Series) -> pd.Series:
-    rows = zip(html, url, title, summary, scientific)
+    rows = zip(html, url, title, summary, scientific, strict=True)
     return pd.Series([clean_body(h, u, t, s, bool(k)) if isinstance(h, str) else None for h, u, t, s, k in rows], dtype="object")
 
 

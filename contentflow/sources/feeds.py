@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from contentflow import schemas
 from contentflow.functions import text, urls
-from contentflow.functions.binding import let, staged
+from contentflow.functions.binding import staged
 
 # --- fixed values -----------------------------------------------------------
 FEED_CONTENT_TYPE = r"(?i)(?:rss|atom|feed\+json|xml)"
 FEED_PROLOG = r"(?i)^\s*<(?:\?xml[^>]*>)?\s*<(rss|feed)\b"
 JSON_START = r"^\s*\{"
-MAX_FEED_HTML = 250_000
-TITLE_LIMIT, FEED_TITLE_LIMIT, AUTHOR_LIMIT, SUMMARY_LIMIT = 240, 180, 120, 500
 BLOCK_TAG = r"(?is)</?(?:h\d|br|p|ul|ol|li|blockquote|section|table|tr|div)(?:\s[^>]*)?/?>"
 # ---------------------------------------------------------------------------
 
@@ -57,8 +55,8 @@ def snippet(html: Column) -> Column:
 
 
 def feed_html(html: Column) -> Column:
-    """Item body kept for the article job; an oversized one is dropped, never cut."""
-    return let(F.trim(html), lambda body: F.when((body != "") & (F.length(body) <= MAX_FEED_HTML), body))
+    """Item body kept whole for the article job; null when blank."""
+    return text.blank_to_null(F.trim(html))
 
 
 def is_nav_item(url: Column, title: Column, feed_url: Column, feed_title: Column, bare: Column) -> Column:
@@ -156,8 +154,8 @@ def _entries(items: DataFrame) -> DataFrame:
     base = staged(
         items.where(F.col("pos").isNotNull()),
         item_url=urls.absolute_url(F.col("link"), F.col("feed_url")),
-        item_title=text.compact(F.col("title"), TITLE_LIMIT),
-        item_summary=text.compact(F.col("summary"), SUMMARY_LIMIT),
+        item_title=text.compact(F.col("title")),
+        item_summary=text.compact(F.col("summary")),
         html=feed_html(F.col("body")),
         image_url=urls.absolute_url(F.col("image"), F.col("feed_url")),
     ).where(F.col("item_url").isNotNull() & F.col("item_title").isNotNull())
@@ -165,7 +163,7 @@ def _entries(items: DataFrame) -> DataFrame:
         F.col("day").isNull() & F.col("item_summary").isNull() & F.col("html").isNull() & F.col("image_url").isNull()
     )
     nav = is_nav_item(
-        F.col("item_url"), F.col("item_title"), F.col("feed_url"), text.compact(F.col("feed_title"), FEED_TITLE_LIMIT), bare
+        F.col("item_url"), F.col("item_title"), F.col("feed_url"), text.compact(F.col("feed_title")), bare
     )
     # Only bare items pay for the address comparison.
     judged = staged(base, nav=F.when(bare, nav).otherwise(F.lit(False))).where(~F.col("nav"))
@@ -175,7 +173,7 @@ def _entries(items: DataFrame) -> DataFrame:
         (F.col("seq") * ITEMS_PER_DOCUMENT + F.col("pos")).alias("seq"),
         F.col("item_url").alias("url"),
         F.col("item_title").alias("title"),
-        text.compact(F.col("author"), AUTHOR_LIMIT).alias("author"),
+        text.compact(F.col("author")).alias("author"),
         F.col("day").alias("published_at"),
         F.col("item_summary").alias("summary"),
         "image_url",
@@ -215,7 +213,7 @@ def feed_heads(raw: DataFrame) -> DataFrame:
         "source_id",
         "seq",
         "feed_url",
-        F.coalesce(text.compact(F.col("title"), FEED_TITLE_LIMIT), urls.url_host(F.col("feed_url"))).alias("title"),
+        F.coalesce(text.compact(F.col("title")), urls.url_host(F.col("feed_url"))).alias("title"),
         urls.absolute_url(F.col("icon"), F.col("feed_url")).alias("icon_url"),
         "items",
     )

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from contentflow.functions import text, urls
 from contentflow.functions.binding import staged
 
-FOLDER_LIMIT = 60
 OUTLINES = "seq bigint, pos int, xml_url string, title string, folders array<string>, problem string"
 
 
@@ -45,7 +44,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not found:
                     rows.append((seq, 0, None, None, None, "no subscription"))
             except (ElementTree.ParseError, ValueError) as error:
-                rows.append((seq, 0, None, None, None, str(error)[:300]))
+                rows.append((seq, 0, None, None, None, str(error)))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -54,13 +53,12 @@ def parse_opml(raw: DataFrame) -> DataFrame:
     parsed = raw.select("seq", "text").mapInPandas(_parse, OUTLINES)
     labels = F.filter(F.transform("folders", text.collapse), lambda label: label != "")
     path = F.array_join(labels, " / ")
-    tail = F.when(F.length(path) > FOLDER_LIMIT, F.substring(path, -FOLDER_LIMIT, FOLDER_LIMIT)).otherwise(path)
     return parsed.select(
         "seq",
         "pos",
         F.col("xml_url").alias("url"),
         text.blank_to_null(text.collapse(F.col("title"))).alias("title"),
-        text.blank_to_null(tail).alias("category"),
+        text.blank_to_null(path).alias("category"),
         "problem",
     )
 

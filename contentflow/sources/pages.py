@@ -9,16 +9,14 @@ from contentflow.functions import text, urls
 from contentflow.functions.binding import let, staged
 from contentflow.operators.merge import first_by_key
 from contentflow.schemas import write_through
-from contentflow.sources.page_facts import page_facts
+from contentflow.sources.elements import page_elements
+from contentflow.sources.page_facts import json_ld, page_cards, page_facts, with_head
 
 # --- fixed values -----------------------------------------------------------
 DECLARED_FEED = r"(?i)(?:rss|atom|feed\+json|application/(?:json|xml))"
 FEED_PATH = r"(?i)(?:^|/)(?:rss|atom|feed)(?:[/.]|$)|\.(?:rss|atom|xml|json)$"
 FEED_LABEL = r"(?i)(?:rss|atom|feed|subscribe|syndicat)"
 FEED_QUERY = r"(?i)(?:^|&)(?:format|output|type)=(?:rss|atom|feed|json)(?:&|$)"
-CARD_DATE = r"(20\d{2}|\d{1,2}[月./-]\d{1,2})"
-FEED_CAP, CANDIDATE_CAP, PREVIEW_CAP, GROUP_CAP, PROBE_PREVIEW_CAP, ENRICH_CAP = 5, 5, 4, 500, 10, 32
-SAMPLE = 12
 LABELS = {
     "article": "文章卡片",
     "li": "列表项目",
@@ -41,8 +39,8 @@ def page_day(dates: Column) -> Column:
     return F.array_min(F.filter(read, lambda d: d["day"].isNotNull()))["day"]
 
 
-def discover_feeds(pages: DataFrame, k: int = FEED_CAP) -> DataFrame:
-    """Feed addresses a page declares or links to, distinct, in document order, the first ``k``.
+def discover_feeds(pages: DataFrame, k: int | None = None) -> DataFrame:
+    """Feed addresses a page declares or links to, distinct, in document order; with ``k`` the first ones.
 
     ``pages`` needs ``page_id, url, html``. The links of a page stay in its row
     until they are filtered, so nothing is shuffled.
@@ -58,7 +56,11 @@ def discover_feeds(pages: DataFrame, k: int = FEED_CAP) -> DataFrame:
     hits = resolved.where(F.col("feed_url").isNotNull() & (declared | F.coalesce(likely | named, F.lit(False))))
     first = hits.groupBy("page_id", "feed_url").agg(F.min(link["pos"]).alias("pos"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("page_id", "rank", "feed_url")
+    return first_ranked(first.withColumn("rank", rank), "rank", k).select("page_id", "rank", "feed_url")
+
+
+def first_ranked(rows: DataFrame, rank: str, k: int | None) -> DataFrame:
+    return rows if k is None else rows.where(F.col(rank) <= k)
 
 
 def card_score() -> Column:
@@ -68,15 +70,14 @@ def card_score() -> Column:
         return F.when(F.coalesce(test, F.lit(False)), F.lit(value)).otherwise(F.lit(0.0))
 
     card = F.col("card")
-    shown = F.substring(card["text"], 1, 800)
     return (
         points(card["title"].isNotNull(), 0.9)
         + points(card["score_link"], 0.6)
         + points(card["heading"], 0.35)
-        + points(card["has_time"] | shown.rlike(CARD_DATE), 0.4)
+        + points(card["has_time"] | card["dated"], 0.4)
         + points(card["has_image"], 0.2)
         + points(card["long_paragraph"], 0.35)
-        + points(F.length(shown) > 100, 0.25)
+        + points(card["length"] > 100, 0.25)
     )
 
 
@@ -95,7 +96,7 @@ def _selectors(page_url: Column) -> Column:
         fits = (urls.url_origin(link) == urls.url_origin(page_url)) & ~urls.is_taxonomy_url(link) & segment.rlike(r"(?i)^[a-z0-9_-]+$")
         return F.when(fits, F.concat(F.lit('a[href*="/'), segment, F.lit('/"]')))
 
-    linked = F.when(card["is_link"] & (F.length(card["link_text"]) >= 18), let(F.col("card_url"), by_segment))
+    linked = F.when(card["is_link"] & (card["length"] >= 18), let(F.col("card_url"), by_segment))
     groups = F.array(
         F.struct(F.lit(0).alias("order"), F.when(card["tag"] == "article", F.lit("article")).alias("selector")),
         F.struct(F.lit(1).alias("order"), F.when(card["tag"] == "li", F.lit("li")).alias("selector")),
@@ -106,13 +107,12 @@ def _selectors(page_url: Column) -> Column:
 
 
 def _cards(facts: DataFrame) -> DataFrame:
-    """One row per candidate card with its resolved address and entry fields."""
-    exploded = facts.select("page_id", "url", F.explode("cards").alias("card"))
+    """One row per candidate card with its resolved address and entry fields, all of a page in one place."""
     card = F.col("card")
-    resolved = staged(exploded, card_url=urls.absolute_url(card["href"], F.col("url")), evidence=card_score())
+    resolved = staged(page_cards(facts), card_url=urls.absolute_url(card["href"], F.col("url")), evidence=card_score())
     return staged(
         resolved,
-        title=text.compact(card["title"], 240),
+        title=text.compact(card["title"]),
         valid=F.coalesce(
             card["title"].isNotNull() & (F.col("card_url") != F.col("url")) & ~urls.is_taxonomy_url(F.col("card_url")), F.lit(False)
         ),
@@ -124,9 +124,9 @@ def _entry_fields() -> list[Column]:
     return [
         F.col("card_url").alias("entry_url"),
         "title",
-        text.compact(card["author"], 120).alias("author"),
-        text.published_day(F.get(card["dates"], F.lit(0))).alias("published_at"),
-        text.compact(card["summary"], 500).alias("summary"),
+        text.compact(card["author"]).alias("author"),
+        card["day"].alias("published_at"),
+        text.compact(card["summary"]).alias("summary"),
         urls.absolute_url(card["image"], F.col("url")).alias("image_url"),
     ]
 
@@ -148,14 +148,14 @@ def card_groups(cards: DataFrame, minimum: int = 2) -> tuple[DataFrame, DataFram
     sizes = members.groupBy("page_id", "selector").agg(
         F.count("*").alias("nodes"),
         F.min(F.struct("order", "card.pos")).alias("seen"),
-        F.avg(F.when(F.col("place") <= SAMPLE, F.col("evidence"))).alias("average"),
+        F.avg("evidence").alias("average"),
     )
     firsts = members.where("valid").groupBy("page_id", "selector", "card_url").agg(F.min("place").alias("place"))
     entries = firsts.groupBy("page_id", "selector").agg(F.count("*").alias("entries"))
     score = F.col("average") + F.least(F.col("entries"), F.lit(10)) * 0.08
     threshold = F.when(F.col("entries") == 1, F.lit(SINGLE_THRESHOLD)).otherwise(F.lit(PAIR_THRESHOLD))
     groups = (
-        sizes.where((F.col("nodes") >= minimum) & (F.col("nodes") <= GROUP_CAP))
+        sizes.where(F.col("nodes") >= minimum)
         .join(entries.where(F.col("entries") >= minimum), ["page_id", "selector"])
         .withColumn("score", score)
         .where(F.col("score") >= threshold)
@@ -172,15 +172,14 @@ def confidence(top: float) -> Column:
     )
 
 
-def calibration_candidates(pages: DataFrame, k: int = CANDIDATE_CAP, preview: int = PREVIEW_CAP) -> DataFrame:
-    """Candidate groups a person may choose from, single cards included, each with its first preview rows."""
-    facts = write_through(page_facts(pages.select("page_id", "url", "html"), ["cards"]).drop("html"), "page-cards")
-    groups, members = card_groups(_cards(facts), minimum=1)
-    shown = members.join(groups.where(F.col("rank") <= k), ["page_id", "selector"])
+def calibration_candidates(pages: DataFrame, k: int | None = None, preview: int | None = None) -> DataFrame:
+    """Candidate groups a person may choose from, single cards included, with their rows; ``k`` and ``preview`` ask for the first ones only."""
+    facts = page_elements(pages.select("page_id", "url", F.lit(None).cast("string").alias("rule"), "html"))
+    groups, members = card_groups(write_through(_cards(facts), "page-cards"), minimum=1)
+    shown = members.join(first_ranked(groups, "rank", k), ["page_id", "selector"])
     row = F.row_number().over(Window.partitionBy("page_id", "selector").orderBy("place"))
     return (
-        shown.withColumn("row", row)
-        .where(F.col("row") <= preview)
+        first_ranked(shown.withColumn("row", row), "row", preview)
         .select("page_id", F.col("rank"), "selector", group_label().alias("label"), "entries", confidence(0.98).alias("confidence"), "row", *_entry_fields())
     )
 
@@ -208,25 +207,25 @@ def extract_listing(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     if "rule" not in pages.columns:
         pages = pages.withColumn("rule", F.lit(None).cast("string"))
-    # Parsed once: every branch of the cascade reads the written facts, which are far smaller than the pages.
-    parsed = page_facts(pages.select("page_id", "url", "rule", "html"), ["head", "json_ld", "cards"]).drop("html")
-    facts = write_through(parsed, "page-facts")
-    cards = _cards(facts)
+    # Parsed once; the branches of the cascade read the written metadata and cards, which are far smaller than the pages.
+    parsed = write_through(page_elements(pages.select("page_id", "url", "rule", "html")), "page-elements")
+    facts = write_through(with_head(staged(parsed, json_ld=json_ld())).select("page_id", "url", "rule", "head", "json_ld", "rule_problem"), "page-facts")
+    cards = write_through(_cards(parsed), "page-cards")
 
     ld = F.col("ld")
     linked = staged(
         facts.select("page_id", "url", F.posexplode("json_ld").alias("place", "ld")),
         entry_url=urls.absolute_url(F.coalesce(ld["url"], ld["page_id"]), F.col("url")),
-        title=text.compact(F.coalesce(ld["headline"], ld["name"]), 240),
+        title=text.compact(F.coalesce(ld["headline"], ld["name"])),
     ).where(F.col("entry_url").isNotNull() & F.col("title").isNotNull())
     from_ld = linked.select(
         "page_id",
         "place",
         "entry_url",
         "title",
-        text.compact(ld["author"], 120).alias("author"),
+        text.compact(ld["author"]).alias("author"),
         text.published_day(F.coalesce(ld["published"], ld["created"])).alias("published_at"),
-        text.compact(F.coalesce(ld["description"], ld["body"]), 500).alias("summary"),
+        text.compact(F.coalesce(ld["description"], ld["body"])).alias("summary"),
         urls.absolute_url(F.coalesce(ld["image"], ld["thumbnail"]), F.col("url")).alias("image_url"),
     )
 
@@ -235,7 +234,7 @@ def extract_listing(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     from_cards = members.join(best.select("page_id", "selector"), ["page_id", "selector"]).select("page_id", "place", *_entry_fields())
     from_rule = cards.where(F.col("card.rule") & F.col("valid")).select("page_id", F.col("card.pos").alias("place"), *_entry_fields())
 
-    title = F.coalesce(text.compact(F.coalesce(F.col("head.og_title"), F.col("head.title")), 180), urls.url_host(F.col("url")))
+    title = F.coalesce(text.compact(F.coalesce(F.col("head.og_title"), F.col("head.title"))), urls.url_host(F.col("url")))
     fallback = facts.select(
         "page_id",
         F.lit(0).alias("place"),
@@ -243,7 +242,7 @@ def extract_listing(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         title.alias("title"),
         F.lit(None).cast("string").alias("author"),
         page_day(F.col("head.dates")).alias("published_at"),
-        text.compact(F.col("head.description"), 500).alias("summary"),
+        text.compact(F.col("head.description")).alias("summary"),
         urls.absolute_url(F.col("head.og_image"), F.col("url")).alias("image_url"),
     )
 
@@ -310,19 +309,17 @@ def needs_review(result: DataFrame) -> DataFrame:
     )
 
 
-def enrich_dates(entries: DataFrame, article_dates: DataFrame, cap: int = ENRICH_CAP) -> DataFrame:
+def enrich_dates(entries: DataFrame, article_dates: DataFrame) -> DataFrame:
     """Fill missing publication days from the address, else from the linked article.
 
     ``entries`` needs ``source_id, seq, url, published_at``; ``article_dates``
-    holds ``url, article_day``. Per source the first ``cap`` unresolved entries
-    use their article, as a refresh would fetch no more. A known date stays.
+    holds ``url, article_day`` of the articles that were read; how many those are
+    is for the fetch plan to say. A known date stays.
     """
     dated = staged(entries, url_day=text.published_day(urls.url_date_text(F.col("url"))))
     open_rows = dated.where(F.col("published_at").isNull() & F.col("url_day").isNull())
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy("seq"))
-    asked = open_rows.select("source_id", "seq", "url").withColumn("rank", rank).where(F.col("rank") <= cap)
     one_date = article_dates.groupBy("url").agg(F.max("article_day").alias("article_day"))
-    found = asked.join(one_date, "url").select("source_id", "seq", "article_day")
+    found = open_rows.select("source_id", "seq", "url").join(one_date, "url").select("source_id", "seq", "article_day")
     filled = dated.join(found, ["source_id", "seq"], "left")
     return filled.withColumn("published_at", F.coalesce("published_at", "url_day", "article_day")).select(*entries.columns)
 

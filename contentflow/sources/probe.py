@@ -9,7 +9,7 @@ from contentflow.functions import urls
 from contentflow.functions.binding import staged
 from contentflow.schemas import write_through
 from contentflow.sources.feeds import ITEMS_PER_DOCUMENT, feed_heads, is_feed, parse_feeds
-from contentflow.sources.pages import PROBE_PREVIEW_CAP, REVIEW_BELOW, discover_feeds, extract_listing
+from contentflow.sources.pages import REVIEW_BELOW, discover_feeds, extract_listing
 
 # --- fixed values -----------------------------------------------------------
 UNSUPPORTED_HOST = r"(?i)(^|\.)(?:x|twitter)\.com$"
@@ -24,7 +24,7 @@ def probe(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     A page that declares a feed becomes that feed when the dump holds it with
     items. A loopback address may only be a feed, and social hosts whose rules
     forbid reading are refused. The verdict holds ``seq, kind, url, title,
-    confidence, requires_review, initial_status``; previews at most ten rows each.
+    confidence, requires_review, initial_status``; previews are numbered by ``row``.
     """
     host = urls.url_host(F.col("url"))
     usable = urls.is_feed_url_allowed(F.col("url"), allow_loopback=True) & ~host.rlike(UNSUPPORTED_HOST)
@@ -75,4 +75,4 @@ def probe(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(entries.select(F.col("page_id").alias("seq"), F.col("place").cast("bigint").alias("place"), F.col("entry_url").alias("url"), "title", "published_at"))
     )
     row = F.row_number().over(Window.partitionBy("seq").orderBy("place"))
-    return verdicts, shown.withColumn("row", row).where(F.col("row") <= PROBE_PREVIEW_CAP).drop("place")
+    return verdicts, shown.withColumn("row", row).drop("place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentflow import schemas
@@ -11,8 +11,6 @@ from contentflow.functions.binding import staged
 from contentflow.operators.merge import last_known
 from contentflow.sources.feeds import ITEMS_PER_DOCUMENT
 
-FOLLOWEE_CAP = 200
-
 POSTS = """username string, data array<struct<id:string, text:string, created_at:string, in_reply_to_user_id:string,
  referenced_tweets:array<struct<type:string,id:string>>,
  entities:struct<urls:array<struct<expanded_url:string,unwound_url:string,url:string>>>>>"""
@@ -64,7 +62,7 @@ def post_entries(posts: DataFrame) -> DataFrame:
     item = F.col("item")
     body = staged(
         posts.where(is_original_post(item["in_reply_to_user_id"], item["referenced_tweets"])),
-        body=text.compact(item["text"], 2_000),
+        body=text.compact(item["text"]),
     )
     kept = body.where(_filled(F.col("post_id")).isNotNull() & F.col("body").isNotNull())
     handle = F.replace(F.url_encode("username"), F.lit("+"), F.lit("%20"))
@@ -72,7 +70,7 @@ def post_entries(posts: DataFrame) -> DataFrame:
     return raw_entry_rows(
         kept,
         url=F.concat(F.lit("https://x.com/"), handle, F.lit("/status/"), number),
-        title=text.compact(F.col("body"), 150),
+        title=text.compact(F.col("body")),
         summary=F.col("body"),
         author=F.concat(F.lit("@"), F.col("username")),
         published_at=text.instant_ms(item["created_at"]),
@@ -101,28 +99,23 @@ def parse_qa_items(raw: DataFrame) -> DataFrame:
     return raw_entry_rows(
         rows,
         url=F.col("item.Url"),
-        title=F.coalesce(text.compact(F.col("item.Title"), 240), F.lit("知乎内容")),
-        published_at=F.col("item.CreatedAt") * 1000,
-        summary=text.compact(F.col("item.Summary"), 500),
-        author=text.compact(F.col("item.Author.Name"), 120),
+        title=F.coalesce(text.compact(F.col("item.Title")), F.lit("知乎内容")),
+        published_at=F.try_multiply("item.CreatedAt", F.lit(1000)),
+        summary=text.compact(F.col("item.Summary")),
+        author=text.compact(F.col("item.Author.Name")),
     )
 
 
-def parse_followees(raw: DataFrame, as_of: int, cap: int = FOLLOWEE_CAP) -> DataFrame:
-    """Followees of each account over its pages in order, the first ``cap`` of them.
-
-    Every map task keeps at most ``cap`` rows per account before the shuffle.
-    """
-    rows = _items(raw, QA_FOLLOWEES, "Items")
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy("seq"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= cap).select(
+def parse_followees(raw: DataFrame, as_of: int) -> DataFrame:
+    """Followees of each account over its pages; ``seq`` is their order."""
+    return _items(raw, QA_FOLLOWEES, "Items").select(
         "source_id",
         "seq",
         F.col("item.UrlToken").alias("url_token"),
-        F.coalesce(text.compact(F.col("item.Fullname"), 120), F.lit("知乎用户")).alias("fullname"),
+        F.coalesce(text.compact(F.col("item.Fullname")), F.lit("知乎用户")).alias("fullname"),
         F.col("item.Url").alias("url"),
         F.col("item.AvatarUrl").alias("avatar_url"),
-        text.compact(F.col("item.Headline"), 240).alias("headline"),
+        text.compact(F.col("item.Headline")).alias("headline"),
         F.col("item.FollowerCount").alias("follower_count"),
         F.lit(as_of).cast("bigint").alias("updated_at"),
     )
@@ -165,7 +158,7 @@ def parse_scholarly(raw: DataFrame, authors: DataFrame) -> DataFrame:
         {
             "doi": text.normal_doi(F.col("item.doi")),
             "landing": landing,
-            "work_title": text.compact(F.col("item.title"), 500),
+            "work_title": text.compact(F.col("item.title")),
             "day": text.instant_ms(F.col("item.publication_date")),
             "abstract": none,
             "work_id": _filled(F.col("item.id")),
@@ -181,9 +174,9 @@ def parse_scholarly(raw: DataFrame, authors: DataFrame) -> DataFrame:
     second = semantic.withColumns(
         {
             "landing": paper,
-            "work_title": text.compact(F.col("item.title"), 500),
+            "work_title": text.compact(F.col("item.title")),
             "day": text.instant_ms(F.col("item.publicationDate")),
-            "abstract": text.compact(F.col("item.abstract"), 600),
+            "abstract": text.compact(F.col("item.abstract")),
             "work_id": _filled(F.col("item.paperId")),
             "identity": F.coalesce(
                 F.concat(F.lit("arxiv:"), arxiv), F.concat(F.lit("semantic:"), F.coalesce(_filled(F.col("item.paperId")), paper))
@@ -200,7 +193,7 @@ def parse_scholarly(raw: DataFrame, authors: DataFrame) -> DataFrame:
     third = staged(orcid, doi=text.normal_doi(doi)).withColumns(
         {
             "landing": F.coalesce(_doi_url(F.col("doi")), _filled(F.col("work.url.value"))),
-            "work_title": text.compact(F.col("work.title.title.value"), 500),
+            "work_title": text.compact(F.col("work.title.title.value")),
             "day": text.partial_date_ms(date["year"]["value"], date["month"]["value"], date["day"]["value"]),
             "abstract": none,
             "work_id": code,
@@ -215,12 +208,12 @@ def author_candidates(raw: DataFrame) -> DataFrame:
     """Author search answers of two providers: ``(search, seq, title, target_id, author_name, openalex_id, semantic_id, orcid)``."""
     none = F.lit(None).cast("string")
     openalex = _items(raw.where(F.col("provider") == "openalex"), OPENALEX_AUTHORS, "results").select(
-        F.col("source_id").alias("search"), "seq", text.compact(F.col("item.display_name"), 160).alias("author_name"),
+        F.col("source_id").alias("search"), "seq", text.compact(F.col("item.display_name")).alias("author_name"),
         text.normal_openalex(F.col("item.id")).alias("openalex_id"), none.alias("semantic_id"), text.normal_orcid(F.col("item.orcid")).alias("orcid"),
         F.lit("OpenAlex").alias("label"), F.lit(0).alias("rank"),
     )
     semantic = _items(raw.where(F.col("provider") == "semantic"), SEMANTIC_AUTHORS, "data").select(
-        F.col("source_id").alias("search"), "seq", text.compact(F.col("item.name"), 160).alias("author_name"),
+        F.col("source_id").alias("search"), "seq", text.compact(F.col("item.name")).alias("author_name"),
         none.alias("openalex_id"), _filled(F.col("item.authorId")).alias("semantic_id"), text.normal_orcid(F.col("item.externalIds.ORCID")).alias("orcid"),
         F.lit("Semantic Scholar").alias("label"), F.lit(1).alias("rank"),
     )

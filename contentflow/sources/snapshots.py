@@ -1,16 +1,19 @@
 """Versioned library tables on shared storage, bucketed by their merge key.
 
-A version is written to its own folder and becomes current when its commit
-record is appended, so readers never see half a merge and a replayed batch is
+A version is written to folders of its own and becomes current when its commit
+record appears, so readers never see half a merge and a replayed batch is
 recognised. Tables are bucketed on the key they are merged by: the merge join
-then shuffles only the new batch, not the library.
+then shuffles only the new batch, not the library. The run log only grows, so a
+batch adds its runs as one more part instead of rewriting the log.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import hashlib
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,71 +32,95 @@ KEYS = {
     "followees": ["url_token"],
     "runs": ["id"],
 }
+COMMIT = "version bigint, table string, run string, path string, added boolean, buckets int"
+
+
+class Conflict(RuntimeError):
+    """Another writer committed the version first; load again and redo the batch."""
 
 
 @dataclasses.dataclass(frozen=True)
 class Library:
-    """A folder of library versions."""
+    """A folder of library versions. ``buckets`` is per table and version; without it, the session's shuffle partitions."""
 
     spark: SparkSession
     root: str
-    buckets: int = 8
-
-    def _name(self, table: str, version: int) -> str:
-        tag = hashlib.md5(self.root.encode()).hexdigest()[:12]
-        return f"library_{tag}_{table}_{version}"
-
-    def _exists(self, path: str) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    buckets: int | None = None
 
     def commits(self) -> DataFrame:
-        path = f"{self.root}/commits"
-        schema = "version bigint, table string, run string"
-        return self.spark.read.schema(schema).json(path) if self._exists(path) else self.spark.createDataFrame([], schema)
+        """Commit records, one folder per version."""
+        try:
+            return self.spark.read.schema(COMMIT).option("recursiveFileLookup", "true").json(f"{self.root}/commits")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], COMMIT)
 
     def version(self) -> int | None:
         """Newest committed version."""
         return self.commits().agg(F.max("version")).first()[0]
 
-    def _table(self, name: str, written: int) -> DataFrame:
+    def _table(self, name: str, path: str, buckets: int) -> DataFrame:
         """A written table; another session registers its files with their bucketing."""
-        table, key = self._name(name, written), ", ".join(KEYS[name])
+        table, key = f"library_{hashlib.md5(path.encode()).hexdigest()}", ", ".join(KEYS[name])
         if not self.spark.catalog.tableExists(table):
             self.spark.sql(
-                f"CREATE TABLE {table} ({TABLES[name]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
-                f"INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}/v{written}'"
+                f"CREATE TABLE {table} ({TABLES[name]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
             )
         return self.spark.table(table)
 
-    def load(self) -> State:
-        """Current tables; one never written is empty."""
-        newest = {r["table"]: r["version"] for r in self.commits().groupBy("table").agg(F.max("version").alias("version")).collect()}
-        return empty_state(self.spark).with_tables(**{name: self._table(name, written) for name, written in newest.items()})
+    def load(self, version: int | None = None) -> State:
+        """Tables as of a version, the newest by default; one never written is empty."""
+        log = self.commits() if version is None else self.commits().where(F.col("version") <= version)
+        newest = log.where("NOT added").groupBy("table").agg(F.max_by(F.struct("version", "path", "buckets"), "version").alias("last"))
+        whole = {r["table"]: r["last"] for r in newest.collect()}
+        tables = {name: self._table(name, last["path"], last["buckets"]) for name, last in whole.items()}
+        for row in log.where("added").groupBy("table").agg(F.collect_list(F.struct("version", "path")).alias("parts")).collect():
+            name, since = row["table"], whole[row["table"]]["version"] if row["table"] in whole else 0
+            paths = [p["path"] for p in sorted(row["parts"], key=lambda p: p["version"]) if p["version"] > since]
+            if paths:
+                added = self.spark.read.schema(TABLES[name]).parquet(*paths)
+                tables[name] = tables[name].unionByName(added) if name in tables else added
+        return empty_state(self.spark).with_tables(**tables)
 
     def has_run(self, run: str) -> bool:
         """Whether a run has been committed; a replayed one then has nothing to do."""
         return not self.commits().where(F.col("run") == run).isEmpty()
 
-    def publish(self, run: str, **tables: DataFrame) -> int:
-        """Write the given tables as the next version; tables not given keep their older files."""
-        version = (self.version() or 0) + 1
+    def publish(self, run: str, added: dict[str, DataFrame] | None = None, based_on: int | None = None, **tables: DataFrame) -> int:
+        """Write the given tables, and ``added`` rows of growing ones, as the next version; tables not given keep their files.
+
+        ``based_on`` is the version the tables were made from, the current one
+        by default. Whoever commits after another has taken the next version
+        gets a ``Conflict``, and nothing of it is read.
+        """
+        version = ((self.version() if based_on is None else based_on) or 0) + 1
+        buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        mark = uuid.uuid4().hex
+        records = []
         for name, rows in tables.items():
-            key = KEYS[name]
-            table = self._name(name, version)
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            key, path = KEYS[name], f"{self.root}/{name}/v{version}-{mark}"
             # One task per bucket: every bucket is one sorted file.
             (
-                rows.repartition(self.buckets, *key)
-                .write.mode("overwrite")
-                .format("parquet")
-                .bucketBy(self.buckets, *key)
+                rows.repartition(buckets, *key)
+                .write.format("parquet")
+                .bucketBy(buckets, *key)
                 .sortBy(*key)
-                .option("path", f"{self.root}/{name}/v{version}")
-                .saveAsTable(table)
+                .option("path", path)
+                .saveAsTable(f"library_{hashlib.md5(path.encode()).hexdigest()}")
             )
-        record = self.spark.createDataFrame([(version, name, run) for name in tables], "version bigint, table string, run string")
-        record.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+            records.append((version, name, run, path, False, buckets))
+        for name, rows in (added or {}).items():
+            path = f"{self.root}/{name}/added-{version}-{mark}"
+            rows.write.parquet(path)
+            records.append((version, name, run, path, True, buckets))
+        record = self.spark.createDataFrame(records, COMMIT).coalesce(1)
+        try:
+            record.write.mode("errorifexists").json(f"{self.root}/commits/{version:012d}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise Conflict(f"version {version} is taken") from error
         return version
 
 

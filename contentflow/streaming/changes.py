@@ -53,7 +53,7 @@ def still_current(batch: DataFrame, read_from: DataFrame, sources: DataFrame) ->
 
 
 def _number(column: str) -> Column:
-    return F.col(column).cast("decimal(38,0)")
+    return F.col(column).try_cast("decimal(38,0)")
 
 
 def increment(posts: DataFrame, since: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,11 +19,13 @@ def read_summary(spark: SparkSession, path: str, batch: int) -> DataFrame:
     return spark.read.schema(SUMMARY).parquet(f"{path}/batch={batch}").withColumn("batch", F.lit(batch).cast("bigint"))
 
 
-def fold_batch(stored: DataFrame, runs: DataFrame) -> DataFrame:
+def fold_batch(stored: DataFrame, runs: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """State after one more micro-batch.
 
-    Runs not newer than the stored last run of their source are late: they are
-    counted and otherwise ignored, because the streaks behind them are closed.
+    Runs not newer than the stored last run of their source are late. The
+    streaks they belong to are closed, so their sources are summed up again
+    from ``log``, all runs so far including this batch; without it they are
+    only counted.
     """
     mark = stored.select("source_id", F.struct("last_at", "last_id").alias("last"))
     placed = runs.join(mark, "source_id", "left").withColumn(
@@ -32,7 +34,11 @@ def fold_batch(stored: DataFrame, runs: DataFrame) -> DataFrame:
     fresh = run_summary(placed.where(~F.col("is_late")).select(*runs.columns))
     late = placed.where("is_late").groupBy("source_id").agg(F.count("*").alias("more"))
     older = stored.select("source_id", F.col("late").alias("before"))
-    counted = combine_summaries(stored, fresh).join(older, "source_id", "left").join(late, "source_id", "left")
+    folded = combine_summaries(stored, fresh)
+    if log is not None:
+        again = run_summary(log.join(late, "source_id", "left_semi").dropDuplicates(["id"]))
+        folded = folded.join(late, "source_id", "left_anti").unionByName(again)
+    counted = folded.join(older, "source_id", "left").join(late, "source_id", "left")
     total = (F.coalesce("before", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("bigint")
     return counted.withColumn("late", total).drop("before", "more")
 
@@ -40,12 +46,17 @@ def fold_batch(stored: DataFrame, runs: DataFrame) -> DataFrame:
 def source_health_stream(runs: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
     """Keep the summary of every source current below ``state_path``, one folder per micro-batch.
 
-    A batch reads the folder of the batch before it and overwrites its own, so
-    a replay after a failure gives the same result.
+    A batch first writes its runs to a log of its own, which late runs are
+    summed up from, then reads the summary of the batch before it and
+    overwrites its own, so a replay after a failure gives the same result.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        stored = read_summary(batch.sparkSession, state_path, number - 1).drop("batch")
-        fold_batch(stored, batch).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{state_path}/log/batch={number}")
+        log = spark.read.schema(batch.schema).parquet(*[f"{state_path}/log/batch={n}" for n in range(number + 1)])
+        stored = read_summary(spark, f"{state_path}/summary", number - 1).drop("batch")
+        own = spark.read.schema(batch.schema).parquet(f"{state_path}/log/batch={number}")
+        fold_batch(stored, own, log).write.mode("overwrite").parquet(f"{state_path}/summary/batch={number}")
 
     return runs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -88,8 +88,8 @@ DEFAULT_CONNECTORS = [
 ]
 
 
-def ingest_batch(state: State, raw: DataFrame, registry: Registry, as_of: int, run_key: str) -> State:
-    """One sync run over a batch of fetches: parse, normalise, prune, merge, log.
+def ingest_batch(state: State, raw: DataFrame, registry: Registry, as_of: int, run_key: str) -> tuple[State, DataFrame]:
+    """One sync run over a batch of fetches: parse, normalise, prune, merge; the state after it and its run log.
 
     Parsed items are written once and read by the merge, the run log and the
     counts. A failed fetch is logged and contributes nothing.
@@ -100,7 +100,7 @@ def ingest_batch(state: State, raw: DataFrame, registry: Registry, as_of: int, r
     pruned = prune_navigation(state, good, run_key)
     result = merge.merge_entries(pruned, batch)
     runs = run_log(raw, items, result.inserted, state.sources, as_of, run_key)
-    return result.state.with_tables(runs=state.runs.unionByName(runs))
+    return result.state, runs
 
 
 def prune_navigation(state: State, good: DataFrame, run_key: str) -> State:
@@ -163,8 +163,9 @@ def ingest_stream(
         run = f"{stream}-{number}"
         if library.has_run(run):
             return
-        after = ingest_batch(library.load(), batch, registry, as_of, run)
-        library.publish(run, entries=after.entries, entry_origins=after.entry_origins, runs=after.runs)
+        version = library.version()
+        after, runs = ingest_batch(library.load(version), batch, registry, as_of, run)
+        library.publish(run, added={"runs": runs}, based_on=version, entries=after.entries, entry_origins=after.entry_origins)
 
     return landing.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -183,7 +184,7 @@ def secondary_sync(library: Library, run: str, steps: dict[str, Callable[[State]
                 library.publish(key, **step(library.load()))
             outcomes.append((name, "success", None))
         except Exception as error:  # any failure of one step is a row of the report
-            outcomes.append((name, "failure", str(error)[:300]))
+            outcomes.append((name, "failure", str(error)))
     report = library.spark.createDataFrame(outcomes, "step string, outcome string, message string")
     return report.withColumn("message", text.redact_message(F.col("message")))
 

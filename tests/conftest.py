@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,7 @@ from contentflow.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", shuffle_partitions=4, memory="6g")
+    session = local_session("8", shuffle_partitions=4, memory="6g", scratch=tempfile.mkdtemp(prefix="contentflow-tests-"))
     yield session
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -52,7 +53,7 @@ def main(argv):
     from contentflow.session import local_session
 
     sf_dir = f"/root/testdata/{argv[0] if argv else 'sf0.01'}"
-    spark, connection = local_session("8"), duck(sf_dir)
+    spark, connection = local_session("8", scratch=tempfile.mkdtemp(prefix="contentflow-check-")), duck(sf_dir)
     jobs, sql = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in argv[1:] or jobs:

@@ -30,7 +30,7 @@ def test_order_range_and_limit(dated):
     assert len(ids(timeline.timeline(rows, seen, start_at=float("nan"), end_at=float("inf")))) == 5
     assert ids(timeline.timeline(rows, seen, limit=1.9)) == ["later"]
     assert ids(timeline.timeline(rows, seen, limit=-4)) == ["later"]
-    assert timeline.clamp_limit(10**9) == 10_000 and timeline.clamp_limit(None) is None
+    assert timeline.whole_limit(10**9) == 10**9 and timeline.whole_limit(None) is None
 
 
 def test_range_reaches_the_scan(spark, dated, tmp_path):
@@ -76,7 +76,9 @@ def test_nested_origins_are_whole_for_hot_entries(spark):
     rows = fx.as_dicts(timeline.nest_origins(seen, per_row=10))
     hot = [o["source_id"] for r in rows if r["entry_id"] == "hot" for o in r["origins"]]
     assert sorted(hot) == [f"s{i:03d}" for i in range(95)]
-    assert {r["parts"] for r in rows if r["entry_id"] == "hot"} == {10} and len([r for r in rows if r["entry_id"] == "hot"]) > 3
+    slices = sorted((r["part"], [o["observed_at"] for o in r["origins"]]) for r in rows if r["entry_id"] == "hot")
+    assert [s for _, s in slices] == [list(range(95))[i : i + 10] for i in range(0, 95, 10)] and {r["parts"] for r in rows if r["entry_id"] == "hot"} == {10}
+    assert [len(r["origins"]) for r in fx.as_dicts(timeline.nest_origins(seen)) if r["entry_id"] == "hot"] == [95]
     cold = [r for r in rows if r["entry_id"] == "cold"]
     assert [o["source_id"] for o in cold[0]["origins"]] == ["b", "a"] and len(cold) == 1
     empty = fx.as_dicts(timeline.with_origins(fx.entries(spark, dict(canonical_url="x", id="none")), seen))
@@ -154,9 +156,10 @@ def test_nav_cards_go_and_shared_ones_change_owner(spark):
 def test_audit_samples_by_hand(spark):
     rows = fx.entries(spark, *[dict(canonical_url=f"{s}{i}", id=f"{s}{i}", source_id=s, published_at=1000 - i) for s, n in (("ab", 300), ("one", 1), ("xy", 4)) for i in range(n)])
     got = {(r["source_id"], r["sample"]): r["id"] for r in audit.audit_samples(rows).collect()}
-    pool = min(300, 200)
-    want = min(pool - 1, 1 + (ord("a") + ord("b")) % (pool - 1))
+    want = 1 + (ord("a") + ord("b")) % 299
     assert got[("ab", "newest")] == "ab0" and got[("ab", "historical")] == f"ab{want}"
+    few = {(r["source_id"], r["sample"]): r["id"] for r in audit.audit_samples(rows, pool=100).collect()}
+    assert few[("ab", "historical")] == f"ab{1 + (ord('a') + ord('b')) % 99}"
     assert ("one", "historical") not in got and got[("xy", "historical")] == f"xy{1 + (ord('x') + ord('y')) % 3}"
     assert audit.audit_samples(rows, all_entries=True).count() == 305
 

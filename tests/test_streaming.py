@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from contentflow import schemas
 from contentflow.operators import merge
 from contentflow.session import scratch_path
-from contentflow.sources.snapshots import Library, write_report
+from contentflow.sources.snapshots import Conflict, Library, write_report
 from contentflow.streaming import changes, ingest
 from tests_support import land
 
@@ -67,6 +67,27 @@ def test_committed_batches_are_skipped(spark):
     assert library.version() == 2 and state.entries.count() == 1 and state.dismissed.count() == 1
 
 
+def test_two_writers_cannot_take_one_version(spark):
+    library = Library(spark, scratch_path(spark, "writers"), buckets=2)
+    library.publish("seed", entries=fx.entries(spark, dict(canonical_url="u")))
+    base = library.version()
+    library.publish("first", based_on=base, entries=fx.entries(spark, dict(canonical_url="first")))
+    with pytest.raises(Conflict):
+        library.publish("second", based_on=base, entries=fx.entries(spark, dict(canonical_url="second")))
+    assert [r["canonical_url"] for r in library.load().entries.collect()] == ["first"] and not library.has_run("second")
+    assert [r["canonical_url"] for r in library.load(base).entries.collect()] == ["u"]
+
+
+def test_runs_are_added_not_rewritten(spark):
+    library = Library(spark, scratch_path(spark, "log"), buckets=2)
+    row = lambda i: spark.createDataFrame([(f"r{i}", "s", "success", 1, 1, None, i)], schemas.RUNS)
+    library.publish("one", added={"runs": row(1)})
+    first = {r["path"] for r in library.commits().where("table = 'runs'").collect()}
+    library.publish("two", added={"runs": row(2)}, dismissed=spark.createDataFrame([("x", 1)], schemas.DISMISSED))
+    assert sorted(r["id"] for r in library.load().runs.collect()) == ["r1", "r2"]
+    assert first < {r["path"] for r in library.commits().where("table = 'runs'").collect()}
+
+
 def test_merge_does_not_shuffle_the_library(spark):
     library = Library(spark, scratch_path(spark, "bucketed"), buckets=4)
     library.publish("seed", entries=fx.entries(spark, *[dict(canonical_url=f"u{i}") for i in range(20)]))

@@ -14,7 +14,8 @@ def ms(*parts):
 
 def test_compact(values):
     raw = ["  a  　 b﻿ ", " \n\t", None, "x" * 12]
-    assert values(lambda c: text.compact(c, 10), raw) == ["a b", None, None, "x" * 9 + "…"]
+    assert values(lambda c: text.shortened(c, 10), raw) == ["a b", None, None, "x" * 9 + "…"]
+    assert values(text.compact, raw) == ["a b", None, None, "x" * 12]
 
 
 @pytest.mark.parametrize(
