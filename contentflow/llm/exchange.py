@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentflow.llm.hashing import packed
-
 #: Buckets per shuffle partition: hashing them evens out the partitions and keeps one bucket small.
 PER_PARTITION = 4
 #: Stands for a missing id inside the buckets, where a null would turn ids into floats; orders after all others.
@@ -89,9 +87,3 @@ def met(buckets: DataFrame, answers: DataFrame, finish: Callable[[int, pd.DataFr
         return finish(int(key[0]), rows, answers)
 
     return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(run, schema)
-
-
-def sets(name: str, bucket: int, part: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    """One packed set per partition from values sorted by (part, value)."""
-    rows = [(p, bucket, packed(v)) for p, v in split(part, values)]
-    return pd.DataFrame(rows, columns=["part", "bucket", name])

@@ -66,23 +66,22 @@ def removals(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: s
         words, first = hashing.word_hashes(exchange.texts(rows)[1])
         _, probe, block = _probes(first, words, count)
         found, times = np.unique(probe[block], return_counts=True)
-        frames = [
-            exchange.sets(name, bucket, (v >> U(32)).astype(np.int64), v & LOW)
-            for name, v in (("window", np.unique(probe[~block])), ("once", found[times == 1]), ("often", found[times > 1]))
-        ]
-        return pd.concat(frames)[["part", "bucket", "window", "once", "often"]]
+        sets = [np.unique(probe[~block]), found[times == 1], found[times > 1]]
+        # One row to each part, with its slices of the three sets.
+        edges = [np.searchsorted(v, np.arange(count + 1, dtype=U) << U(32)) for v in sets]
+        sent = [(p, bucket, *(hashing.packed(v[e[p] : e[p + 1]] & LOW) for v, e in zip(sets, edges, strict=True))) for p in range(count)]
+        return pd.DataFrame(sent, columns=["part", "bucket", "window", "once", "often"])
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        sent = {c: [unpacked(v) for v in rows[c] if v] for c in ("once", "often")}
+        sent = {c: list(map(unpacked, rows[c])) for c in ("once", "often")}
         blocks, times = np.unique(np.concatenate([np.zeros(0, U), *sent["once"], *sent["often"], *sent["often"]]), return_counts=True)
         shared = blocks[times > 1]
         out = []
-        for part, bucket, *sets in rows[["part", "bucket", "window", "once", "often"]].itertuples(index=False):
-            asked, among = sets[0] is not None, (blocks if sets[0] is not None else shared)
-            for values in map(unpacked, (v for v in sets if v)):
-                hit = values[member(values, among)]
-                if len(hit):
-                    out.append((bucket, part, hashing.packed(hit) if asked else None, None if asked else hashing.packed(hit)))
+        for part, bucket, windows, once, often in rows[["part", "bucket", "window", "once", "often"]].itertuples(index=False):
+            own = [unpacked(windows), np.sort(np.concatenate([unpacked(once), unpacked(often)]))]
+            hits = [v[member(v, among)] for v, among in zip(own, (blocks, shared), strict=True)]
+            if any(map(len, hits)):
+                out.append((bucket, part, *map(hashing.packed, hits)))
         return pd.DataFrame(out, columns=["bucket", "part", "window", "block"])
 
     def extend(bucket: int, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -91,8 +90,7 @@ def removals(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: s
         at, probe, block = _probes(first, words, count)
         hit = np.zeros(len(words) + window + 1, np.int32)
         for column, which in (("window", ~block), ("block", block)):
-            given = answers[answers[column].notna()]
-            hit[at[which][member(probe[which], _merged(given, column))] + 1] = 1
+            hit[at[which][member(probe[which], _merged(answers, column))] + 1] = 1
         hits = np.cumsum(hit)
         place, h, part = _windows(first, words, count, window)
         near = hits[place + window - BLOCK + 1] > hits[place]
