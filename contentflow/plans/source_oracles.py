@@ -176,6 +176,18 @@ SELECT CASE WHEN category IS NOT NULL THEN 'custom:' || lower(category) ELSE bas
   CASE WHEN category IS NOT NULL THEN category WHEN base = 'web' THEN '网页与订阅' WHEN base = 'platform' THEN '平台动态' ELSE '学术追踪' END AS folder_title,
   CASE WHEN category IS NOT NULL THEN 99 WHEN base = 'web' THEN 0 WHEN base = 'platform' THEN 1 ELSE 2 END AS folder_rank, category IS NOT NULL AS custom, id AS source_id, title AS source_title FROM g"""
 
+REASON = "CASE page_id % 3 WHEN 0 THEN 'no feed document' WHEN 1 THEN 'no readable list of posts' ELSE 'no connector for telegraph' END"
+ORACLES["ingest_rejects"] = f"SELECT 'broken-' || page_id % 3 AS source_id, 10000000 + page_id AS seq, {REASON} AS problem FROM pages"
+ORACLES["ingest_runs"] = f"""WITH {WORKS}, r AS (
+ SELECT 'feed-' || {DIALECT} AS source_id, count(*) AS fetched FROM documents GROUP BY 1
+ UNION ALL SELECT 'qa', count(*) FILTER (WHERE o_orderkey % 9 <> 0) FROM orders
+ UNION ALL SELECT 'x' || user_id, count(*) FILTER (WHERE event_type NOT IN ('click', 'error')) FROM events GROUP BY 1
+ UNION ALL SELECT 'follow', count(*) FROM ({ORACLES["follow_cards"]})
+ UNION ALL SELECT 'notes', count(*) FROM part
+ UNION ALL SELECT source_id, count(*) FROM works GROUP BY 1)
+SELECT source_id, 'success' AS outcome, fetched, NULL AS message FROM r
+UNION ALL SELECT DISTINCT 'broken-' || page_id % 3, 'failure', 0, {REASON} FROM pages"""
+
 ORACLES["changed_pages"] = "SELECT page_id AS seq, url, sha256(html) AS fingerprint FROM pages WHERE page_id % 3 = 0"
 ORACLES["replayed_pages"] = """SELECT page_id AS seq, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS source_id FROM pages
 WHERE page_id % 3 = 0 OR lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) LIKE 'www.%'"""

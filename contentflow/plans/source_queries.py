@@ -467,6 +467,53 @@ def stream_health(spark, sf):
     return health.health_of(summary, roles.run_sources(events))
 
 
+def _broken(spark, sf):
+    """Pages fetched for sources of other kinds: no feed, no answer, no connector."""
+    key = F.col("page_id")
+    return dumps.raw_fetch(
+        table(spark, sf, "pages"), source_id=F.concat(F.lit("broken-"), key % 3), seq=F.lit(10**7) + key, url=F.col("url"), content_type=F.lit("text/html"), text=F.col("html")
+    )
+
+
+def _all_kinds(spark, sf):
+    """One batch of every connector's fetches, readable or not, and the sources they belong to."""
+    orders = table(spark, sf, "orders")
+    works = dumps.scholarly_dumps(table(spark, sf, "part"))
+    hosts = F.create_map(*[F.lit(v) for host, name in ingest.PROVIDER_HOSTS for v in (name, f"https://api.{host}/works")])
+    works = works.withColumn("url", F.element_at(hosts, F.col("provider"))).drop("provider")
+    parts = {
+        "rss": _feeds(spark, sf), "zhihu": dumps.qa_dumps(orders), "x": dumps.post_dumps(table(spark, sf, "events")), "zhihu_follow": dumps.follow_pages(orders),
+        "xiaohongshu": dumps.note_pages(table(spark, sf, "part")), "academic": works, "broken": _broken(spark, sf),
+    }
+    raw = made = None
+    for kind, part in parts.items():
+        kinds = F.lit(kind) if kind != "broken" else roles.pick(["rss", "x", "telegraph"], F.substring("sid", 8, 1).cast("int"))
+        own = part.select(F.col("source_id").alias("sid")).distinct().select("sid", kinds.alias("skind"))
+        raw, made = (part, own) if raw is None else (raw.unionByName(part), made.unionByName(own))
+    sources = roles._source_rows(
+        made, id=F.col("sid"), url=F.concat(F.lit("https://"), F.col("sid"), F.lit(".example.org/")), kind=F.col("skind"), connector_id=F.col("skind"),
+        config_json=F.concat(F.lit('{"authorName":"'), F.col("sid"), F.lit('","orcid":"0000-0000-0000-0001"}')),
+    )
+    return raw, schemas.write_through(sources, "all-kinds-sources")
+
+
+@query
+def ingest_runs(spark, sf):
+    """Run log of a batch of every kind of fetch: what was read from each source, and why others failed."""
+    raw, sources = _all_kinds(spark, sf)
+    state = schemas.empty_state(spark).with_tables(sources=sources)
+    _, runs = ingest.ingest_batch(state, raw, ingest.Registry(*ingest.DEFAULT_CONNECTORS), AS_OF, "all")
+    return runs.select("source_id", "outcome", F.col("fetched_count").cast("bigint").alias("fetched"), "message")
+
+
+@query
+def ingest_rejects(spark, sf):
+    """Documents that no parser could read, with the reason."""
+    raw, sources = _all_kinds(spark, sf)
+    _, rejects = ingest.Registry(*ingest.DEFAULT_CONNECTORS).parse(raw, ingest.Context(sources, AS_OF))
+    return rejects.select("source_id", "seq", "problem")
+
+
 @query
 def stream_ingest(spark, sf):
     """Feeds landed as files, streamed through parse, normalise and merge into library versions."""

@@ -37,6 +37,19 @@ def is_feed(content_type: Column, body: Column) -> Column:
     return F.coalesce(content_type.rlike(FEED_CONTENT_TYPE), F.lit(False)) | body.rlike(FEED_PROLOG) | body.rlike(JSON_START)
 
 
+def feed_problem() -> Column:
+    """Why a document (``content_type, text``) is no readable feed; null for one that is."""
+    body = F.col("text")
+    xml = F.from_xml(body, "channel struct<title:string>, item array<struct<title:string>>, title struct<_VALUE:string>, entry array<struct<updated:string>>")
+    empty = xml["channel"].isNull() & xml["item"].isNull() & xml["title"].isNull() & xml["entry"].isNull()
+    data = F.from_json(body, "version string, items array<struct<id:string>>")
+    return (
+        F.when(~F.coalesce(is_feed(F.col("content_type"), body), F.lit(False)), F.lit("no feed document"))
+        .when(body.rlike(JSON_START), F.when(data["version"].isNull() | data["items"].isNull(), F.lit("no JSON Feed")))
+        .when(F.coalesce(empty, F.lit(True)), F.lit("feed cannot be parsed"))
+    )
+
+
 def _first(*options: Column) -> Column:
     """First option that is neither null nor empty."""
     return F.coalesce(*[text.blank_to_null(option) for option in options])

@@ -6,30 +6,64 @@ import dataclasses
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from contentflow import schemas
-from contentflow.functions import text
+from contentflow.functions import text, urls
 from contentflow.operators import maintenance, merge
 from contentflow.operators.mutations import delete_origin_rows
-from contentflow.operators.normalize import Policy, normalize
+from contentflow.operators.normalize import normalize
 from contentflow.schemas import State, write_through
-from contentflow.sources.feeds import is_feed, parse_feeds
+from contentflow.sources import cards, providers
+from contentflow.sources.feeds import feed_problem, parse_feeds
 from contentflow.sources.pages import extract_listing
 from contentflow.sources.snapshots import Library
 
-Parser = Callable[[DataFrame], DataFrame]
+Parser = Callable[[DataFrame, "Context"], DataFrame]
+REJECTS = "source_id string, seq bigint, url string, problem string"
+
+
+@dataclasses.dataclass(frozen=True)
+class Context:
+    """What a parser may need besides the documents."""
+
+    sources: DataFrame
+    as_of: int
 
 
 @dataclasses.dataclass(frozen=True)
 class Connector:
-    """How one kind of source turns fetched documents into raw entries."""
+    """How one kind of source turns fetched documents into raw entries.
+
+    ``problem`` says what is wrong with a document that cannot be read, null
+    for the others; without it every document can.
+    """
 
     connector_id: str
     parse: Parser
-    policy: Policy | None = None
+    problem: Callable[[], Column] | None = None
+
+
+def _scholarly(raw: DataFrame, context: Context) -> DataFrame:
+    """Works of the providers told apart by the address of the answer; the author is in the source's configuration."""
+    host = urls.url_host(F.col("url"))
+    provider = F.coalesce(*[F.when(host.endswith(domain), name) for domain, name in PROVIDER_HOSTS])
+    config = F.col("config_json")
+    authors = context.sources.select(
+        F.col("id").alias("source_id"), F.get_json_object(config, "$.authorName").alias("author_name"), F.get_json_object(config, "$.orcid").alias("orcid")
+    )
+    return providers.parse_scholarly(raw.withColumn("provider", provider), authors)
+
+
+def _not_json(schema: str, field: str, what: str) -> Callable[[], Column]:
+    return lambda: F.when(F.from_json("text", schema)[field].isNull(), F.lit(f"no readable {what}"))
+
+
+def _not_works() -> Column:
+    found = [F.from_json("text", schema)[field].isNotNull() for schema, field in ((providers.OPENALEX, "results"), (providers.SEMANTIC, "data"), (providers.ORCID, "group"))]
+    return F.when(~(found[0] | found[1] | found[2]), F.lit("no readable list of works"))
 
 
 def parse_listing_pages(raw: DataFrame) -> DataFrame:
@@ -66,25 +100,48 @@ class Registry:
             raise ValueError(f"connector {connector.connector_id} is registered already")
         self._by_id[connector.connector_id] = connector
 
+    def __contains__(self, connector_id: str) -> bool:
+        return connector_id in self._by_id
+
     def get(self, connector_id: str) -> Connector:
         if connector_id not in self._by_id:
             raise KeyError(f"unknown connector {connector_id}")
         return self._by_id[connector_id]
 
-    def parse(self, raw: DataFrame, sources: DataFrame) -> DataFrame:
-        """Every connector's documents through its parser, in one union."""
-        bound = sources.select(F.col("id").alias("source_id"), F.coalesce("connector_id", "kind").alias("connector"))
-        tagged = raw.join(bound, "source_id")
-        parts = [c.parse(tagged.where(F.col("connector") == name).drop("connector")) for name, c in self._by_id.items()]
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
-        return union
-
+    def parse(self, raw: DataFrame, context: Context) -> tuple[DataFrame, DataFrame]:
+        """Every connector's readable documents through its parser, in one union; and the documents that were rejected."""
+        bound = context.sources.select(F.col("id").alias("source_id"), F.coalesce("connector_id", "kind").alias("connector"))
+        known = F.col("connector").isin(list(self._by_id))
+        tagged = raw.join(bound, "source_id").withColumn("problem", F.when(~known, F.concat(F.lit("no connector for "), F.col("connector"))))
+        for name, connector in self._by_id.items():
+            if connector.problem is not None:
+                found = F.when((F.col("connector") == name) & F.col("problem").isNull(), connector.problem()).otherwise(F.col("problem"))
+                tagged = tagged.withColumn("problem", found)
+        tagged = write_through(tagged, "fetches")
+        good = tagged.where(F.col("problem").isNull())
+        rejects = tagged.where(F.col("problem").isNotNull()).select("source_id", "seq", "url", "problem")
+        # Kinds of source are few; those that sent nothing are left out of the plan.
+        present = {r["connector"] for r in good.select("connector").distinct().collect()}
+        union = raw.sparkSession.createDataFrame([], schemas.RAW_ENTRY)
+        for name, connector in self._by_id.items():
+            if name in present:
+                part = connector.parse(good.where(F.col("connector") == name).select(*raw.columns), context)
+                union = union.unionByName(part)
+        return union, rejects
+
+
+PROVIDER_HOSTS = [("openalex.org", "openalex"), ("semanticscholar.org", "semantic"), ("orcid.org", "orcid")]
 
 DEFAULT_CONNECTORS = [
-    Connector("rss", lambda raw: parse_feeds(raw.where(is_feed(F.col("content_type"), F.col("text"))))),
-    Connector("generic", parse_listing_pages),
+    Connector("rss", lambda raw, _: parse_feeds(raw), feed_problem),
+    Connector("generic", lambda raw, _: parse_listing_pages(raw)),
+    Connector("zhihu", lambda raw, _: providers.parse_qa_items(raw), _not_json(providers.QA_ITEMS, "Items", "list of answers")),
+    Connector("zhihu_follow", lambda raw, context: cards.parse_follow_cards(raw, context.as_of)),
+    Connector("x", lambda raw, _: providers.parse_posts(raw), _not_json(providers.POSTS, "data", "list of posts")),
+    Connector("xiaohongshu", lambda raw, context: cards.parse_hydration_notes(raw, context.as_of)),
+    Connector("academic", _scholarly, _not_works),
+    # Nothing is fetched for a manual source; what arrives for one is a page somebody saved.
+    Connector("manual", lambda raw, _: parse_listing_pages(raw)),
 ]
 
 
@@ -92,14 +149,16 @@ def ingest_batch(state: State, raw: DataFrame, registry: Registry, as_of: int, r
     """One sync run over a batch of fetches: parse, normalise, prune, merge; the state after it and its run log.
 
     Parsed items are written once and read by the merge, the run log and the
-    counts. A failed fetch is logged and contributes nothing.
+    counts. A failed fetch, and a document that cannot be read, is logged as a
+    failure and contributes nothing.
     """
     good = raw.where((F.col("status") >= 200) & (F.col("status") < 300))
-    items = write_through(registry.parse(good, state.sources), f"items-{run_key}")
+    items, rejects = registry.parse(good, Context(state.sources, as_of))
+    items = write_through(items, f"items-{run_key}")
     batch = normalize(items, state.sources, as_of)
     pruned = prune_navigation(state, good, run_key)
     result = merge.merge_entries(pruned, batch)
-    runs = run_log(raw, items, result.inserted, state.sources, as_of, run_key)
+    runs = run_log(raw, items, rejects, result.inserted, state.sources, as_of, run_key)
     return result.state, runs
 
 
@@ -115,7 +174,7 @@ def prune_navigation(state: State, good: DataFrame, run_key: str) -> State:
     return state if doomed.isEmpty() else delete_origin_rows(state, doomed)
 
 
-def run_log(raw: DataFrame, items: DataFrame, inserted: DataFrame, sources: DataFrame, as_of: int, run_key: str) -> DataFrame:
+def run_log(raw: DataFrame, items: DataFrame, rejects: DataFrame, inserted: DataFrame, sources: DataFrame, as_of: int, run_key: str) -> DataFrame:
     """One run per fetched source: failed, empty, or successful with its item count.
 
     Only a web source that answered but showed nothing is ``empty``; an
@@ -127,10 +186,12 @@ def run_log(raw: DataFrame, items: DataFrame, inserted: DataFrame, sources: Data
     counts = items.groupBy("source_id").agg(F.count("*").alias("fetched"))
     kinds = sources.select(F.col("id").alias("source_id"), F.coalesce("connector_id", "kind").alias("connector"))
     new = inserted.groupBy("source_id").agg(F.count("*").alias("inserted"))
-    joined = answers.join(counts, "source_id", "left").join(new, "source_id", "left").join(kinds, "source_id").na.fill(0, ["fetched", "inserted"])
+    unread = rejects.groupBy("source_id").agg(F.min("problem").alias("problem"))
+    joined = answers.join(counts, "source_id", "left").join(new, "source_id", "left").join(unread, "source_id", "left").join(kinds, "source_id")
+    joined = joined.na.fill(0, ["fetched", "inserted"]).withColumn("read", F.col("problem").isNull())
     empty = (F.col("connector") == "generic") & ~F.col("unchanged") & (F.col("fetched") == 0)
-    outcome = F.when(~F.col("ok"), "failure").when(empty, "empty").otherwise("success")
-    message = F.when(~F.col("ok"), text.redact_message(F.concat(F.lit("HTTP "), F.col("status"))))
+    outcome = F.when(~F.col("ok") | ~F.col("read"), "failure").when(empty, "empty").otherwise("success")
+    message = F.when(~F.col("ok"), text.redact_message(F.concat(F.lit("HTTP "), F.col("status")))).otherwise(F.col("problem"))
     return joined.select(
         F.concat(F.lit(run_key), F.lit(":"), F.col("source_id")).alias("id"),
         "source_id",

@@ -57,6 +57,34 @@ def test_batches_merge_and_replays_change_nothing(spark):
     assert {r["canonical_url"] for r in fx.as_dicts(library.load().entries)} == {r[2] for r in before}
 
 
+def test_all_connectors_and_broken_documents(spark):
+    qa = '{"Items":[{"Url":"https://www.zhihu.com/question/1/answer/2","Title":"Q","CreatedAt":1704240000},{"Url":"https://www.zhihu.com/question/1/answer/3","Title":"R","CreatedAt":9223372036854775807}]}'
+    posts = '{"username":"me","data":[{"id":"5","text":"hello"}]}'
+    works = '{"results":[{"id":"https://openalex.org/W1","title":"T","publication_date":"2024-01-03"}]}'
+    notes = '<script>window.__INITIAL_STATE__={"n":[{"noteId":"note000001","title":"t","type":"x","time":1e30}]}</script>'
+    follow = '<div class="ContentItem"><h2>A long title</h2><a href="/p/3">read</a></div>'
+    documents = {
+        "cut": ("rss", "application/xml", "<rss><channel><title>F</title><item><title>On"), "login": ("rss", "text/html", "<html>log in</html>"), "feed": ("rss", "application/xml", rss(("One", "1", None))),
+        "qa": ("zhihu", "application/json", qa), "qa-broken": ("zhihu", "application/json", "{oops"), "x": ("x", "application/json", posts), "works": ("academic", "application/json", works),
+        "notes": ("xiaohongshu", "text/html", notes), "follow": ("zhihu_follow", "text/html", follow), "odd": ("telegraph", "text/plain", "stop"),
+    }
+    rows = [dict(id=n, kind=kind, connector_id=kind, url=f"https://{n}.example.org/", config_json='{"authorName":"Ann"}') for n, (kind, _, _) in documents.items()]
+    state = schemas.empty_state(spark).with_tables(sources=fx.sources(spark, *rows))
+    names = schemas.columns(schemas.RAW_FETCH)
+    raw = spark.createDataFrame(
+        [tuple({"source_id": n, "seq": i, "url": "https://api.openalex.org/works" if n == "works" else f"https://{n}.example.org/", "status": 200, "content_type": kind, "text": body}.get(c) for c in names) for i, (n, (_, kind, body)) in enumerate(documents.items())],
+        schemas.RAW_FETCH,
+    )
+    after, runs = ingest.ingest_batch(state, raw, ingest.Registry(*ingest.DEFAULT_CONNECTORS), 1000, "all-kinds")
+    got = {r["source_id"]: (r["outcome"], r["fetched_count"], r["message"]) for r in runs.collect()}
+    assert {n: g[:2] for n, g in got.items()} == {
+        "cut": ("failure", 0), "login": ("failure", 0), "feed": ("success", 1), "qa": ("success", 2), "qa-broken": ("failure", 0), "x": ("success", 1),
+        "works": ("success", 1), "notes": ("success", 1), "follow": ("success", 1), "odd": ("failure", 0),
+    }
+    assert got["odd"][2] == "no connector for telegraph" and got["login"][2] == "no feed document" and got["cut"][2] == "feed cannot be parsed"
+    assert after.entries.count() == 7
+
+
 def test_committed_batches_are_skipped(spark):
     library = Library(spark, scratch_path(spark, "lib"), buckets=2)
     assert library.version() is None and library.load().entries.count() == 0
@@ -110,7 +138,7 @@ def test_registry():
     registry = ingest.Registry(*ingest.DEFAULT_CONNECTORS)
     assert registry.get("rss").connector_id == "rss"
     with pytest.raises(ValueError):
-        registry.register(ingest.Connector("rss", lambda raw: raw))
+        registry.register(ingest.Connector("rss", lambda raw, _: raw))
     with pytest.raises(KeyError):
         registry.get("none")
 
