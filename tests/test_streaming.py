@@ -72,7 +72,7 @@ def test_all_connectors_and_broken_documents(spark):
     state = schemas.empty_state(spark).with_tables(sources=fx.sources(spark, *rows))
     names = schemas.columns(schemas.RAW_FETCH)
     raw = spark.createDataFrame(
-        [tuple({"source_id": n, "seq": i, "url": "https://api.openalex.org/works" if n == "works" else f"https://{n}.example.org/", "status": 200, "content_type": kind, "text": body}.get(c) for c in names) for i, (n, (_, kind, body)) in enumerate(documents.items())],
+        [tuple({"source_id": n, "seq": i, "url": {"works": "https://api.openalex.org/works", "follow": "https://www.zhihu.com/follow"}.get(n, f"https://{n}.example.org/"), "status": 200, "content_type": kind, "text": body}.get(c) for c in names) for i, (n, (_, kind, body)) in enumerate(documents.items())],
         schemas.RAW_FETCH,
     )
     after, runs = ingest.ingest_batch(state, raw, ingest.Registry(*ingest.DEFAULT_CONNECTORS), 1000, "all-kinds")
