@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from contentflow import schemas
 from contentflow.operators import audit, folders, maintenance, timeline
+from contentflow.operators.ranking import ranked
 
 WRAPPED = "https://scour.ing/r/rss/https%3A%2F%2Fe.org%2Fpost"
 
@@ -164,6 +165,14 @@ def test_audit_samples_by_hand(spark):
     assert audit.audit_samples(rows, all_entries=True).count() == 305
 
 
+def test_ranks_within_a_hot_group(spark):
+    rows = spark.range(4_000).select(F.when(F.col("id") % 8 == 0, "cold").otherwise("hot").alias("g"), F.lit(7).alias("at"), "id")
+    got = ranked(rows, ["g"], [F.col("at"), F.col("id").desc()]).collect()
+    for group in ("hot", "cold"):
+        ids = [r["id"] for r in sorted((r for r in got if r["g"] == group), key=lambda r: r["rank"])]
+        assert ids == sorted(ids, reverse=True) and sorted(r["rank"] for r in got if r["g"] == group) == list(range(1, len(ids) + 1))
+
+
 def test_large_pools_keep_the_right_rows(spark):
     rows = spark.range(5_000).select((F.col("id") % 2).alias("g"), "id")
     top = audit.top_per_group(rows, ["g"], [F.col("id").desc()], 1_200)
