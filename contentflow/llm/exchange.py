@@ -33,11 +33,32 @@ def n_buckets(spark) -> int:
     return max(32, PER_PARTITION * partitions(spark))
 
 
-def bucketed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, doc_id, text): all rows of an id in one bucket; rows without an id spread by their text."""
+def even_labels(spark, each: int) -> list[int]:
+    """Bucket numbers of which Spark's hash partitioning puts exactly so many into every shuffle partition."""
+    count = partitions(spark)
+    tried = count * (each + 4)
+    while True:
+        label = F.col("id").cast("int")
+        placed = spark.range(tried).groupBy(F.pmod(F.hash(label), F.lit(count))).agg(F.slice(F.sort_array(F.collect_list(label)), 1, each).alias("labels")).collect()
+        if len(placed) == count and all(len(r["labels"]) == each for r in placed):
+            return sorted(x for r in placed for x in r["labels"])
+        tried *= 2
+
+
+def bucketed(docs: DataFrame, key: str = "doc_id", text: str = "text", each: int | None = None) -> DataFrame:
+    """(bucket, doc_id, text): all rows of an id in one bucket; rows without an id spread by their text.
+
+    ``each`` asks for exactly so many buckets in every partition, for operators
+    that want few of them.
+    """
     spark = docs.sparkSession
     spread = F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key)))
-    rows = docs.select(F.pmod(spread, F.lit(n_buckets(spark))).cast("int").alias("bucket"), F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if each:
+        labels = even_labels(spark, each)
+        bucket = F.get(F.array(*[F.lit(x) for x in labels]), F.pmod(spread, F.lit(len(labels))).cast("int"))
+    else:
+        bucket = F.pmod(spread, F.lit(n_buckets(spark))).cast("int")
+    rows = docs.select(bucket.alias("bucket"), F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.repartition(partitions(spark), "bucket")
 
 

@@ -33,6 +33,10 @@ from contentflow.llm.hashing import U, unpacked
 from contentflow.llm.tables import written
 
 ORDER, ALPHA = 3, 0.4
+#: Buckets per shuffle partition: fewer and larger ones hold more n-grams in common and ask for each once.
+EACH = 2
+#: Bits of an n-gram's hash. Two of ten thousand million n-grams share one with a chance of one in seven million for each.
+BITS = 56
 
 
 class Counts:
@@ -54,7 +58,7 @@ class Counts:
                 place = place[known[place] & known[place + 1]]
             self.places.append(place)
         self.asked = sizes
-        grams = np.concatenate([hashing.ngrams(self.words, n)[p] for n, p in zip(sizes, self.places, strict=True)])
+        grams = np.concatenate([hashing.ngrams(self.words, n)[p] >> U(64 - BITS) for n, p in zip(sizes, self.places, strict=True)])
         found, self.where, self.times = np.unique(grams, return_inverse=True, return_counts=True)
         return found, self.times
 
@@ -92,28 +96,32 @@ def unplaned(data: bytes) -> np.ndarray:
 
 def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, lm_score): the mean natural log of the scores of a document's words."""
-    rows, count = exchange.bucketed(docs, key, text), exchange.partitions(docs.sparkSession)
+    rows, count = exchange.bucketed(docs, key, text, EACH), exchange.partitions(docs.sparkSession)
 
-    def part_of(h: np.ndarray) -> np.ndarray:
+    def parts(number: int) -> int:
+        # The rounds after the first ask for half as much: as large parts, half as many.
+        return count if number == 0 else (count + 1) // 2
+
+    def part_of(h: np.ndarray, number: int) -> np.ndarray:
         # By the high bits, so that sorted hashes come partition by partition.
-        return ((h >> U(32)) * U(count) >> U(32)).astype(np.int64)
+        return ((h >> U(BITS - 32)) * U(parts(number)) >> U(32)).astype(np.int64)
 
     def replayed(texts: list[bytes], answers: pd.DataFrame, known: int) -> Counts:
         """The counts after the first so many rounds."""
         state = Counts(texts, order)
         for number, sizes in enumerate(rounds(order)[:known]):
             grams, _ = state.ask(sizes)
-            edges = np.searchsorted(part_of(grams), np.arange(count + 1))
+            edges = np.searchsorted(part_of(grams, number), np.arange(parts(number) + 1))
             others = np.zeros(len(grams), np.int64)
-            given = answers[answers["round"] == number]
-            for part, values in zip(given["part"], given["others"], strict=True):
+            given = answers[answers[f"others_{number}"].notna()]
+            for part, values in zip(given["part"], given[f"others_{number}"], strict=True):
                 others[edges[part] : edges[part + 1]] = unplaned(values)
             state.told(others)
         return state
 
     def sent(bucket: int, state: Counts, number: int) -> pd.DataFrame:
         grams, times = state.ask(rounds(order)[number])
-        rows = [(p, bucket, hashing.packed(g), planes(t)) for p, g, t in exchange.split(part_of(grams), grams, times)]
+        rows = [(p, bucket, hashing.packed(g), planes(t)) for p, g, t in exchange.split(part_of(grams, number), grams, times)]
         return pd.DataFrame(rows, columns=["part", "bucket", "grams", "times"])
 
     def add_up(number: int):
@@ -126,8 +134,8 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str =
                 others = summed[where[at : at + len(t)]].astype(np.int64) - t
                 at += len(t)
                 if others.any():
-                    out.append((bucket, part, number, planes(others)))
-            return pd.DataFrame(out, columns=["bucket", "part", "round", "others"])
+                    out.append((bucket, part, planes(others)))
+            return pd.DataFrame(out, columns=["bucket", "part", f"others_{number}"])
 
         return run
 
@@ -160,8 +168,8 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, key: str =
                 return sent(bucket, replayed(exchange.texts(rows)[1], told, number), number)
 
             asked = exchange.met(rows, answers, ask, schema)
-        told = exchange.answered(asked, add_up(number), "bucket int, part int, round int, others binary")
-        answers = told if answers is None else answers.unionByName(told)
+        told = exchange.answered(asked, add_up(number), f"bucket int, part int, others_{number} binary")
+        answers = told if answers is None else answers.unionByName(told, allowMissingColumns=True)
     sums = exchange.met(rows, answers, score, "doc_id bigint, n_words bigint, log_sum double, n_single bigint")
     sums = written(exchange.restored(sums), "lm")
     whole = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]

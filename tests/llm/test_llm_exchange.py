@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from llm_support import awkward, covered_twice, frame, jaccard_components, prose, repeats_removed, rows_of, shingle_set, words
 
-from contentflow.llm import components, hashing, jaccard, language_model, substrings, suffixes
+from contentflow.llm import components, exchange, hashing, jaccard, language_model, substrings, suffixes
 
 
 # --- hashing ----------------------------------------------------------------------
@@ -219,15 +220,15 @@ def test_suffixes_empty(spark):
 # --- language model ---------------------------------------------------------------------
 
 
-def _plain_scores(rows, alpha=0.4):
-    own = [Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in (words(r[1]) for r in rows)]
+def _plain_scores(rows, alpha=0.4, order=3):
+    own = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in (words(r[1]) for r in rows)]
     total = sum(own, Counter())
     whole = sum(len(words(r[1])) for r in rows)
     out = []
     for r, mine in zip(rows, own, strict=True):
         w, logs = words(r[1]), []
         for i in range(len(w)):
-            log, n = 0.0, min(3, i + 1)
+            log, n = 0.0, min(order, i + 1)
             while n > 1:
                 gram = tuple(w[i - n + 1 : i + 1])
                 if total[gram] > mine[gram]:
@@ -250,6 +251,21 @@ def test_language_model_awkward_rows(spark):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-6)
 
 
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_language_model_orders(spark, order):
+    rows = rows_of([prose(i, 30, 8) for i in range(12)] + ["w1 w2 w3 w4 w5", "w1 w2 w3 w4 w6"])
+    got = {r["doc_id"]: r["lm_score"] for r in language_model.scored(frame(spark, rows), order=order).collect()}
+    for doc, _, want in _plain_scores(rows, order=order):
+        assert got[doc] == pytest.approx(want, abs=2e-6)
+
+
+def test_even_labels_fill_every_partition_alike(spark):
+    labels = exchange.even_labels(spark, 3)
+    count = exchange.partitions(spark)
+    rows = spark.createDataFrame([(x,) for x in labels], "bucket int").repartition(count, "bucket").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) == count and {r["count"] for r in rows} == {3}
+
+
 def test_language_model_alone_and_empty(spark):
     assert language_model.scored(frame(spark, [])).count() == 0
     only = rows_of(["a b a"])
