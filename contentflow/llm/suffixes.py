@@ -2,22 +2,19 @@
 
 Of each text, only the suffixes that start at minimisers are kept: words at
 which the hash of eight words is smallest in some run of sixteen starts, a choice
-that depends on the content alone, so equal passages keep the same suffixes. The
-suffixes are partitioned by their first words and sorted; each is compared with
-its neighbours, in the order of what follows and in the order of what precedes,
-and a common part is extended to both sides. Parts of at least ``MATCH`` words
-count; overlapping ones are joined per document.
-
-A passage of fifty words keeps a suffix that starts within its first sixteen
-words, and no gap between kept suffixes is longer than that, so the parts that
-are compared around each, 32 words back and 64 ahead, cover the whole passage
-piece by piece, however long it is.
-
-Only suffixes whose first words occur more than once are sorted: packed sets of
-hashes are exchanged first (see ``exchange``). The answer says how many there
-are, and a group of more than ``GROUP`` suffixes (a notice in a third of all
-documents) is dealt out over several tasks by document; it is still compared
-with neighbours that share the passage.
+that depends on the content alone, so equal passages keep the same suffixes.
+Every run of ``MATCH`` words belongs to the suffix chosen from its first sixteen
+starts. Runs are brought together in two steps: by the first ``HEAD`` words of
+their suffix, and, where these occur more than once, by all their words. Equal
+runs meet wherever they are, so a pair that shares words on both sides of a
+suffix is found whatever else lies between the two in an order of suffixes.
+Runs that occur more than once are joined per document, so a longer passage is
+covered piece by piece, however long it is.
+
+Both steps exchange packed sets of hashes (see ``exchange``). A bucket sends
+each run once with the smallest id that has it, and hears the smallest id of the
+other buckets: a notice in a third of all documents, or one that a text repeats
+many times, is one entry per bucket, and no group has a limit.
 
 Defined results: null, empty and short texts have no passages; a passage
 repeated within one text counts; rows of one id are separate texts with spans
@@ -33,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentflow.llm import exchange, hashing
-from contentflow.llm.hashing import U, unpacked
+from contentflow.llm.hashing import U, member, unpacked
 from contentflow.llm.language_model import planes, unplaned
 
 MATCH = 50
@@ -41,39 +38,40 @@ MATCH = 50
 GRAM, RUN = 8, 16
 #: Words by which suffixes are brought together: at most MATCH - RUN + 1.
 HEAD = 24
-BACK, AHEAD = 32, 64
+#: Starts whose runs are looked at together, so that memory stays small.
 GROUP = 1024
+#: Buckets per shuffle partition: two steps send a message from each to each partition.
+EACH = 2
 
 
-def kept(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places of the chosen suffixes: of every run of starts within a text, the first with the smallest hash."""
-    place = hashing.starts(first, GRAM + RUN - 1)
+def chosen(words: np.ndarray, first: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which ``match`` words of one text start, and the suffix of each: of its first starts, the first with the smallest hash."""
+    place = hashing.starts(first, match)
     if not len(place):
-        return place
-    h = hashing.ngrams(words, GRAM, seed=2)
-    runs = np.lib.stride_tricks.sliding_window_view(h, RUN)
-    # In slices, so that memory stays small.
-    found = [p + runs[p].argmin(axis=1) for p in np.array_split(place, -(-len(place) // 65536))]
-    chosen = np.unique(np.concatenate(found))
-    text = np.searchsorted(first, chosen, side="right") - 1
-    return chosen[chosen + HEAD <= first[1:][text]]
+        return place, place
+    runs = np.lib.stride_tricks.sliding_window_view(hashing.ngrams(words, GRAM, seed=2), RUN)
+    return place, np.concatenate([p + runs[p].argmin(axis=1) for p in np.array_split(place, -(-len(place) // GROUP))])
 
 
-def around(words: np.ndarray, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Short word hashes ahead of each suffix's head and back from its start; 0 outside the text."""
-    short = (words >> U(32)).astype(np.uint32) | np.uint32(1)
-    text = np.searchsorted(first, place, side="right") - 1
-    ahead = place[:, None] + np.arange(HEAD, AHEAD)
-    back = place[:, None] - 1 - np.arange(BACK)
-    right = np.where(ahead < first[1:][text][:, None], short[np.minimum(ahead, len(words) - 1)], 0)
-    left = np.where(back >= first[text][:, None], short[np.maximum(back, 0)], 0)
-    return right.astype(np.uint32), left.astype(np.uint32)
+def edges(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values, and the run of each value."""
+    new = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+    start = np.flatnonzero(new)
+    return start, np.diff(start, append=len(values)), np.cumsum(new) - 1
 
 
-def common(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common start of rows a and b."""
-    same = (rows[a] == rows[b]) & (rows[a] != 0)
-    return np.where(same.all(axis=1), rows.shape[1], (~same).argmax(axis=1))
+def partners(value: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place with a value and an id: the smallest other id that has the value, else its own; and how many places have it."""
+    by = np.lexsort((ids, value))
+    start, size, run = edges(value[by])
+    ids = ids[by]
+    least = ids[start]
+    own = ids == least[run]
+    after = start + np.bincount(run, weights=own, minlength=len(start)).astype(np.int64)
+    second = np.where(after < start + size, ids[np.minimum(after, len(ids) - 1)], least)
+    other, many = np.empty_like(ids), np.empty_like(run)
+    other[by], many[by] = np.where(own, second[run], least[run]), size[run]
+    return other, many
 
 
 def joined(spans: pd.DataFrame) -> pd.DataFrame:
@@ -90,20 +88,30 @@ def joined(spans: pd.DataFrame) -> pd.DataFrame:
 
 def passages(docs: DataFrame, match: int = MATCH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, n_words, match_doc_id): the repeated passages of every document, end exclusive, and a document that has it too."""
-    if not HEAD + RUN - 1 <= match <= BACK + HEAD:
-        raise ValueError(f"passages of {HEAD + RUN - 1} to {BACK + HEAD} words and more can be asked for")
-    rows, count = exchange.bucketed(docs, key, text), exchange.partitions(docs.sparkSession)
+    if match < HEAD + RUN - 1:
+        raise ValueError(f"passages of {HEAD + RUN - 1} words and more can be asked for")
+    rows, count = exchange.bucketed(docs, key, text, EACH), exchange.partitions(docs.sparkSession)
 
     def suffixes(rows: pd.DataFrame):
         rows, texts = exchange.texts(rows)
         words, first = hashing.word_hashes(texts)
-        place = kept(words, first)
-        head = hashing.ngrams(words, HEAD)[place] if len(words) else np.zeros(0, U)
-        return rows, words, first, place, head, (head >> U(32)) % U(count)
+        place, suffix = chosen(words, first, match)
+        at, which = np.unique(suffix, return_inverse=True)
+        head = hashing.ngrams(words, HEAD)[at] if len(words) else np.zeros(0, U)
+        return rows, words, first, place, which, (head >> U(32)) % U(count) << U(32) | (head & U(0xFFFFFFFF))
+
+    def runs(rows: pd.DataFrame, heads: list[np.ndarray]):
+        """Text, start within it, id and hash of the runs whose suffix has one of the given heads."""
+        rows, words, first, place, which, head = suffixes(rows)
+        given = np.sort(np.concatenate([np.zeros(0, U), *heads]))
+        place = place[member(head, given)[which]]
+        text = np.searchsorted(first, place, side="right") - 1
+        value = hashing.ngrams(words, match)[place] if len(place) else np.zeros(0, U)
+        return text, place - first[text], rows["doc_id"].to_numpy(np.int64)[text], value
 
     def ask(bucket: int, rows: pd.DataFrame) -> pd.DataFrame:
-        *_, head, part = suffixes(rows)
-        value, times = np.unique(part << U(32) | (head & U(0xFFFFFFFF)), return_counts=True)
+        *_, head = suffixes(rows)
+        value, times = np.unique(head, return_counts=True)
         sent = [(p, bucket, hashing.packed(v), planes(t)) for p, v, t in exchange.split((value >> U(32)).astype(np.int64), value & U(0xFFFFFFFF), times)]
         return pd.DataFrame(sent, columns=["part", "bucket", "heads", "times"])
 
@@ -116,64 +124,54 @@ def passages(docs: DataFrame, match: int = MATCH, key: str = "doc_id", text: str
             n = summed[where[at : at + len(h)]]
             at += len(h)
             if (n > 1).any():
-                out.append((bucket, part, hashing.packed(h[n > 1]), planes(n[n > 1])))
-        return pd.DataFrame(out, columns=["bucket", "part", "heads", "times"])
+                out.append((bucket, part, hashing.packed(h[n > 1])))
+        return pd.DataFrame(out, columns=["bucket", "part", "heads"])
 
     def enter(bucket: int, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        rows, words, first, place, head, part = suffixes(rows)
-        if not len(answers) or not len(place):
-            return pd.DataFrame(columns=["part", "bucket", "heads", "rows", "ids", "starts", "context"])
-        given = np.concatenate([unpacked(h) | U(p) << U(32) for p, h in zip(answers["part"], answers["heads"], strict=True)])
-        times = np.concatenate([unplaned(t) for t in answers["times"]])
-        by = np.argsort(given)
-        given, times = given[by], times[by]
-        short = part << U(32) | (head & U(0xFFFFFFFF))
-        at = np.minimum(np.searchsorted(given, short), len(given) - 1)
-        use = given[at] == short
-        place, head, part, times = place[use], head[use], part[use].astype(np.int64), times[at[use]]
-        text = np.searchsorted(first, place, side="right") - 1
-        ids = rows["doc_id"].to_numpy()[text]
-        # A large group goes to several partitions, whole documents to one.
-        salts = -(-times // GROUP)
-        salt = (hashing.mixed(ids.astype(U) ^ U(0xA5A5A5A5)) % salts.astype(U)).astype(np.int64)
-        part = np.where(salts > 1, (hashing.mixed(head + salt.astype(U)) % U(count)).astype(np.int64), part)
-        head = np.where(salts > 1, hashing.mixed(head ^ (salt.astype(U) << U(40))), head)
-        right, left = around(words, first, place)
-        by = np.lexsort((head, part))
-        sent = [
-            (p, bucket, hashing.packed(h), t.astype(np.int32).tobytes(), i.tobytes(), s.astype(np.int32).tobytes(), np.concatenate([r, f], axis=1).tobytes())
-            for p, h, t, i, s, r, f in exchange.split(part[by], head[by], text[by], ids[by], (place - first[text])[by], right[by], left[by])
-        ]
-        return pd.DataFrame(sent, columns=["part", "bucket", "heads", "rows", "ids", "starts", "context"])
+        if not len(rows) or not len(answers):
+            return pd.DataFrame(columns=["part", "bucket", "heads", "runs", "ids"])
+        heads = [unpacked(h) | U(p) << U(32) for p, h in zip(answers["part"], answers["heads"], strict=True)]
+        _, _, ids, value = runs(rows, heads)
+        part = ((value >> U(32)) % U(count)).astype(np.int64)
+        by = np.lexsort((ids, value, part))
+        by = by[edges(value[by])[0]]
+        sent = {p: (hashing.packed(v), planes(i.astype(U))) for p, v, i in exchange.split(part[by], value[by], ids[by])}
+        # The heads come back with the answer, so that the last step has all of them.
+        back = dict(zip(answers["part"], answers["heads"], strict=True))
+        return pd.DataFrame([(p, bucket, back.get(p, b""), *sent.get(p, (b"", b""))) for p in sorted({*sent, *back})], columns=["part", "bucket", "heads", "runs", "ids"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        head = np.concatenate([unpacked(h) for h in rows["heads"]])
-        bucket = np.repeat(rows["bucket"].to_numpy(), [len(r) // 4 for r in rows["rows"]])
-        text, start = (np.concatenate([np.frombuffer(x, np.int32) for x in rows[c]]) for c in ("rows", "starts"))
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
-        context = np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, AHEAD - HEAD + BACK) for x in rows["context"]])
-        right, left = np.ascontiguousarray(context[:, : AHEAD - HEAD]), np.ascontiguousarray(context[:, AHEAD - HEAD :])
-        found = []
-        for order_by in (right, left):
-            name = np.concatenate([head.astype(">u8").view(np.uint8).reshape(-1, 8), order_by.astype(">u4").view(np.uint8).reshape(len(head), -1)], axis=1)
-            name = np.ascontiguousarray(name).view(f"S{name.shape[1]}")[:, 0]
-            by = np.lexsort((start, text, bucket, name))
-            a, b = by[:-1], by[1:]
-            same = head[a] == head[b]
-            a, b = a[same], b[same]
-            ahead, back = HEAD + common(right, a, b), common(left, a, b)
-            enough = ahead + back >= match
-            a, b, ahead, back = a[enough], b[enough], ahead[enough], back[enough]
-            for x, y in ((a, b), (b, a)):
-                found.append(pd.DataFrame({"bucket": bucket[x], "row": text[x], "doc_id": ids[x], "start": start[x] - back, "end": start[x] + ahead, "match_doc_id": ids[y]}))
-        return pd.concat(found, ignore_index=True).drop_duplicates()
-
-    def collect(rows: pd.DataFrame) -> pd.DataFrame:
-        spans = joined(rows)
+        sent, ids = [unpacked(r) for r in rows["runs"]], [unplaned(i) for i in rows["ids"]]
+        value = np.concatenate(sent)
+        other, many = partners(value, np.concatenate(ids))
+        out, at = [], 0
+        for part, bucket, heads, v in zip(rows["part"], rows["bucket"], rows["heads"], sent, strict=True):
+            o, n = other[at : at + len(v)], many[at : at + len(v)]
+            at += len(v)
+            out.append((bucket, part, heads, hashing.packed(v[n > 1]), planes(o[n > 1].astype(U))))
+        return pd.DataFrame(out, columns=["bucket", "part", "heads", "runs", "others"])
+
+    def collect(bucket: int, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc_id", "start_word", "end_word", "n_words", "match_doc_id")})
+        if not len(rows) or not len(answers):
+            return empty
+        text, start, ids, value = runs(rows, [unpacked(h) | U(p) << U(32) for p, h in zip(answers["part"], answers["heads"], strict=True)])
+        given, others = np.concatenate([unpacked(r) for r in answers["runs"]]), np.concatenate([unplaned(i) for i in answers["others"]])
+        by = np.argsort(given)
+        given, others = given[by], others[by]
+        other, many = partners(value, ids)
+        outside = member(value, given)
+        abroad = others[np.minimum(np.searchsorted(given, value), len(given) - 1)] if len(given) else other
+        # An id of another bucket counts before a document's own.
+        other = np.where(outside, np.where(other == ids, abroad, np.minimum(other, abroad)), other)
+        use = outside | (many > 1)
+        if not use.any():
+            return empty
+        spans = joined(pd.DataFrame({"row": text[use], "doc_id": ids[use], "start": start[use], "end": start[use] + match, "match_doc_id": other[use]}))
         return pd.DataFrame({"doc_id": spans["doc_id"], "start_word": spans["start"], "end_word": spans["end"], "n_words": spans["end"] - spans["start"], "match_doc_id": spans["match_doc_id"]})
 
-    probes = exchange.answered(exchange.asked(rows, ask, "heads binary, times binary"), decide, "bucket int, part int, heads binary, times binary")
-    entered = exchange.met(rows, probes, enter, "part int, bucket int, heads binary, rows binary, ids binary, starts binary, context binary")
-    spans = exchange.answered(entered, compare, "bucket int, row int, doc_id bigint, start int, end int, match_doc_id bigint")
-    done = spans.repartition(exchange.partitions(docs.sparkSession), "bucket").groupBy("bucket").applyInPandas(collect, "doc_id bigint, start_word int, end_word int, n_words int, match_doc_id bigint")
+    heads = exchange.answered(exchange.asked(rows, ask, "heads binary, times binary"), decide, "bucket int, part int, heads binary")
+    entered = exchange.met(rows, heads, enter, "part int, bucket int, heads binary, runs binary, ids binary")
+    answers = exchange.answered(entered, compare, "bucket int, part int, heads binary, runs binary, others binary")
+    done = exchange.met(rows, answers, collect, "doc_id bigint, start_word int, end_word int, n_words int, match_doc_id bigint")
     return exchange.restored(done).withColumn("match_doc_id", F.nullif("match_doc_id", F.lit(exchange.NO_ID)))

@@ -213,6 +213,22 @@ def test_suffixes_of_planted_passages(spark, monkeypatch, group):
         assert got.keys() == want.keys() and all(got[k] <= want[k] and len(want[k] - got[k]) <= 2 for k in want)
 
 
+def test_suffixes_of_a_hot_head(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP", 8)
+    notice, passage = prose(71, 34, 5000), prose(72, 60, 5000)
+    # A notice in all texts, with endings that two or three of them share; a text that stammers and one that quotes it once.
+    endings = [prose(7300 + i // 2, 22, 5000) for i in range(60)]
+    texts = [f"{prose(7400 + i, 20, 5000)} {notice} {e} {prose(7500 + i, 20, 5000)}" for i, e in enumerate(endings)]
+    texts += [" ".join(f"{passage} {prose(7600 + i, 3, 5000)}" for i in range(100))]
+    texts += [f"{prose(7700 + i, 30, 5000)} {passage} {prose(7800 + i, 30, 5000)}" for i in range(6)]
+    rows = rows_of(texts)
+    want = {rows[i][0]: places for i, places in covered_twice(rows).items()}
+    got = suffixes.passages(frame(spark, rows)).collect()
+    assert len(want) == len(texts) and _covered(got) == want
+    # Only the stammering text may name itself, for a word beside the passage.
+    assert all(r["match_doc_id"] != r["doc_id"] for r in got if r["doc_id"] != 60)
+
+
 def test_suffixes_empty(spark):
     assert suffixes.passages(frame(spark, [])).count() == 0
 
