@@ -229,6 +229,21 @@ def test_suffixes_of_a_hot_head(spark, monkeypatch):
     assert all(r["match_doc_id"] != r["doc_id"] for r in got if r["doc_id"] != 60)
 
 
+def test_suffixes_of_one_template(spark):
+    # Variants share different parts around the same suffixes, so that others lie between two in any one order.
+    texts = []
+    for t in range(12):
+        template = prose(8100 + t, 110, 5000).split()
+        pick = random.Random(8200 + t)
+        for v in range(60):
+            a = pick.randrange(0, 62)
+            b = min(110, a + pick.randrange(36, 58))
+            texts.append(" ".join([prose(10000 + 100 * t + v, 9, 5000), *template[a:b], prose(20000 + 100 * t + v, 9, 5000)]))
+    rows = rows_of(texts)
+    want = {rows[i][0]: places for i, places in covered_twice(rows).items()}
+    assert _covered(suffixes.passages(frame(spark, rows)).collect()) == want
+
+
 def test_suffixes_empty(spark):
     assert suffixes.passages(frame(spark, [])).count() == 0
 
