@@ -197,9 +197,10 @@ def found_in(index: Benchmark, texts: list[str | None]) -> Iterator[tuple[int, i
             if len(index.grams):
                 flat = gap.join(bodies[j] for j in group)
                 for item, start, end, edits in index.verified(flat):
-                    row = int(np.searchsorted(edges, start, side="right")) - 1
+                    # A passage that lacks its first or last bytes may be aligned into the gap; its middle lies in its text.
+                    row = int(np.searchsorted(edges, (start + end) // 2, side="right")) - 1
                     body = bodies[group[row]]
-                    a, b = start - int(edges[row]), min(end - int(edges[row]), len(body))
+                    a, b = max(0, start - int(edges[row])), min(end - int(edges[row]), len(body))
                     if a < b:
                         yield group[row], item, len(body[:a].decode("utf-8", "ignore")), len(body[:b].decode("utf-8", "ignore")), edits
             group, size = [], 0

@@ -114,6 +114,20 @@ def test_edited_passages_are_found_and_placed():
             assert min(_distance(p.decode(), part) for p, i in zip(index.passages, index.items, strict=True) if i == row) <= k <= edits + 1
 
 
+def test_truncated_passages_at_the_edges_of_texts():
+    items = [(i, prose(800 + i, 20, 5000)) for i in range(20)]
+    index = decontaminate.Benchmark(items)
+    first = prose(1, 30, 5000)
+    for cut in range(1, 6):
+        for i, item in items:
+            # The same document as the first text of a group and as a later one.
+            for text in (item[cut:] + " " + first, first + " " + item[:-cut], item[cut:]):
+                alone = list(decontaminate.found_in(index, [text]))
+                after = list(decontaminate.found_in(index, [first, text, first]))
+                assert {(r, x) for r, x, *_ in alone} == {(0, i)} and {(r, x) for r, x, *_ in after} == {(1, i)}
+                assert all(0 <= a < b <= len(text) for _, _, a, b, _ in alone + after)
+
+
 def test_lemma_filter_loses_no_alignment():
     pick = random.Random(4)
     items = [(i, prose(i, 12, 5000)) for i in range(20)]
