@@ -11,6 +11,9 @@ gives the marginals, and runs of words whose marginal for a label passes a limit
 become further spans: a card number written once in full and once with a slip is
 found both times.
 
+The field runs on every document that has a node, with or without base spans,
+unless ``everywhere`` is turned off.
+
 Occurrences of one word are tied in a chain from each to the next, so a word
 repeated ten thousand times costs ten thousand edges. Documents are independent:
 one pass over the rows without a shuffle.
@@ -230,11 +233,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def all_spans(text: str, model: Potentials | None) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): the added ones are runs of words with one sure label that no base span touches."""
+def all_spans(text: str, model: Potentials | None, everywhere: bool = False) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans): the added ones are runs of words with one sure label that no base span touches.
+
+    The field is run on texts with base spans, or ``everywhere`` there are nodes.
+    """
     base = base_spans(text)
-    # Without evidence in the document no label has anything to spread from.
-    field = field_of(text, base) if model is not None and base else None
+    field = field_of(text, base) if model is not None and (base or everywhere) else None
     if field is None:
         return base, base
     sure = marginals(field, model)
@@ -285,14 +290,14 @@ def written_out(found: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in found)
 
 
-def spans(docs: DataFrame, model: Potentials | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, model: Potentials | None, key: str = "doc_id", text: str = "text", everywhere: bool = True) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for every row; base and spans as kind:start:end lists."""
 
     def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for t in b["text"]:
-                base, every = all_spans(t, model) if isinstance(t, str) else ([], [])
+                base, every = all_spans(t, model, everywhere) if isinstance(t, str) else ([], [])
                 kinds = [k for k, _, _ in base]
                 out.append((*map(kinds.count, range(len(KINDS))), written_out(base), written_out(every)))
             made = pd.DataFrame(out, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
@@ -304,13 +309,13 @@ def spans(docs: DataFrame, model: Potentials | None, key: str = "doc_id", text:
     return rows.mapInPandas(find, f"doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, spans string")
 
 
-def redacted(docs: DataFrame, model: Potentials | None, text: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, model: Potentials | None, text: str = "text", everywhere: bool = True) -> DataFrame:
     """The documents with every span replaced by the name of its kind in angle brackets; overlapping spans are one."""
 
     def replace(t):
         if not isinstance(t, str):
             return t
-        found = sorted((a, b, k) for k, a, b in all_spans(t, model)[1])
+        found = sorted((a, b, k) for k, a, b in all_spans(t, model, everywhere)[1])
         out, at = [], 0
         for a, b, k in found:
             if a >= at:

@@ -217,6 +217,18 @@ def test_skip_chain_spreads_and_base_stays():
     assert pii.all_spans("call (678) 555-5272 later", model) == ([], [])
 
 
+def test_field_runs_without_base_spans(spark):
+    model = _model()
+    # One digit is wrong, so no pattern marks the number.
+    text = "pay with 4111111111111112 or later with 4111111111111112 please"
+    assert pii.base_spans(text) == []
+    docs = frame(spark, rows_of([text, "no numbers here", None]))
+    found = {r["doc_id"]: r for r in pii.spans(docs, model).collect()}
+    assert found[0]["base"] == "" and found[0]["spans"] == "card:9:25,card:40:56" and found[1]["spans"] == found[2]["spans"] == ""
+    assert {r["doc_id"]: r["text"] for r in pii.redacted(docs, model).collect()}[0] == "pay with <card> or later with <card> please"
+    assert {r["spans"] for r in pii.spans(docs, model, everywhere=False).collect()} == {""}
+
+
 def test_belief_propagation_is_exact_on_a_tree():
     pick = np.random.default_rng(3)
     labels = len(pii.KINDS) + 1
