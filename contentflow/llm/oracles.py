@@ -81,3 +81,42 @@ s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / p2)
                           ELSE ln(greatest(c1, 1) / greatest(others, 1)) + least(i - 1, 2) * ln(0.4) END AS x FROM p JOIN n USING (doc_id))
 SELECT n.doc_id, n.n::BIGINT AS n_words, round(avg(x), 6) AS lm_score FROM n LEFT JOIN s USING (doc_id) GROUP BY n.doc_id, n.n
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, e.vec_id AS id, e.r, e.label = a.label AS same, list_inner_product(a.q, e.q)::BIGINT AS score
+      FROM e a JOIN e ON e.r <> a.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor, anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, r) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor, positive_id ORDER BY score DESC, id, r)::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLES["op12_spelling"] = r"""
+WITH RECURSIVE b(k, i, v) AS (SELECT range, 0, range FROM range(256) UNION ALL
+                              SELECT k, i + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM b WHERE i < 8),
+t AS (SELECT list(v ORDER BY k) AS t FROM b WHERE i = 8),
+o AS (SELECT doc_id, run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+      WHERE length(run) >= 5 GROUP BY ALL),
+x AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM o),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x) // 2 + 1), lambda j: ('0x' || substr(x, 2 * j - 1, 2))::BIGINT)),
+                                     lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295) AS h FROM x, t),
+w AS (SELECT word, sum(n)::BIGINT AS n
+      FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h)
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+pairs AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND length(x.word) = length(y.word) AND x.word <> y.word
+          UNION SELECT d.word, w.word FROM d JOIN w ON d.less = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.less = w.word),
+near AS (SELECT a AS word, count(*) AS n_near, max(n) AS top FROM pairs JOIN w ON w.word = b GROUP BY a),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN (SELECT min(encode(b)) FROM pairs JOIN w y ON y.word = b WHERE a = w.word AND y.n = top) END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+          FROM w LEFT JOIN near USING (word)),
+f AS (SELECT * REPLACE (decode(form) AS form) FROM forms),
+r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.up)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.up IS NULL
+"""

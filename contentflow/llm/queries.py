@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentflow.llm import chat, classifier, decontaminate, jaccard, language_model, mixing, pii, quality_rules, substrings, suffixes
+from contentflow.llm import (
+    chat, classifier, decontaminate, hard_negatives, jaccard, language_id, language_model, mixing, pii, quality_rules, spelling, substrings, suffixes,
+)
 from contentflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +99,22 @@ def op8_pii(spark, sf):
     docs = table(spark, sf, "documents")
     rows = pii.spans(docs, pii.fitted(docs))
     return rows.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op11_hard_negatives(spark, sf):
+    """For each anchor and positive, the best rows of other labels that score 80 to 100 per cent of the positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+@query
+def op12_spelling(spark, sf):
+    """Every word with its near words counted, the form it is a variant of, and the last form."""
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query
+def op13_language_id(spark, sf):
+    """The language of every document, learned outside the held-out fold."""
+    return language_id.predicted(table(spark, sf, "documents"))
