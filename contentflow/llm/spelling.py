@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contentflow.llm.exchange import partitions
 from contentflow.llm.tables import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,7 +85,8 @@ def near_pairs(words: DataFrame, symbols: int | None = None) -> DataFrame:
     """(word, n, near, near_n): every pair of words one edit apart, in both directions."""
     symbols = symbols or symbols_for(words)
     keyed = written(words.select("word", "n", reduced(F.col("word"), symbols).alias("r")).withColumn("key", F.xxhash64("r")), "reduced")
-    distinct = keyed.groupBy("key").agg(F.min("r").alias("r"))
+    # Each reduced word becomes a hundred rows: the few bytes of the vocabulary are dealt to all tasks beforehand.
+    distinct = keyed.repartition(partitions(words.sparkSession), "key").groupBy("key").agg(F.min("r").alias("r"))
     around = distinct.select("key", F.explode(neighbourhood(F.col("r"), symbols)).alias("other"))
     met = around.join(distinct.select(F.col("key").alias("other")), "other")
     left = keyed.select("key", "word", "n").join(met, "key").select("word", "n", "other")
