@@ -5,9 +5,9 @@ is the log probability of its pairs and triples of lower-cased characters, with
 the word's borders, under that language's smoothed counts. Only languages whose
 learned texts use the script of the word's first letter are candidates for it.
 Viterbi over the words of a text, where a change of language costs a fixed
-penalty, labels spans; the language with most letters is the text's. A text
-whose best single label no sequence of labels can beat, which the largest sum
-over any stretch of words tells, needs no recursion.
+penalty, labels spans; the language with most letters is the text's. The
+recursion runs only over stretches of words in which leaving the best single
+label can pay, which sums over the words tell beforehand.
 
 Counts are learned on a bounded, documented sample of labelled documents for
 each language, as sums over (language, bin) in Spark; the model has languages
@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentflow.llm.tables import BROADCAST_ROWS
+
 #: Ranges of code points by script, first and last.
 SCRIPTS: list[tuple[str, int, int]] = [
     ("latin", 0x0041, 0x024F),
@@ -168,23 +170,18 @@ def word_scores(model: Model, words: Words) -> np.ndarray:
     return out + np.where((closed < 0).all(axis=1, keepdims=True), 0, closed)
 
 
-def one_label(scores: np.ndarray, switch: float) -> int | None:
-    """The language that labels all words, if no other sequence of labels can be better."""
-    best = int(scores.sum(axis=0).argmax())
-    gain = (scores - scores[:, best : best + 1]).max(axis=1)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    return best if (total - np.minimum.accumulate(total)).max() <= switch else None
-
-
-def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
-    """The labels of the best sequence; of equal ones, that which changes later and to the first language."""
-    value = scores[0].tolist()
+def viterbi(scores: np.ndarray, switch: float, before: int | None = None, behind: int | None = None) -> np.ndarray:
+    """The labels of the best sequence, between two given labels where there are such."""
+    fee = np.arange(scores.shape[1])
+    value = (scores[0] - switch * (fee != before) if before is not None else scores[0]).tolist()
     back: list[tuple[int, list[bool]]] = []
     for row in scores[1:].tolist():
         top = max(value)
         floor = top - switch
         back.append((value.index(top), [v >= floor for v in value]))
         value = [(v if v >= floor else floor) + s for v, s in zip(value, row, strict=True)]
+    if behind is not None:
+        value = [v - switch * (k != behind) for k, v in enumerate(value)]
     label = value.index(max(value))
     labels = [label]
     for source, stays in reversed(back):
@@ -193,6 +190,35 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     return np.array(labels[::-1])
 
 
+def best_labels(scores: np.ndarray, switch: float) -> np.ndarray:
+    """As ``viterbi`` over all words, but looking only where leaving the best single label can pay.
+
+    ``gain`` bounds what another label is worth at a word. A stretch of other
+    labels that pays has no part at an inner border with a gain below zero, so
+    it lies where one of two walks over the gains, which start again whenever
+    they fall to zero, is above zero, and it adds up to one change at the ends
+    of the text and two within it.
+    """
+    best = int(scores.sum(axis=0).argmax())
+    labels = np.full(len(scores), best)
+    if scores.shape[1] == 1:
+        return labels
+    gain = np.delete(scores, best, axis=1).max(axis=1) - scores[:, best]
+    if gain.sum() >= switch:
+        return viterbi(scores, switch)
+    walk = np.zeros(len(scores))
+    for turned in (gain, gain[::-1]):
+        total = np.concatenate([[0.0], np.cumsum(turned)])
+        up = (total - np.minimum.accumulate(total))[1:]
+        walk = np.maximum(walk, up) if turned is gain else np.maximum(walk, up[::-1])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], walk > 0, [False]])))
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        first, last = a == 0, b == len(scores)
+        if walk[a:b].max() >= (1 if first or last else 2) * switch:
+            labels[a:b] = viterbi(scores[a:b], switch, None if first else best, None if last else best)
+    return labels
+
+
 @dataclass
 class Found:
     language: str
@@ -213,8 +239,7 @@ def found_in(model: Model | None, texts: list[str]) -> Iterator[Found]:
             yield Found(UNKNOWN, 0.0, [])
             continue
         own = scores[a:b]
-        same = one_label(own, model.switch)
-        labels = np.full(b - a, same) if same is not None else viterbi(own, model.switch)
+        labels = best_labels(own, model.switch)
         letters = np.bincount(labels, weights=words.letters[a:b], minlength=len(model.languages))
         best = int(letters.argmax())
         # How sure the words under that label are of it, times the share of letters that have it.
@@ -241,11 +266,20 @@ def in_groups(model: Model | None, texts: Iterable[str]) -> Iterator[Found]:
 
 def learned_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """(lang, text) of the first so many documents of each language in hash order, outside the held-out fold."""
-    rows = docs.where(F.col(language).isNotNull() & F.coalesce(F.crc32(F.col(key).cast("string")) % 5 != 0, F.lit(False)))
-    order = Window.partitionBy(language).orderBy(F.xxhash64(key), key)
-    # Only ids and languages are ranked; the texts of the chosen ones are looked up.
-    chosen = rows.select(key, language).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select(key, language).distinct()
-    return rows.join(chosen, [key, language]).select(F.col(language).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.where(F.coalesce(F.crc32(F.col(key).cast("string")) % 5 != 0, F.lit(False)))
+    rows = rows.select(F.col(key).alias("id"), F.col(language).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL")
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # Hashes below a language's share leave about twice the asked number to be ranked, however many documents it has.
+    shares = rows.sparkSession.createDataFrame([(name, min(1.0, 2 * per_language / n)) for name, n in totals.items()], "lang string, share double")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ids = rows.select("id", "lang").join(F.broadcast(shares), "lang").where(place < F.col("share")).select("id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("id", "lang")
+    # Only ids and languages were ranked; the texts of the chosen ones are looked up.
+    chosen = F.broadcast(chosen) if len(totals) * per_language <= BROADCAST_ROWS else chosen
+    return rows.join(chosen, ["id", "lang"]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -268,9 +302,6 @@ def counted(rows: DataFrame) -> DataFrame:
 def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """The model of the labelled documents; none if there are none. Its size is languages times BINS, whatever the input."""
     rows = learned_rows(docs, key, text, language, per_language)
-    names = docs.where(F.col(language).isNotNull()).select(F.col(language).cast("string")).distinct().limit(MOST_LANGUAGES + 1).count()
-    if names > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = counted(rows).toPandas()
     languages = sorted(found["lang"].unique())
     if not languages:
