@@ -28,6 +28,8 @@ INTERVALS = [30, 60, 120, 240, 720, 1440]
 # ---------------------------------------------------------------------------
 
 FAILURE, SUCCESS, EMPTY = "failure", "success", "empty"
+# An empty success after which the source needs its rule reviewed.
+WARNING = "warning"
 
 
 def portable_hash(text: Column) -> Column:
@@ -55,41 +57,41 @@ def next_check(source_id: Column, checked_at: Column, interval_minutes: Column)
     return checked_at + refresh_delay(source_id, checked_at, interval_minutes)
 
 
-def run_marks(runs: DataFrame) -> DataFrame:
-    """Per source: the last run, the last success and the last success with rows."""
+def run_marks(runs: DataFrame, key: list[str] = ["source_id"]) -> DataFrame:  # noqa: B006
+    """Per key: the last run, the last success and the last success with rows."""
     ok = F.col("outcome") != FAILURE
     full = F.col("outcome") == SUCCESS
     order = F.struct("created_at", "id")
-    return runs.groupBy("source_id").agg(
+    return runs.groupBy(*key).agg(
         F.max_by(F.struct("outcome", "message", "created_at", "id"), order).alias("last"),
         F.max(F.when(ok, order)).alias("last_ok"),
         F.max(F.when(full, order)).alias("last_full"),
     )
 
 
-def run_streaks(runs: DataFrame, marks: DataFrame) -> DataFrame:
+def run_streaks(runs: DataFrame, marks: DataFrame, key: list[str] = ["source_id"]) -> DataFrame:  # noqa: B006
     """Failures after the last success and empty runs after the last full one."""
     order = F.struct("created_at", "id")
     # Compare (created_at, id) pairs; a source that never had a success counts every run.
     after_ok = F.col("last_ok").isNull() | (order > F.col("last_ok"))
     after_full = F.col("last_full").isNull() | (order > F.col("last_full"))
-    slim = runs.where(F.col("outcome") != SUCCESS).select("source_id", "outcome", "created_at", "id")
-    marked = slim.join(marks.select("source_id", "last_ok", "last_full"), "source_id")
-    return marked.groupBy("source_id").agg(
+    slim = runs.where(F.col("outcome") != SUCCESS).select(*key, "outcome", "created_at", "id")
+    marked = slim.join(marks.select(*key, "last_ok", "last_full"), key)
+    return marked.groupBy(*key).agg(
         F.count_if((F.col("outcome") == FAILURE) & after_ok).alias("failures"),
-        F.count_if((F.col("outcome") == EMPTY) & after_full).alias("empties"),
+        F.count_if(F.col("outcome").isin(EMPTY, WARNING) & after_full).alias("empties"),
     )
 
 
-def run_summary(runs: DataFrame) -> DataFrame:
-    """Streaks and last run per source.
+def run_summary(runs: DataFrame, key: list[str] = ["source_id"]) -> DataFrame:  # noqa: B006
+    """Streaks and last run per source, or per source and part of the log.
 
     ``runs`` needs ``source_id, outcome (failure | empty | success), message, created_at, id``.
     An unchanged (not modified) answer and an empty but healthy one count as ``success``.
     """
-    marks = run_marks(runs)
-    return marks.join(run_streaks(runs, marks), "source_id", "left").select(
-        "source_id",
+    marks = run_marks(runs, key)
+    return marks.join(run_streaks(runs, marks, key), key, "left").select(
+        *key,
         F.col("last.outcome").alias("last_outcome"),
         F.col("last.message").alias("last_message"),
         F.col("last.created_at").alias("last_at"),
@@ -101,7 +103,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def combine_summaries(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+def combine_summaries(stored: DataFrame, fresh: DataFrame, key: list[str] = ["source_id"]) -> DataFrame:  # noqa: B006
     """Summary of a log from the summaries of its older and its newer part.
 
     This is what makes the fold incremental: a newer part with a success
@@ -121,8 +123,8 @@ def combine_summaries(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     def seen(name: str) -> Column:
         return (F.coalesce(F.col(f"o.{name}"), F.lit(False)) | F.coalesce(F.col(f"n.{name}"), F.lit(False))).alias(name)
 
-    return o.join(n, "source_id", "full_outer").select(
-        "source_id",
+    return o.join(n, key, "full_outer").select(
+        *key,
         last("last_outcome"),
         last("last_message"),
         last("last_at"),
@@ -134,6 +136,29 @@ def combine_summaries(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
+def fold_segments(segments: DataFrame) -> DataFrame:
+    """Summary per source from the summaries of the segments of its log, in whatever order they were made.
+
+    A streak is what the last segment with a success has after it, and all of
+    the segments behind that one; both are sums, so a source with very many
+    segments leaves each map task as one row.
+    """
+    marks = segments.groupBy("source_id").agg(
+        F.max_by(F.struct("last_outcome", "last_message", "last_at", "last_id"), "segment").alias("last"),
+        F.max(F.when(F.col("seen_ok"), F.col("segment"))).alias("ok"),
+        F.max(F.when(F.col("seen_full"), F.col("segment"))).alias("full"),
+    )
+    slim = segments.select("source_id", "segment", "failures", "empties").join(marks.select("source_id", "ok", "full"), "source_id")
+    from_ok = F.col("ok").isNull() | (F.col("segment") >= F.col("ok"))
+    from_full = F.col("full").isNull() | (F.col("segment") >= F.col("full"))
+    sums = slim.groupBy("source_id").agg(
+        F.sum(F.when(from_ok, F.col("failures")).otherwise(0)).alias("failures"), F.sum(F.when(from_full, F.col("empties")).otherwise(0)).alias("empties")
+    )
+    return marks.join(sums, "source_id").select(
+        "source_id", "last.*", F.col("ok").isNotNull().alias("seen_ok"), F.col("full").isNotNull().alias("seen_full"), "failures", "empties"
+    )
+
+
 def health_of(summary: DataFrame, sources: DataFrame) -> DataFrame:
     """Status, streaks and next check of every source that has run."""
     dimension = sources.select(F.col("id").alias("source_id"), "kind", "polling_enabled", "refresh_interval_minutes")
@@ -161,6 +186,26 @@ def health_of(summary: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def after_run(sources: DataFrame, outcomes: DataFrame, as_of: int) -> DataFrame:
+    """Health of the sources that ran once more, from the counters stored with them.
+
+    ``outcomes`` has one row per source: ``source_id, outcome, message``. A
+    failure adds to the failures and leaves the empty streak; an empty success
+    adds to that, any other ends it, and every success ends the failures.
+    """
+    failed, empty = F.col("outcome") == FAILURE, F.col("outcome") == EMPTY
+    stored = sources.select(F.col("id").alias("source_id"), F.coalesce("failure_count", F.lit(0)).alias("before"), F.coalesce("consecutive_empty", F.lit(0)).alias("bare"))
+    summary = outcomes.join(stored, "source_id").select(
+        "source_id",
+        F.col("outcome").alias("last_outcome"),
+        F.col("message").alias("last_message"),
+        F.lit(as_of).cast("bigint").alias("last_at"),
+        F.when(failed, F.col("before") + 1).otherwise(0).alias("failures"),
+        F.when(failed, F.col("bare")).when(empty, F.col("bare") + 1).otherwise(0).alias("empties"),
+    )
+    return health_of(summary, sources)
+
+
 def source_health(runs: DataFrame, sources: DataFrame) -> DataFrame:
     return health_of(run_summary(runs), sources)
 

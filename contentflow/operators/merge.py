@@ -8,6 +8,7 @@ sides of the merge join are then unique on the key, which leaves no skew.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,17 @@ class MergeResult:
     inserted: DataFrame  # canonical URLs that were new, with the source that brought them
 
 
+@dataclasses.dataclass(frozen=True)
+class Changes:
+    entries: DataFrame
+    entry_origins: DataFrame
+    inserted: DataFrame
+
+
+#: The stored rows of a table that may have the given keys.
+Stored = Callable[[str, DataFrame], DataFrame]
+
+
 def upsert_entries(snapshot: DataFrame, folded: DataFrame) -> DataFrame:
     """Full outer join on the canonical URL; existing rows keep their identity and user state."""
     old, new = snapshot.alias("o"), folded.alias("n")
@@ -89,24 +101,34 @@ def upsert_origins(snapshot: DataFrame, folded: DataFrame) -> DataFrame:
     return joined.select(*ORIGIN_KEY, *values).select(*schemas.columns(ORIGINS))
 
 
-def merge_entries(state: State, batch: DataFrame) -> MergeResult:
-    """Upsert normalised entries and their provenance into the state."""
-    live = without_dismissed(batch, state.dismissed)
-    folded = fold_entries(live)
-    entries = upsert_entries(state.entries, folded)
+def merged_rows(batch: DataFrame, stored: Stored, folded_as: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Changes:
+    """The rows that upserting normalised entries and their provenance makes of the stored ones.
+
+    With ``stored`` rows of the batch's keys only, these are the changed rows;
+    with whole tables, the tables after the batch. ``folded_as`` may write the
+    folded batch, which is read several times.
+    """
+    identified = batch.withColumn("canonical_identity", F.coalesce("canonical_identity", "canonical_url"))
+    live = without_dismissed(batch, stored("dismissed", identified.select("canonical_identity")))
+    folded = folded_as(fold_entries(live))
+    known = stored("entries", folded.select("canonical_url"))
     seen = live.withColumn("external_id", F.coalesce("external_id", F.lit("")))
     per_url = fold_origins(seen, ["canonical_url", "source_id", "provider_id", "external_id"])
     # An entry keeps the id it was stored with; only a new URL gets the hashed one.
-    stored = state.entries.select("canonical_url", F.col("id").alias("stored_id"))
+    ids = known.select("canonical_url", F.col("id").alias("stored_id"))
     origins = (
-        per_url.join(stored, "canonical_url", "left")
+        per_url.join(ids, "canonical_url", "left")
         .withColumn("entry_id", F.coalesce("stored_id", F.sha2(F.col("canonical_url"), 256)))
         .drop("stored_id", "canonical_url")
     )
-    inserted = folded.select("canonical_url", "source_id").join(state.entries.select("canonical_url"), "canonical_url", "left_anti")
-    return MergeResult(
-        state.with_tables(entries=entries, entry_origins=upsert_origins(state.entry_origins, origins)), inserted
-    )
+    inserted = folded.select("canonical_url", "source_id").join(known.select("canonical_url"), "canonical_url", "left_anti")
+    return Changes(upsert_entries(known, folded), upsert_origins(stored("entry_origins", origins), origins), inserted)
+
+
+def merge_entries(state: State, batch: DataFrame) -> MergeResult:
+    """Upsert normalised entries and their provenance into the state."""
+    after = merged_rows(batch, lambda name, keys: getattr(state, name))
+    return MergeResult(state.with_tables(entries=after.entries, entry_origins=after.entry_origins), after.inserted)
 
 
 def upsert_by_key(snapshot: DataFrame, changes: DataFrame, key: str, order: str, keep: tuple[str, ...] = ()) -> DataFrame:

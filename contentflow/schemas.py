@@ -35,6 +35,9 @@ MAINTENANCE = "source_id string, revision int, updated_at bigint"
 FOLLOWEES = """url_token string, fullname string, url string, avatar_url string, headline string,
  follower_count bigint, updated_at bigint"""
 
+# The last document read at an address for a source, by its validator.
+SEEN = "source_id string, url string, fingerprint string, updated_at bigint"
+
 RAW_FETCH = """source_id string, seq bigint, url string, status int, content_type string, text string, etag string,
  last_modified string, fetched_at bigint"""
 
@@ -55,6 +58,7 @@ TABLES = {
     "maintenance": MAINTENANCE,
     "followees": FOLLOWEES,
     "runs": RUNS,
+    "seen": SEEN,
 }
 
 
@@ -76,6 +80,7 @@ class State:
     maintenance: DataFrame
     followees: DataFrame
     runs: DataFrame
+    seen: DataFrame
 
     def with_tables(self, **tables: DataFrame) -> "State":
         return dataclasses.replace(self, **tables)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentflow import schemas
 from contentflow.functions import text, urls
-from contentflow.functions.binding import staged
+from contentflow.functions.binding import let, staged
 
 # --- fixed values -----------------------------------------------------------
 FEED_CONTENT_TYPE = r"(?i)(?:rss|atom|feed\+json|xml)"
@@ -37,19 +37,43 @@ def is_feed(content_type: Column, body: Column) -> Column:
     return F.coalesce(content_type.rlike(FEED_CONTENT_TYPE), F.lit(False)) | body.rlike(FEED_PROLOG) | body.rlike(JSON_START)
 
 
-def feed_problem() -> Column:
-    """Why a document (``content_type, text``) is no readable feed; null for one that is."""
+_HEAD = """channel struct<title:string, image:struct<url:string>, `itunes:image`:struct<_href:string>>, item array<struct<title:string>>,
+ title struct<_VALUE:string>, icon string, logo string, entry array<struct<updated:string>>"""
+_JSON_HEAD = "version string, icon string, favicon string, items array<struct<id:string>>"
+
+
+def feed_verdict() -> Column:
+    """struct(problem, icon) of a document (``content_type, text``), whose head is parsed once.
+
+    ``problem`` says why it is no readable feed and is null for one that is;
+    ``icon`` is the declared one, not resolved.
+    """
     body = F.col("text")
-    xml = F.from_xml(body, "channel struct<title:string>, item array<struct<title:string>>, title struct<_VALUE:string>, entry array<struct<updated:string>>")
-    empty = xml["channel"].isNull() & xml["item"].isNull() & xml["title"].isNull() & xml["entry"].isNull()
-    data = F.from_json(body, "version string, items array<struct<id:string>>")
+
+    def from_json(head: Column) -> Column:
+        problem = F.when(head["version"].isNull() | head["items"].isNull(), F.lit("no JSON Feed"))
+        return F.struct(problem.alias("problem"), _first(head["icon"], head["favicon"]).alias("icon"))
+
+    def from_xml(head: Column) -> Column:
+        empty = head["channel"].isNull() & head["item"].isNull() & head["title"].isNull() & head["entry"].isNull()
+        problem = F.when(F.coalesce(empty, F.lit(True)), F.lit("feed cannot be parsed"))
+        channel = head["channel"]
+        icon = _first(channel["image"]["url"], channel["itunes:image"]["_href"], head["icon"], head["logo"])
+        return F.struct(problem.alias("problem"), icon.alias("icon"))
+
+    neither = F.struct(F.lit("no feed document").alias("problem"), F.lit(None).cast("string").alias("icon"))
     return (
-        F.when(~F.coalesce(is_feed(F.col("content_type"), body), F.lit(False)), F.lit("no feed document"))
-        .when(body.rlike(JSON_START), F.when(data["version"].isNull() | data["items"].isNull(), F.lit("no JSON Feed")))
-        .when(F.coalesce(empty, F.lit(True)), F.lit("feed cannot be parsed"))
+        F.when(~F.coalesce(is_feed(F.col("content_type"), body), F.lit(False)), neither)
+        .when(body.rlike(JSON_START), let(F.from_json(body, _JSON_HEAD), from_json))
+        .otherwise(let(F.from_xml(body, _HEAD), from_xml))
     )
 
 
+def feed_problem() -> Column:
+    """Why a document (``content_type, text``) is no readable feed; null for one that is."""
+    return feed_verdict()["problem"]
+
+
 def _first(*options: Column) -> Column:
     """First option that is neither null nor empty."""
     return F.coalesce(*[text.blank_to_null(option) for option in options])

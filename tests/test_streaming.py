@@ -1,3 +1,6 @@
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
+
 import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 from contentflow import schemas
 from contentflow.operators import merge
 from contentflow.session import scratch_path
+from contentflow.sources import files
 from contentflow.sources.snapshots import Conflict, Library, write_report
 from contentflow.streaming import changes, ingest
 from tests_support import land
@@ -116,22 +120,182 @@ def test_runs_are_added_not_rewritten(spark):
     assert first < {r["path"] for r in library.commits().where("table = 'runs'").collect()}
 
 
-def test_merge_does_not_shuffle_the_library(spark):
-    library = Library(spark, scratch_path(spark, "bucketed"), buckets=4)
-    library.publish("seed", entries=fx.entries(spark, *[dict(canonical_url=f"u{i}") for i in range(20)]))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def _parts(library, table):
+    return {r["path"]: r for r in library.commits().where(F.col("table") == table).collect()}
+
+
+def test_batches_write_what_they_change_and_read_touched_buckets(spark):
+    library = Library(spark, scratch_path(spark, "changes"), buckets=8)
+    library.publish("seed", entries=fx.entries(spark, *[dict(canonical_url=f"u{i}", title="old") for i in range(300)]))
+    base = _parts(library, "entries")
+    library.publish("change", changed={"entries": fx.entries(spark, dict(canonical_url="u1", title="new"), dict(canonical_url="more"))}, removed={"entries": spark.createDataFrame([("u2",)], "canonical_url string")})
+    after = _parts(library, "entries")
+    # The base keeps its files; the batch added three rows.
+    assert set(base) < set(after) and [after[p]["rows"] for p in set(after) - set(base)] == [3]
+    rows = fx.as_dicts(library.load().entries, "canonical_url")
+    assert len(rows) == 300 and rows["u1"]["title"] == "new" and "u2" not in rows and "more" in rows and rows["u3"]["title"] == "old"
+    assert fx.as_dicts(library.load(1).entries, "canonical_url")["u1"]["title"] == "old"
+    found = library.lookup()("entries", spark.createDataFrame([("u1",), ("u2",), ("u5",), ("none",)], "canonical_url string"))
+    assert {(r["canonical_url"], r["title"]) for r in found.collect()} == {("u1", "new"), ("u5", "old")}
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line]
+    assert scans and all(line.split("PartitionFilters: [")[1].startswith("bucket") for line in scans)
+
+
+def test_compaction_keeps_the_rows(spark):
+    library = Library(spark, scratch_path(spark, "compact"), buckets=2)
+    url = lambda n: spark.createDataFrame([(n,)], "canonical_url string")
+    library.publish("seed", entries=fx.entries(spark, *[dict(canonical_url=f"u{i}", title="0") for i in range(40)]))
+    for i in range(6):
+        library.publish(f"run-{i}", changed={"entries": fx.entries(spark, dict(canonical_url=f"u{i % 2}", title=str(i + 1)))}, removed={"entries": url(f"u{10 + i}")}, added={"runs": spark.createDataFrame([(f"r{i}", "s", "success", 1, 1, None, i)], schemas.RUNS)})
+    before = sorted(map(tuple, library.load().entries.collect()))
+    assert library.compact(fanout=7) is None
+    # Tiers first: six parts of changes become one, two rounds of it, and removed keys stay removed.
+    library.compact(fanout=3, share=9)
+    tiers = sorted((r["kind"], r["tier"], r["rows"]) for r in library.commits().collect())
+    assert tiers == [("added", 1, 6), ("base", 0, 40), ("changed", 1, 8)]
+    assert sorted(map(tuple, library.load().entries.collect())) == before and library.load().runs.count() == 6
+    library.publish("run-6", changed={"entries": fx.entries(spark, dict(canonical_url="u11", title="back"))})
+    assert {r["canonical_url"] for r in library.load().entries.collect()} == {r[2] for r in before} | {"u11"}
+    library.compact(fanout=2, share=0.2)
+    assert sorted((r["kind"], r["rows"]) for r in library.commits().where("table = 'entries'").collect()) == [("base", 35)]
+    assert fx.as_dicts(library.load().entries, "canonical_url")["u1"]["title"] == "6" and library.has_run("run-6") and library.has_run("run-2") and not library.has_run("run-7")
+
+
+def test_many_writers_one_version(spark):
+    library = Library(spark, scratch_path(spark, "race"), buckets=2)
+    library.publish("seed", dismissed=spark.createDataFrame([("x", 1)], schemas.DISMISSED))
+
+    def write(i):
+        try:
+            library.publish(f"writer{i}", based_on=1, changed={"dismissed": spark.createDataFrame([(f"w{i}", 1)], schemas.DISMISSED)})
+            return i
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [i for i in pool.map(write, range(6)) if i is not None]
+    assert len(won) == 1 and library.version() == 2
+    assert {r[0] for r in library.load().dismissed.collect()} == {"x", f"w{won[0]}"}
+
+
+def test_a_file_is_created_once(spark):
+    path = f"{scratch_path(spark, 'claims')}/1.json"
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: files.created(spark, path, str(i)), range(16)))
+    assert sum(made) == 1 and files.content(spark, path) == str(made.index(True)) and files.names(spark, path.rsplit("/", 1)[0]) == ["1.json"]
+    assert files.names(spark, f"{path}/none") == [] and files.local_path("s3://b/x") is None and files.local_path("file:///a%20b") == "/a b"
+    # The Hadoop client's way, on the same file system.
+    other = "viewfs://claims/shared/1.json"
+    spark.conf.set("fs.viewfs.mounttable.claims.link./shared", f"file://{path.rsplit('/', 1)[0]}")
     try:
-        batch = fx.batch(spark, dict(canonical_url="u1"), dict(canonical_url="new"))
-        merged = merge.upsert_entries(library.load().entries, merge.fold_entries(batch))
-        merged.collect()
-        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert files.names(spark, other.rsplit("/", 1)[0]) == ["1.json"]
+        assert not files.created(spark, other, "again") and files.created(spark, other.replace("1.json", "2.json"), "two")
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    final = plan.split("Initial Plan")[0]
-    library_side = [i for i, line in enumerate(final.splitlines()) if "Bucketed: true" in line or "SelectedBucketsCount" in line]
-    assert library_side and merged.count() == 21
-    # the only exchange is the one that folds the batch
-    assert final.count("Exchange hashpartitioning") == 1
+        spark.conf.unset("fs.viewfs.mounttable.claims.link./shared")
+    assert files.content(spark, path.replace("1.json", "2.json")) == "two"
+
+
+def fetch(spark, *docs):
+    names = schemas.columns(schemas.RAW_FETCH)
+    rows = [{"status": 200, "url": "https://e.org/feed", "content_type": "application/xml", **d} for d in docs]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schemas.RAW_FETCH)
+
+
+def seeded(spark, label, sources, **tables):
+    library = Library(spark, scratch_path(spark, label), buckets=2)
+    library.publish("seed", sources=fx.sources(spark, *sources), **tables)
+    return library
+
+
+def sync(spark, library, run, as_of, *docs, meanwhile=None):
+    """One batch: read, what others do meanwhile, commit."""
+    # Web pages show nothing here.
+    quiet = ingest.Connector("generic", lambda raw, _: spark.createDataFrame([], schemas.RAW_ENTRY))
+    registry = ingest.Registry(*[c for c in ingest.DEFAULT_CONNECTORS if c.connector_id != "generic"], quiet)
+    version = library.version()
+    fetched = ingest.read_batch(fetch(spark, *docs), library.load(version).sources, library.lookup(version), registry, as_of, run)
+    if meanwhile:
+        meanwhile()
+    ingest.commit_batch(library, fetched, as_of, run)
+    return library.load()
+
+
+def test_a_sync_is_written_back(spark):
+    feed = lambda i: rss((f"Post {i}", str(i), None)).replace("<title>F</title>", "<title>F</title><image><url>/icon.png</url></image>")
+    posts = lambda *ids: '{"username":"me","data":[' + ",".join(f'{{"id":"{i}","text":"hello {i}"}}' for i in ids) + "]}"
+    subscription = spark.createDataFrame([(f"sub-{s}", s, "x", None, None, None, 1, 1) for s in ("x", "y")], schemas.SUBSCRIPTIONS)
+    old = spark.createDataFrame([("sub-y", "c", "99999999999999999999", '{"a":1}', 5)], schemas.CHECKPOINTS)
+    library = seeded(
+        spark, "sync", [dict(id="f", polling_enabled=True, refresh_interval_minutes=60, failure_count=3, last_error="old", etag="e0"), dict(id="w", kind="generic", consecutive_empty=2), dict(id="bad", failure_count=4), dict(id="x", kind="x"), dict(id="y", kind="x"), dict(id="idle")],
+        subscriptions=subscription, checkpoints=old,
+    )
+    page = "<html><body><p>nothing listed</p></body></html>"
+    state = sync(
+        spark, library, "s-1", 1_000_000, dict(source_id="f", seq=1, text=feed(1), etag="e1"), dict(source_id="w", seq=2, url="https://w.org/", content_type="text/html", text=page), dict(source_id="bad", seq=3, status=503),
+        dict(source_id="x", seq=4, url="https://x.com/me", content_type="application/json", text=posts(9, 10)), dict(source_id="y", seq=5, url="https://x.com/y", content_type="application/json", text=posts(7)), dict(source_id="nobody", seq=6, text=feed(2)),
+    )
+    got = fx.as_dicts(state.sources, "id")
+    f, w, bad = got["f"], got["w"], got["bad"]
+    assert (f["status"], f["failure_count"], f["last_error"], f["etag"], f["metadata_revision"], f["icon_url"], f["last_checked_at"]) == ("active", 0, None, "e1", changes.FEED_REVISION, "https://e.org/icon.png", 1_000_000)
+    assert 1_000_000 + 54 * 60_000 <= f["next_check_at"] <= 1_000_000 + 66 * 60_000
+    assert (w["status"], w["consecutive_empty"], w["next_check_at"]) == ("needs_review", 3, None)
+    assert (bad["status"], bad["failure_count"], bad["last_error"], bad["next_check_at"]) == ("paused", 5, "HTTP 503", None)
+    assert got["idle"]["last_checked_at"] is None
+    runs = {r["source_id"]: r for r in fx.as_dicts(state.runs)}
+    assert {s: r["outcome"] for s, r in runs.items()} == {"f": "success", "w": "warning", "bad": "failure", "x": "success", "y": "success", "nobody": "failure"}
+    assert runs["nobody"]["message"] == "unknown source"
+    cursors = {r["subscription_id"]: (r["since_id"], r["cursor"], r["updated_at"]) for r in fx.as_dicts(state.checkpoints)}
+    # A cursor does not move back.
+    assert cursors == {"sub-x": ("10", None, 1_000_000), "sub-y": ("99999999999999999999", "c", 1_000_000)}
+    # The same documents again are unchanged: nothing is parsed, and that is a healthy success.
+    state = sync(spark, library, "s-2", 2_000_000, dict(source_id="f", seq=7, text=feed(1), etag="e1"), dict(source_id="w", seq=8, url="https://w.org/", content_type="text/html", text=page))
+    runs = {r["id"]: r for r in fx.as_dicts(state.runs)}
+    assert (runs["s-2:f"]["outcome"], runs["s-2:f"]["fetched_count"]) == ("success", 0) and runs["s-2:w"]["outcome"] == "success"
+    got = fx.as_dicts(state.sources, "id")
+    assert got["w"]["status"] == "active" and got["w"]["consecutive_empty"] == 0 and got["f"]["last_checked_at"] == 2_000_000 and got["bad"]["status"] == "paused"
+
+
+def test_older_parsers_results_are_read_again(spark):
+    library = seeded(spark, "replay", [dict(id="new", metadata_revision=changes.FEED_REVISION), dict(id="old", metadata_revision=changes.FEED_REVISION - 1)])
+    one, two = rss(("One", "1", None)), rss(("Two", "2", None))
+    tag = lambda body: hashlib.sha256(body.encode()).hexdigest()
+    library.publish("seen", seen=spark.createDataFrame([(s, f"https://e.org/{s}", tag(body), 1) for s, body in (("new", one), ("old", two))], schemas.SEEN))
+    docs = [dict(source_id="new", seq=1, url="https://e.org/new", text=one), dict(source_id="old", seq=2, url="https://e.org/old", text=two)]
+    state = sync(spark, library, "p-1", 10, *docs)
+    assert [r["canonical_url"] for r in state.entries.collect()] == ["https://e.org/2"]
+    assert fx.as_dicts(state.sources, "id")["old"]["metadata_revision"] == changes.FEED_REVISION
+    state = sync(spark, library, "p-2", 20, *docs, dict(source_id="new", seq=3, url="https://e.org/old", text=two))
+    # What another source has seen at an address does not count for this one.
+    assert {(r["id"], r["fetched_count"]) for r in state.runs.collect() if r["id"].startswith("p-2")} == {("p-2:new", 1), ("p-2:old", 0)}
+
+
+def test_results_for_changed_sources_are_dropped(spark):
+    library = seeded(spark, "stale", [dict(id=n) for n in ("same", "gone", "moved")])
+
+    def meanwhile():
+        library.publish("user", sources=fx.sources(spark, dict(id="same", title="renamed"), dict(id="moved", kind="manual")))
+
+    docs = [dict(source_id=n, seq=i, url=f"https://e.org/{n}", text=rss((n, f"a-{n}", None))) for i, n in enumerate(("same", "gone", "moved"))]
+    state = sync(spark, library, "g-1", 10, *docs, meanwhile=meanwhile)
+    assert [r["source_id"] for r in state.entries.collect()] == ["same"] and [r["source_id"] for r in state.runs.collect()] == ["same"]
+    got = fx.as_dicts(state.sources, "id")
+    assert got["same"]["title"] == "renamed" and got["same"]["last_checked_at"] == 10 and got["moved"]["last_checked_at"] is None
+
+
+def test_a_batch_is_merged_again_into_what_others_committed(spark):
+    library = seeded(spark, "again", [dict(id="f")])
+    other = fx.entries(spark, dict(canonical_url="https://e.org/other"))
+    lost = []
+
+    class Contested(Library):
+        def publish(self, run, **more):
+            if run == "c-1" and not lost:
+                lost.append(run)
+                library.publish("other", entries=other)
+            return super().publish(run, **more)
+
+    state = sync(spark, Contested(spark, library.root, buckets=2), "c-1", 10, dict(source_id="f", seq=1, text=rss(("One", "1", None))))
+    assert lost and {r["canonical_url"] for r in state.entries.collect()} == {"https://e.org/other", "https://e.org/1"} and library.version() == 3
 
 
 def test_registry():
