@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contentflow.plans.oracles import ORACLES, SOURCES, collapse, compact, pick
+from contentflow.plans.oracles import ORACLES, SOURCES, collapse, compact, pick, refresh
 from contentflow.plans.roles import AS_OF, DAY
 
 DIALECT = pick(["rss", "atom", "json"], "doc_id")
@@ -212,3 +212,21 @@ UNION ALL SELECT doc, 1, 'https://list.example.org/f/' || doc, 'From the feed '
 UNION ALL SELECT 1000000 + page_id, 1, url, {TITLE} FROM pages"""
 # The document texts have no escaped dollars; a blank pair never counts, its second dollar may open the next pair.
 ORACLES["paired_tex"] = r"""SELECT doc_id, len(regexp_extract_all(text, '\$([ \t]*[^$\s][^$\r\n]*)\$'))::BIGINT AS pairs FROM documents"""
+
+# Five sources to a dialect, numbered by the document's place.
+NUMBERED = f"{FEED}, nf AS (SELECT *, 'feed-' || d || '-' || doc % 5 AS source_id, doc % 5 AS number FROM feed)"
+ORACLES["ingest_unchanged"] = f"""WITH {NUMBERED}
+SELECT source_id, 'success' AS outcome, count(*) FILTER (WHERE doc % 3 = 0) AS fetched, count(*) FILTER (WHERE doc % 3 = 0) AS inserted FROM nf GROUP BY source_id"""
+ORACLES["ingest_replayed"] = f"WITH {NUMBERED} SELECT {ENTRY} AS canonical_url, source_id FROM nf WHERE doc % 3 = 0 OR d = 'atom'"
+ORACLES["ingest_stale"] = f"WITH {NUMBERED} SELECT {ENTRY} AS canonical_url, source_id FROM nf WHERE d <> 'json' AND number <> 1"
+CHECKED = f"CASE number WHEN 3 THEN {AS_OF} ELSE {AS_OF + 3_600_000} END"
+ORACLES["ingest_sources"] = f"""WITH {NUMBERED}, s AS (SELECT source_id, d, number, max(doc * 3 + r) AS newest, max(doc) AS last, {CHECKED} AS checked, CASE WHEN number % 2 = 1 THEN 60 END AS minutes FROM nf GROUP BY ALL)
+SELECT source_id AS id, CASE WHEN number IN (0, 4) THEN 'error' ELSE 'active' END AS status, (number IN (0, 4))::BIGINT AS failure_count, 't' || newest AS etag,
+  CASE WHEN number = 0 THEN 'HTTP 503' WHEN number = 4 AND d = 'json' THEN 'no feed document' WHEN number = 4 THEN 'feed cannot be parsed' END AS last_error, checked AS last_checked_at,
+  CASE WHEN number IN (0, 4) THEN checked + 300000 ELSE checked + {refresh('source_id', 'checked', 'minutes')} END AS next_check_at,
+  4::BIGINT AS metadata_revision, CASE WHEN d = 'rss' THEN 'https://news.example.org/logo-' || last || '.png' END AS icon_url FROM s"""
+ORACLES["ingest_checkpoints"] = f"""WITH c AS (SELECT user_id, max(event_id) FILTER (WHERE user_id % 5 <> 0 OR event_id // 200 % 2 = 0) AS newest FROM events GROUP BY user_id)
+SELECT 'sub-x' || user_id AS subscription_id, (100000000000000000 + newest)::VARCHAR AS since_id, {AS_OF} + CASE WHEN user_id % 5 = 0 THEN 0 ELSE 3600000 END AS updated_at FROM c WHERE newest IS NOT NULL"""
+ORACLES["stream_ingest_batches"] = f"""WITH {NUMBERED}
+SELECT {ENTRY} AS canonical_url, source_id, title, published_at, {ENTRY} AS canonical_identity FROM nf"""
+ORACLES["stream_health_late"] = ORACLES["source_health"]

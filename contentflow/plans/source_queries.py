@@ -10,7 +10,7 @@ from contentflow.operators import audit, folders, health, merge
 from contentflow.operators.normalize import normalize
 from contentflow.plans import dumps, roles
 from contentflow.plans.queries import query
-from contentflow.plans.roles import AS_OF, table
+from contentflow.plans.roles import AS_OF, null, table
 from contentflow.session import scratch_path
 from contentflow.sources import articles, cards, feeds, opml, pages, probe, providers, robots
 from contentflow.sources.page_facts import page_facts
@@ -526,3 +526,139 @@ def stream_ingest(spark, sf):
     running = ingest.ingest_stream(spark, ingest.landing_stream(spark, f"{root}/landing", 1_000), library, f"{root}/checkpoint", AS_OF)
     running.awaitTermination()
     return library.load().entries.select("canonical_url", "source_id", "title", "published_at", "canonical_identity")
+
+
+# --- syncs over several batches ---
+
+HOUR = 3_600_000
+
+
+def _numbered_feeds(spark, sf):
+    """The feeds with five sources to a dialect, and those sources; ``number`` is a source's own."""
+    raw = _feeds(spark, sf)
+    number = F.floor(F.col("seq") / 3) % 5
+    raw = schemas.write_through(raw.withColumn("source_id", F.concat("source_id", F.lit("-"), number)), "numbered-feeds")
+    made = raw.select("source_id").distinct().select(F.col("source_id").alias("sid"), F.substring_index("source_id", "-", -1).cast("int").alias("number"))
+    return raw, made
+
+
+def _rss_sources(made, **fields):
+    return roles._source_rows(
+        made, **{"id": F.col("sid"), "url": F.lit("https://news.example.org/"), "kind": F.lit("rss"), "connector_id": F.lit("rss"), "metadata_revision": F.lit(changes.FEED_REVISION), **fields}
+    )
+
+
+def _sync(library, raw, run, as_of, meanwhile=None):
+    """One batch read, and committed after what others do meanwhile."""
+    version = library.version()
+    sources = library.load(version).sources
+    fetched = ingest.read_batch(raw, sources, library.lookup(version), ingest.Registry(*ingest.DEFAULT_CONNECTORS), as_of, run)
+    if meanwhile is not None:
+        meanwhile()
+    ingest.commit_batch(library, fetched, as_of, run)
+
+
+def _seen_before(raw):
+    """What is stored of the documents when two of three have not changed since."""
+    known = F.when(F.floor(F.col("seq") / 3) % 3 != 0, F.sha2("text", 256)).otherwise(F.lit("older"))
+    return raw.select("source_id", "url", known.alias("fingerprint"), F.lit(AS_OF).alias("updated_at"))
+
+
+@query
+def ingest_unchanged(spark, sf):
+    """Runs over documents of which two in three are what was seen last: those are not parsed."""
+    raw, made = _numbered_feeds(spark, sf)
+    library = Library(spark, scratch_path(spark, "unchanged"))
+    library.publish("seed", sources=_rss_sources(made), seen=_seen_before(raw))
+    _sync(library, raw, "sync-0", AS_OF)
+    return library.load().runs.select("source_id", "outcome", F.col("fetched_count").cast("bigint").alias("fetched"), F.col("inserted_count").cast("bigint").alias("inserted"))
+
+
+@query
+def ingest_replayed(spark, sf):
+    """Entries of changed documents, and of all documents of sources that an older parser read."""
+    raw, made = _numbered_feeds(spark, sf)
+    older = F.when(F.col("sid").startswith("feed-atom"), changes.FEED_REVISION - 1).otherwise(changes.FEED_REVISION)
+    library = Library(spark, scratch_path(spark, "replayed"))
+    library.publish("seed", sources=_rss_sources(made, metadata_revision=older), seen=_seen_before(raw))
+    _sync(library, raw, "sync-0", AS_OF)
+    return library.load().entries.select("canonical_url", "source_id")
+
+
+@query
+def ingest_stale(spark, sf):
+    """Entries that are left when sources are deleted, or become another kind, while their documents are read."""
+    raw, made = _numbered_feeds(spark, sf)
+    sources = schemas.write_through(_rss_sources(made), "stale-sources")
+    library = Library(spark, scratch_path(spark, "stale"))
+    library.publish("seed", sources=sources)
+
+    def meanwhile():
+        kind = F.when(F.col("id").endswith("-1"), F.lit("manual")).otherwise(F.col("kind"))
+        changed = sources.where(~F.col("id").startswith("feed-json")).withColumns({"kind": kind, "extraction_rule": F.lit('{"version":2}')})
+        library.publish("user", sources=changed)
+
+    _sync(library, raw, "sync-0", AS_OF, meanwhile)
+    return library.load().entries.select("canonical_url", "source_id")
+
+
+@query
+def ingest_sources(spark, sf):
+    """Sources after two batches: read, then failed, not modified, seen before, not fetched or unreadable, by number."""
+    raw, made = _numbered_feeds(spark, sf)
+    interval = F.when(F.col("number") % 2 == 1, F.lit(60))
+    library = Library(spark, scratch_path(spark, "synced"))
+    library.publish("seed", sources=_rss_sources(made, metadata_revision=null("int"), polling_enabled=F.lit(True), refresh_interval_minutes=interval))
+    first = raw.withColumn("etag", F.concat(F.lit("t"), F.col("seq")))
+    _sync(library, first, "sync-0", AS_OF)
+    number = F.substring_index("source_id", "-", -1).cast("int")
+    status = F.when(number == 0, 503).when(number == 1, 304).otherwise(200)
+    etag = F.when(number == 2, F.col("etag"))
+    body = F.when(number == 4, F.lit("<gone")).when(number == 2, F.col("text")).otherwise("")
+    second = first.where(number != 3).withColumns({"status": status, "etag": etag, "text": body})
+    _sync(library, second, "sync-1", AS_OF + HOUR)
+    return library.load().sources.select(
+        "id", "status", F.col("failure_count").cast("bigint").alias("failure_count"), "etag", "last_error", "last_checked_at", "next_check_at", F.col("metadata_revision").cast("bigint").alias("metadata_revision"), "icon_url"
+    )
+
+
+@query
+def ingest_checkpoints(spark, sf):
+    """Cursors of subscriptions after two overlapping batches, the second of which fails for some sources."""
+    raw = schemas.write_through(dumps.post_dumps(table(spark, sf, "events")), "posts")
+    made = raw.select("source_id").distinct().withColumnRenamed("source_id", "sid")
+    sources = roles._source_rows(made, id=F.col("sid"), url=F.concat(F.lit("https://x.com/"), F.col("sid")), kind=F.lit("x"), connector_id=F.lit("x"))
+    subscriptions = made.select(F.concat(F.lit("sub-"), "sid").alias("id"), F.col("sid").alias("source_id"), F.lit("x").alias("connector_id"), *[null("string").alias(c) for c in ("account_id", "target_id", "config_json")], F.lit(AS_OF).alias("created_at"), F.lit(AS_OF).alias("updated_at"))
+    library = Library(spark, scratch_path(spark, "cursors"))
+    library.publish("seed", sources=sources, subscriptions=subscriptions)
+    _sync(library, raw.where("seq % 2 = 0"), "sync-0", AS_OF)
+    fails = F.substring("source_id", 2, 20).cast("bigint") % 5 == 0
+    _sync(library, raw.withColumn("status", F.when(fails, 500).otherwise(200)), "sync-1", AS_OF + HOUR)
+    return library.load().checkpoints.select("subscription_id", "since_id", "updated_at")
+
+
+@query
+def stream_ingest_batches(spark, sf):
+    """Feeds that land in three overlapping waves, each streamed into the library as a batch of changes."""
+    root = scratch_path(spark, "stream-batches")
+    raw, made = _numbered_feeds(spark, sf)
+    library = Library(spark, f"{root}/library")
+    library.publish("seed", sources=_rss_sources(made))
+    for wave in range(3):
+        again = (F.col("seq") % 3 < wave) & (F.floor(F.col("seq") / 3) % 4 == 0)
+        raw.where((F.col("seq") % 3 == wave) | again).write.mode("append").parquet(f"{root}/landing")
+        ingest.ingest_stream(spark, ingest.landing_stream(spark, f"{root}/landing", 100_000), library, f"{root}/checkpoint", AS_OF).awaitTermination()
+    return library.load().entries.select("canonical_url", "source_id", "title", "published_at", "canonical_identity")
+
+
+@query
+def stream_health_late(spark, sf):
+    """The event log landing in four waves, the last of which holds a tenth of all runs, late for every source."""
+    events = table(spark, sf, "events")
+    root = scratch_path(spark, "health-late")
+    late, third = F.col("event_id") % 10 == 0, F.pmod(F.floor(F.col("event_id") / 1000), F.lit(3))
+    for wave in range(4):
+        events.where(late if wave == 3 else ~late & (third == wave)).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/landing")
+        health_stream.source_health_stream(roles.runs(stream), f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    return health.health_of(health_stream.read_summary(spark, f"{root}/state/summary", 3), roles.run_sources(events))
