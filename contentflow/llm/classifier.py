@@ -10,20 +10,21 @@ shares of all labels. Scoring is one pass over the rows without a shuffle.
 Defined results: null and empty texts are one chunk of padding and get that
 chunk's score; very long texts are scored whole; repeated rows score alike;
 null labels are not learned from; labels of one class only give the constant
-share of that class, no labels 0.5; other columns are left as they are.
+share of that class, no labels 0.5; a null id is scored and not held out; ids and
+other columns are left as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentflow.llm.tables import written
+from contentflow.llm.tables import absent
 
 STEP, BLOCK, CHUNK, HOP = 4, 128, 512, 384
 EMBED, FILTERS = 8, 32
@@ -228,17 +229,20 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
     return net
 
 
-def scored(docs: DataFrame, net: Net, keep_text: bool = False) -> DataFrame:
-    """(doc_id, score) for every row, or all its columns and ``_score``."""
+def score_of(net: Net) -> Callable[[Column], Column]:
+    """The score of a text; nothing but the text goes to Python, so ids and other columns stay what they are."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(scores(net, [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch]))
+
+    return score
 
-    def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = scores(net, [t.encode() if isinstance(t, str) else b"" for t in b["text"]])
-            yield b.assign(_score=found) if keep_text else pd.DataFrame({"doc_id": b["doc_id"], "score": found})
 
-    if keep_text:
-        return docs.mapInPandas(score, docs.withColumn("_score", F.lit(0.0)).schema)
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+def scored(docs: DataFrame, net: Net) -> DataFrame:
+    """(doc_id, score) for every row."""
+    return docs.select("doc_id", score_of(net)(F.col("text")).alias("score"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -255,4 +259,5 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, **options) -> DataFrame:
     """The documents that are not rejected, with the columns they came with."""
     net = fitted(training if training is not None else docs, labels, **options)
-    return scored(docs, net, keep_text=True).where(F.col("_score") >= THRESHOLD).drop("_score")
+    name = absent(docs, "score")
+    return docs.withColumn(name, score_of(net)(F.col("text"))).where(F.col(name) >= THRESHOLD).drop(name)

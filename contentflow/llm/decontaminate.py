@@ -15,17 +15,18 @@ the documents for each further block.
 Defined results: null and empty texts match nothing; whole texts are searched;
 items that are null or shorter than ``LEAST`` bytes prove nothing and are not
 looked for; repeated items match each under its own id; rows of one id are
-searched each; other columns are kept by ``clean`` and left out by ``matches``;
+searched each, and so are rows without an id; other columns are kept by ``clean``
+as they are and left out by ``matches``;
 an empty table on either side gives no matches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentflow.llm.hashing import member
@@ -34,6 +35,7 @@ Q = 8
 #: Edits allowed per byte of a passage.
 EDITS = 0.1
 LEAST, PIECE = 24, 160
+MATCH = ("item_id", "start", "end", "edits")
 BLOCK_BYTES = 8 << 20
 #: Bytes of text searched at once, and bits of the table that q-grams are first looked up in.
 TEXT_BYTES, TABLE_BITS = 1 << 20, 22
@@ -209,31 +211,43 @@ def found_in(index: Benchmark, texts: list[str | None]) -> Iterator[tuple[int, i
             size += len(bodies[i]) + 2 * PIECE
 
 
+def places(index: Benchmark) -> Callable[[Column], Column]:
+    """Every place of a text that holds a passage; only the text goes to Python, so ids stay what they are, null ones too."""
+
+    @F.pandas_udf("array<struct<item_id: bigint, start: bigint, end: bigint, edits: int>>")
+    def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            found: list[list[tuple]] = [[] for _ in batch]
+            for i, *match in found_in(index, batch.tolist()):
+                found[i].append(tuple(match))
+            yield pd.Series([[dict(zip(MATCH, m, strict=True)) for m in sorted(each)] for each in found], dtype=object)
+
+    return search
+
+
+def free(index: Benchmark) -> Callable[[Column], Column]:
+    """Whether a text holds no passage."""
+
+    @F.pandas_udf("boolean")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            gone = {i for i, *_ in found_in(index, batch.tolist())}
+            yield pd.Series([i not in gone for i in range(len(batch))], dtype=bool)
+
+    return judge
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, start, end, edits): every place, in code points, where a document holds a passage of an item."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, start bigint, end bigint, edits int"
-    out = rows.sparkSession.createDataFrame([], schema)
+    out = rows.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start bigint, end bigint, edits int")
     for index in blocks(benchmark, edits):
-
-        def search(batches: Iterable[pd.DataFrame], index: Benchmark = index) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ids = b["doc_id"].astype("Int64").tolist()
-                found = sorted((ids[i], *rest) for i, *rest in found_in(index, b["text"].tolist()))
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
-
-        out = out.unionAll(rows.mapInPandas(search, schema))
+        out = out.unionAll(rows.select("doc_id", F.explode(places(index)(F.col("text"))).alias("match")).select("doc_id", "match.*"))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", edits: float = EDITS) -> DataFrame:
     """The documents, with all their columns, that hold no passage of the benchmark."""
     for index in blocks(benchmark, edits):
-
-        def without(batches: Iterable[pd.DataFrame], index: Benchmark = index) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                gone = {i for i, *_ in found_in(index, b[text].tolist())}
-                yield b[[i not in gone for i in range(len(b))]]
-
-        docs = docs.mapInPandas(without, docs.schema)
+        docs = docs.where(free(index)(F.col(text)))
     return docs

@@ -173,7 +173,9 @@ def probabilities(docs: DataFrame, **options) -> DataFrame:
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents with all their columns, and ``mix_weight`` and ``mix_probability`` (replacing any of these names)."""
     names = [c for c in docs.columns if c not in ("mix_weight", "mix_probability")]
-    rows = measured(docs.select(*names))
+    # The columns that came with a row wait in one of their own, where no name can clash.
+    rows = measured(docs.select(F.struct(*names).alias("_row"), "doc_id", "source", "lang", "text"))
+    rows = rows.withColumn("_draw", draw()).drop("doc_id", "source", "lang", "text")
     mix = fit(rows.select("_source", "_lang", "_topic", "_tokens"), **options)
-    chosen = mix.weight(rows.withColumn("_draw", draw())).where(F.col("_draw") < F.col("_p"))
-    return chosen.select(*names, F.col("_weight").alias("mix_weight"), F.col("_p").alias("mix_probability"))
+    chosen = mix.weight(rows).where(F.col("_draw") < F.col("_p"))
+    return chosen.select("_row.*", F.col("_weight").alias("mix_weight"), F.col("_p").alias("mix_probability"))

@@ -19,8 +19,8 @@ repeated ten thousand times costs ten thousand edges. Documents are independent:
 one pass over the rows without a shuffle.
 
 Defined results: null and empty texts have no spans; texts are handled whole;
-rows of one id are handled each; other columns are kept by ``redacted`` and left
-out by ``spans``; without documents with base spans in the sample nothing is
+rows of one id, and rows without one, are handled each; other columns are kept by
+``redacted`` as they are and left out by ``spans``; without documents with base spans in the sample nothing is
 added; an empty table gives an empty result.
 """
 
@@ -204,16 +204,20 @@ def marginals(field: Field, model: Potentials) -> np.ndarray:
     edges = np.concatenate([field.chain, field.skip])
     if not len(edges):
         return _softmax(unary)
-    pair = np.concatenate([np.broadcast_to(model.chain, (len(field.chain), *model.chain.shape)), np.broadcast_to(model.skip, (len(field.skip), *model.skip.shape))])
+    # All chain edges share one potential and all skip edges another: an edge holds two messages, no matrix.
+    own = [(slice(0, len(field.chain)), np.exp(model.chain)), (slice(len(field.chain), len(edges)), np.exp(model.skip))]
     forth, back = np.zeros((len(edges), unary.shape[1])), np.zeros((len(edges), unary.shape[1]))
     for _ in range(ROUNDS):
         belief = unary.copy()
         np.add.at(belief, edges[:, 1], forth)
         np.add.at(belief, edges[:, 0], back)
-        new_forth = _passed((belief[edges[:, 0]] - back)[:, :, None] + pair)
-        new_back = _passed((belief[edges[:, 1]] - forth)[:, :, None] + pair.transpose(0, 2, 1))
-        change = max(np.abs(new_forth - forth).max(), np.abs(new_back - back).max())
-        forth, back = (forth + new_forth) / 2, (back + new_back) / 2
+        change = 0.0
+        to, fro = belief[edges[:, 0]] - back, belief[edges[:, 1]] - forth
+        for part, kernel in own:
+            for messages, cavity, through in ((forth, to, kernel), (back, fro, kernel.T)):
+                new = _passed(cavity[part], through)
+                change = max(change, np.abs(new - messages[part]).max(initial=0.0))
+                messages[part] = (messages[part] + new) / 2
         if change < 1e-3:
             break
     belief = unary.copy()
@@ -222,9 +226,11 @@ def marginals(field: Field, model: Potentials) -> np.ndarray:
     return _softmax(belief)
 
 
-def _passed(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1, keepdims=True)
-    out = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
+def _passed(cavity: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Messages, as logarithms with largest 0, from what the senders believe through a shared potential."""
+    cavity = cavity - cavity.max(axis=1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        out = np.maximum(np.log(np.exp(cavity) @ kernel), -700.0)
     return out - out.max(axis=1, keepdims=True)
 
 
@@ -293,20 +299,20 @@ def written_out(found: list[Span]) -> str:
 def spans(docs: DataFrame, model: Potentials | None, key: str = "doc_id", text: str = "text", everywhere: bool = True) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for every row; base and spans as kind:start:end lists."""
 
-    def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    kind = f"{', '.join(f'n_{k} bigint' for k in KINDS)}, base string, spans string"
+
+    # Only the text goes to Python, so ids stay what they are.
+    @F.pandas_udf(kind)
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
             out = []
-            for t in b["text"]:
+            for t in batch:
                 base, every = all_spans(t, model, everywhere) if isinstance(t, str) else ([], [])
                 kinds = [k for k, _, _ in base]
                 out.append((*map(kinds.count, range(len(KINDS))), written_out(base), written_out(every)))
-            made = pd.DataFrame(out, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
-            made.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield made
+            yield pd.DataFrame(out, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(find, f"doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, spans string")
+    return docs.select(F.col(key).alias("doc_id"), find(F.col(text).cast("string")).alias("found")).select("doc_id", "found.*")
 
 
 def redacted(docs: DataFrame, model: Potentials | None, text: str = "text", everywhere: bool = True) -> DataFrame:
@@ -323,8 +329,9 @@ def redacted(docs: DataFrame, model: Potentials | None, text: str = "text", ever
             at = max(at, b)
         return "".join([*out, t[at:]]) if found else t
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{text: [replace(t) for t in b[text]]})
+    @F.pandas_udf("string")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([replace(t) for t in batch], dtype=object)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.withColumn(text, run(F.col(text)))

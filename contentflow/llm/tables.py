@@ -34,6 +34,14 @@ def words(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, BLANKS))
 
 
+def absent(rows: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def looked_up(rows: DataFrame, side: DataFrame, key: str, size: int) -> DataFrame:
     """Left join to a side of counted size: broadcast when small, else shuffled with adaptive skew splitting."""
     return rows.join(F.broadcast(side) if size <= BROADCAST_ROWS else side, key, "left")

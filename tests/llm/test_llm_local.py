@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_support import awkward, frame, prose, rows_of
 
-from contentflow.llm import classifier, decontaminate, pii
+from contentflow.llm import classifier, decontaminate, jaccard, mixing, pii
 from contentflow.llm.tables import table
 
 SMALL = "/root/testdata/sf0.01"
@@ -257,3 +258,63 @@ def test_pii_tables(spark):
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[900] == "mail <email> now <email>" and texts[901] == "é <ip>" and texts[0] is None
     assert pii.fitted(frame(spark, [])) is None and pii.spans(frame(spark, []), None).count() == 0
+
+
+# --- ids, nulls and names -------------------------------------------------------
+
+BIG = 9007199254740993
+NAMES = ["_score", "score", "_gone", "gone", "_source", "_lang", "_topic", "_tokens", "_p", "_draw", "_row", "_weight", "found", "match"]
+
+
+def _odd(spark):
+    """Ids above 2**53 beside null ones, nullable integers and columns named like the operators' own."""
+    item = prose(70, 30)
+    texts = [(BIG, f"mail a@b.example {item}"), (None, f"mail c@d.example {item}"), (None, None), (BIG + 2, prose(71, 40)), (BIG + 4, prose(71, 40)), (BIG + 6, "")]
+    rows = [(i, t, "en", "s", BIG if t else None, *[BIG + n if t else None for n in range(len(NAMES))]) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} bigint" for n in NAMES)).coalesce(1)
+    return docs, rows, item
+
+
+def _same(got, want):
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
+def test_ids_nulls_and_names_stay(spark):
+    docs, rows, item = _odd(spark)
+    benchmark = spark.createDataFrame([(BIG + 8, item)], "item_id bigint, text string")
+    found = decontaminate.matches(docs, benchmark).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["item_id"]) for r in found) == [(False, BIG, BIG + 8), (True, 0, BIG + 8)]
+    clean = decontaminate.clean(docs, benchmark)
+    assert clean.columns == docs.columns
+    _same(clean.collect(), [r for r in rows if not r[1] or item not in r[1]])
+
+    labels = spark.createDataFrame([(BIG, 1, 0), (BIG + 2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    scores = classifier.quality(docs, labels).collect()
+    _same([(r["doc_id"],) for r in scores], [(r[0],) for r in rows])
+    kept = classifier.accepted(docs, labels)
+    assert kept.columns == docs.columns
+    _same(kept.collect(), rows)
+
+    spans = pii.spans(docs, None).collect()
+    _same([(r["doc_id"], r["n_email"]) for r in spans], [(r[0], int("mail" in (r[1] or ""))) for r in rows])
+    clear = pii.redacted(docs, None)
+    assert clear.columns == docs.columns
+    _same(clear.collect(), [(r[0], r[1] and r[1].replace("a@b.example", "<email>").replace("c@d.example", "<email>"), *r[2:]) for r in rows])
+
+    first = jaccard.first_of_each(docs)
+    assert first.columns == docs.columns
+    _same(first.collect(), [r for r in rows if r[0] != BIG + 4])
+
+    every = mixing.sampled(docs, keep=1.0)
+    assert every.columns == [*docs.columns, "mix_weight", "mix_probability"]
+    assert {tuple(r)[: len(docs.columns)] for r in every.collect()} <= set(rows) and every.count() >= 1
+
+
+def test_many_nodes_pass_messages_in_little_memory():
+    model = pii.Potentials(np.zeros((pii.SHAPES, 5)), np.zeros(5), np.zeros((5, 5)), np.zeros((5, 5)))
+    text = " ".join(str(i % 5000) for i in range(300_000))
+    tracemalloc.start()
+    pii.marginals(pii.field_of(text, []), model)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
