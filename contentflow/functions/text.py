@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,7 @@ DOI = r"^10\.\d{4,9}/.+"
 ORCID = r"(?i)^\d{4}-\d{4}-\d{4}-[\dX]{4}$"
 EXCERPT_LENGTH = 18_000
 SELECTION_LENGTH = 2_000
+ENTITY = "&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});"
 # ---------------------------------------------------------------------------
 
 DAY_MS = 86_400_000
@@ -172,11 +176,39 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, r"<[^>]*>", " ")
 
 
+def entity_table() -> Column:
+    """Character of every named entity that ends in a semicolon, as a map literal made from the standard library's table."""
+    named = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(named)), "map<string,string>")
+
+
+def character(code: Column) -> Column:
+    """The character a numeric reference stands for; 128 to 159 mean the Windows letters, numbers that are no character the replacement."""
+    windows = [bytes([n]).decode("cp1252", "replace") for n in range(128, 160)]
+    letters = F.array(*[F.lit(c) for c in windows])
+    invalid = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    coded = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(invalid, F.lit("\ufffd")).when(code.between(128, 159), F.get(letters, (code - 128).cast("int"))).otherwise(coded)
+
+
 def unescape_entities(text: Column) -> Column:
-    """The five named entities and the non-breaking space, ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric references as their characters, in one pass: what a reference yields is not read again.
+
+    A name nobody defined, and an ampersand that begins no reference, stay.
+    """
+
+    def decoded(token: Column) -> Column:
+        body = F.substr(token, F.lit(2), F.length(token) - 2)
+        hexadecimal = F.conv(F.substr(body, F.lit(3)), 16, 10).cast("bigint")
+        return (
+            F.when(~token.startswith("&") | (F.length(token) < 3), token)
+            .when(body.rlike("^#[xX]"), character(hexadecimal))
+            .when(body.startswith("#"), character(F.substr(body, F.lit(2)).cast("bigint")))
+            .otherwise(F.coalesce(F.try_element_at(entity_table(), body), token))
+        )
+
+    tokens = F.regexp_extract_all(text, F.lit(f"({ENTITY}|[^&]+|&)"), F.lit(1))
+    return F.when(text.rlike(ENTITY), F.array_join(F.transform(tokens, decoded), "")).otherwise(text)
 
 
 def content_hash(title: Column, published_at: Column, summary: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentflow.operators.ranking import ranked
+from contentflow.schemas import write_through
 
 VIEWS = ("all", "today", "unread", "favorite")
 TIMELINE_KEYS = ("published_at", "observed_at", "created_at")
@@ -126,23 +127,33 @@ def library_counts(entries: DataFrame, as_of: int, tz: str = "UTC") -> DataFrame
     )
 
 
-def nest_origins(origins: DataFrame, per_row: int | None = None) -> DataFrame:
-    """Origins as an array per entry, oldest first.
+#: Origins of an entry in one array.
+PART_LENGTH = 10_000
 
-    A caller that cannot take an array of any length asks for ``per_row``: an
-    entry then has several rows (``part`` 0, 1, …), each the next slice in time.
+
+def nest_origins(origins: DataFrame, per_row: int = PART_LENGTH) -> DataFrame:
+    """Origins as arrays per entry, oldest first, none longer than ``per_row``.
+
+    Entries are counted first. One with more origins has several rows (``part``
+    0, 1, …), each the next slice in time; its origins are ranked by range
+    partitions, so no task ever holds them all.
     """
     hit = F.struct(
         "observed_at", "source_id", "provider_id", "external_id", "provider_label", "original_url"
     )
     nested = F.sort_array(F.collect_list(hit)).alias("origins")
-    if per_row is None:
-        return origins.groupBy("entry_id").agg(nested).select("entry_id", F.lit(1).alias("parts"), F.lit(0).alias("part"), "origins")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("entry_id").agg(nested).select("entry_id", F.lit(1).alias("parts"), F.lit(0).alias("part"), "origins")
+
+    counts = origins.groupBy("entry_id").agg(F.count("*").alias("n")).where(F.col("n") > per_row)
+    hot = write_through(counts.select("entry_id", F.ceil(F.col("n") / per_row).cast("int").alias("parts")), "hot-entries")
+    if hot.isEmpty():
+        return whole(origins)
     order = [F.col(c) for c in ("observed_at", "source_id", "provider_id", "external_id", "provider_label", "original_url")]
-    placed = ranked(origins, ["entry_id"], order).withColumn("part", F.floor((F.col("rank") - 1) / per_row).cast("int"))
-    sliced = placed.groupBy("entry_id", "part").agg(nested)
-    parts = placed.groupBy("entry_id").agg((F.max("part") + 1).alias("parts"))
-    return sliced.join(parts, "entry_id").select("entry_id", "parts", "part", "origins")
+    placed = ranked(origins.join(hot.select("entry_id"), "entry_id", "left_semi"), ["entry_id"], order).withColumn("part", F.floor((F.col("rank") - 1) / per_row).cast("int"))
+    sliced = placed.groupBy("entry_id", "part").agg(nested).join(hot, "entry_id").select("entry_id", "parts", "part", "origins")
+    return whole(origins.join(hot.select("entry_id"), "entry_id", "left_anti")).unionByName(sliced)
 
 
 def with_origins(entries: DataFrame, origins: DataFrame) -> DataFrame:

@@ -528,6 +528,19 @@ def stream_ingest(spark, sf):
     return library.load().entries.select("canonical_url", "source_id", "title", "published_at", "canonical_identity")
 
 
+# --- references to characters ---
+
+REFERENCES = ["&mdash;", "&#8217;", "&#x2026;", "&amp;lt;", "&NotEqualTilde;", "&#150;", "&nosuch;", "&#xD800;"]
+
+
+@query
+def entity_texts(spark, sf):
+    """Part descriptions with references of every kind as a reader sees them."""
+    reference = roles.pick(REFERENCES, F.col("p_partkey"))
+    written = F.concat(F.lit("<p>"), F.col("p_name"), F.lit(" "), reference, F.col("p_type"), F.lit("&nbsp;& "), reference, F.lit("</p>"))
+    return table(spark, sf, "part").select("p_partkey", feeds.snippet(written).alias("said"))
+
+
 # --- syncs over several batches ---
 
 HOUR = 3_600_000

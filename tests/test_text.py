@@ -137,3 +137,10 @@ def test_tex_links(values):
 def test_tolerant_json(values):
     assert values(text.json_object, ['{"a":1,"b":"x"}', "[1]", "{bad", None]) == [{"a": "1", "b": "x"}, None, None, None]
     assert values(text.json_strings, ['["a",1,null,"b",{"c":2}]', '{"a":1}', "[bad", None]) == [["a", "b"], [], [], []]
+
+
+def test_references_are_read_once(values):
+    texts = ["a &mdash; b", "&#8217;&#x2019;&#X2026;", "&amp;lt; &amp;amp;", "&lt;b&gt;&quot;&apos;&#39;&nbsp;", "AT&T & co; &", "&nosuch; &;", "&#0;&#xD800;&#1114112;&#99999999;", "&#150;&#129;", "&NotEqualTilde;", "&#128512;", "&hellip;\n&copy;", "plain", None, ""]
+    assert values(text.unescape_entities, texts) == [
+        "a \u2014 b", "\u2019\u2019\u2026", "&lt; &amp;", "<b>\"''\u00a0", "AT&T & co; &", "&nosuch; &;", "\ufffd" * 4, "\u2013\ufffd", "\u2242\u0338", "\U0001f600", "\u2026\n\u00a9", "plain", None, "",
+    ]
