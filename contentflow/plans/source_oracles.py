@@ -213,6 +213,10 @@ UNION ALL SELECT 1000000 + page_id, 1, url, {TITLE} FROM pages"""
 # The document texts have no escaped dollars; a blank pair never counts, its second dollar may open the next pair.
 ORACLES["paired_tex"] = r"""SELECT doc_id, len(regexp_extract_all(text, '\$([ \t]*[^$\s][^$\r\n]*)\$'))::BIGINT AS pairs FROM documents"""
 
+ORACLES["preview_saved"] = f"""WITH {LIST}
+SELECT 'https://list.example.org/feed/' || doc || '.xml' AS url, 'rss' AS kind, 'active' AS status, true AS polling_enabled, 1 AS entries FROM li WHERE doc % 2 = 0 GROUP BY doc
+UNION ALL SELECT 'https://list.example.org/p/' || doc, 'generic', 'active', true, count(DISTINCT {LINK}) FROM li WHERE doc % 2 = 1 GROUP BY doc
+UNION ALL SELECT DISTINCT url, 'generic', 'needs_review', true, 1 FROM pages"""
 SAID = "CASE p_partkey % 8 WHEN 0 THEN chr(8212) WHEN 1 THEN chr(8217) WHEN 2 THEN chr(8230) WHEN 3 THEN '&lt;' WHEN 4 THEN chr(8770) || chr(824) WHEN 5 THEN chr(8211) WHEN 6 THEN '&nosuch;' ELSE chr(65533) END"
 ORACLES["entity_texts"] = f"""WITH p AS (SELECT *, {SAID} AS c FROM part)
 SELECT p_partkey, chr(10) || p_name || ' ' || c || p_type || chr(160) || '& ' || c || chr(10) AS said FROM p"""

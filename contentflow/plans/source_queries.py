@@ -528,6 +528,19 @@ def stream_ingest(spark, sf):
     return library.load().entries.select("canonical_url", "source_id", "title", "published_at", "canonical_identity")
 
 
+@query
+def preview_saved(spark, sf):
+    """Sources confirmed from a probe, with the entries that their previews brought; confirming twice changes nothing."""
+    verdicts, shown = probe.probe(_probed(spark, sf))
+    library = Library(spark, scratch_path(spark, "previews"))
+    for _ in range(2):
+        ingest.confirm_previews(library, verdicts, shown, AS_OF, "confirm-0")
+    state = library.load()
+    counts = state.entry_origins.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("entries"))
+    subscribed = state.subscriptions.select(F.col("source_id").alias("id"))
+    return state.sources.join(subscribed, "id").join(counts, "id").select("url", "kind", "status", "polling_enabled", "entries")
+
+
 # --- references to characters ---
 
 REFERENCES = ["&mdash;", "&#8217;", "&#x2026;", "&amp;lt;", "&NotEqualTilde;", "&#150;", "&nosuch;", "&#xD800;"]

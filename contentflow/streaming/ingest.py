@@ -15,7 +15,7 @@ from contentflow.functions import text, urls
 from contentflow.functions.binding import staged
 from contentflow.operators import maintenance, merge
 from contentflow.operators.health import EMPTY, FAILURE, SUCCESS, WARNING, after_run
-from contentflow.operators.mutations import delete_origin_rows
+from contentflow.operators.mutations import delete_origin_rows, register_sources
 from contentflow.operators.normalize import normalize
 from contentflow.schemas import State, write_through
 from contentflow.sources import cards, providers
@@ -386,6 +386,45 @@ def commit_batch(library: Library, fetched: Fetched, as_of: int, run: str) -> in
     raise Conflict(f"{run} met another writer {ATTEMPTS} times")
 
 
+def confirm_previews(library: Library, verdicts: DataFrame, previews: DataFrame, as_of: int, run: str) -> int | None:
+    """Register probed addresses, and store what their previews showed as the first batch of each.
+
+    ``verdicts`` and ``previews`` are those of ``probe``. An address that has a
+    source keeps it and nothing of its preview is stored; of several verdicts
+    for one address the first counts. Sources, subscriptions and entries are
+    one commit under ``run``, so doing it again changes nothing.
+    """
+    if library.has_run(run):
+        return None
+    missing = F.lit(None).cast("string")
+    trusted = F.when((F.col("kind") == "rss") & urls.is_loopback(F.col("url")), F.lit('{"allowTrustedLoopbackFeed":true}'))
+    inputs = verdicts.select(
+        "seq", "url", "title", missing.alias("category"), "kind", missing.alias("connector_id"), missing.alias("account_id"), trusted.alias("config_json"),
+        F.col("initial_status").alias("status"), missing.alias("extraction_rule"), (F.col("kind") != "manual").alias("polling_enabled"), F.lit(None).cast("int").alias("refresh_interval_minutes"),
+    )
+    inputs = write_through(merge.first_by_key(inputs, ["url"], "seq"), f"confirmed-{run}")
+    previews = write_through(previews, f"previews-{run}")
+    for _ in range(ATTEMPTS):
+        version = library.version()
+        state = library.load(version)
+        after = register_sources(state, inputs, as_of)
+        created = write_through(after.sources.join(state.sources.select("id"), "id", "left_anti").select(*schemas.columns(schemas.SOURCES)), f"created-{run}")
+        subscriptions = after.subscriptions.join(created.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        owners = inputs.select(F.col("seq").alias("page"), "url").join(created.select(F.col("id").alias("source_id"), "url"), "url").drop("url")
+        shown = previews.withColumnRenamed("seq", "page").join(owners, "page").withColumn("seq", F.struct("page", "row"))
+        kinds = {part.split()[0]: part.split()[1] for part in schemas.RAW_ENTRY.replace("\n", " ").split(",")}
+        items = shown.select(*[F.col(c) if c in ("source_id", "seq", "url", "title", "published_at") else F.lit(None).cast(kinds[c]).alias(c) for c in kinds])
+        batch = write_through(normalize(items, created, as_of), f"first-{run}")
+        merged = merge.merged_rows(batch, library.lookup(version), lambda rows: write_through(rows, f"folded-{run}"))
+        try:
+            return library.publish(
+                run, changed={"sources": created, "subscriptions": subscriptions.select(*schemas.columns(schemas.SUBSCRIPTIONS)), "entries": merged.entries, "entry_origins": merged.entry_origins}, based_on=version
+            )
+        except Conflict:
+            continue
+    raise Conflict(f"{run} met another writer {ATTEMPTS} times")
+
+
 def ingest_stream(
     spark: SparkSession,
     landing: DataFrame,

@@ -298,6 +298,26 @@ def test_a_batch_is_merged_again_into_what_others_committed(spark):
     assert lost and {r["canonical_url"] for r in state.entries.collect()} == {"https://e.org/other", "https://e.org/1"} and library.version() == 3
 
 
+def test_previews_are_the_first_batch(spark):
+    library = seeded(spark, "previews", [dict(id="old", url="https://e.org/old", title="Old")], entries=fx.entries(spark, dict(canonical_url="https://e.org/p/1", id="kept", title="before")))
+    verdicts = spark.createDataFrame(
+        [(1, "rss", "https://e.org/feed", "F", 0.9, False, "active"), (2, "rss", "https://e.org/feed", "again", 0.9, False, "active"), (3, "generic", "https://e.org/old", "X", 0.9, False, "active"), (4, "manual", "https://m.org/", "M", 1.0, False, "active"), (5, "rss", "http://localhost:8080/f", "L", 1.0, False, "active")],
+        "seq bigint, kind string, url string, title string, confidence double, requires_review boolean, initial_status string",
+    )
+    rows = [(1, "https://e.org/p/1", "One", 1), (1, "https://e.org/p/2", "Two", 2), (2, "https://e.org/p/3", "Three", 1), (3, "https://e.org/p/4", "Four", 1), (4, "https://m.org/a", "Saved", 1)]
+    shown = spark.createDataFrame([(s, u, t, None, r) for s, u, t, r in rows], "seq bigint, url string, title string, published_at bigint, row int")
+    assert ingest.confirm_previews(library, verdicts, shown, 7, "confirm-1") == 2 and ingest.confirm_previews(library, verdicts, shown, 8, "confirm-1") is None
+    state = library.load()
+    sources = fx.as_dicts(state.sources, "url")
+    assert set(sources) == {"https://e.org/old", "https://e.org/feed", "https://m.org/", "http://localhost:8080/f"}
+    assert sources["https://e.org/old"]["title"] == "Old" and sources["https://e.org/feed"]["title"] == "F" and not sources["https://m.org/"]["polling_enabled"]
+    assert sources["http://localhost:8080/f"]["config_json"] == '{"allowTrustedLoopbackFeed":true}'
+    entries = fx.as_dicts(state.entries, "canonical_url")
+    # An entry that is stored keeps its identity and gets the new title; what known sources showed is not stored.
+    assert {u: (r["title"]) for u, r in entries.items()} == {"https://e.org/p/1": "One", "https://e.org/p/2": "Two", "https://m.org/a": "Saved"} and entries["https://e.org/p/1"]["id"] == "kept"
+    assert state.subscriptions.count() == 3 and {r["entry_id"] for r in state.entry_origins.collect()} >= {"kept"} and library.version() == 2
+
+
 def test_registry():
     registry = ingest.Registry(*ingest.DEFAULT_CONNECTORS)
     assert registry.get("rss").connector_id == "rss"
