@@ -97,6 +97,20 @@ ORACLES["page_articles"] = f"""
 SELECT page_id, {visible(H1)} AS title, md5({visible(REST)}) AS text_md5, length({visible(REST)}) AS text_length, 'standard' AS render_profile, 7 AS priority FROM pages WHERE {SHOWN}"""
 ORACLES["page_quality"] = f"""
 SELECT page_id, length({visible(BODY)}) + 120 * len(regexp_extract_all({BODY}, '<p>')) + 90 AS quality FROM pages WHERE {SHOWN}"""
+# An open paragraph ends, with the bold text in it, where the next one starts.
+ORACLES["article_html"] = f"""
+SELECT page_id, replace(regexp_replace({REST}, '<br>(<p>|$)', '<br></b></p>\\1', 'g'), '&quot;', '"') AS content_html FROM pages WHERE {SHOWN}"""
+PARAGRAPH = f"'<p>' || replace(replace(replace({CLEAN.replace('text', "coalesce(text, '')")}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>'"
+QUOTE = "'<div><p>Quoted words at the end</p></div>'"
+ORACLES["article_chrome"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {QUOTE} ELSE CASE WHEN doc_id % 5 = 0 THEN '<h1>Doc ' || doc_id || '</h1>' ELSE '' END || '<h2>Part</h2>' || {PARAGRAPH} || {QUOTE}
+  || CASE WHEN doc_id % 2 = 0 THEN '<div><p>c</p></div>' ELSE '' END END AS content_html FROM documents"""
+IMAGE = "'<img src=\"https://e.example.org/"
+ORACLES["article_images"] = f"""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<figure>' || {IMAGE}o/' || doc_id || '.png"></figure>' WHEN 1 THEN '<picture>' || {IMAGE}w/' || doc_id || '-900.webp"></picture>'
+  WHEN 2 THEN '<div>' || {IMAGE}n/' || doc_id || '.png"></div>' WHEN 3 THEN '<div>t' || {IMAGE}n/' || doc_id || '.png" alt="n &amp; ' || doc_id || '"></div>'
+  WHEN 4 THEN '<figure>' || {IMAGE}p/' || doc_id || '-200x100.png"><figcaption>c</figcaption></figure><p>' || {IMAGE}p/' || doc_id || '.png"></p>'
+  ELSE '<div>' || {IMAGE}p/' || doc_id || '-20x10.png" alt="a ' || doc_id || '"></div>' END || {PARAGRAPH} AS content_html FROM documents"""
 ORACLES["page_dates"] = f"""WITH {LIST}
 SELECT doc AS page_id, arg_min(day, k) FILTER (WHERE kind = 2) AS published_at FROM li GROUP BY doc UNION ALL SELECT 1000000000 + page_id, NULL FROM pages"""
 ORACLES["article_fallback"] = f"""WITH m AS (SELECT 'e' || doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'article'

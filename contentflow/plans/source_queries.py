@@ -13,6 +13,7 @@ from contentflow.plans.queries import query
 from contentflow.plans.roles import AS_OF, null, table
 from contentflow.session import scratch_path
 from contentflow.sources import articles, cards, feeds, opml, pages, probe, providers, robots
+from contentflow.sources.clean import with_clean_body
 from contentflow.sources.page_facts import page_facts
 from contentflow.sources.snapshots import Library
 from contentflow.streaming import changes, ingest
@@ -195,6 +196,55 @@ def page_quality(spark, sf):
     return articles.extract_articles(table(spark, sf, "pages")).select("page_id", "quality")
 
 
+@query
+def article_html(spark, sf):
+    """Cleaned HTML of every crawled page's body."""
+    return articles.extract_articles(table(spark, sf, "pages")).select("page_id", "content_html")
+
+
+def _cleaned_documents(spark, sf, html, title=None, scientific=None):
+    """Document texts inside bodies made around them, cleaned."""
+    key = F.col("doc_id")
+    bodies = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("https://e.example.org/a/"), key).alias("url"), html.alias("html"), (F.lit("") if title is None else title).alias("title"),
+        F.lit("Quoted words at the end").alias("summary"), (F.lit(False) if scientific is None else scientific).alias("scientific"),
+    )
+    return with_clean_body(bodies, "html", "url", "title", "summary", "scientific").select("doc_id", F.col("clean").alias("content_html"))
+
+
+def _paragraph():
+    return F.concat(F.lit('<p onclick="x()">'), dumps.escaped(F.coalesce("text", F.lit(""))), F.lit("</p>"))
+
+
+@query
+def article_chrome(spark, sf):
+    """Bodies with headers, bylines, repeated titles, heading links, navigation and discussions; on scientific pages with a lead."""
+    key = F.col("doc_id")
+    name = F.concat(F.lit("Doc "), key)
+    html = F.concat(
+        F.lit("<header>Site</header><h1>"), name, F.lit('</h1><p>By A | 2024-01-03 | 3 min</p><div class="post-meta x">m</div><h2 id="s">Part<a class="headerlink" href="#s">#</a></h2>'),
+        _paragraph(), F.lit("<nav>n</nav><div><p>Quoted words at the end</p></div>"),
+        F.when(key % 2 == 0, '<div id="comments"><p>c</p></div>').otherwise(""), F.lit('<div class="entry-footer">f</div>'),
+    )
+    return _cleaned_documents(spark, sf, html, F.when(key % 5 != 0, name).otherwise("Other"), key % 3 == 0)
+
+
+@query
+def article_images(spark, sf):
+    """Bodies whose pictures state their address in several places, twice, or in a noscript only."""
+    key = F.col("doc_id")
+    ways = [
+        '<figure><img src="/s/ID.png" data-src="/d/ID.png" data-original="/o/ID.png"></figure>',
+        '<picture><source srcset="/w/ID-300.webp 300w, /w/ID-900.webp 900w"><img src="/s/ID.png"></picture>',
+        '<div><img class="lazy" alt=""><noscript><img src="/n/ID.png" alt="n ID"></noscript></div>',
+        '<div>t<noscript><img src="/n/ID.png" alt="n &amp; ID"></noscript></div>',
+        '<figure><img src="/p/ID-200x100.png"><a href="/p/ID.png"><img src="/p/ID.png#x"></a><figcaption>c</figcaption></figure><p><img src="/p/ID.png"></p>',
+        '<div><img src="http://10.0.0.8/ID.png"><img data-src="/p/ID-20x10.png"><noscript><img src="/p/ID.png" alt="a ID"></noscript></div>',
+    ]
+    way = F.get(F.array(*[F.lit(w) for w in ways]), (key % len(ways)).cast("int"))
+    return _cleaned_documents(spark, sf, F.concat(F.replace(way, F.lit("ID"), key.cast("string")), _paragraph()))
+
+
 @query
 def page_dates(spark, sf):
     """Publication statements found in list pages and the crawl dump."""

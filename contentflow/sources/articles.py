@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentflow.functions import text, urls
 from contentflow.functions.binding import staged
-from contentflow.sources.clean import cleaned
+from contentflow.sources.clean import asset, with_clean_body
 from contentflow.sources.page_facts import page_facts
 from contentflow.sources.pages import page_day
 
@@ -52,7 +52,8 @@ def extract_articles(pages: DataFrame) -> DataFrame:
 
     ``pages`` needs ``page_id, url, html`` and may carry ``entry_title``,
     ``entry_author``, ``entry_day``, ``entry_image`` and ``entry_summary`` of the
-    stored entry. Nothing is shuffled: facts, choice and clean-up stay in the page's row.
+    stored entry. Facts and the choice of the container stay in the page's row;
+    the nodes of the chosen body meet after one exchange.
     """
     hints = {"entry_title": "string", "entry_author": "string", "entry_day": "bigint", "entry_image": "string", "entry_summary": "string"}
     for name, kind in hints.items():
@@ -67,7 +68,8 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     titled = chosen.select(
         "page_id", "url", *hints, "scientific", "head", "container", title.alias("title"), body.alias("body")
     )
-    sanitised = titled.withColumn("clean", cleaned(F.col("body"), F.col("url"), F.col("title"), F.col("entry_summary"), F.col("scientific")))
+    sanitised = with_clean_body(titled, "body", "url", "title", "entry_summary", "scientific")
+    head, box = F.col("head"), F.col("container")
     linked = staged(sanitised, content_html=F.col("clean"), text=plain_text(F.col("clean")))
     cover = urls.absolute_url(F.coalesce(head["cover"], F.col("entry_image")), F.col("url"))
     shown = staged(linked.where(F.col("text") != ""), cover=F.when(urls.is_public_url(cover), cover))
@@ -77,7 +79,7 @@ def extract_articles(pages: DataFrame) -> DataFrame:
         F.coalesce("title", "entry_title").alias("title"),
         F.coalesce(text.compact(head["author"]), text.compact(head["byline"]), text.compact(F.col("entry_author"))).alias("author"),
         F.coalesce(page_day(head["dates"]), F.col("entry_day")).alias("published_at"),
-        F.when(~F.col("content_html").contains(_asset(F.col("cover"))), F.col("cover")).alias("cover_image_url"),
+        F.when(~F.col("content_html").contains(F.coalesce(asset(F.col("cover")), F.lit("\0"))), F.col("cover")).alias("cover_image_url"),
         F.when(F.col("scientific"), "scientific").otherwise("standard").alias("render_profile"),
         content_quality(box).alias("quality"),
         box["priority"].alias("priority"),
@@ -87,12 +89,6 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     )
 
 
-def _asset(url: Column) -> Column:
-    """Address without fragment and generated size, the part two copies of one picture share."""
-    bare = F.regexp_replace(url, r"#.*$", "")
-    return F.coalesce(F.regexp_replace(bare, r"(?i)-\d{1,5}x\d{1,5}(?=\.[a-z0-9]{2,5}$)", ""), F.lit("\0"))
-
-
 def feed_bodies(entries: DataFrame, feed_items: DataFrame) -> DataFrame:
     """``(id, feed_html)`` of entries whose feed item carries a body.
 
@@ -127,8 +123,9 @@ def article_with_fallback(entries: DataFrame, articles: DataFrame, feed_items: D
     )
     missing = F.col("page").isNull() & (F.col("source_kind") == "rss") & F.col("feed_html").isNotNull()
     profile = urls.render_profile(F.col("original_url")) == "scientific"
-    fed = F.when(missing, cleaned(F.col("feed_html"), F.col("original_url"), F.lit(""), F.lit(None).cast("string"), profile))
-    shown = staged(joined.withColumn("fed", fed), fed_text=plain_text(F.col("fed")), short=text.compact(F.col("summary")))
+    offered = joined.withColumn("fed", F.when(missing, F.col("feed_html"))).withColumn("untitled", F.lit("")).withColumn("scientific", profile)
+    fed = with_clean_body(offered, "fed", "original_url", "untitled", "untitled", "scientific")
+    shown = staged(fed.withColumn("fed", F.when(F.col("fed").isNotNull(), F.col("clean"))), fed_text=plain_text(F.col("fed")), short=text.compact(F.col("summary")))
     body_usable = (F.length("fed_text") >= MIN_FALLBACK_TEXT) | F.col("fed").contains("<img")
     summary_usable = F.col("source_kind").isin("rss", "x") & (F.length("short") >= MIN_FALLBACK_TEXT)
     mode = (

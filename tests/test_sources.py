@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contentflow import schemas
 from contentflow.operators import audit
 from contentflow.sources import articles, cards, feeds, opml, pages, providers, robots
-from contentflow.sources.clean import clean_body
+from contentflow.sources.clean import with_clean_body
 from contentflow.sources.elements import read, rule_tests, selector, squeeze
 
 DAY = 86_400_000
@@ -120,16 +120,47 @@ def test_selectors():
     assert rule_tests("{broken")[1] and rule_tests("[1]")[1] and rule_tests('{"itemRootSelector":"li > a"}')[1] and rule_tests(None) == ({}, None)
 
 
+def cleaned(spark, *bodies, url="https://e.org/p/"):
+    """Cleaned HTML of ``(html, title, summary, scientific)``, in order."""
+    rows = [(i, url, *body, *(None, None, False)[len(body) - 1 :]) for i, body in enumerate(bodies)]
+    frame = spark.createDataFrame(rows, "i bigint, url string, html string, title string, summary string, scientific boolean")
+    out = with_clean_body(frame, "html", "url", "title", "summary", "scientific")
+    return [r["clean"] for r in sorted(out.collect(), key=lambda r: r["i"])]
+
+
 def test_hostile_markup_ends_no_job(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
-    assert "x" in clean_body(deep, "https://e.org/", None, None, False)
     tex = '<p>see \\url{http://10.0.0.1/a} and \\href{https://e.org/b}{B} <img src="/i.png" alt="\\url{https://e.org/x}"></p><pre>\\url{https://e.org/y}</pre>'
-    clean = clean_body(tex, "https://e.org/", None, None, False)
+    nested, clean = cleaned(spark, (deep,), (tex,))
+    assert nested == deep
     assert 'href="http://10' not in clean and '<a href="https://e.org/b">B</a>' in clean and '<pre>\\url{https://e.org/y}</pre>' in clean and clean.count("<a ") == 1
     broken = pages.extract_listing(page(spark, cards_html(3), "{broken"))
     assert broken[1].first()["method"] == "cards"
 
 
+def test_bodies_are_cleaned_node_by_node(spark):
+    """Pictures, links, headings and the lead of bodies of several shapes, beside repeated, empty and missing ones."""
+    got = cleaned(
+        spark,
+        ('<figure><picture><source srcset="/w.webp 300w, /big.webp 900w"><img src="/s.png"></picture><a href="/x"><img src="/big.webp"></a></figure><p>t<img src="/s.png"></p>',),
+        ('<div><noscript>&lt;img src="/n.png" alt="q"&gt;</noscript><p>z</p></div><div><img class="lazy"><noscript><img src="/lazy.png"></noscript></div>',),
+        ('<h2>T <a class="headerlink" href="#x">#</a></h2><h2>U</h2><div class="post-meta">m</div><ul><li>a<li>b</ul>', "T"),
+        ('<div>nav</div><div><p>meta</p><p>This is the lead sentence of it.</p><p>x<br>y</p></div><div id="comments">c</div>', "", "This is the lead sentence of it", True),
+        ('<a href="/q"></a><a href="javascript:1">k</a><input type=checkbox><a href="/z"><b>x &lt; y</b></a>',),
+        ('<div><img src="/a-100x200.png"><img src="/a.png"><img src="/b.png"></div><img src="/b.png">',),
+        ("<p>a &amp; b</p>",), ("<p>a &amp; b</p>",), ("",), (None,),
+    )
+    assert got == [
+        '<figure><picture><img src="https://e.org/big.webp"></picture></figure><p>t<img src="https://e.org/s.png"></p>',
+        '<div><img src="https://e.org/n.png" alt="q"><p>z</p></div><div><img src="https://e.org/lazy.png"></div>',
+        "<h2>U</h2><ul><li>a</li><li>b</li></ul>",
+        "<div><p>This is the lead sentence of it.</p><p>x<br>y</p></div>",
+        '<a href="https://e.org/q">https://e.org/q</a>k<span>☐ </span><a href="https://e.org/z"><b>x &lt; y</b></a>',
+        '<div><img src="https://e.org/a-100x200.png"><img src="https://e.org/b.png"></div><img src="https://e.org/b.png">',
+        "<p>a &amp; b</p>", "<p>a &amp; b</p>", "", "",
+    ]
+
+
 def page(spark, html, rule=None, url="https://e.org/blog/"):
     return spark.createDataFrame([(1, url, html, rule)], "page_id bigint, url string, html string, rule string")
 
