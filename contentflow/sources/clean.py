@@ -309,6 +309,9 @@ def _left(nodes: DataFrame) -> DataFrame:
         _nearest(F.col("_frame"), _up_to()).alias("frame"),
         F.last(F.when(root & F.col("tag").isNotNull(), F.col("n")), ignorenulls=True).over(_up_to()).alias("_root"),
         _nearest((F.col("tag") == "a") & ~F.col("gone"), _up_to()).alias("link"),
+        # Repeats and emptied links, which go later, hold no text, so what is literal or linked is known here.
+        _within(~F.col("gone") & F.col("tag").isin(LITERAL_TAGS), _before()).alias("_literal"),
+        _within(~F.col("gone") & (F.col("tag") == "a"), _before()).alias("_linked"),
     )
     grouped = framed.withColumn("frame", F.coalesce("frame", F.when(F.col("parent") == F.col("_root"), F.col("_root"))))
     candidate = pictured & ~F.col("gone")
@@ -325,10 +328,7 @@ def _written(nodes: DataFrame) -> DataFrame:
     """``start`` and ``stop``: what stands where a node begins and behind its last node."""
     node, tag = F.col("node"), F.col("tag")
     shown = ~F.col("gone")
-    quiet = nodes.select(
-        "*", _within(shown & tag.isin(LITERAL_TAGS), _before()).alias("_literal"), _within(shown & (tag == "a"), _before()).alias("_linked"),
-        F.when(shown & (tag == "a"), F.get("links", F.lit(0))).alias("_href"),
-    )
+    quiet = nodes.withColumn("_href", F.when(shown & (tag == "a"), F.get("links", F.lit(0))))
     image = F.concat(
         F.lit('<img src="'), _quoted(F.col("address")), F.lit('"'), F.coalesce(F.concat(F.lit(' alt="'), _quoted(F.col("alt")), F.lit('"')), F.lit("")), F.lit(">")
     )
