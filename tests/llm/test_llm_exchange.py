@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from llm_support import awkward, covered_twice, frame, jaccard_components, prose, repeats_removed, rows_of, shingle_set, words
 
 from contentflow.llm import components, exchange, hashing, jaccard, language_model, substrings, suffixes
+from contentflow.session import shared_dir
 
 
 # --- hashing ----------------------------------------------------------------------
@@ -104,6 +106,30 @@ def test_join_of_a_large_group_is_cut_into_blocks(spark, monkeypatch):
     _check_join(spark, rows_of(texts))
 
 
+def _size(folder):
+    return sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_join_of_copies_writes_no_more_for_each(spark):
+    folder, texts, sizes = shared_dir(spark), [prose(400 + i, 600, 9000) for i in range(40)], []
+    for copies in (1, 8):
+        before = _size(folder)
+        _check_join(spark, rows_of(texts * copies))
+        sizes.append(_size(folder) - before)
+    # A copy adds a few numbers, not its shingles: seven of them less than their text once.
+    assert sizes[1] - sizes[0] < sum(map(len, texts))
+
+
+def test_join_over_texts_without_an_id(spark):
+    rows = []
+    for i in range(12):
+        base = prose(700 + i, 150, 9000).split()
+        rows += rows_of([" ".join(base), " ".join([*base[:-1], "x"])], 2 * i)
+        # Its nearest copy has no id, and may not come between the two that have.
+        rows += [(None, *rows_of([" ".join([*base[:-1], "y"])])[0][1:])] * 2
+    _check_join(spark, rows)
+
+
 def test_pairs_within_the_bound_share_a_cell():
     pick = random.Random(9)
     for _ in range(400):
