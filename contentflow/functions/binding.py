@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,14 @@ def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     return rows.repartition(count) if count else rows
 
 
+def text_tasks(spark: SparkSession) -> int:
+    """Tasks to deal texts out to that come from an exchange or a written table: as many as the session names, or its shuffle partitions.
+
+    Such texts are packed well, and what goes by bytes makes few tasks of them.
+    """
+    return int(spark.conf.get(TEXT_TASKS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

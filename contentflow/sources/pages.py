@@ -43,7 +43,7 @@ def discover_feeds(pages: DataFrame, k: int | None = None) -> DataFrame:
     """Feed addresses a page declares or links to, distinct, in document order; with ``k`` the first ones.
 
     ``pages`` needs ``page_id, url, html``. The links of a page stay in its row
-    until they are filtered, so nothing is shuffled.
+    until they are filtered.
     """
     facts = page_facts(pages.select("page_id", "url", "html"), ["links"]).drop("html")
     link = F.col("link")

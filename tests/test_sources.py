@@ -2,14 +2,17 @@ import json
 
 import fixtures as fx
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from contentflow import schemas
+from contentflow.functions.binding import TEXT_TASKS
 from contentflow.operators import audit
 from contentflow.plans import dumps
 from contentflow.sources import articles, cards, feeds, opml, pages, providers, robots
 from contentflow.sources.clean import with_clean_body
-from contentflow.sources.elements import read, rule_tests, selector, squeeze
+from contentflow.sources.elements import _plain, _Reader, page_elements, read, rule_tests, selector, squeeze
 
 DAY = 86_400_000
 JAN3 = 1_704_240_000_000  # 2024-01-03
@@ -370,3 +373,45 @@ def test_notes_of_long_keys_stay_apart(spark):
     made = dumps.note_pages(parts)
     assert made.count() == made.select("seq").distinct().count()
     assert cards.parse_hydration_notes(made, 0).count() == len(keys)
+
+
+# --- reading pages ---
+
+BITS = [
+    "<p>", "</p>", '<div class="a b">', "</div>", "text ", "a &amp; b", "&amp", "&#39;x", "<br/>", "<br />", "<img src='x y' alt>", '<a href="/q?a=1&b=2&copy;">', "</a>", "<li>", "<ul>", "</ul>",
+    "<script>x<b</script>", '<script type="application/ld+json">{"a":"b &amp; &c"}</script>', "<SCRIPT>a</p>b</script>", "<script>", "</script>", "<style></style>", "<script><!-- x --></script>", "<script />",
+    "<!-- c -->", "<!DOCTYPE html>", " \n", "<", "&", "<P Class='X' class=\"y\">", "<td>", "<tr>", "<table>", "</table>", "<a b=c>", "</p >", "<title>T &lt;</title>", "<a href=\"x\"href='y'>", "\ue000",
+]
+
+
+@given(st.lists(st.sampled_from(BITS), max_size=9).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_plain_pages_are_read_as_by_the_whole_reader(html):
+    page = _plain(html)
+    whole = _Reader(html).page
+    assert page is None or (page == whole and [list(e.attrs) for e in page.elements] == [list(e.attrs) for e in whole.elements])
+
+
+def test_most_pages_are_plain():
+    assert _plain('<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="a"><p>b &amp; c<br/>d</p></body></html>') is not None
+
+
+def test_pages_of_one_file_are_dealt_out(spark):
+    """Small pages are one partition by their bytes, however long they take to read."""
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(64)], "page_id long, html string").coalesce(1)
+    named = spark.conf.get(TEXT_TASKS)
+    spark.conf.unset(TEXT_TASKS)
+    try:
+        rows = page_elements(pages)
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+        assert {(r["page_id"], r["pieces"][0]["text"]) for r in rows.collect()} == {(i, str(i)) for i in range(64)}
+    finally:
+        spark.conf.set(TEXT_TASKS, named)
+
+
+def test_cards_inside_cards_keep_their_own_texts(spark):
+    outer = '<div class="ContentItem"><h2>Outer heading</h2><a href="/p/1">outer read</a><article><h3>Inner heading</h3><a href="/people/me">Me</a><a href="/p/22">inner</a><p>发布于 2024年1月5日 08:30</p></article></div>'
+    html = f"<html><p>before</p>{outer}<article><a href='/p/3'>a</a><h2>Third one here</h2></article></html>"
+    raw = spark.createDataFrame([(1, "f", None, html)], "seq long, source_id string, url string, text string")
+    got = {(r["url"].rsplit("/", 1)[1], r["title"], r["author"], r["published_at"] is not None) for r in cards.parse_follow_cards(raw, 1_706_702_400_000).collect()}
+    assert got == {("1", "Outer heading", "Me", True), ("22", "Inner heading", "Me", True), ("3", "Third one here", None, False)}
